@@ -2,5 +2,25 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from cohortloom.llm.language import identify_language
+from cohortloom.llm.quality import classify_quality
+from cohortloom.llm.shared import table
+from cohortloom.llm.toxicity import classify_toxicity
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict = {"op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality}
 ORACLES: dict = {}

@@ -168,3 +168,12 @@ def ngram_hash(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
         out = mix(out * U64(MULTIPLIER) + words[k : len(words) - n + 1 + k])
     ok = rows[: len(rows) - n + 1] == rows[n - 1 :]
     return out[ok], rows[: len(rows) - n + 1][ok]
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    if len(values) == 0:
+        return values
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    return values[keep]
