@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.language import identify_language
+from cohortloom.llm.minhash import near_duplicates
 from cohortloom.llm.quality import classify_quality
 from cohortloom.llm.shared import table
 from cohortloom.llm.toxicity import classify_toxicity
@@ -22,5 +23,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict = {"op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality}
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+QUERIES: dict = {
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
+    "op7_minhash": op7_minhash,
+}
 ORACLES: dict = {}
