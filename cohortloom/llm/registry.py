@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortloom.llm.language import identify_language
 from cohortloom.llm.minhash import near_duplicates
 from cohortloom.llm.quality import classify_quality
+from cohortloom.llm.repeats import repeated_bytes
 from cohortloom.llm.shared import table
 from cohortloom.llm.toxicity import classify_toxicity
 
@@ -27,10 +28,15 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op7_minhash": op7_minhash,
+    "op8_suffix_array": op8_suffix_array,
 }
 ORACLES: dict = {}
