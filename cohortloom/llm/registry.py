@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.language import identify_language
+from cohortloom.llm.language_model import language_model_scores
 from cohortloom.llm.minhash import near_duplicates
 from cohortloom.llm.quality import classify_quality
 from cohortloom.llm.repeats import repeated_bytes
@@ -32,11 +33,16 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op7_minhash": op7_minhash,
     "op8_suffix_array": op8_suffix_array,
+    "op9_lm_scores": op9_lm_scores,
 }
 ORACLES: dict = {}
