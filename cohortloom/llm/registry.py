@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortloom.llm.embedding_dedup import link_embeddings
 from cohortloom.llm.language import identify_language
 from cohortloom.llm.language_model import language_model_scores
 from cohortloom.llm.minhash import near_duplicates
@@ -13,6 +14,10 @@ from cohortloom.llm.shared import table
 from cohortloom.llm.toxicity import classify_toxicity
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
