@@ -1,7 +1,8 @@
 """Code sets: matching events, checks, keys and fingerprints.
 
-Code sets are small by nature; every join that broadcasts one first checks its
-row count and falls back to a shuffled join beyond the limit.
+Code sets are small by nature, but nothing is marked for broadcast here: Spark
+broadcasts a side whose size it knows to be below its threshold, and shuffles
+otherwise.
 """
 
 from __future__ import annotations
@@ -9,14 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def match_events(events: DataFrame, code_sets: DataFrame) -> DataFrame:
     """Events with ``code_set_name`` for each accepted code set they match, once per set.
 
@@ -25,11 +18,11 @@ def match_events(events: DataFrame, code_sets: DataFrame) -> DataFrame:
     matches both ways is dropped from the second. Null dates are kept.
     """
     accepted = code_sets.where("accepted").select("code_set_name", "domain", F.col("concept_id").alias("cs_concept"), F.col("source_value").alias("cs_source"))
-    by_concept = small(accepted.where("cs_concept > 0").groupBy("code_set_name", "domain", "cs_concept").agg(F.collect_set("cs_source").alias("also")).drop("also"))
-    by_source = small(accepted.where("cs_source is not null").groupBy("domain", "cs_source", "code_set_name").agg(F.collect_set("cs_concept").alias("unused")).drop("unused"))
-    concepts = small(accepted.where("cs_concept > 0").groupBy("domain", "code_set_name").agg(F.collect_set("cs_concept").alias("concepts")))
+    by_concept = (accepted.where("cs_concept > 0").groupBy("code_set_name", "domain", "cs_concept").agg(F.collect_set("cs_source").alias("also")).drop("also"))
+    by_source = (accepted.where("cs_source is not null").groupBy("domain", "cs_source", "code_set_name").agg(F.collect_set("cs_concept").alias("unused")).drop("unused"))
+    concepts = (accepted.where("cs_concept > 0").groupBy("domain", "code_set_name").agg(F.collect_set("cs_concept").alias("concepts")))
     first = events.join(by_concept, (events["domain"] == by_concept["domain"]) & (events["concept_id"] == by_concept["cs_concept"])).select(*[events[c] for c in events.columns], "code_set_name")
-    by_source = small(by_source.join(concepts, ["domain", "code_set_name"], "left"))
+    by_source = (by_source.join(concepts, ["domain", "code_set_name"], "left"))
     second = events.join(by_source, (events["domain"] == by_source["domain"]) & (events["source_value"] == by_source["cs_source"]))
     second = second.where(~F.coalesce(F.array_contains("concepts", events["concept_id"]), F.lit(False))).select(*[events[c] for c in events.columns], "code_set_name")
     return first.unionByName(second)
@@ -46,8 +39,8 @@ def event_keys(events: DataFrame, code_sets: DataFrame) -> DataFrame:
 
     Acceptance is not asked for here.
     """
-    concepts = small(code_sets.where("concept_id > 0").groupBy("domain", "concept_id").agg(F.min("code_set_name").alias("by_concept")))
-    sources = small(code_sets.where("source_value is not null").groupBy("domain", "source_value").agg(F.min("code_set_name").alias("by_source")))
+    concepts = (code_sets.where("concept_id > 0").groupBy("domain", "concept_id").agg(F.min("code_set_name").alias("by_concept")))
+    sources = (code_sets.where("source_value is not null").groupBy("domain", "source_value").agg(F.min("code_set_name").alias("by_source")))
     joined = events.join(concepts, ["domain", "concept_id"], "left").join(sources, ["domain", "source_value"], "left")
     plain = F.when(F.col("concept_id") > 0, F.concat(F.lit("concept:"), F.col("concept_id").cast("string"))).when(
         F.coalesce(F.col("source_value"), F.lit("")) != "", F.concat(F.lit("source:"), F.col("source_value"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import demographic_reason
-from cohortloom.operators.codesets import match_events, small
+from cohortloom.operators.codesets import match_events
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ def criterion_counts(matched: DataFrame, indexes: DataFrame, cohorts: list[Cohor
             before, after = x.window or (None, None)
             rows.append((c.name, k, x.code_set, x.window is not None, before, after))
     criteria = spark.createDataFrame(rows, "cohort_name string, k int, code_set_name string, windowed boolean, before int, after int")
-    wanted = matched.select("person_id", "code_set_name", "event_date").join(small(criteria), "code_set_name").join(indexes, ["cohort_name", "person_id"])
+    wanted = matched.select("person_id", "code_set_name", "event_date").join((criteria), "code_set_name").join(indexes, ["cohort_name", "person_id"])
     day = F.datediff("event_date", "index_date")
     inside = (F.col("before").isNull() | (day >= -F.col("before"))) & (F.col("after").isNull() | (day <= F.col("after"))) & day.isNotNull()
     counted = wanted.groupBy("cohort_name", "person_id", "k").agg(F.count_if(~F.col("windowed") | inside).alias("n"))
