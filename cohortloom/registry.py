@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cohortloom.queries import analyses, cohorts
+from cohortloom.queries import analyses, cohorts, records
 
-MODULES = (cohorts, analyses)
+MODULES = (cohorts, analyses, records)
 QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict = {k: q for m in MODULES for k, q in m.ORACLES.items()}
