@@ -51,6 +51,9 @@ def coerce_dates(rows: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     parse = lambda c: to_date_strict(F.col(c)) if fields[c].type == "date" else to_timestamp_strict(F.col(c))
     typed = rows.select(*[parse(c).alias(c) if c in dates else F.col(c) for c in rows.columns])
     key = next(f.name for f in schemas.REGISTRY[table] if f.role == "pk")
+    if not dates:
+        none = rows.select(F.lit(table).alias("omop_table"), F.col(key).alias("omop_id"), F.lit("").alias("column_name"), F.lit("").alias("original_value"))
+        return typed, none.limit(0)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("original_value"), parse(c).isNull().alias("bad")) for c in dates]))
     bad = rows.select(F.lit(table).alias("omop_table"), F.col(key).alias("omop_id"), cells.alias("x")).select("omop_table", "omop_id", "x.*")
     return typed, bad.where("bad and original_value is not null").drop("bad")
