@@ -11,6 +11,7 @@ from cohortloom.llm.language_model import language_model_scores
 from cohortloom.llm.licenses import scan_licenses
 from cohortloom.llm.minhash import near_duplicates
 from cohortloom.llm.mixing import mix_sources
+from cohortloom.llm.oracles import ORACLES
 from cohortloom.llm.quality import classify_quality
 from cohortloom.llm.repeats import repeated_bytes
 from cohortloom.llm.shared import table
@@ -69,4 +70,3 @@ QUERIES: dict = {
     "op9_lm_scores": op9_lm_scores,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict = {}

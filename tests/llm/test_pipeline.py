@@ -17,3 +17,13 @@ def test_stages(spark, data):
     assert not any(b in (r["text"] or "") for r in docs.collect() for b in bench)
     assert out.join(docs, "doc_id", "left_anti").count() == 0
     assert corpus_pipeline.run(spark, data).count() == out.count()
+
+
+def test_oracles(spark, data):
+    import compare
+
+    from cohortloom.llm import registry
+
+    db = compare.connect(data)
+    for name, sql in registry.ORACLES.items():
+        assert compare.spark_rows(registry.QUERIES[name](spark, data)) == compare.oracle_rows(db, sql), name
