@@ -112,6 +112,21 @@ def _buckets(spark, d):
     return load(spark, d, "person").select("person_id", b.alias("b")).select("person_id", "b.*")
 
 
+def order_code_sets(spark, d):
+    """Codings seen in orders: a set per priority, some over two domains, some never accepted."""
+    return load(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("code_set_name"), F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 2 == 0), "visit").otherwise("condition").alias("domain"),
+        (F.col("o_orderkey") % 50).alias("concept_id"), F.concat(F.lit("status#"), "o_orderstatus").alias("source_value"),
+        F.when(F.col("o_orderstatus") == "F", "MAPPED").when(F.col("o_orderstatus") == "O", "ALREADY_STANDARD").otherwise("UNCHECKED").alias("mapping_status"),
+        (F.col("o_orderpriority") != "5-LOW").alias("accepted"),
+    ).distinct()
+
+
+ORDER_SETS = """sets AS (SELECT DISTINCT o_orderpriority AS code_set_name, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 'visit' ELSE 'condition' END AS domain,
+    o_orderkey % 50 AS concept_id, 'status#' || o_orderstatus AS source_value, CASE o_orderstatus WHEN 'F' THEN 'MAPPED' WHEN 'O' THEN 'ALREADY_STANDARD' ELSE 'UNCHECKED' END AS mapping_status,
+    o_orderpriority <> '5-LOW' AS accepted FROM orders)"""
+
+
 def _event_keys(spark, d):
     keyed = codesets.event_keys(load(spark, d, "domain_event"), load(spark, d, "code_set"))
     return keyed.groupBy("domain", "event_key").agg(F.count("*").alias("n"))
@@ -128,7 +143,9 @@ QUERIES = {
     "cohort_totals": lambda s, d: cohorts.cohort_totals(resolved(s, d)[0]),
     "index_dates": lambda s, d: cohorts.index_dates(load(s, d, "person"), matched(s, d), PLAN),
     "code_set_match": lambda s, d: matched(s, d).groupBy("code_set_name").agg(F.count("*").alias("n"), F.count_distinct("person_id").alias("persons")),
-    "code_set_problems": lambda s, d: codesets.code_set_problems(load(s, d, "code_set").union(s.createDataFrame([("mixed", "drug", 0, "a#b", True), ("mixed", "visit", 0, "a#c", True)], "a string, b string, c long, d string, e boolean"))),
+    "code_set_problems": lambda s, d: codesets.code_set_problems(order_code_sets(s, d)),
+    "code_set_status": lambda s, d: codesets.status_counts(order_code_sets(s, d)),
+    "code_set_fingerprints": lambda s, d: codesets.fingerprints(order_code_sets(s, d)),
     "event_keys": _event_keys,
     "observation_window": lambda s, d: frame(s, d).select("cohort_name", "person_id", "observation_start", "observation_end"),
     "window_presence": lambda s, d: _key(windows.window_presence(frame(s, d), events_of(s, d, "urgent"), "urgent_before")),
@@ -156,7 +173,12 @@ ORACLES = {
     "cohort_totals": with_ctes("SELECT cohort_name, count(*) FILTER (included) AS included, count(*) AS total FROM cohort GROUP BY 1", RESOLVED),
     "index_dates": with_ctes("SELECT cohort_name, person_id, index_date FROM base", RESOLVED),
     "code_set_match": with_ctes("SELECT code_set_name, count(*) AS n, count(DISTINCT person_id) AS persons FROM matched GROUP BY 1", MATCHED),
-    "code_set_problems": with_ctes("SELECT 'retired' AS code_set_name, 'no_accepted_coding' AS problem UNION ALL SELECT 'mixed', 'several_domains'"),
+    "code_set_problems": f"""WITH {ORDER_SETS} SELECT code_set_name, CASE WHEN count(DISTINCT domain) <> 1 THEN 'several_domains' ELSE 'no_accepted_coding' END AS problem FROM sets
+        GROUP BY 1 HAVING count(DISTINCT domain) <> 1 OR count(*) FILTER (accepted) = 0""",
+    "code_set_status": f"""WITH {ORDER_SETS} SELECT code_set_name, count(*) FILTER (mapping_status = 'ALREADY_STANDARD') AS already_standard, count(*) FILTER (mapping_status = 'MAPPED') AS mapped,
+        count(*) FILTER (mapping_status = 'UNMAPPED') AS unmapped, count(*) FILTER (mapping_status = 'UNCHECKED') AS unchecked FROM sets GROUP BY 1""",
+    "code_set_fingerprints": f"""WITH {ORDER_SETS} SELECT code_set_name, sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint FROM (
+        SELECT DISTINCT code_set_name, sha256(domain || chr(1) || concept_id || chr(1) || source_value) AS h FROM sets) GROUP BY 1""",
     "event_keys": with_ctes("""SELECT e.domain, coalesce((SELECT min(code_set_name) FROM code_set s WHERE s.domain = e.domain AND s.concept_id > 0 AND s.concept_id = e.concept_id),
         (SELECT min(code_set_name) FROM code_set s WHERE s.domain = e.domain AND s.source_value = e.source_value),
         CASE WHEN concept_id > 0 THEN 'concept:' || concept_id ELSE 'source:' || source_value END) AS event_key, count(*) AS n FROM domain_event e GROUP BY ALL"""),

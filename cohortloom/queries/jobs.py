@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortloom.operators import compare, features, guardrails, ledger, omop, survival, trajectory, windows
+from cohortloom.operators import compare, eras, features, guardrails, ledger, omop, survival, trajectory, windows
 from cohortloom.plans import jobs
 from cohortloom.queries.analyses import ERAS, LINES, OUTCOMES, SURVIVED, outcomes, survived
 from cohortloom.queries.cohorts import FRAME, frame, with_ctes
@@ -100,6 +100,36 @@ def _stage_signature(spark, d):
     return rows["data"].select("person_id", "cluster")
 
 
+def _crosswalk(spark, d):
+    codes = load(spark, d, "code_mapping").select("source_system", "source_code").distinct()
+    table = load(spark, d, "orders").select(F.lit("status").alias("source_system"), F.col("o_orderstatus").alias("source_code"), F.col("o_orderpriority").alias("target_vocabulary"), (F.col("o_orderkey") % 10).cast("string").alias("target_code"), F.col("o_orderkey").alias("rank"))
+    return omop.crosswalk(codes, table)
+
+
+def _lineage(spark, d):
+    m = load(spark, d, "code_mapping").select("omop_table", "omop_id", "source_patient_id", "mapping_status")
+    people = load(spark, d, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("pt-"), "c_custkey").alias("source_patient_id"), F.col("c_custkey").alias("person_id"))
+    prov = m.where("omop_id % 3 = 0").select("omop_table", "omop_id", F.lit("enriched").alias("origin"), F.lit("d1").alias("doc_ref_id"))
+    return omop.mapping_lineage(m, people, prov).select("omop_id", "source_patient_id", "mapping_status", "person_id", "origin")
+
+
+def _fresh(spark, d):
+    c = load(spark, d, "customer")
+    stored = c.select(F.col("c_name").alias("name"), F.sha2(F.col("c_mktsegment"), 256).alias("sha256"))
+    now = c.where("c_custkey % 5 > 0").select(F.col("c_name").alias("name"), F.sha2(F.when(F.col("c_custkey") % 3 == 0, "changed").otherwise(F.col("c_mktsegment")), 256).alias("sha256"))
+    return ledger.freshness(stored, now)
+
+
+def _evidence(spark, d):
+    """Customers as code sets: reviews for most of them, told in the ledger for some."""
+    c = load(spark, d, "customer")
+    k = F.col("c_custkey")
+    sets = c.select(F.col("c_name").alias("code_set_name"), F.sha2(F.col("c_mktsegment"), 256).alias("fingerprint"))
+    reviews = c.where(k % 7 > 0).select(F.col("c_name").alias("code_set_name"), F.concat(F.lit("review/"), k).alias("review_path"), F.sha2(k.cast("string"), 256).alias("review_sha256"), (k % 5 > 0).alias("approved"), F.when(k % 11 == 0, "old").otherwise(F.sha2(F.col("c_mktsegment"), 256)).alias("reviewed_fingerprint"))
+    told = c.where(k % 3 > 0).select(k.alias("seq"), F.lit("review").alias("step"), F.lit("ok").alias("status"), F.create_map(F.concat(F.lit("review/"), k), F.when(k % 13 == 0, "other").otherwise(F.sha2(k.cast("string"), 256))).alias("outputs"))
+    return ledger.review_evidence(sets, reviews, told)
+
+
 QUERIES = {
     "ingest_report": _ingest_report,
     "flatten_fhir": _flatten,
@@ -116,6 +146,12 @@ QUERIES = {
     "trajectory_bootstrap": lambda s, d: trajectory.bootstrap_means(trajectory.relative_times(*measured(s, d)), 100),
     "patient_signature": _stage_signature,
     "causal_iptw": lambda s, d: jobs.causal_effect(outcomes(s, d), "any_urgent", "arm_a", ["balance", "year_of_birth"], replicates=100)["data"],
+    "first_seen": lambda s, d: fhir.first_seen(load(s, d, "events").select(F.concat(F.lit("u"), "user_id").alias("patient_id"), F.col("event_id").alias("seq"))),
+    "class_overlaps": lambda s, d: eras.class_overlaps(load(s, d, "drug_event").select("event_id", F.col("source_value").alias("drug_class"))),
+    "crosswalk": _crosswalk,
+    "mapping_lineage": _lineage,
+    "hash_freshness": _fresh,
+    "review_evidence": _evidence,
     "demographics_encoding": lambda s, d: features.encode_demographics(frame(s, d).withColumn("y", F.when(F.col("person_id") % 5 > 0, F.col("year_of_birth"))), ["y"], ["race_source_value"]),
 }
 
@@ -150,6 +186,14 @@ ORACLES = {
         UNION ALL SELECT 'empty_cohort', 1 + (SELECT count(*) FROM (VALUES ('arm_a'), ('arm_b'), ('urgent_f')) AS t (c) WHERE c NOT IN (SELECT cohort_name FROM cohort WHERE included))""", FRAME.split(",\nframe AS")[0]),
     "arm_summary": with_ctes("SELECT count(*) AS total_n, CAST(coalesce(sum(any_o), 0) AS BIGINT) AS events_total, count(*) FILTER (cohort_name = 'arm_a') AS n_a, CAST(coalesce(sum(any_o) FILTER (cohort_name = 'arm_b'), 0) AS BIGINT) AS e_b FROM outcomes", OUTCOMES),
     "covariate_patterns": with_ctes("SELECT gender_source_value, race_source_value, count(*) AS n, CAST(sum(any_o) AS BIGINT) AS events FROM outcomes WHERE any_o IS NOT NULL GROUP BY 1, 2", OUTCOMES),
+    "first_seen": "SELECT 'u' || user_id AS patient_id, min(event_id) AS seq FROM events GROUP BY 1",
+    "class_overlaps": ctes("drug_event") + " SELECT event_id, count(DISTINCT source_value) AS classes FROM drug_event GROUP BY 1 HAVING count(DISTINCT source_value) > 1",
+    "crosswalk": "SELECT 'status' AS source_system, o_orderstatus AS source_code, o_orderpriority AS target_vocabulary, CAST(o_orderkey % 10 AS VARCHAR) AS target_code, min(o_orderkey) AS rank FROM orders GROUP BY ALL",
+    "mapping_lineage": ctes("code_mapping") + """ SELECT omop_id, source_patient_id, mapping_status, c_custkey AS person_id, CASE WHEN omop_id % 3 = 0 THEN 'enriched' END AS origin
+        FROM code_mapping LEFT JOIN customer ON source_patient_id = 'pt-' || c_custkey AND c_custkey % 2 = 0""",
+    "hash_freshness": "SELECT c_name AS name, c_custkey % 5 > 0 AND c_custkey % 3 > 0 AS fresh FROM customer",
+    "review_evidence": """SELECT c_name AS code_set_name, reason FROM (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN 'no_review' WHEN c_custkey % 5 = 0 THEN 'not_approved' WHEN c_custkey % 11 = 0 THEN 'codings_changed'
+        WHEN c_custkey % 3 = 0 THEN 'no_ledger_row' WHEN c_custkey % 13 = 0 THEN 'artifact_changed' END AS reason FROM customer) WHERE reason IS NOT NULL""",
     "demographics_encoding": with_ctes("""SELECT person_id, 'demographic|y' AS feature, CAST(coalesce(y, (SELECT quantile_cont(CAST(y AS DOUBLE), 0.5) FROM ys)) AS DOUBLE) AS value FROM ys
         UNION ALL SELECT person_id, 'demographic|race_source_value=' || race_source_value, 1.0 FROM ys""", FRAME, "ys AS (SELECT *, CASE WHEN person_id % 5 > 0 THEN year_of_birth END AS y FROM frame)"),
 }
