@@ -9,11 +9,13 @@ are first collapsed to one representative, so a group of copies is one row.
 Bands of signature rows give buckets; candidates are verified on the full sets
 of exact strings; verified links are grouped by connected components.
 
-Inside a bucket not all pairs are made: each round verifies a few pivots
-against the bucket and drops what is then known to be connected. Once the
-pairs that still cross components are few, all of them are verified, so no
-component misses a link between bucket mates. With 32 bands of 4 rows a pair at
-the threshold 0.8 shares no bucket with probability 5e-8.
+Inside a bucket not all pairs are made. First a few pivots of each bucket are
+verified against its rows. Buckets that then still hold several components are
+gathered by their largest component and compared in blocks of bounded size
+inside tasks, where an exact bound on the intersection rejects nearly all pairs;
+a block returns a forest of links. No link between bucket mates is lost. With
+48 bands of 6 rows a pair at the threshold 0.8 shares no bucket with
+probability 5e-7.
 
 Edges: null and empty texts link with nothing; rows with a null doc_id are kept
 without a component; repeated rows are returned each; extra columns are ignored.
@@ -141,7 +143,94 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4, pivots: int = 3, max_rounds: int = 12) -> DataFrame:
+def hashed_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, h): the sorted shingle hashes of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in S.text_chunks(batch.column("text"), 1 << 20):
+                h, cuts = shingle_sets(data, offsets, size)
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["id", "h"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, h array<long>")
+
+
+def crossing_links(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray, percent: int, common: int = 2048) -> list[tuple[int, int]]:
+    """Pairs of different components (and blocks, if there are two) that reach percent of their union.
+
+    The most frequent shingles become bits. The intersection is at most the
+    shared bits plus the smaller rest, which is exact for what it rejects; the
+    few pairs that it leaves are intersected in full.
+    """
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    values, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+    top = np.argsort(-df, kind="stable")[:common]
+    place = np.full(len(values), -1)
+    place[top] = np.arange(len(top))
+    at = place[inverse]
+    bits = np.zeros((len(sets), -(-max(1, len(top)) // 64)), U64)
+    hit = at >= 0
+    np.bitwise_or.at(bits, (row[hit], at[hit] >> 6), U64(1) << (at[hit] & 63).astype(U64))
+    rest = sizes - np.bincount(row[hit], minlength=len(sets))
+    two = len(np.unique(block)) > 1
+    out = []
+    for lo in range(0, len(sets), 512):
+        hi = min(lo + 512, len(sets))
+        most = np.zeros((hi - lo, len(sets)), np.int32)
+        for w in range(bits.shape[1]):
+            most += np.bitwise_count(bits[lo:hi, w, None] & bits[None, :, w])
+        most += np.minimum(rest[lo:hi, None], rest[None])
+        union = sizes[lo:hi, None] + sizes[None] - most
+        ok = (100 * most >= percent * union) & (comp[lo:hi, None] != comp[None]) & (np.arange(lo, hi)[:, None] < np.arange(len(sets))[None])
+        if two:
+            ok &= block[lo:hi, None] != block[None]
+        for i in np.flatnonzero(ok.any(1)):
+            mates = np.flatnonzero(ok[i])
+            mine = sets[lo + i]
+            inside = np.isin(np.concatenate([sets[j] for j in mates]), mine)
+            both = np.add.reduceat(inside.astype(np.int64), np.cumsum(sizes[mates]) - sizes[mates])
+            linked = 100 * both >= percent * (len(mine) + sizes[mates] - both)
+            out += [(lo + int(i), int(j)) for j in mates[linked]]
+    return out
+
+
+def block_links(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """members (main, id, comp, h) → (a, b): enough links to connect what is linked inside each main's rows.
+
+    A main with many rows is cut into blocks; each pair of blocks is a group of
+    its own, and a group returns a forest, never its pairs.
+    """
+    crowd = members.groupBy("main").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    split = members.join(crowd, "main").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    split = split.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select("main", "id", "comp", "h", "block", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"))
+
+    def group(table: pa.Table) -> pa.Table:
+        ids, comp, block = (table.column(k).to_numpy() for k in ("id", "comp", "block"))
+        sets = [np.asarray(x).view(U64) for x in table.column("h").to_numpy()]
+        parent = {int(c): int(c) for c in comp}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in crossing_links(sets, comp, block, percent):
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return split.groupBy("main", "i", "j").applyInArrow(group, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 48, band_rows: int = 6, pivots: int = 3, block_rows: int = 2048) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document row."""
     spark = docs.sparkSession
     S.small_batches(spark)
@@ -151,41 +240,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sets = usable.groupBy("set_hi", "set_lo").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r"))
     rows = sets.select(F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.explode("r.bands").alias("key"))
     shared_keys = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    mates = S.written(rows.join(shared_keys, "key"), "mates")
+    mates = S.written(rows.join(shared_keys, "key").select("key", "id", "n"), "mates")
     texts = S.written(docs.join(mates.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
+    # A few pivots of each bucket against its other rows.
+    order = Window.partitionBy("key").orderBy("id")
+    chosen = mates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("key", F.col("id").alias("id2"), F.col("n").alias("n2"))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    known, links = None, None
-    labelled = mates.withColumn("comp", F.col("id"))
-    for turn in range(max_rounds):
-        if turn:
-            comps = connected_components(links)
-            labelled = mates.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "n", "comp")
-            groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            sizes = groups.groupBy("key").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q")).where("g * g > q")
-            left = sizes.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2), F.sum("g")).first()
-            if not left[0]:
-                break
-            last = left[0] <= 4 * left[1] or turn == max_rounds - 1
-            # Pivots of a bucket come from the components beside its largest one.
-            main = groups.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            labelled = S.written(labelled.join(sizes.select("key"), "key").join(main, "key"), "open")
-            chosen = labelled.where("comp <> main")
-        else:
-            last, chosen = False, labelled
-        if not last:
-            chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= pivots)
-        chosen = chosen.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        pairs = labelled.join(chosen, "key").where((F.col("comp") != F.col("comp2")) & near)
-        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        tested = S.written(verify(pairs, texts, size, percent), "tested")
-        known = tested.select("a", "b") if known is None else known.union(tested.select("a", "b"))
-        new = tested.where("linked").select("a", "b")
-        links = new if links is None else links.union(new)
-        if last:
-            break
+    pairs = mates.join(chosen, "key").where((F.col("id") != F.col("id2")) & near)
+    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    links = S.written(verify(pairs, texts, size, percent).where("linked").select("a", "b"), "links")
+    comps = connected_components(links).withColumnRenamed("node", "id")
+
+    # Buckets of more rows than the pivots cover that still hold several components: in blocks, named by their largest component.
+    labelled = mates.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = groups.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("g")).where(f"k > 1 and g > {pivots + 1}")
+    members = labelled.join(main.select("key", "main"), "key").select("main", "id", "comp").distinct()
+    members = S.written(members, "open")
+    bodies = texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = S.written(block_links(members.join(hashed_sets(bodies, size), "id"), percent, block_rows).distinct(), "late-links")
+    links = links.union(verify(found, texts, size, percent).where("linked").select("a", "b"))
     comps = connected_components(links)
     reps = sets.select("set_hi", "set_lo", F.col("r.doc_id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))

@@ -317,3 +317,39 @@ def test_null_ids_and_repeated_rows(spark, run):
     rows = [(None, "some words here", None, None), (None, None, None, None), (3, "a few words", "en", "a"), (3, "a few words", "en", "a")]
     got = run(frame(spark, rows)).collect()
     assert sum(r["doc_id"] == 3 for r in got) == 2 and sum(r["doc_id"] is None for r in got) in (1, 2)
+
+
+def test_crossing_links_are_exact():
+    rng = random.Random(12)
+    base = rng.sample(range(1, 10**9), 90)
+    sets = []
+    for k in range(300):
+        kept = [x if rng.random() > 0.002 * (k % 90) else rng.randrange(1, 10**9) for x in base] if k % 3 else rng.sample(range(1, 10**9), rng.randrange(1, 60))
+        sets.append(np.array(sorted(set(kept)), np.uint64))
+    comp, block = np.arange(300) // 2, np.zeros(300, int)
+    want = set()
+    for i in range(300):
+        for j in range(i + 1, 300):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if comp[i] != comp[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((i, j))
+    for common in (64, 2048):
+        assert set(minhash.crossing_links(sets, comp, block, 80, common)) == want
+    halves = np.arange(300) % 2
+    assert set(minhash.crossing_links(sets, comp, halves, 80)) == {(i, j) for i, j in want if halves[i] != halves[j]}
+
+
+def test_minhash_blocks(spark):
+    """A group larger than its pivots and blocks: the links between the far members are found too."""
+    rng = random.Random(5)
+    base = words(rng, 150, 5000).split()
+    rows = [(k, " ".join(w if rng.random() > 0.001 * (k % 60) else f"n{rng.randrange(10**6)}" for w in base), "en", "a") for k in range(150)]
+    sets = {i: minhash.exact_set(t, 2) for i, t, _, _ in rows}
+    find, join = union_find(sets)
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                join(i, j)
+    got = minhash.near_duplicates(frame(spark, rows), 2, pivots=1, block_rows=40).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in sets}
