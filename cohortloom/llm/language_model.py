@@ -230,7 +230,7 @@ def _bucket(contexts: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(np.maximum(contexts, 1))).astype(np.int64), BUCKETS - 1)
 
 
-def language_model_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, block_bytes: int = 24 << 20) -> DataFrame:
+def language_model_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document row.
 
     Learns from documents outside fold ``held_out``; of those, fold ``deleted``
