@@ -91,10 +91,10 @@ def score_texts(column, weights: np.ndarray, bias: float, bits: int = BITS) -> n
 
 
 def ftrl(rows, bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = 3):
-    """FTRL-proximal over (slots, values, y) rows; slot 2^bits is the intercept. Returns (weights, bias)."""
+    """FTRL-proximal over the (slots, values, y) that rows() yields; slot 2^bits is the intercept. Returns (weights, bias)."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for _ in range(epochs):
-        for s, v, y in rows:
+        for s, v, y in rows():
             zs, ns = z[s], n[s]
             root = np.sqrt(ns)
             w = np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + root) / alpha + l2))
@@ -123,11 +123,18 @@ def train(sample: DataFrame, bits: int = BITS, scale: float = 8.0) -> tuple[np.n
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), ys.slice(lo, hi - lo), lists, values], ["doc_id", "y", "slots", "vals"])
 
     def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
-        ys = np.minimum(group.column("y").to_numpy(), 1)
-        rows = []
-        for s, v, y in zip(group.column("slots").to_pylist(), group.column("vals").to_pylist(), ys, strict=True):
-            rows.append((np.array([*s, 1 << bits], np.int64), np.array([*(x * scale for x in v), 1.0]), float(y)))
+        ids, turns = group.column("doc_id").to_numpy(), group.column("turn").to_numpy()
+        ys = np.minimum(group.column("y").to_numpy(), 1).astype(float)
+        lists = group.column("slots").combine_chunks()
+        cuts, slots = lists.offsets.to_numpy(), lists.values.to_numpy()
+        values = group.column("vals").combine_chunks().values.to_numpy()
+        order = np.lexsort((ids, turns))
+
+        def rows():
+            for i in order:
+                lo, hi = cuts[i], cuts[i + 1]
+                yield np.append(slots[lo:hi], 1 << bits), np.append(values[lo:hi] * scale, 1.0), ys[i]
+
         w, b = ftrl(rows, bits)
         at = np.flatnonzero(w)
         return pa.table({"slot": pa.array(np.append(at, 1 << bits), pa.int64()), "w": pa.array(np.append(w[at] * scale, b), pa.float64())})
