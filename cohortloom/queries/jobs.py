@@ -8,16 +8,16 @@ from cohortloom.operators import compare, eras, features, guardrails, ledger, om
 from cohortloom.plans import jobs
 from cohortloom.queries.analyses import ERAS, LINES, OUTCOMES, SURVIVED, outcomes, survived
 from cohortloom.queries.cohorts import FRAME, frame, with_ctes
-from cohortloom.queries.records import entries, measured, resources
+from cohortloom.queries.records import entries, measured, resources, whole_sql
 from cohortloom.sources import fhir, tables
 from cohortloom.testbed import ctes, load
 
 ARMS = ("arm_a", "arm_b")
 
 
-def _ingest_report(spark, d):
+def _ingest_report(spark, d, whole=False):
     """Counts of the ingest job over the FHIR testbed."""
-    got = jobs.ingest(resources(spark, d))
+    got = jobs.ingest(resources(spark, d, whole))
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, df in sorted(got.items())]
     out = parts[0]
     for p in parts[1:]:
@@ -77,8 +77,8 @@ def _pathways(spark, d):
 AFTER = ERAS.replace("FROM drug_event WHERE", "FROM drug_event JOIN (SELECT DISTINCT person_id, index_date FROM frame) USING (person_id) WHERE event_date >= index_date AND")
 
 
-def _calls(spark, d):
-    rows = entries(spark, d).withColumn("params", F.create_map(F.lit("seed"), F.lit("1"), F.lit("token"), F.lit("secret")))
+def _calls(spark, d, whole=False):
+    rows = entries(spark, d, whole).withColumn("params", F.create_map(F.lit("seed"), F.lit("1"), F.lit("token"), F.lit("secret")))
     item = lambda s: F.struct(F.lit(s).alias("status"))
     rows = rows.withColumn("items", F.array(item("ok"), item("ok"), item("failed")))
     call = lambda e, n: F.struct(F.lit(e).alias("endpoint"), F.lit(n).cast("long").alias("count"))
@@ -88,8 +88,8 @@ def _calls(spark, d):
     return got.select("seq", "step", F.map_keys("params")[0].alias("param"), F.col("item_counts")["ok"].cast("int").alias("ok_items"), F.size("calls").alias("endpoints"), F.aggregate("calls", F.lit(0).cast("long"), lambda a, c: a + c["count"]).alias("calls"))
 
 
-def _declaring(spark, d):
-    e = entries(spark, d)
+def _declaring(spark, d, whole=False):
+    e = entries(spark, d, whole)
     wanted = e.select(F.explode("outputs").alias("path", "sha256"), F.map_entries("inputs")[0].alias("i"), "seq").groupBy("path").agg(F.max_by(F.struct("sha256", F.col("i.key").alias("input_path"), F.col("i.value").alias("input_sha256")), "seq").alias("x")).select("path", "x.*")
     return ledger.declaring_entry(e, wanted)
 
@@ -155,6 +155,13 @@ QUERIES = {
     "demographics_encoding": lambda s, d: features.encode_demographics(frame(s, d).withColumn("y", F.when(F.col("person_id") % 5 > 0, F.col("year_of_birth"))), ["y"], ["race_source_value"]),
 }
 
+#: The queries above that read a subset of the orders, over all of them.
+QUERIES |= {
+    "ingest_report_all": lambda s, d: _ingest_report(s, d, whole=True),
+    "shareable_ledger_all": lambda s, d: _calls(s, d, whole=True),
+    "declaring_entry_all": lambda s, d: _declaring(s, d, whole=True),
+}
+
 
 def cohort_rows(spark, d):
     from cohortloom.queries.cohorts import resolved
@@ -197,3 +204,5 @@ ORACLES = {
     "demographics_encoding": with_ctes("""SELECT person_id, 'demographic|y' AS feature, CAST(coalesce(y, (SELECT quantile_cont(CAST(y AS DOUBLE), 0.5) FROM ys)) AS DOUBLE) AS value FROM ys
         UNION ALL SELECT person_id, 'demographic|race_source_value=' || race_source_value, 1.0 FROM ys""", FRAME, "ys AS (SELECT *, CASE WHEN person_id % 5 > 0 THEN year_of_birth END AS y FROM frame)"),
 }
+
+ORACLES |= {f"{k}_all": whole_sql(ORACLES[k]) for k in ("ingest_report", "shareable_ledger", "declaring_entry")}

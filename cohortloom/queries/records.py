@@ -18,28 +18,37 @@ KEY = b"study-key"
 # ------------------------------------------------------------------ sources
 
 
-def resources(spark, d):
-    """Customers as Patients, orders as Encounters that refer to them, lineitem suppliers as shared Practitioners."""
+def resources(spark, d, whole=False):
+    """Customers as Patients, orders (every fourth key unless whole) as Encounters that refer to them, suppliers as shared Practitioners."""
     c = load(spark, d, "customer")
     p = c.select(F.concat(F.lit('{"resourceType":"Patient","id":"p'), "c_custkey", F.lit('"}')).alias("body"))
-    o = load(spark, d, "orders").where("o_orderkey % 4 = 0")
+    o = load(spark, d, "orders").where("true" if whole else "o_orderkey % 4 = 0")
     e = o.select(F.concat(F.lit('{"resourceType":"Encounter","id":"e'), "o_orderkey", F.lit('","subject":{"reference":"Patient/p'), "o_custkey", F.lit('/_history/2"},"performer":[{"reference":"Practitioner/s'), F.col("o_orderkey") % 7, F.lit('"}]}')).alias("body"))
     obs = o.select(F.concat(F.lit('{"resourceType":"Observation","id":"b'), "o_orderkey", F.lit('","encounter":{"reference":"http://x/Encounter/e'), "o_orderkey", F.lit('?v=1"}}')).alias("body"))
     s = load(spark, d, "supplier").select(F.concat(F.lit('{"resourceType":"Practitioner","id":"s'), "s_suppkey", F.lit('"}')).alias("body"))
     return fhir.with_type_and_id(p.union(e).union(obs).union(s))
 
 
-def keyed_resources(spark, d):
-    return fhir.with_key(resources(spark, d))
+def keyed_resources(spark, d, whole=False):
+    return fhir.with_key(resources(spark, d, whole))
 
 
-def _members(spark, d):
-    got = fhir.group_by_patient(keyed_resources(spark, d))
+def _keys(spark, d, whole=False):
+    return keyed_resources(spark, d, whole).groupBy("resource_type").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+def _dedupe(spark, d, whole=False):
+    keyed = keyed_resources(spark, d, whole)
+    return fhir.dedupe(keyed.union(keyed.where("resource_type = 'Patient'")))[0].groupBy("resource_type", "copies").agg(F.count("*").alias("n"))
+
+
+def _members(spark, d, whole=False):
+    got = fhir.group_by_patient(keyed_resources(spark, d, whole))
     return got["members"].groupBy("patient_id").agg(F.count("*").alias("n"))
 
 
-def _orphans(spark, d):
-    return fhir.group_by_patient(keyed_resources(spark, d))["orphans"]
+def _orphans(spark, d, whole=False):
+    return fhir.group_by_patient(keyed_resources(spark, d, whole))["orphans"]
 
 
 def documents_fhir(spark, d):
@@ -54,8 +63,8 @@ def _attachments(spark, d):
     return fhir.distinct_documents(good).select("document_hash", "media_type", "referrers")
 
 
-def _references(spark, d):
-    rows = resources(spark, d).select("resource_type", F.explode(F.transform(references(F.col("body")), normalize_reference)).alias("ref"))
+def _references(spark, d, whole=False):
+    rows = resources(spark, d, whole).select("resource_type", F.explode(F.transform(references(F.col("body")), normalize_reference)).alias("ref"))
     return rows.groupBy("resource_type", "ref").agg(F.count("*").alias("n"))
 
 
@@ -194,9 +203,9 @@ raw AS (SELECT *, CASE WHEN treated = 1 THEN sh / ps ELSE (1 - sh) / (1 - ps) EN
 weighted AS (SELECT raw.*, least(greatest(w0, lo), hi) AS weight FROM raw, (SELECT quantile_cont(CAST(w0 AS DOUBLE), 0.01) AS lo, quantile_cont(CAST(w0 AS DOUBLE), 0.99) AS hi FROM raw))"""
 
 
-def entries(spark, d):
-    """Orders of customer 1..20 as ledger rows: the clerk's step writes and reads files named by the order."""
-    o = load(spark, d, "orders").where("o_custkey <= 20")
+def entries(spark, d, whole=False):
+    """Orders (of customer 1..20 unless whole) as ledger rows: the clerk's step writes and reads files named by the order."""
+    o = load(spark, d, "orders").where("true" if whole else "o_custkey <= 20")
     path = lambda k: F.concat(F.lit("out/"), (F.col("o_orderkey") % k).cast("string"))
     return o.select(
         F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("step"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("ok").alias("status"),
@@ -206,8 +215,8 @@ def entries(spark, d):
 
 QUERIES = {
     "fhir_references": _references,
-    "fhir_keys": lambda s, d: keyed_resources(s, d).groupBy("resource_type").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")),
-    "fhir_dedupe": lambda s, d: fhir.dedupe(keyed_resources(s, d).union(keyed_resources(s, d).where("resource_type = 'Patient'")))[0].groupBy("resource_type", "copies").agg(F.count("*").alias("n")),
+    "fhir_keys": _keys,
+    "fhir_dedupe": _dedupe,
     "fhir_members": _members,
     "fhir_orphans": _orphans,
     "fhir_attachments": _attachments,
@@ -225,6 +234,7 @@ QUERIES = {
     "shared_conditions": shared_conditions,
     "policy_audit": _audit,
     "k_anonymity": _k_anonymity,
+    "table_hash": lambda s, d: tables.table_hash(load(s, d, "orders")),
     "table_hash_rows": lambda s, d: tables.table_hash(load(s, d, "orders")).select("rows"),
     "feature_counts": _feature_counts,
     "measurement_features": _measurement_features,
@@ -242,6 +252,19 @@ QUERIES = {
     "propensity_matching": lambda s, d: causal.match(causal.propensity(outcomes(s, d), "arm_a", ["balance", "year_of_birth"])),
 }
 
+#: The queries above that read a subset of the orders, over all of them.
+QUERIES |= {
+    "fhir_references_all": lambda s, d: _references(s, d, whole=True),
+    "fhir_keys_all": lambda s, d: _keys(s, d, whole=True),
+    "fhir_dedupe_all": lambda s, d: _dedupe(s, d, whole=True),
+    "fhir_members_all": lambda s, d: _members(s, d, whole=True),
+    "fhir_orphans_all": lambda s, d: _orphans(s, d, whole=True),
+    "fhir_page_summary_all": lambda s, d: fhir.page_summary(resources(s, d, whole=True)),
+    "latest_declarations_all": lambda s, d: ledger.latest_declarations(entries(s, d, whole=True)),
+    "last_status_all": lambda s, d: ledger.last_status(entries(s, d, whole=True)),
+    "artifact_lineage_all": lambda s, d: ledger.lineage(entries(s, d, whole=True)),
+}
+
 RES = """pat AS (SELECT 'Patient/p' || c_custkey AS key FROM customer), enc AS (SELECT * FROM orders WHERE o_orderkey % 4 = 0)"""
 
 ORACLES = {
@@ -309,3 +332,11 @@ ORACLES = {
     "last_status": "SELECT o_orderpriority AS step, last(CASE o_orderstatus WHEN 'P' THEN 'failed' ELSE 'ok' END ORDER BY o_orderkey) AS status, max(o_orderkey) AS seq FROM orders WHERE o_custkey <= 20 GROUP BY 1",
     "artifact_lineage": "SELECT 'out/' || (a.o_orderkey % 11) AS path, b.o_orderkey AS consumer, max(a.o_orderkey) AS producer FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 AND b.o_orderkey % 7 = a.o_orderkey % 11 WHERE a.o_custkey <= 20 AND b.o_custkey <= 20 GROUP BY 1, 2",
 }
+
+
+def whole_sql(sql: str) -> str:
+    """An oracle over a subset of the orders as one over all of them."""
+    return sql.replace(" WHERE o_orderkey % 4 = 0", "").replace("a.o_custkey <= 20 AND b.o_custkey <= 20", "true").replace("o_custkey <= 20", "true")
+
+
+ORACLES |= {f"{k}_all": whole_sql(ORACLES[k]) for k in [q.removesuffix("_all") for q in QUERIES if q.endswith("_all")]}

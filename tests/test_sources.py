@@ -110,3 +110,30 @@ def test_domains(spark):
     assert spark.range(1).select(normalize_domain(F.lit(" Drug_Exposure ")).alias("d")).first()["d"] == "drug"
     with pytest.raises(Exception, match="unknown domain"):
         spark.range(1).select(normalize_domain(F.lit("x"))).collect()
+
+
+def test_table_hash_is_the_query_result(spark, data):
+    """The fingerprint against brute force, and that contents (not order or partitions) decide it."""
+    import hashlib
+
+    from cohortloom import registry
+    from cohortloom.testbed import load
+
+    df = load(spark, data, "orders")
+    got = registry.QUERIES["table_hash"](spark, data).collect()
+    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in df.select(*sorted(df.columns)).toJSON().collect()]
+    sums = [sum(int(h[15 * k : 15 * k + 15], 16) for h in hashes) for k in range(4)]
+    want = hashlib.sha256(",".join(map(str, [len(hashes), *sums])).encode()).hexdigest()
+    assert [tuple(r) for r in got] == [(len(hashes), want)]
+    assert tables.table_hash(df.repartition(3, "o_custkey")).collect() == got
+    assert tables.table_hash(df.withColumn("o_orderkey", F.col("o_orderkey") + (F.col("o_orderkey") == 1).cast("int"))).collect() != got
+
+
+def test_whole_queries_read_all_orders(spark, data):
+    from cohortloom import registry
+    from cohortloom.testbed import load
+
+    n = load(spark, data, "orders").count()
+    keys = {r["resource_type"]: r["n"] for r in registry.QUERIES["fhir_keys_all"](spark, data).collect()}
+    assert keys["Encounter"] == keys["Observation"] == n
+    assert registry.QUERIES["shareable_ledger_all"](spark, data).count() == load(spark, data, "orders").where("o_orderpriority in ('1-URGENT', '2-HIGH')").count()
