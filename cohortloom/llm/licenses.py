@@ -9,6 +9,11 @@ least ``need`` template words at all (length filter), and have enough of them
 left from the place of the shared word on (positional filter). Candidates are
 verified on their word sets. No document text is shuffled.
 
+Wrapped notices: a template also matches a run of consecutive words, across line
+ends, of its own length over ``threshold`` (so that words between its lines, as
+comment marks are, do not lose it). Runs are looked for in the texts that hold
+``threshold`` of the template's distinct words at all, from each of its words on.
+
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the lower-cased text. Phrases
 must not overlap themselves.
 
@@ -58,7 +63,7 @@ def _spaced(words: str) -> str:
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score): one row per document row.
 
-    score is the best containment of a template in a block, 1 with a base place.
+    score is the best containment of a template in a block or run of words, 1 with a base place.
     """
     spark = docs.sparkSession
     phrases = PHRASES if phrases is None else phrases
@@ -84,13 +89,28 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     lines = F.split("lined", "\n")
     block = lambda line: F.array_intersect(F.split(line, " "), F.array(*map(F.lit, vocabulary)))
     least = min((math.ceil(threshold * len(w) - 1e-9) for _, _, w in sets), default=1)
-    read = both.select(
-        "row", "doc_id", "n_words",
+    # Which templates a whole text could hold, before its runs of words are looked at.
+    cut = both.withColumn("cut", F.transform(lines, block) if vocabulary else F.array().cast("array<array<string>>")).withColumn("every", F.array_distinct(F.flatten("cut")))
+    known = [F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(math.ceil(threshold * len(words) - 1e-9)).alias("need"), F.lit(math.ceil(len(text.split()) / threshold - 1e-9)).alias("span")) for (_, label, words), (_, text) in zip(sets, TEMPLATES if templates is None else templates, strict=True)]
+    no_runs = F.array().cast("array<struct<label:string,share:double>>")
+    if known:
+        could = F.when(F.size("every") >= least, F.filter(F.array(*known), lambda t: F.size(F.array_intersect("every", t["words"])) >= t["need"]))
+        cut = cut.withColumn("could", F.when(F.size(could) > 0, could))
+        # One-element arrays bind a value once; a lambda would cut the text again for each of its words.
+        once = lambda value, f: F.transform(F.array(value), f)[0]
+        words_at = lambda ws, t: F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(t["words"], x["w"]))
+        ahead = lambda hits, h, a, t: F.array_distinct(F.transform(F.filter(F.slice(hits, a + 1, t["span"]), lambda x: x["i"] < h["i"] + t["span"]), lambda x: x["w"]))
+        best = lambda ws, t: once(words_at(ws, t), lambda hits: F.array_max(F.transform(hits, lambda h, a: F.size(ahead(hits, h, a, t)))))
+        share = lambda ws, t: once(best(ws, t), lambda n: F.when(n >= t["need"], n / F.size(t["words"])))
+        runs = once(F.split(F.trim("flat"), "  "), lambda ws: F.transform("could", lambda t: F.struct(t["label"].alias("label"), share(ws, t).alias("share"))))
+        runs = F.coalesce(F.when(F.col("could").isNotNull(), F.filter(runs, lambda x: x["share"].isNotNull())), no_runs)
+    read = cut.select(
+        "row", "doc_id", "n_words", (runs if known else no_runs).alias("runs"),
         sum(places, F.lit(0)).cast("long").alias("n_base"),
         F.least(*pad(firsts)).cast("long").alias("first_word"),
         F.greatest(*pad(lasts)).cast("long").alias("last_word"),
         F.array_distinct(F.array_compact(F.array(*marks, F.lit(None).cast("string")))).alias("base"),
-        (F.filter(F.transform(lines, block), lambda b: F.size(b) >= least) if vocabulary else F.array().cast("array<array<string>>")).alias("blocks"),
+        F.filter("cut", lambda b: F.size(b) >= least).alias("blocks"),
     )
     read = written(read, "license-blocks")
 
@@ -121,6 +141,6 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     return joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         text("base").alias("base_labels"),
-        text(F.array_union("base", F.coalesce("more", empty))).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        text(F.array_union(F.array_union("base", F.coalesce("more", empty)), F.transform("runs", lambda x: x["label"]))).alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.greatest(F.coalesce("share", F.lit(0.0)), F.coalesce(F.array_max(F.transform("runs", lambda x: x["share"])), F.lit(0.0)))).alias("score"),
     )

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -201,6 +202,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [(1, "x", None, None)]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "rem "])
+def test_wrapped_licenses(spark, mark):
+    """Notices wrapped to short lines, after other text and behind comment marks, are found; their scattered words are not."""
+    rng = random.Random(5)
+    wrap = lambda t, width: "\n".join(mark + x for x in textwrap.wrap(t, width))
+    rows = [(100 * k + width, f"{words(rng, 20)}\n{wrap(text, width)}\n{words(rng, 20)}", None, None) for k, (_, text) in enumerate(licenses.TEMPLATES) for width in (40, 72)]
+    rows += [(100 * k + 1, "\n".join(f"{w} {words(rng, 3)}" for w in text.split()), None, None) for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        for width in (40, 72):
+            assert label in got[100 * k + width]["labels"].split(",") and got[100 * k + width]["score"] >= 0.8
+        assert got[100 * k + 1]["labels"] == ""
+
+
 def test_decontaminate(spark):
     rng = random.Random(9)
     items = [(k, f"{words(rng, 25, 3000)}\n{words(rng, 8, 3000)}") for k in range(40)] + [(50, None), (51, ""), (52, words(rng, 20, 3000))]
