@@ -13,11 +13,14 @@ windows. Passes:
    doc_id, start), all but the first of equal runs are repeats, and digits with
    one context are finished: singletons leave the sort.
 3. Whole depth: the first runs of digits with several contexts are compared
-   suffix by suffix over all ``length`` bytes.
+   suffix by suffix over all ``length`` bytes. A digit with more than
+   ``hot_runs`` of them is taken apart into suffixes, dealt and sorted by
+   (digit, hash of ``length`` bytes, doc_id, start), so it spreads over all
+   tasks; the result is the same.
 
 Keys are pairs of 64-bit hashes of the bytes they stand for. The sorted stream
-of a partition is read once with constant state (pass 3: the window hashes of
-one digit), so no group is collected.
+of a partition is read once with bounded state (pass 3: one key, or the window
+hashes of one digit of at most ``hot_runs`` runs), so no group is collected.
 
 Edges: null texts count as empty; texts shorter than ``length`` keep all bytes;
 rows with a null doc_id take no part; rows that repeat a doc_id are one
@@ -30,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,65 +185,104 @@ def _resolve(batches):
         yield _batch("kind a doc_id lo last", kind.astype(np.int32), a, doc, lo.astype(np.int32), last.astype(np.int32))
 
 
-def _contexts(length: int):
-    """Texts joined to their open runs → (a, doc_id, lo, body) with the bytes that the run's suffixes read."""
+SUFFIX_BATCH = 1 << 16
+#: Digits with more open runs go suffix by suffix; the others stay in one task, whose state this bounds.
+HOT_RUNS = 1000
+DEPTH = "a long, key long, doc_id long, lo int, body binary"
+
+
+def _depths(length: int):
+    """Texts joined to their open runs → a row with the bytes that a run's suffixes read (key 0), or for a hot digit a row for each suffix with the hash of its whole depth."""
 
     def run(batches):
         for batch in batches:
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                text = (batch.column("text")[i].as_py() or "").encode()
-                spans = [x for x in spans if x["last"] + length <= len(text)]
-                n = len(spans)
-                yield _batch(
-                    "a doc_id lo body",
-                    pa.array([x["a"] for x in spans], pa.int64()),
-                    pa.array([batch.column("doc_id")[i].as_py()] * n, pa.int64()),
-                    pa.array([x["lo"] for x in spans], pa.int32()),
-                    pa.array([text[x["lo"] : x["last"] + length] for x in spans], pa.binary()),
-                )
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            spans = batch.column("spans")
+            for first, last, data, offsets in S.text_chunks(batch.column("text")):
+                held = spans.slice(first, last - first)
+                counts = pa.compute.list_value_length(held).to_numpy(zero_copy_only=False)
+                fields = held.flatten()
+                a, lo, end, hot = (fields.field(k).to_numpy(zero_copy_only=False) for k in ("a", "lo", "last", "hot"))
+                row = np.repeat(np.arange(last - first), counts)
+                # A row that repeats a doc_id with a shorter text has not all of the runs.
+                good = end + length <= np.diff(offsets)[row]
+                a, lo, end, row, hot = a[good], lo[good].astype(np.int64), end[good].astype(np.int64), row[good], hot[good].astype(bool)
+                raw, base = data.tobytes(), offsets[row]
+                bodies = [raw[s:e] for s, e in zip((base + lo)[~hot], (base + end)[~hot] + length, strict=True)]
+                yield _batch("a key doc_id lo body", a[~hot], np.zeros(len(bodies), np.int64), ids[row[~hot] + first], lo[~hot].astype(np.int32), pa.array(bodies, pa.binary()))
+                a, lo, end, row = a[hot], lo[hot], end[hot], row[hot]
+                sums = S.prefix_sums(data)
+                size = end - lo + 1
+                stops = np.cumsum(size)
+                at = 0
+                while at < len(size):
+                    # Runs of about SUFFIX_BATCH suffixes together.
+                    to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + SUFFIX_BATCH, "right")))
+                    run_of = np.repeat(np.arange(at, to), size[at:to])
+                    within = np.arange(len(run_of)) - np.repeat(np.cumsum(size[at:to]) - size[at:to], size[at:to])
+                    here = lo[run_of] + within
+                    start = offsets[row[run_of]] + here
+                    key = S.span_hash(sums, start, start + length)
+                    yield _batch("a key doc_id lo body", a[run_of], key.view(np.int64), ids[row[run_of] + first], here.astype(np.int32), pa.nulls(len(here), pa.binary()))
+                    at = to
 
     return run
 
 
 def _whole_depth(length: int):
-    """Sorted contexts → covered ranges of the suffixes that are equal to an earlier one of the same digit."""
+    """Sorted rows of _depths → covered ranges of the suffixes that are equal to an earlier one of the same digit."""
 
     def run(batches):
-        last_a, seen = None, np.zeros(0, U64)
+        last_a, seen, last_hot = None, np.zeros(0, U64), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, doc, lo = (batch.column(k).to_numpy() for k in ("a", "doc_id", "lo"))
-            data, offsets = S.flat(batch.column("body"))
-            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            count = np.diff(offsets) - length + 1
-            row = np.repeat(np.arange(len(a)), count)
-            within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            start = offsets[row] + within
-            key = S.mix(S.span_hash(S.prefix_sums(data), start, start + length) + a[row].view(U64))
-            _, first = np.unique(key, return_index=True)
-            again = np.ones(len(key), bool)
-            again[first] = False
-            if last_a is not None and a[0] == last_a:
-                again |= np.isin(key, seen)
-            mine = S.distinct_sorted(key[a[row] == a[-1]])
-            seen = np.union1d(seen, mine) if a[-1] == last_a else mine
-            last_a = a[-1]
-            d, s, e = merge(doc[row[again]], lo[row[again]] + within[again], lo[row[again]] + within[again] + length)
-            yield _batch("doc_id lo last", d, s.astype(np.int32), (e - length).astype(np.int32))
+            cold = batch.filter(pa.compute.is_valid(batch.column("body")))
+            if cold.num_rows:
+                a, doc, lo = (cold.column(k).to_numpy() for k in ("a", "doc_id", "lo"))
+                data, offsets = S.flat(cold.column("body"))
+                data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+                count = np.diff(offsets) - length + 1
+                row = np.repeat(np.arange(len(a)), count)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = offsets[row] + within
+                key = S.mix(S.span_hash(S.prefix_sums(data), start, start + length) + a[row].view(U64))
+                _, first = np.unique(key, return_index=True)
+                again = np.ones(len(key), bool)
+                again[first] = False
+                if last_a is not None and a[0] == last_a:
+                    again |= np.isin(key, seen)
+                mine = S.distinct_sorted(key[a[row] == a[-1]])
+                seen = np.union1d(seen, mine) if a[-1] == last_a else mine
+                last_a = a[-1]
+                d, s, e = merge(doc[row[again]], lo[row[again]] + within[again], lo[row[again]] + within[again] + length)
+                yield _batch("doc_id lo last", d, s.astype(np.int32), (e - length).astype(np.int32))
+            hot = batch.filter(pa.compute.is_null(batch.column("body")))
+            if hot.num_rows:
+                a, key, doc, lo = (hot.column(k).to_numpy() for k in ("a", "key", "doc_id", "lo"))
+                again = np.zeros(len(a), bool)
+                again[1:] = (a[1:] == a[:-1]) & (key[1:] == key[:-1])
+                again[0] = (a[0], key[0]) == last_hot
+                last_hot = (a[-1], key[-1])
+                lo = lo[again].astype(np.int64)
+                d, s, e = merge(doc[again], lo, lo + length)
+                yield _batch("doc_id lo last", d, s.astype(np.int32), (e - length).astype(np.int32))
 
     return run
 
 
-def covered_spans(docs: DataFrame, length: int = 100, digit: int = 32) -> DataFrame:
+def covered_spans(docs: DataFrame, length: int = 100, digit: int = 32, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, spans): ranges of start positions lo..last whose windows of ``length`` bytes start earlier too."""
     runs = docs.mapInArrow(_runs(length, digit), RUN)
     runs = runs.repartition("a").sortWithinPartitions("a", "c", "doc_id", "lo")
     spans = S.written(runs.mapInArrow(_resolve, SPAN), "suffix-runs")
-    still = spans.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("a", "lo", "last")).alias("spans"))
-    bodies = docs.join(still, "doc_id").select("doc_id", "text", "spans").mapInArrow(_contexts(length), "a long, doc_id long, lo int, body binary")
-    bodies = bodies.repartition("a").sortWithinPartitions("a", "doc_id", "lo")
-    late = bodies.mapInArrow(_whole_depth(length), "doc_id long, lo int, last int")
+    several = spans.where("kind = 2").drop("kind")
+    # At most one digit for hot_runs open runs, so that every task can hold them; a join by digit would send a hot one to one task.
+    hot = several.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > hot_runs).select("a", F.lit(True).alias("hot"))
+    several = several.join(F.broadcast(hot), "a", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    still = several.groupBy("doc_id").agg(F.collect_list(F.struct("a", "lo", "last", "hot")).alias("spans"))
+    depths = docs.join(still, "doc_id").select("doc_id", "text", "spans").mapInArrow(_depths(length), DEPTH)
+    # Both keys deal a hot digit over all tasks; the others have one key.
+    depths = depths.repartition("a", "key").sortWithinPartitions("a", "key", "doc_id", "lo")
+    late = depths.mapInArrow(_whole_depth(length), "doc_id long, lo int, last int")
     both = spans.where("kind = 1").select("doc_id", "lo", "last").union(late)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "last")).alias("spans"))
 

@@ -125,6 +125,22 @@ def test_repeats(docs):
     assert all(r["n_chars"] == len(r["text"]) for r in cut.values() if r["text"] is not None)
 
 
+def test_repeats_of_a_short_common_passage(spark):
+    """A passage below the window length in many surroundings: equal to brute force, and its digit spread over tasks."""
+    rng = random.Random(8)
+    passage = "all rights reserved by the holders of this common passage that stands in every text here"
+    rows = [(k, f"{words(rng, 12)} {passage} {words(rng, 12)}") for k in range(300)] + [(300 + k, f"x{k} {passage} and then the same tail {words(rng, 3, 1)} {k}") for k in range(20)]
+    df = frame(spark, [(i, t, None, None) for i, t in rows])
+    assert sorted(map(tuple, repeats.repeated_bytes(df).collect())) == brute_repeats(rows, 100)
+    named = df.select("doc_id", "text")
+    flat = lambda got: {(r["doc_id"], k) for r in got.collect() for x in r["spans"] for k in range(x["lo"], x["last"] + 1)}
+    want = flat(repeats.covered_spans(named))
+    for hot_runs in (0, 50):
+        assert flat(repeats.covered_spans(named, hot_runs=hot_runs)) == want
+    (plan,) = [x for x in repeats.covered_spans(named)._jdf.queryExecution().logical().toString().splitlines() if "RepartitionByExpression" in x and "key" in x]
+    assert "[a" in plan and ", key" in plan
+
+
 def test_language_model(docs):
     df, rows = docs
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
