@@ -117,7 +117,7 @@ def match(scored: DataFrame, scale: float = 0.2) -> DataFrame:
     return runs.select("run", "person_id", "treated", "logit").groupBy("run").applyInArrow(greedy, "exposed_id long, comparator_id long")
 
 
-def bootstrap_difference(weighted: DataFrame, outcome: str, replicates: int = 200, seed: int = 1, level: float = 0.95) -> tuple[float, float]:
+def bootstrap_difference(weighted: DataFrame, outcome: str, replicates: int = 500, seed: int = 1, level: float = 0.95) -> tuple[float, float]:
     """Percentile limits of the weighted difference; rows are collapsed to distinct (arm, outcome, weight) counts first."""
     cells = weighted.where(F.col(outcome).isNotNull()).groupBy("treated", F.col(outcome).cast("double").alias("y"), F.round("weight", 6).alias("w")).agg(F.count("*").alias("n"))
     reps = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))

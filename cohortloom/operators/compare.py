@@ -76,7 +76,7 @@ def rank_sums(frame: DataFrame, value: str, group: str, exposed: str, comparator
     return s.select(n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("u"), F.when(sd > 0, (u - n1 * n2 / 2) / sd).alias("z"))
 
 
-def permutation_p(frame: DataFrame, value: str, group: str, exposed: str, iterations: int = 999, seed: int = 1, chunk: int = 100) -> float:
+def permutation_p(frame: DataFrame, value: str, group: str, exposed: str, iterations: int = 10_000, seed: int = 1, chunk: int = 100) -> float:
     """(extreme + 1) / (iterations + 1) of the mean difference under relabelling by hash order.
 
     Each replicate takes the n1 people with the smallest hash of (seed,

@@ -40,7 +40,7 @@ def summarise(rows: DataFrame, level: float = 0.95) -> DataFrame:
     return got.withColumn("lower", F.col("value") - half).withColumn("upper", F.col("value") + half)
 
 
-def bootstrap_means(rows: DataFrame, replicates: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+def bootstrap_means(rows: DataFrame, replicates: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
     """(group, time, lower, upper): percentile limits of the mean, people resampled as clusters.
 
     Rows are first collapsed to (person, group, time) sums. A person's weight in

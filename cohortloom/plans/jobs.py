@@ -114,7 +114,7 @@ def treatment_pathways(frame: DataFrame, exposures: DataFrame, gap_days: int = 3
     return {"eras": found, "patient_sequences": lines, "data": eras.pathway_counts(lines), "time_to_switch": eras.time_to_switch(lines, max_lines)}
 
 
-def trajectory_analysis(frame: DataFrame, measurements: DataFrame, conversions: DataFrame, replicates: int = 200, mixed: bool = False) -> dict:
+def trajectory_analysis(frame: DataFrame, measurements: DataFrame, conversions: DataFrame, replicates: int = 1000, mixed: bool = False) -> dict:
     rows = trajectory.relative_times(frame, trajectory.harmonize_units(measurements, conversions))
     limits = trajectory.bootstrap_means(rows, replicates)
     summary = trajectory.summarise(rows).drop("lower", "upper").join(limits, ["group", "time"], "left")
@@ -142,7 +142,7 @@ def patient_signature(frame: DataFrame, keyed: DataFrame, measurements: DataFram
     return {"data": data, "medoids": features.medoids(labelled[0]), "characterization": tests, "feature_provenance": features.feature_provenance(rows), "dropped": dropped, "stability": sum(ari) / len(ari) if ari else None}
 
 
-def causal_effect(frame: DataFrame, outcome: str, exposed: str, covariates: list[str], method: str = "iptw", estimand: str = "ate", replicates: int = 200) -> dict:
+def causal_effect(frame: DataFrame, outcome: str, exposed: str, covariates: list[str], method: str = "iptw", estimand: str = "ate", replicates: int = 500) -> dict:
     scored = tables.written(causal.propensity(frame, exposed, covariates), "propensity")
     if method == "ps_matching":
         pairs = tables.written(causal.match(scored), "pairs")

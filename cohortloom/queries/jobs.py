@@ -143,9 +143,9 @@ QUERIES = {
     "cohort_frame_problems": lambda s, d: windows.cohort_frame_problems(cohort_rows(s, d), ["arm_a", "arm_b", "urgent_f", "nobody"]),
     "arm_summary": lambda s, d: guardrails.arm_summary(outcomes(s, d), "any_o", "a1", "cohort_compare").select("total_n", "events_total", F.element_at("arm_n", "arm_a").alias("n_a"), F.element_at("events_by_arm", "arm_b").alias("e_b")),
     "covariate_patterns": lambda s, d: compare.covariate_patterns(outcomes(s, d), "any_o", ["gender_source_value", "race_source_value"]),
-    "trajectory_bootstrap": lambda s, d: trajectory.bootstrap_means(trajectory.relative_times(*measured(s, d)), 100),
+    "trajectory_bootstrap": lambda s, d: trajectory.bootstrap_means(trajectory.relative_times(*measured(s, d))),
     "patient_signature": _stage_signature,
-    "causal_iptw": lambda s, d: jobs.causal_effect(outcomes(s, d), "any_urgent", "arm_a", ["balance", "year_of_birth"], replicates=100)["data"],
+    "causal_iptw": lambda s, d: jobs.causal_effect(outcomes(s, d), "any_urgent", "arm_a", ["balance", "year_of_birth"])["data"],
     "first_seen": lambda s, d: fhir.first_seen(load(s, d, "events").select(F.concat(F.lit("u"), "user_id").alias("patient_id"), F.col("event_id").alias("seq"))),
     "class_overlaps": lambda s, d: eras.class_overlaps(load(s, d, "drug_event").select("event_id", F.col("source_value").alias("drug_class"))),
     "crosswalk": _crosswalk,

@@ -107,3 +107,20 @@ def test_hash_chain(spark):
     files = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
     told = spark.createDataFrame([("a", "1"), ("b", "3"), ("../c", "4"), ("d", "5")], "path string, sha256 string")
     assert sorted(r["problem"] for r in ledger.artifact_audit(told, files).collect()) == ["changed", "missing", "outside_root"]
+
+
+def test_surveyed_replicate_counts(spark, data, monkeypatch):
+    """Defaults and registered queries draw as many replicates as the survey names."""
+    import inspect
+
+    from cohortloom import registry
+    from cohortloom.plans import jobs
+
+    default = lambda f, k: inspect.signature(f).parameters[k].default
+    assert default(trajectory.bootstrap_means, "replicates") == default(jobs.trajectory_analysis, "replicates") == 1000
+    assert default(causal.bootstrap_difference, "replicates") == default(jobs.causal_effect, "replicates") == 500
+    assert default(compare.permutation_p, "iterations") == 10_000
+    drawn = []
+    real = causal.bootstrap_difference
+    monkeypatch.setattr(causal, "bootstrap_difference", lambda w, o, n=500, *a: drawn.append(n) or real(w, o, n, *a))
+    assert registry.QUERIES["causal_iptw"](spark, data).count() > 0 and drawn == [500]
