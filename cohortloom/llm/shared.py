@@ -32,9 +32,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; where it is unset, one of our own in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -48,6 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text, d): all columns of docs in the struct d, so that no added column can clash; text_key tells texts of one doc_id apart."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text", row.alias("d"))
+
+
 def crc_mod(doc_id, n: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
@@ -152,11 +160,29 @@ def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def segments(inside: np.ndarray, limit: int):
+    """Ranges of about ``limit`` bytes that end outside words."""
+    lo, n = 0, len(inside)
+    while lo < n:
+        hi = min(lo + limit, n)
+        while hi < n and inside[hi]:
+            stop = np.flatnonzero(~inside[hi : hi + limit])
+            hi = hi + int(stop[0]) if len(stop) else min(hi + limit, n)
+        yield lo, hi
+        lo = hi
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE, lower: bool = True):
-    """(word hash, row of each word, starts, ends) of a chunk."""
-    data = LOWER[data] if lower else data
-    starts, ends, rows = spans_of(is_word[data], offsets)
-    return span_hash(prefix_sums(data), starts, ends), rows, starts, ends
+    """(word hash, row of each word, starts, ends) of a chunk; long chunks are hashed piece by piece, which bounds the memory of a long text."""
+    inside = is_word[LOWER[data] if lower else data]
+    starts, ends, rows = spans_of(inside, offsets)
+    out = np.empty(len(starts), U64)
+    for lo, hi in segments(inside, 2 * CHUNK_BYTES):
+        a, b = np.searchsorted(starts, [lo, hi])
+        if a < b:
+            piece = LOWER[data[lo:hi]] if lower else data[lo:hi]
+            out[a:b] = span_hash(prefix_sums(piece), starts[a:b] - lo, ends[a:b] - lo)
+    return out, rows, starts, ends
 
 
 def ngram_hash(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
