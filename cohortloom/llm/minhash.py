@@ -17,14 +17,21 @@ a block returns a forest of links. No link between bucket mates is lost. With
 48 bands of 6 rows a pair at the threshold 0.8 shares no bucket with
 probability 5e-7.
 
+Sets are kept as 64-bit shingle fingerprints, so a set of a million shingles has
+a wrong member with probability below 1e-7. Signatures of large sets are made
+from bounded pieces of the set, whose lowest ranks are the set's.
+
 Edges: null and empty texts link with nothing; rows with a null doc_id are kept
-without a component; repeated rows are returned each; extra columns are ignored.
+without a component; repeated rows are returned each, and stay or go together;
+one doc_id with several texts is several documents, of which each has its own
+component; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,22 +61,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
     return (np.concatenate(parts) if parts else h[:0]), cuts
 
 
-def super_minhash(elements: np.ndarray, cuts: np.ndarray, m: int) -> np.ndarray:
+PIECE = 1 << 16
+
+
+def super_minhash(elements: np.ndarray, cuts: np.ndarray, m: int, piece: int = PIECE) -> np.ndarray:
     """(rows, m) signatures of sets given as in shingle_sets; empty sets keep the largest value.
 
     In round j every element draws r in [0, 1) and the j-th place of its own
     permutation (Fisher-Yates on demand); that component is lowered to j + r. A
     set is finished when all of its components are below j + 1. Values are fixed
-    point: j in the upper and r in the lower 32 bits.
+    point: j in the upper and r in the lower 32 bits. Elements are worked through
+    in pieces, which bounds the permutations held; a set over several pieces
+    starts each with the ranks that it has.
     """
-    n = len(cuts) - 1
-    sig = np.full((n, m), np.iinfo(np.uint64).max, U64)
+    sig = np.full((len(cuts) - 1, m), np.iinfo(np.uint64).max, U64)
+    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    for lo in range(0, len(elements), piece):
+        _lower_ranks(sig, elements[lo : lo + piece], owner[lo : lo + piece])
+    return sig
+
+
+def _lower_ranks(sig: np.ndarray, elements: np.ndarray, owner: np.ndarray) -> None:
+    m = sig.shape[1]
     flat = sig.reshape(-1)
-    sizes = np.diff(cuts)
-    owner = np.repeat(np.arange(n), sizes)
     perm = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(elements), m)).copy()
     live = np.arange(len(elements))
-    open_rows = sizes > 0
+    open_rows = np.zeros(len(sig), bool)
+    open_rows[owner] = True
     for j in range(m):
         x = S.mix(elements[live] + U64((0x9E3779B97F4A7C15 * (j + 1)) & (2**64 - 1)))
         k = (((x & U64(0xFFFFFFFF)) * U64(m - j)) >> U64(32)).astype(np.int64) + j
@@ -81,7 +99,6 @@ def super_minhash(elements: np.ndarray, cuts: np.ndarray, m: int) -> np.ndarray:
         live = live[open_rows[owner[live]]]
         if not len(live):
             break
-    return sig
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
@@ -93,15 +110,8 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def exact_set(text: str, size: int) -> frozenset:
-    w = text.encode().lower().split()
-    if len(w) < size:
-        return frozenset([tuple(w)]) if w else frozenset()
-    return frozenset(zip(*(w[k:] for k in range(size)), strict=False))
-
-
 def sketch(docs: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hi, set_lo, bands): the set's size, its 128-bit digest and its band keys."""
+    """(doc_id, text_key, n_shingles, set_hi, set_lo, bands): the set's size, its 128-bit digest and its band keys."""
 
     def run(batches):
         for batch in batches:
@@ -113,36 +123,47 @@ def sketch(docs: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
                 keys = band_keys(super_minhash(h, cuts, bands * band_rows), bands).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)), pa.array((other[cuts[1:]] - other[cuts[:-1]]).view(np.int64)), lists],
-                    ["doc_id", "n_shingles", "set_hi", "set_lo", "bands"],
+                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(n), pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)), pa.array((other[cuts[1:]] - other[cuts[:-1]]).view(np.int64)), lists],
+                    ["doc_id", "text_key", "n_shingles", "set_hi", "set_lo", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hi long, set_lo long, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) with 100 * intersection >= percent * union of their exact sets."""
+    """Those of pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
 
     def run(batches):
-        last, mine = None, frozenset()
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("text_a"), batch.column("text_b")
-            ok = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, mine = a[i], exact_set(ta[i].as_py() or "", size)
-                other = exact_set(tb[i].as_py() or "", size)
-                both = len(mine & other)
-                ok[i] = 100 * both >= percent * (len(mine) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok)], ["a", "b", "linked"])
-
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+            ok = np.zeros(batch.num_rows, bool)
+            done = 0
+            # The longer text of a pair sets the chunk, so both sides of it are held for few rows.
+            longer = pa.compute.binary_length(batch.column("text_a")).to_numpy() + pa.compute.binary_length(batch.column("text_b")).to_numpy()
+            for lo, hi in S.chunks(np.concatenate([[0], np.cumsum(longer)])):
+                sides = []
+                for name in ("text_a", "text_b"):
+                    data, offsets = S.flat(batch.column(name).slice(lo, hi - lo))
+                    sides.append(shingle_sets(data[offsets[0] : offsets[-1]], offsets - offsets[0], size))
+                (ha, ca), (hb, cb) = sides
+                for i in range(hi - lo):
+                    mine, other = ha[ca[i] : ca[i + 1]], hb[cb[i] : cb[i + 1]]
+                    both = common(mine, other)
+                    ok[done] = 100 * both >= percent * (len(mine) + len(other) - both)
+                    done += 1
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "linked"])
+
+    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "text_a", "b", "text_b")
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def common(mine: np.ndarray, other: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.sort(np.concatenate([mine, other]))
+    return int((both[1:] == both[:-1]).sum())
+
+
 def hashed_sets(texts: DataFrame, size: int) -> DataFrame:
     """(id, h): the sorted shingle hashes of each text."""
 
@@ -151,13 +172,13 @@ def hashed_sets(texts: DataFrame, size: int) -> DataFrame:
             for lo, hi, data, offsets in S.text_chunks(batch.column("text"), 1 << 20):
                 h, cuts = shingle_sets(data, offsets, size)
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["id", "h"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), lists], ["id", "h"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, h array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, h array<long>")
 
 
-def crossing_links(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray, percent: int, common: int = 2048) -> list[tuple[int, int]]:
-    """Pairs of different components (and blocks, if there are two) that reach percent of their union.
+def crossing_links(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray, percent: int, top_shingles: int = 2048):
+    """Yields (row, its linked later rows): pairs of different components (and blocks, if there are two) that reach percent of their union.
 
     The most frequent shingles become bits. The intersection is at most the
     shared bits plus the smaller rest, which is exact for what it rejects; the
@@ -167,7 +188,7 @@ def crossing_links(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray,
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), sizes)
     values, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    top = np.argsort(-df, kind="stable")[:common]
+    top = np.argsort(-df, kind="stable")[:top_shingles]
     place = np.full(len(values), -1)
     place[top] = np.arange(len(top))
     at = place[inverse]
@@ -176,7 +197,6 @@ def crossing_links(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray,
     np.bitwise_or.at(bits, (row[hit], at[hit] >> 6), U64(1) << (at[hit] & 63).astype(U64))
     rest = sizes - np.bincount(row[hit], minlength=len(sets))
     two = len(np.unique(block)) > 1
-    out = []
     for lo in range(0, len(sets), 512):
         hi = min(lo + 512, len(sets))
         most = np.zeros((hi - lo, len(sets)), np.int32)
@@ -193,15 +213,16 @@ def crossing_links(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray,
             inside = np.isin(np.concatenate([sets[j] for j in mates]), mine)
             both = np.add.reduceat(inside.astype(np.int64), np.cumsum(sizes[mates]) - sizes[mates])
             linked = 100 * both >= percent * (len(mine) + sizes[mates] - both)
-            out += [(lo + int(i), int(j)) for j in mates[linked]]
-    return out
+            if linked.any():
+                yield lo + int(i), mates[linked]
 
 
 def block_links(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """members (main, id, comp, h) → (a, b): enough links to connect what is linked inside each main's rows.
 
     A main with many rows is cut into blocks; each pair of blocks is a group of
-    its own, and a group returns a forest, never its pairs.
+    its own, and a group returns a forest, never its pairs, which are folded as
+    they are found.
     """
     crowd = members.groupBy("main").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     split = members.join(crowd, "main").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -220,28 +241,31 @@ def block_links(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
             return x
 
         out = []
-        for x, y in crossing_links(sets, comp, block, percent):
-            p, q = find(int(comp[x])), find(int(comp[y]))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        for x, mates in crossing_links(sets, comp, block, percent):
+            for y in mates:
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return split.groupBy("main", "i", "j").applyInArrow(group, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 48, band_rows: int = 6, pivots: int = 3, block_rows: int = 2048) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per document row."""
-    spark = docs.sparkSession
-    S.small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def text_components(docs: DataFrame, size: int, percent: int, bands: int = 48, band_rows: int = 6, pivots: int = 3, block_rows: int = 1024) -> DataFrame:
+    """docs (doc_id, text_key, text) → (doc_id, text_key, n_shingles, node, component): one row per row; node and component number sets and are null for rows that link with nothing."""
     sketches = S.written(sketch(docs, size, bands, band_rows), "sketches")
     usable = sketches.where("doc_id is not null and n_shingles > 0")
-    sets = usable.groupBy("set_hi", "set_lo").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r"))
-    rows = sets.select(F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.explode("r.bands").alias("key"))
+    # One row per distinct set, written, so that its number stays what it is.
+    first = F.min_by(F.struct("doc_id", "text_key", "n_shingles", "bands"), F.struct("doc_id", "text_key"))
+    sets = usable.groupBy("set_hi", "set_lo").agg(first.alias("r")).withColumn("node", F.monotonically_increasing_id())
+    sets = S.written(sets.select("set_hi", "set_lo", "node", "r.doc_id", "r.text_key", F.col("r.n_shingles").alias("n"), "r.bands"), "sets")
+    rows = sets.select(F.col("node").alias("id"), "n", F.explode("bands").alias("key"))
     shared_keys = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     mates = S.written(rows.join(shared_keys, "key").select("key", "id", "n"), "mates")
-    texts = S.written(docs.join(mates.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    needed = sets.join(mates.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("doc_id", "text_key", F.col("node").alias("id"))
+    texts = docs.join(needed, ["doc_id", "text_key"]).groupBy("id").agg(F.min("text").alias("text"))
+    texts = S.written(texts, "texts")
 
     # A few pivots of each bucket against its other rows.
     order = Window.partitionBy("key").orderBy("id")
@@ -258,18 +282,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     main = groups.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("g")).where(f"k > 1 and g > {pivots + 1}")
     members = labelled.join(main.select("key", "main"), "key").select("main", "id", "comp").distinct()
     members = S.written(members, "open")
-    bodies = texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    bodies = texts.join(members.select("id").distinct(), "id", "left_semi")
     found = S.written(block_links(members.join(hashed_sets(bodies, size), "id"), percent, block_rows).distinct(), "late-links")
-    links = links.union(verify(found, texts, size, percent).where("linked").select("a", "b"))
-    comps = connected_components(links)
-    reps = sets.select("set_hi", "set_lo", F.col("r.doc_id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
-    linked = usable.select("doc_id", "n_shingles", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", "component_id")
-    alone = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    comps = connected_components(links.union(found))
+    reps = sets.select("set_hi", "set_lo", "node").join(comps, "node", "left").select("set_hi", "set_lo", "node", F.coalesce("component", "node").alias("component"))
+    linked = usable.select("doc_id", "text_key", "n_shingles", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
+    none = F.lit(None).cast("long")
+    alone = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "text_key", "n_shingles", none.alias("node"), none.alias("component"))
+    return S.written(linked.union(alone), "text-components")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per document row. options: bands, band_rows, pivots, block_rows."""
+    S.small_batches(docs.sparkSession)
+    rows = text_components(S.boxed(docs).drop("d"), size, percent, **options)
+    lowest = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
+    out = rows.join(lowest, "component", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id; columns unchanged."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """One document of each group stays: that of the smallest doc_id (of several texts of it, of the smallest hash); columns unchanged."""
+    S.small_batches(docs.sparkSession)
+    rows = text_components(S.boxed(docs).drop("d"), size, percent).where("component is not null")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    gone = rows.join(first, "component").where(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key").distinct()
+    return S.boxed(docs).join(gone, ["doc_id", "text_key"], "left_anti").select("d.*")
