@@ -20,11 +20,14 @@ windows. Passes:
 
 Keys are pairs of 64-bit hashes of the bytes they stand for. The sorted stream
 of a partition is read once with bounded state (pass 3: one key, or the window
-hashes of one digit of at most ``hot_runs`` runs), so no group is collected.
+hashes of one digit of at most ``hot_runs`` runs), so no group is collected. Long
+texts are worked through in overlapping pieces.
 
 Edges: null texts count as empty; texts shorter than ``length`` keep all bytes;
-rows with a null doc_id take no part; rows that repeat a doc_id are one
-document; extra columns are ignored by the digest and kept by the cutter.
+rows with a null doc_id take no part; rows that repeat doc_id and text are one
+document; several texts of one doc_id are documents of their own, in the order
+of their hashes (``part`` numbers them from 0); an empty table gives no row;
+extra columns are ignored by the digest and kept by the cutter.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm import shared as S
@@ -84,62 +87,78 @@ def suffix_runs(data: np.ndarray, offsets: np.ndarray, length: int, digit: int):
     return h[place], np.maximum(context, U64(1)), np.searchsorted(offsets, first, "right") - 1, first, last, place
 
 
-RUN = "a long, c long, doc_id long, lo int, last int"
-SPAN = "kind int, a long, doc_id long, lo int, last int"
+RUN = "a long, c long, doc_id long, part int, lo int, last int"
+SPAN = "kind int, a long, doc_id long, part int, lo int, last int"
 
 
 def _batch(names, *columns):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names.split())
 
 
-def _first_in_batch(a, c, doc, lo, last, length):
+def _first_in_batch(a, c, doc, part, lo, last, length):
     """Keeps the first of equal runs and turns the others into merged covered ranges (c = 0)."""
-    order = np.lexsort((lo, doc, c, a))
-    a, c, doc, lo, last = a[order], c[order], doc[order], lo[order], last[order]
+    order = np.lexsort((lo, part, doc, c, a))
+    a, c, doc, part, lo, last = a[order], c[order], doc[order], part[order], lo[order], last[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    later = (doc != doc[head]) | (lo != lo[head])
+    later = (doc != doc[head]) | (part != part[head]) | (lo != lo[head])
     keep = new | ~later
-    d, s, e = merge(doc[~keep], lo[~keep], last[~keep] + length)
+    d, p, s, e = merge(doc[~keep], part[~keep], lo[~keep], last[~keep] + length)
     spread = S.mix(d.astype(U64)).view(np.int64)
     return (
         np.concatenate([a[keep].view(np.int64), spread]),
         np.concatenate([c[keep].view(np.int64), np.zeros(len(d), np.int64)]),
         np.concatenate([doc[keep], d]),
+        np.concatenate([part[keep], p]),
         np.concatenate([lo[keep], s]),
         np.concatenate([last[keep], e - length]),
     )
 
 
-def merge(doc, lo, end):
-    """Unions of ranges [lo, end) of each doc."""
+def merge(doc, part, lo, end):
+    """Unions of ranges [lo, end) of each document (doc, part)."""
     if not len(doc):
-        return doc, lo, end
-    order = np.lexsort((lo, doc))
-    doc, lo, end = doc[order], lo[order], end[order]
-    # Ranges of later docs are lifted above all earlier ones, so one running maximum serves.
-    group = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
+        return doc, part, lo, end
+    order = np.lexsort((lo, part, doc))
+    doc, part, lo, end = doc[order], part[order], lo[order], end[order]
+    # Ranges of later documents are lifted above all earlier ones, so one running maximum serves.
+    group = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))) - 1
     lift = group * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + lift)
     new = np.ones(len(doc), bool)
     new[1:] = (lo[1:] + lift[1:] > reach[:-1]) | (group[1:] != group[:-1])
     first = np.flatnonzero(new)
     stop = np.append(first[1:], len(doc)) - 1
-    return doc[first], lo[first], reach[stop] - lift[first]
+    return doc[first], part[first], lo[first], reach[stop] - lift[first]
 
 
-def _runs(length: int, digit: int):
+PIECE_BYTES = 2 * S.CHUNK_BYTES
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int, limit: int):
+    """(bytes, offsets, place of the first byte): a chunk as it is, or a long row in pieces that overlap by all but one byte of a window."""
+    if len(data) <= limit:
+        yield data, offsets, 0
+        return
+    for lo in range(0, max(1, len(data) - length + 1), limit):
+        piece = data[lo : lo + limit + length - 1]
+        yield piece, np.array([0, len(piece)]), lo
+
+
+def _runs(length: int, digit: int, piece_bytes: int):
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False))
-            parts = []
-            for first, _, data, offsets in S.text_chunks(batch.column("text")):
-                a, c, row, lo, last, _ = suffix_runs(data, offsets, length, digit)
-                parts.append((a, c, ids[row + first], lo - offsets[row], last - offsets[row]))
-            if parts:
-                a, c, doc, lo, last = _first_in_batch(*(np.concatenate(x) for x in zip(*parts, strict=True)), length)
-                yield _batch("a c doc_id lo last", a, c, doc, lo.astype(np.int32), last.astype(np.int32))
+            ids, parts_of = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("doc_id", "part"))
+            found = []
+            # Chunks of half a piece: only a row that stands alone is longer than a piece.
+            for first, _, data, offsets in S.text_chunks(batch.column("text"), piece_bytes >> 1):
+                for piece, cuts, at in pieces(data, offsets, length, piece_bytes):
+                    a, c, row, lo, last, _ = suffix_runs(piece, cuts, length, digit)
+                    found.append((a, c, ids[row + first], parts_of[row + first], lo - cuts[row] + at, last - cuts[row] + at))
+            if found:
+                a, c, doc, part, lo, last = _first_in_batch(*(np.concatenate(x) for x in zip(*found, strict=True)), length)
+                yield _batch("a c doc_id part lo last", a, c, doc, part.astype(np.int32), lo.astype(np.int32), last.astype(np.int32))
 
     return run
 
@@ -147,10 +166,11 @@ def _runs(length: int, digit: int):
 def _resolve(batches):
     """Sorted runs → covered ranges (kind 1) and the first runs of digits with several contexts (kind 2)."""
     last_a = last_c = None
-    head_doc = head_lo = contexts = 0
+    head = (0, 0, 0)
+    contexts = 0
     pending = None
     for batch in batches:
-        a, c, doc, lo, last = (batch.column(k).to_numpy() for k in ("a", "c", "doc_id", "lo", "last"))
+        a, c, *where, last = (batch.column(k).to_numpy() for k in ("a", "c", "doc_id", "part", "lo", "last"))
         n = len(a)
         if not n:
             continue
@@ -162,15 +182,16 @@ def _resolve(batches):
         new_c[1:] |= c[1:] != c[:-1]
         new_c[0] |= last_c is None or c[0] != last_c
         at = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
-        fdoc, flo = np.where(at < 0, head_doc, doc[at]), np.where(at < 0, head_lo, lo[at])
-        covered = ready | (~new_c & ((doc != fdoc) | (lo != flo)))
+        firsts = [np.where(at < 0, h, x[at]) for h, x in zip(head, where, strict=True)]
+        differs = np.logical_or.reduce([x != f for x, f in zip(where, firsts, strict=True)])
+        covered = ready | (~new_c & differs)
         group = np.cumsum(new_a)
         opens = new_c & ~ready
         per = np.bincount(group[opens], minlength=group[-1] + 1)
         if not new_a[0]:
             per[group[0]] += contexts
         several = opens & (per[group] > 1)
-        out = [(np.full(int(covered.sum()), 1), a[covered], doc[covered], lo[covered], last[covered]), (np.full(int(several.sum()), 2), a[several], doc[several], lo[several], last[several])]
+        out = [(np.full(int(mask.sum()), kind), a[mask], *(x[mask] for x in where), last[mask]) for kind, mask in ((1, covered), (2, several))]
         if pending is not None and not new_a[0] and per[group[0]] > 1:
             out.append(tuple(np.array([x]) for x in (2, *pending)))
             pending = None
@@ -179,16 +200,16 @@ def _resolve(batches):
         if per[group[-1]] == 1:
             mine = np.flatnonzero(opens & (group == group[-1]))
             if len(mine):
-                pending = (a[mine[0]], doc[mine[0]], lo[mine[0]], last[mine[0]])
-        contexts, last_a, last_c, head_doc, head_lo = int(per[group[-1]]), a[-1], c[-1], fdoc[-1], flo[-1]
-        kind, a, doc, lo, last = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield _batch("kind a doc_id lo last", kind.astype(np.int32), a, doc, lo.astype(np.int32), last.astype(np.int32))
+                pending = tuple(x[mine[0]] for x in (a, *where, last))
+        contexts, last_a, last_c, head = int(per[group[-1]]), a[-1], c[-1], tuple(f[-1] for f in firsts)
+        kind, a, doc, part, lo, last = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield _batch("kind a doc_id part lo last", kind.astype(np.int32), a, doc, part.astype(np.int32), lo.astype(np.int32), last.astype(np.int32))
 
 
 SUFFIX_BATCH = 1 << 16
 #: Digits with more open runs go suffix by suffix; the others stay in one task, whose state this bounds.
 HOT_RUNS = 1000
-DEPTH = "a long, key long, doc_id long, lo int, body binary"
+DEPTH = "a long, key long, doc_id long, part int, lo int, body binary"
 
 
 def _depths(length: int):
@@ -196,34 +217,36 @@ def _depths(length: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, parts_of = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "part"))
             spans = batch.column("spans")
-            for first, last, data, offsets in S.text_chunks(batch.column("text")):
-                held = spans.slice(first, last - first)
+            for first, to_row, data, offsets in S.text_chunks(batch.column("text")):
+                held = spans.slice(first, to_row - first)
                 counts = pa.compute.list_value_length(held).to_numpy(zero_copy_only=False)
                 fields = held.flatten()
-                a, lo, end, hot = (fields.field(k).to_numpy(zero_copy_only=False) for k in ("a", "lo", "last", "hot"))
-                row = np.repeat(np.arange(last - first), counts)
-                # A row that repeats a doc_id with a shorter text has not all of the runs.
-                good = end + length <= np.diff(offsets)[row]
-                a, lo, end, row, hot = a[good], lo[good].astype(np.int64), end[good].astype(np.int64), row[good], hot[good].astype(bool)
-                raw, base = data.tobytes(), offsets[row]
-                bodies = [raw[s:e] for s, e in zip((base + lo)[~hot], (base + end)[~hot] + length, strict=True)]
-                yield _batch("a key doc_id lo body", a[~hot], np.zeros(len(bodies), np.int64), ids[row[~hot] + first], lo[~hot].astype(np.int32), pa.array(bodies, pa.binary()))
-                a, lo, end, row = a[hot], lo[hot], end[hot], row[hot]
-                sums = S.prefix_sums(data)
-                size = end - lo + 1
+                a, lo, last, hot = (fields.field(k).to_numpy(zero_copy_only=False) for k in ("a", "lo", "last", "hot"))
+                row = np.repeat(np.arange(to_row - first), counts)
+                lo, hot, start = lo.astype(np.int64), hot.astype(bool), offsets[row] + lo
+                size = last.astype(np.int64) - lo + 1
                 stops = np.cumsum(size)
                 at = 0
                 while at < len(size):
                     # Runs of about SUFFIX_BATCH suffixes together.
                     to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + SUFFIX_BATCH, "right")))
-                    run_of = np.repeat(np.arange(at, to), size[at:to])
-                    within = np.arange(len(run_of)) - np.repeat(np.cumsum(size[at:to]) - size[at:to], size[at:to])
-                    here = lo[run_of] + within
-                    start = offsets[row[run_of]] + here
-                    key = S.span_hash(sums, start, start + length)
-                    yield _batch("a key doc_id lo body", a[run_of], key.view(np.int64), ids[row[run_of] + first], here.astype(np.int32), pa.nulls(len(here), pa.binary()))
+                    bytes_of = size[at:to] + length - 1
+                    cuts = np.concatenate([[0], np.cumsum(bytes_of)])
+                    bodies = data[np.repeat(start[at:to] - cuts[:-1], bytes_of) + np.arange(cuts[-1])]
+                    cold = np.flatnonzero(~hot[at:to])
+                    raw = bodies.tobytes()
+                    texts = pa.array([raw[cuts[k] : cuts[k + 1]] for k in cold], pa.binary())
+                    cold += at
+                    yield _batch("a key doc_id part lo body", a[cold], np.zeros(len(cold), np.int64), ids[row[cold] + first], parts_of[row[cold] + first], lo[cold].astype(np.int32), texts)
+                    warm = np.flatnonzero(hot[at:to])
+                    run_of = np.repeat(warm, size[at:to][warm])
+                    within = np.arange(len(run_of)) - np.repeat(np.cumsum(size[at:to][warm]) - size[at:to][warm], size[at:to][warm])
+                    begin = cuts[run_of] + within
+                    key = S.span_hash(S.prefix_sums(bodies), begin, begin + length)
+                    run_of += at
+                    yield _batch("a key doc_id part lo body", a[run_of], key.view(np.int64), ids[row[run_of] + first], parts_of[row[run_of] + first], (lo[run_of] + within).astype(np.int32), pa.nulls(len(run_of), pa.binary()))
                     at = to
 
     return run
@@ -237,7 +260,7 @@ def _whole_depth(length: int):
         for batch in batches:
             cold = batch.filter(pa.compute.is_valid(batch.column("body")))
             if cold.num_rows:
-                a, doc, lo = (cold.column(k).to_numpy() for k in ("a", "doc_id", "lo"))
+                a, doc, part, lo = (cold.column(k).to_numpy() for k in ("a", "doc_id", "part", "lo"))
                 data, offsets = S.flat(cold.column("body"))
                 data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
                 count = np.diff(offsets) - length + 1
@@ -253,38 +276,48 @@ def _whole_depth(length: int):
                 mine = S.distinct_sorted(key[a[row] == a[-1]])
                 seen = np.union1d(seen, mine) if a[-1] == last_a else mine
                 last_a = a[-1]
-                d, s, e = merge(doc[row[again]], lo[row[again]] + within[again], lo[row[again]] + within[again] + length)
-                yield _batch("doc_id lo last", d, s.astype(np.int32), (e - length).astype(np.int32))
+                here = lo[row[again]] + within[again]
+                d, p, s, e = merge(doc[row[again]], part[row[again]], here, here + length)
+                yield _batch("doc_id part lo last", d, p.astype(np.int32), s.astype(np.int32), (e - length).astype(np.int32))
             hot = batch.filter(pa.compute.is_null(batch.column("body")))
             if hot.num_rows:
-                a, key, doc, lo = (hot.column(k).to_numpy() for k in ("a", "key", "doc_id", "lo"))
+                a, key, doc, part, lo = (hot.column(k).to_numpy() for k in ("a", "key", "doc_id", "part", "lo"))
                 again = np.zeros(len(a), bool)
                 again[1:] = (a[1:] == a[:-1]) & (key[1:] == key[:-1])
                 again[0] = (a[0], key[0]) == last_hot
                 last_hot = (a[-1], key[-1])
                 lo = lo[again].astype(np.int64)
-                d, s, e = merge(doc[again], lo, lo + length)
-                yield _batch("doc_id lo last", d, s.astype(np.int32), (e - length).astype(np.int32))
+                d, p, s, e = merge(doc[again], part[again], lo, lo + length)
+                yield _batch("doc_id part lo last", d, p.astype(np.int32), s.astype(np.int32), (e - length).astype(np.int32))
 
     return run
 
 
-def covered_spans(docs: DataFrame, length: int = 100, digit: int = 32, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(doc_id, spans): ranges of start positions lo..last whose windows of ``length`` bytes start earlier too."""
-    runs = docs.mapInArrow(_runs(length, digit), RUN)
-    runs = runs.repartition("a").sortWithinPartitions("a", "c", "doc_id", "lo")
+def with_parts(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text_key, ...) with the column part: 0, or the number of this text among the texts of one doc_id."""
+    keys = docs.where("doc_id is not null").select("doc_id", "text_key").distinct()
+    part = F.row_number().over(Window.partitionBy("doc_id").orderBy("text_key")) - 1
+    later = S.written(keys.withColumn("part", part).where("part > 0"), "parts")
+    return docs.join(later, ["doc_id", "text_key"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+
+
+def covered_spans(docs: DataFrame, length: int = 100, digit: int = 32, hot_runs: int = HOT_RUNS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """docs (doc_id, part, text) → (doc_id, part, spans): ranges of start positions lo..last whose windows of ``length`` bytes start earlier too."""
+    docs = docs.where("doc_id is not null").select("doc_id", "part", "text")
+    runs = docs.mapInArrow(_runs(length, digit, piece_bytes), RUN)
+    runs = runs.repartition("a").sortWithinPartitions("a", "c", "doc_id", "part", "lo")
     spans = S.written(runs.mapInArrow(_resolve, SPAN), "suffix-runs")
     several = spans.where("kind = 2").drop("kind")
     # At most one digit for hot_runs open runs, so that every task can hold them; a join by digit would send a hot one to one task.
     hot = several.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > hot_runs).select("a", F.lit(True).alias("hot"))
     several = several.join(F.broadcast(hot), "a", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    still = several.groupBy("doc_id").agg(F.collect_list(F.struct("a", "lo", "last", "hot")).alias("spans"))
-    depths = docs.join(still, "doc_id").select("doc_id", "text", "spans").mapInArrow(_depths(length), DEPTH)
+    still = several.groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "lo", "last", "hot")).alias("spans"))
+    depths = docs.join(still, ["doc_id", "part"]).select("doc_id", "part", "text", "spans").mapInArrow(_depths(length), DEPTH)
     # Both keys deal a hot digit over all tasks; the others have one key.
-    depths = depths.repartition("a", "key").sortWithinPartitions("a", "key", "doc_id", "lo")
-    late = depths.mapInArrow(_whole_depth(length), "doc_id long, lo int, last int")
-    both = spans.where("kind = 1").select("doc_id", "lo", "last").union(late)
-    return both.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "last")).alias("spans"))
+    depths = depths.repartition("a", "key").sortWithinPartitions("a", "key", "doc_id", "part", "lo")
+    late = depths.mapInArrow(_whole_depth(length), "doc_id long, part int, lo int, last int")
+    both = spans.where("kind = 1").select("doc_id", "part", "lo", "last").union(late)
+    return both.groupBy("doc_id", "part").agg(F.collect_list(F.struct("lo", "last")).alias("spans"))
 
 
 def removed_mask(n: int, spans, length: int) -> np.ndarray:
@@ -299,8 +332,6 @@ def removed_mask(n: int, spans, length: int) -> np.ndarray:
 def repeated_bytes(docs: DataFrame, length: int = 100, digit: int = 32) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document row."""
     S.small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.where("doc_id is not null")
 
     def digest(batches):
         for batch in batches:
@@ -318,9 +349,9 @@ def repeated_bytes(docs: DataFrame, length: int = 100, digit: int = 32) -> DataF
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield _batch("doc_id n_bytes n_removed n_spans kept_sha256", batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.string()))
 
-    joined = named.join(covered_spans(named, length, digit), "doc_id", "left").select("doc_id", "text", "spans")
-    nameless = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<lo:int,last:int>>"))
-    return joined.union(nameless).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    named = with_parts(S.boxed(docs).drop("d"))
+    joined = named.join(covered_spans(named, length, digit), ["doc_id", "part"], "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, digit: int = 32) -> DataFrame:
@@ -330,16 +361,17 @@ def cut_repeats(docs: DataFrame, length: int = 100, digit: int = 32) -> DataFram
     left go; documents that were empty before stay.
     """
     S.small_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    spans = covered_spans(keyed, length, digit).withColumnsRenamed({"doc_id": "span_id", "spans": "cut_spans"})
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["span_id"], "left").drop("span_id")
+    keyed = with_parts(S.boxed(docs))
+    joined = keyed.join(covered_spans(keyed, length, digit), ["doc_id", "part"], "left").select("d", "spans")
     schema = docs.schema
+    names = schema.fieldNames()
 
     def cut(batches):
-        at = schema.fieldNames().index("text")
+        at = names.index("text")
         for batch in batches:
+            rows = pa.RecordBatch.from_struct_array(batch.column("d"))
             texts, keep = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("cut_spans").to_pylist(), strict=True):
+            for text, spans in zip(rows.column(at).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 if spans and text:
                     data = text.encode()
                     gone = removed_mask(len(data), spans, length)
@@ -351,8 +383,7 @@ def cut_repeats(docs: DataFrame, length: int = 100, digit: int = 32) -> DataFram
                 else:
                     keep.append(True)
                 texts.append(text)
-            out = batch.drop_columns(["cut_spans"]).set_column(at, "text", pa.array(texts, pa.string()))
-            yield out.filter(pa.array(keep, pa.bool_()))
+            yield rows.set_column(at, "text", pa.array(texts, pa.string())).filter(pa.array(keep, pa.bool_()))
 
     out = joined.mapInArrow(cut, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.fieldNames() else out
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
