@@ -256,8 +256,16 @@ def _whole_depth(length: int):
     """Sorted rows of _depths → covered ranges of the suffixes that are equal to an earlier one of the same digit."""
 
     def run(batches):
-        last_a, seen, last_hot = None, np.zeros(0, U64), None
+        last_a, seen, last_hot, before = None, np.zeros(0, U64), None, None
         for batch in batches:
+            # Rows that repeat a document bring its runs again, one after the other.
+            where = [batch.column(k).to_numpy() for k in ("a", "key", "doc_id", "part", "lo")]
+            fresh = np.ones(batch.num_rows, bool)
+            fresh[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in where])
+            if len(fresh):
+                fresh[0] = before != tuple(x[0] for x in where)
+                before = tuple(x[-1] for x in where)
+            batch = batch.filter(pa.array(fresh))
             cold = batch.filter(pa.compute.is_valid(batch.column("body")))
             if cold.num_rows:
                 a, doc, part, lo = (cold.column(k).to_numpy() for k in ("a", "doc_id", "part", "lo"))
