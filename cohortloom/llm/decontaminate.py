@@ -3,25 +3,37 @@
 Every text is cut into overlapping passages of at least twice the longest item,
 so that each place of an item lies whole in one of them; every passage is a
 query. Impacts are BM25 weights divided by the item's score for its own text, so
-scores run from 0 to 1 and one threshold serves all items. Per item the heaviest
-terms are essential: those that remain add up to a known bound. A passage's
-essential hits are added up per block of items from block-max impacts; blocks
-that cannot reach the threshold with that bound are skipped, items of the others
-are scored fully, and every item above the threshold is verified: word trigrams
-of question and answer must both occur in the passage.
+scores run from 0 to 1 and one threshold serves all items. Item count, document
+frequencies, mean and longest length are those of all items.
+
+Postings are kept by term, item and block of items, with the largest impact of
+each term in each block. Two steps find all items above the threshold. First the
+heaviest terms of each item, those that leave a known rest, are added up per
+passage and block from block-max impacts; a passage passes over the blocks that
+cannot reach the threshold with that rest, which is nearly all of them. Then
+the cursors of the passage's terms move through the postings of a block by
+pivoting: sorted by their item, their block-max impacts are added up to the
+first that reaches the threshold; items before that pivot are skipped, the pivot
+is scored if all cursors before it stand on it. Items above the threshold are
+verified: word trigrams of question and answer must both occur in the passage.
 
 Words are runs of ASCII letters and digits or non-ASCII bytes, A-Z lower-cased.
 The answer is an item's last line, or without several lines its last quarter.
 
-The index is held by every task, so its size is bounded: items are dealt into
-shards of at most ``shard_items`` and each shard is one pass without a shuffle.
+Items are dealt into shards of at most about ``shard_items``, whose indexes are
+built in tasks. One shard's index at a time is held by the driver and broadcast,
+so its size is bounded; the result does not depend on the number of shards.
 
-Edges: null and empty texts and items match nothing; repeated item_ids are one
-answer; repeated document rows are judged each; extra columns are ignored.
+Edges: null and empty texts and items match nothing; items with a null id take
+no part; several texts of one item_id are one answer; repeated document rows and
+rows with a null doc_id are judged each; extra columns are kept; empty tables
+give no row or no match.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,30 +67,42 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(S.ngram_hash(words, np.zeros(len(words), np.int64), n)[0]) if len(words) else words
 
 
+def item_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    question, answer = split_item(text)
+    return question, answer, np.concatenate([question, answer])
+
+
 class Index:
-    """Impact-sorted inverted index of items in blocks, with block-max impacts of essential terms."""
+    """Inverted index of items in blocks.
 
-    def __init__(self, items, threshold: float, block: int = 8, k1: float = 1.2, b: float = 0.75, gram: int = 3):
+    stats: (item count, mean length, longest length, sorted terms, their document
+    frequencies) of all items; those of the given items if left out.
+    """
+
+    def __init__(self, items, threshold: float, stats=None, block: int = 8, k1: float = 1.2, b: float = 0.75, gram: int = 3):
         self.threshold, self.block, self.gram = threshold, block, gram
-        parts = [(i, *split_item(t)) for i, t in items]
-        parts = [(i, q, a, np.concatenate([q, a])) for i, q, a in parts if len(q) + len(a)]
-        parts.sort(key=lambda x: (len(x[3]), x[0]))
+        parts = [(i, *item_words(t)) for i, t in items]
+        parts = [x for x in parts if len(x[3])]
+        parts.sort(key=lambda x: (len(x[3]), x[0], x[3].tobytes()))
         self.ids = [x[0] for x in parts]
         self.words = [x[3] for x in parts]
         self.question = [_grams(x[1], gram) for x in parts]
         self.answer = [_grams(x[2], gram) for x in parts]
         # A part shorter than a trigram is one gram of its own length.
         self.sizes = [(min(gram, len(x[1])), min(gram, len(x[2]))) for x in parts]
-        self.longest = max((len(w) for w in self.words), default=0)
         terms = [np.unique(w, return_counts=True) for w in self.words]
-        self.vocabulary, df = np.unique(np.concatenate([t for t, _ in terms]), return_counts=True) if terms else (np.zeros(0, U64), np.zeros(0))
-        idf = np.log(1 + (len(parts) - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(w) for w in self.words]) if parts else 1.0
+        if stats is None:
+            held, df = np.unique(np.concatenate([t for t, _ in terms]), return_counts=True) if terms else (np.zeros(0, U64), np.zeros(0))
+            stats = (len(parts), np.mean([len(w) for w in self.words]) if parts else 1.0, max(map(len, self.words), default=0), held, df)
+        count, mean, self.longest, all_terms, df = stats
+        self.vocabulary = np.unique(np.concatenate([t for t, _ in terms])) if terms else np.zeros(0, U64)
+        df = df[np.searchsorted(all_terms, self.vocabulary)]
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.vocabulary >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
         self.terms, self.impacts = [], []
-        posting: dict[tuple[int, int], float] = {}
-        self.rest = np.zeros(-(-len(parts) // block)) if parts else np.zeros(0)
+        self.rest = np.zeros(-(-len(parts) // block))
+        heavy = []
         for at, ((t, tf), w) in enumerate(zip(terms, self.words, strict=True)):
             ids = np.searchsorted(self.vocabulary, t)
             x = idf[ids] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean))
@@ -86,17 +110,26 @@ class Index:
             self.terms.append(ids)
             self.impacts.append(x)
             order = np.lexsort((ids, -x))
-            held = np.cumsum(x[order])
-            essential = order[: int(np.searchsorted(held, (1 + threshold) / 2)) + 1]
-            blk = at // block
-            self.rest[blk] = max(self.rest[blk], 1 - x[essential].sum())
-            for k in essential:
-                key = (int(ids[k]), blk)
-                posting[key] = max(posting.get(key, 0.0), float(x[k]))
-        keys = sorted(posting)
-        self.first = np.searchsorted(np.array([k[0] for k in keys], np.int64), np.arange(len(self.vocabulary) + 1))
-        self.blocks = np.array([k[1] for k in keys], np.int64)
-        self.block_max = np.array([posting[k] for k in keys])
+            essential = np.zeros(len(x), bool)
+            essential[order[: int(np.searchsorted(np.cumsum(x[order]), (1 + threshold) / 2)) + 1]] = True
+            heavy.append(essential)
+            self.rest[at // block] = max(self.rest[at // block], 1 - x[essential].sum())
+        none = np.zeros(0)
+        item = np.repeat(np.arange(len(parts)), [len(t) for t in self.terms]).astype(np.int64)
+        term = np.concatenate([*self.terms, none]).astype(np.int64)
+        impact, heavy = np.concatenate([*self.impacts, none]), np.concatenate([*heavy, none]).astype(bool)
+        order = np.lexsort((item, term))
+        item, term, self.posting_impact, heavy = item[order], term[order], impact[order], heavy[order]
+        self.posting_item = item
+        # Postings of a term in a block follow each other: one range and one largest impact for each.
+        self.ranges, self.range_first = np.unique(term * len(self.rest) + item // block, return_index=True) if len(term) else (none.astype(np.int64), none.astype(np.int64))
+        self.range_max = np.maximum.reduceat(self.posting_impact, self.range_first) if len(term) else none
+        self.range_end = np.append(self.range_first[1:], len(term))
+        # The same of the essential postings only.
+        key, first = np.unique((term * len(self.rest) + item // block)[heavy], return_index=True) if heavy.any() else (none.astype(np.int64), none.astype(np.int64))
+        self.block_max = np.maximum.reduceat(self.posting_impact[heavy], first) if len(key) else none
+        self.blocks = key % max(1, len(self.rest))
+        self.first = np.searchsorted(key // max(1, len(self.rest)), np.arange(len(self.vocabulary) + 1))
 
     def found(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, float]]:
         """(row, item, score) of the verified items in rows of words."""
@@ -125,22 +158,47 @@ class Index:
         posting = np.repeat(self.first[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         key, inverse = np.unique(np.repeat(passage, count) * n_blocks + self.blocks[posting], return_inverse=True)
         bound = np.bincount(inverse, self.block_max[posting], minlength=len(key)) + self.rest[key % n_blocks]
-        out = []
+        out, last, have = [], -1, None
         for k in key[bound >= self.threshold - 1e-9]:
             p, blk = divmod(int(k), n_blocks)
-            row = int(np.searchsorted(base, p, "right")) - 1
-            lo = starts[row] + (p - base[row]) * half
-            mine = words[lo : min(lo + span, starts[row + 1])]
-            out += [(row, i, s) for i, s in self.scored(mine, blk)]
+            if p != last:
+                last, row = p, int(np.searchsorted(base, p, "right")) - 1
+                lo = starts[row] + (p - base[row]) * half
+                mine = words[lo : min(lo + span, starts[row + 1])]
+                have = np.unique(mine)
+            for at in self.pivots(have, blk):
+                score = self.score(have, at)
+                if score >= self.threshold - 1e-9 and self.overlaps(mine, at):
+                    out.append((row, at, score))
         return out
 
-    def scored(self, words: np.ndarray, blk: int):
-        """Full scores of one block's items for a passage; those above the threshold that pass the overlap check."""
-        have = np.unique(words)
-        for at in range(blk * self.block, min((blk + 1) * self.block, len(self.ids))):
-            score = float(self.impacts[at][np.isin(self.vocabulary[self.terms[at]], have)].sum())
-            if score >= self.threshold - 1e-9 and self.overlaps(words, at):
-                yield at, score
+    def pivots(self, have: np.ndarray, blk: int):
+        """Items of a block whose terms among have (sorted) reach the threshold, by pivoting over the terms' cursors."""
+        place = np.minimum(np.searchsorted(self.vocabulary, have), len(self.vocabulary) - 1)
+        wanted = place[self.vocabulary[place] == have] * len(self.rest) + blk
+        at = np.minimum(np.searchsorted(self.ranges, wanted), len(self.ranges) - 1)
+        at = at[self.ranges[at] == wanted]
+        cursor, end, most = self.range_first[at].copy(), self.range_end[at], self.range_max[at]
+        while True:
+            live = cursor < end
+            cursor, end, most = cursor[live], end[live], most[live]
+            item = self.posting_item[cursor]
+            order = np.argsort(item, kind="stable")
+            reach = int(np.searchsorted(np.cumsum(most[order]), self.threshold - 1e-9))
+            if reach == len(order):
+                return
+            pivot = item[order[reach]]
+            if item[order[0]] == pivot:
+                here = item == pivot
+                if self.posting_impact[cursor[here]].sum() >= self.threshold - 1e-9:
+                    yield int(pivot)
+                cursor[here] += 1
+            else:
+                for k in np.flatnonzero(item < pivot):
+                    cursor[k] += np.searchsorted(self.posting_item[cursor[k] : end[k]], pivot)
+
+    def score(self, have: np.ndarray, at: int) -> float:
+        return float(self.impacts[at][np.isin(self.vocabulary[self.terms[at]], have)].sum())
 
     def overlaps(self, words: np.ndarray, at: int, share: float = 0.6) -> bool:
         for grams, size in ((self.question[at], self.sizes[at][0]), (self.answer[at], self.sizes[at][1])):
@@ -149,43 +207,80 @@ class Index:
         return True
 
 
-def judge(docs: DataFrame, items: DataFrame, threshold: float = 0.7, shard_items: int = 20_000) -> DataFrame:
-    """docs with two more columns: leak_ids (item_ids found, ascending) and leak_score (the best score)."""
+def build_indexes(items: DataFrame, threshold: float, shard_items: int) -> DataFrame:
+    """items (item_id, text) → (shard, index): pickled indexes of about shard_items items each, built in tasks with the statistics of all items."""
+
+    def parse(batches):
+        for batch in batches:
+            words = [item_words(t)[2] for t in batch.column("text").to_pylist()]
+            terms = [np.unique(w).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array(terms, pa.list_(pa.int64()))], [*batch.schema.names, "n", "terms"])
+
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    parsed = S.written(items.mapInArrow(parse, "item_id long, text string, n long, terms array<long>").where("n > 0"), "items")
+    count, mean, longest = parsed.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    terms = parsed.select("item_id", "text", F.explode("terms").alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    # Every item carries the document frequencies of its terms to its shard.
+    told = terms.join(df, "term").groupBy("item_id", "text").agg(F.collect_list(F.struct("term", "df")).alias("df"))
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-count // shard_items)))).cast("int")
+
+    def build(group: pa.Table) -> pa.Table:
+        pairs = group.column("df").combine_chunks().flatten()
+        held, first = np.unique(pairs.field("term").to_numpy().view(U64), return_index=True)
+        stats = (count, mean, longest, held, pairs.field("df").to_numpy()[first])
+        index = Index(list(zip(group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True)), threshold, stats)
+        return pa.table({"shard": group.column("shard")[:1], "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    return S.written(told.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, index binary"), "item-indexes")
+
+
+def leak_hits(docs: DataFrame, items: DataFrame, threshold: float, shard_items: int) -> DataFrame:
+    """docs (doc_id, text_key, text) → (doc_id, text_key, item_id, score): the verified items of each text."""
     spark = docs.sparkSession
-    S.small_batches(spark)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    n_shards = max(1, -(-items.count() // shard_items))
-    out = docs.withColumn("leak_ids", F.array().cast("array<long>")).withColumn("leak_score", F.lit(0.0))
-    schema = out.schema
-    for shard in range(n_shards):
-        mine = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == shard).orderBy("item_id").collect()]
-        given = spark.sparkContext.broadcast(Index(mine, threshold))
+    schema = "doc_id long, text_key long, item_id long, score double"
+    indexes = build_indexes(items, threshold, shard_items)
+    hits = spark.createDataFrame([], schema)
+    for shard in [r["shard"] for r in indexes.select("shard").orderBy("shard").collect()]:
+        given = spark.sparkContext.broadcast(bytes(indexes.where(F.col("shard") == shard).first()["index"]))
 
         def look(batches, given=given):
-            index = given.value
+            index = pickle.loads(given.value)
             for batch in batches:
-                ids, best = batch.column("leak_ids").to_pylist(), batch.column("leak_score").to_pylist()
+                rows_found, items_found, scores = [], [], []
                 for lo, _, data, offsets in S.text_chunks(batch.column("text")):
                     words, rows, _, _ = S.words_of(data, offsets, _WORD)
                     for row, at, score in index.found(words, rows):
-                        ids[lo + row] = sorted({*ids[lo + row], index.ids[at]})
-                        best[lo + row] = max(best[lo + row], score)
-                names = batch.schema.names
-                cols = [pa.array(ids, pa.list_(pa.int64())) if k == "leak_ids" else pa.array(best, pa.float64()) if k == "leak_score" else batch.column(k) for k in names]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                        rows_found.append(lo + row)
+                        items_found.append(index.ids[at])
+                        scores.append(score)
+                at = pa.array(rows_found, pa.int64())
+                cols = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(items_found, pa.int64()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "item_id", "score"])
+
+        found = S.written(docs.select("doc_id", "text_key", "text").mapInArrow(look, schema), "leaks")
+        given.destroy()
+        hits = hits.union(found)
+    return hits
 
-        out = out.mapInArrow(look, schema)
-    return out
+
+def judge(docs: DataFrame, items: DataFrame, threshold: float = 0.7, shard_items: int = 20_000) -> DataFrame:
+    """(doc_id, text_key, d, leak_ids, leak_score): d holds the document's columns, leak_ids the item_ids found, ascending, leak_score the best score."""
+    S.small_batches(docs.sparkSession)
+    docs = S.boxed(docs)
+    hits = leak_hits(docs, items, threshold, shard_items).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("leak_ids"), F.max("score").alias("leak_score"))
+    hits = hits.withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
+    both = docs.drop("text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
+    return both.select("doc_id", "text_key", "d", F.coalesce("leak_ids", F.array().cast("array<long>")).alias("leak_ids"), F.coalesce("leak_score", F.lit(0.0)).alias("leak_score"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, best_score): one row per document row."""
-    out = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, threshold)
+    out = judge(docs, items, threshold)
     n = F.size("leak_ids")
     return out.select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), F.col("leak_ids").alias("item_ids"), F.least("leak_score", F.lit(1.0)).alias("best_score"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents in which no item was found, columns unchanged."""
-    return judge(docs, items, threshold).where(F.size("leak_ids") == 0).drop("leak_ids", "leak_score")
+    return judge(docs, items, threshold).where(F.size("leak_ids") == 0).select("d.*")
