@@ -68,14 +68,13 @@ def log_count_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -
     return np.log((pos + 1.0) / (n_pos + 2.0)) - np.log((neg + 1.0) / (n_neg + 2.0))
 
 
-def strongest(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, kept: int) -> np.ndarray:
-    """Slots with the largest likelihood-ratio evidence against equal rates; ties by slot."""
-    total = pos + neg
-    expect_p, expect_n = total * n_pos / (n_pos + n_neg), total * n_neg / (n_pos + n_neg)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = np.where(pos > 0, pos * np.log(pos / expect_p), 0) + np.where(neg > 0, neg * np.log(neg / expect_n), 0)
-    order = np.lexsort((np.arange(len(g)), -g))[:kept]
-    return np.sort(order[g[order] > 0])
+def strongest(counts: DataFrame, n_pos: int, n_neg: int, kept: int) -> DataFrame:
+    """counts (slot, pos, neg): the kept slots with the largest likelihood-ratio evidence against equal rates; ties by slot."""
+    total = F.col("pos") + F.col("neg")
+    part = lambda seen, rate: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / (total * rate))).otherwise(0.0)
+    evidence = part("pos", n_pos / (n_pos + n_neg)) + part("neg", n_neg / (n_pos + n_neg))
+    ranked = counts.withColumn("evidence", F.round(evidence, 9)).where("evidence > 0")
+    return ranked.orderBy(F.desc("evidence"), "slot").limit(kept)
 
 
 def ridge_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, n_cols: int, ridge: float = 1.0, rounds: int = 300):
@@ -110,17 +109,12 @@ def score_texts(column, table: np.ndarray, wanted: np.ndarray, bias: float, bits
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def fit_from_counts(pos, neg, n_pos, n_neg, kept=KEPT):
-    slots = strongest(pos.astype(float), neg.astype(float), n_pos, n_neg, kept)
-    return slots, log_count_ratios(pos[slots], neg[slots], n_pos, n_neg)
-
-
 def train(sample: DataFrame, bits: int = BITS, kept: int = KEPT):
     """(table of weights by slot, wanted slots, intercept).
 
-    Counts are summed per slot on the executors and only the sums of slots seen
-    in several documents come back, at most 2^bits rows. The second pass brings
-    back the kept n-grams present in each sampled row, bounded by rows x kept.
+    Counts are summed per slot and ranked on the executors, and the kept slots
+    come back. The second pass brings back the kept n-grams present in each
+    sampled row, bounded by rows x kept.
     """
     spark = sample.sparkSession
 
@@ -143,11 +137,9 @@ def train(sample: DataFrame, bits: int = BITS, kept: int = KEPT):
         share = n_pos / max(1, n_pos + n_neg)
         return table, wanted, float(np.log((share + 1e-9) / (1 - share + 1e-9)))
     sums = sample.mapInArrow(count, "slot long, pos int, neg int").groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    got = sums.where("pos >= 3").toArrow()
-    pos, neg = np.zeros(1 << bits), np.zeros(1 << bits)
-    at = got.column("slot").to_numpy()
-    pos[at], neg[at] = got.column("pos").to_numpy(), got.column("neg").to_numpy()
-    slots, ratios = fit_from_counts(pos, neg, n_pos, n_neg, kept)
+    got = strongest(sums, n_pos, n_neg, kept).toArrow().sort_by("slot")
+    slots = got.column("slot").to_numpy()
+    ratios = log_count_ratios(got.column("pos").to_numpy(), got.column("neg").to_numpy(), n_pos, n_neg)
     wanted[slots] = True
     picked = spark.sparkContext.broadcast(np.packbits(wanted))
 
