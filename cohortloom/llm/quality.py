@@ -10,8 +10,9 @@ Training: follow-the-regularised-leader updates (per-coordinate, proximal) over
 a bounded sample of labelled rows, in an order fixed by a hash of doc_id.
 
 Edges: null and empty texts have no feature and get the model's intercept;
-null labels are ignored; without labels every score is 0.5; extra columns are
-ignored; repeated rows are scored each.
+null labels and ids are ignored in training; without labels every score is 0.5;
+repeated rows are scored each; extra columns are ignored (kept by the filter);
+an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -90,24 +91,23 @@ def score_texts(column, weights: np.ndarray, bias: float, bits: int = BITS) -> n
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def ftrl(rows, bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = 3):
-    """FTRL-proximal over the (slots, values, y) that rows() yields; slot 2^bits is the intercept. Returns (weights, bias)."""
+def ftrl(rows, bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4):
+    """FTRL-proximal over a stream of (slots, values, y), one update each; slot 2^bits is the intercept. Returns (weights, bias)."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    for _ in range(epochs):
-        for s, v, y in rows():
-            zs, ns = z[s], n[s]
-            root = np.sqrt(ns)
-            w = np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + root) / alpha + l2))
-            p = 1 / (1 + np.exp(-np.clip(w @ v, -50, 50)))
-            g = (p - y) * v
-            z[s] = zs + g - (np.sqrt(ns + g * g) - root) / alpha * w
-            n[s] = ns + g * g
+    for s, v, y in rows:
+        zs, ns = z[s], n[s]
+        root = np.sqrt(ns)
+        w = np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + root) / alpha + l2))
+        p = 1 / (1 + np.exp(-np.clip(w @ v, -50, 50)))
+        g = (p - y) * v
+        z[s] = zs + g - (np.sqrt(ns + g * g) - root) / alpha * w
+        n[s] = ns + g * g
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
     return w[:-1], float(w[-1])
 
 
-def train(sample: DataFrame, bits: int = BITS, scale: float = 8.0) -> tuple[np.ndarray, float]:
-    """Features are made where the texts are; one task runs the sequential updates over the bounded sample."""
+def train(sample: DataFrame, bits: int = BITS, scale: float = 8.0, epochs: int = 3) -> tuple[np.ndarray, float]:
+    """Features are made where the texts are; the updates, which follow each other, read one sorted stream of the bounded sample and hold the model only."""
 
     def featurise(batches):
         for batch in batches:
@@ -122,26 +122,24 @@ def train(sample: DataFrame, bits: int = BITS, scale: float = 8.0) -> tuple[np.n
                 values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(total.astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), ys.slice(lo, hi - lo), lists, values], ["doc_id", "y", "slots", "vals"])
 
-    def fit(group: pa.Table) -> pa.Table:
-        ids, turns = group.column("doc_id").to_numpy(), group.column("turn").to_numpy()
-        ys = np.minimum(group.column("y").to_numpy(), 1).astype(float)
-        lists = group.column("slots").combine_chunks()
-        cuts, slots = lists.offsets.to_numpy(), lists.values.to_numpy()
-        values = group.column("vals").combine_chunks().values.to_numpy()
-        order = np.lexsort((ids, turns))
-
+    def fit(batches):
         def rows():
-            for i in order:
-                lo, hi = cuts[i], cuts[i + 1]
-                yield np.append(slots[lo:hi], 1 << bits), np.append(values[lo:hi] * scale, 1.0), ys[i]
-
-        w, b = ftrl(rows, bits)
+            for batch in batches:
+                ys = np.minimum(batch.column("y").to_numpy(), 1).astype(float)
+                lists, values = batch.column("slots"), batch.column("vals").flatten().to_numpy()
+                cuts, slots = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+                for i, y in enumerate(ys):
+                    lo, hi = cuts[i], cuts[i + 1]
+                    yield np.append(slots[lo:hi], 1 << bits), np.append(values[lo:hi] * scale, 1.0), y
+
+        w, b = ftrl(rows(), bits)
         at = np.flatnonzero(w)
-        return pa.table({"slot": pa.array(np.append(at, 1 << bits), pa.int64()), "w": pa.array(np.append(w[at] * scale, b), pa.float64())})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << bits), pa.int64()), pa.array(np.append(w[at] * scale, b), pa.float64())], ["slot", "w"])
 
     features = sample.mapInArrow(featurise, "doc_id long, y int, slots array<int>, vals array<float>")
-    features = features.withColumn("turn", F.xxhash64("doc_id", F.lit(5))).withColumn("all", F.lit(0))
-    got = features.groupBy("all").applyInArrow(fit, "slot long, w double").toArrow()
+    features = features.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    stream = features.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit(5)), "doc_id", "y", "slots")
+    got = stream.mapInArrow(fit, "slot long, w double").toArrow()
     weights, bias = np.zeros(1 << bits), 0.0
     slots, ws = got.column("slot").to_numpy(), got.column("w").to_numpy()
     inside = slots < 1 << bits
