@@ -14,7 +14,7 @@ ends, of its own length over ``threshold`` (so that words between its lines, as
 comment marks are, do not lose it). Runs are looked for in the texts that hold
 ``threshold`` of the template's distinct words at all, from each of its words on.
 
-Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the lower-cased text. Phrases
+Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. Phrases
 must not overlap themselves.
 
 Edges: null and empty texts have no words, no label and score 0; repeated rows
@@ -24,6 +24,7 @@ are scanned each, whatever their ids; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     sets = [(k, label, sorted(set(words.split()))) for k, (label, words) in enumerate(TEMPLATES if templates is None else templates)]
     vocabulary = sorted({w for _, _, words in sets for w in words})
 
-    low = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    low = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase).alias("low"))
     # One pass cuts words but keeps line ends.
     lined = low.select("row", "doc_id", F.regexp_replace("low", r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ").alias("lined"))
     both = lined.select("row", "doc_id", "lined", F.trim(F.regexp_replace("lined", r"[ \n]+", "  ")).alias("flat"))
