@@ -6,7 +6,8 @@ inverse document frequency, L2-normalised. Document frequencies come from all
 training documents; the centroids come from spherical k-means inside each
 language over a bounded sample of its documents. A text takes the language of
 the centroid with the largest cosine; it is marked rejected when its distance
-exceeds that language's calibrated radius.
+exceeds that language's radius, a quantile over sampled rows that the centroids
+were not fitted on.
 
 Edges: null texts and texts without a letter get ``und`` and score 0; null
 languages are not learned from; without a learned language every text is
@@ -111,8 +112,11 @@ def train(learn: DataFrame, per_language: int, centroids: int, slots: int, quant
         lang = group.column("lang")[0].as_py()
         if not len(x):
             return pa.table({"lang": pa.array([], pa.string()), "radius": pa.array([], pa.float64()), "centroid": pa.array([], pa.binary())})
-        c = spherical_kmeans(x, centroids)
-        radius = float(np.quantile(1 - (x @ c.T).max(1), quantile))
+        # Every fifth row sets the radius and takes no part in the clustering.
+        apart = np.arange(len(x)) % 5 == 4
+        c = spherical_kmeans(x[~apart], centroids)
+        far = x[apart] if apart.any() else x
+        radius = float(np.quantile(1 - (far @ c.T).max(1), quantile))
         return pa.table({"lang": [lang] * len(c), "radius": [radius] * len(c), "centroid": pa.array([v.astype(np.float32).tobytes() for v in c], pa.binary())})
 
     got = sample.groupBy("lang").applyInArrow(cluster, "lang string, radius double, centroid binary").collect()
