@@ -44,7 +44,26 @@ def corpus(spark):
 @pytest.fixture(scope="module")
 def docs(spark):
     out = corpus(spark)
-    return S.written(out.where("not (doc_id = 9 and n_chars < 100)"), "docs"), [(r["doc_id"], r["text"]) for r in out.where("not (doc_id = 9 and n_chars < 100)").collect()]
+    out = S.written(out.union(out.where("doc_id in (3, 20)")), "docs")
+    return out, [(r["doc_id"], r["text"]) for r in out.collect()]
+
+
+@pytest.fixture(scope="module")
+def text_keys(docs):
+    """The number by which texts of one doc_id are told apart."""
+    return {r["text"]: r["k"] for r in docs[0].select("text", F.xxhash64("text").alias("k")).collect()}
+
+
+def exact_set(text, size):
+    w = text.encode().lower().split()
+    if len(w) < size:
+        return frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(zip(*(w[k:] for k in range(size))))
+
+
+def linked(a, b):
+    both = len(a & b)
+    return both and 100 * both >= 80 * (len(a) + len(b) - both)
 
 
 def union_find(ids):
@@ -77,19 +96,26 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("size", [2, 5])
-def test_minhash(docs, size):
+def test_minhash(docs, text_keys, size):
+    """Repeated rows, and one doc_id with two texts, of which each has its own group."""
     df, rows = docs
-    sets = {i: minhash.exact_set(t or "", size) for i, t in rows}
-    find, join = union_find(sets)
-    for i in sets:
-        for j in sets:
-            both = len(sets[i] & sets[j])
-            if i < j and both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                join(i, j)
+    sets = {k: exact_set(k[1] or "", size) for k in rows}
+    order = {k: (k[0], text_keys[k[1]]) for k in sets}
+    parent = {k: k for k in sets}
+
+    def root(k):
+        return k if parent[k] == k else root(parent[k])
+
+    for a in sets:
+        for b in sets:
+            if a != b and linked(sets[a], sets[b]):
+                x, y = sorted((root(a), root(b)), key=order.get)
+                parent[y] = x
     got = sorted(map(tuple, minhash.near_duplicates(df, size).select("doc_id", "n_shingles", "component_id", "kept").collect()))
-    assert got == sorted((i, len(sets[i]), find(i), find(i) == i) for i in sets)
+    assert got == sorted((k[0], len(sets[k]), root(k)[0], root(k)[0] == k[0]) for k in rows)
     kept = minhash.drop_near_duplicates(df, size)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in sets if find(i) == i)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted((k for k in rows if root(k) == k), key=repr)
 
 
 def test_super_minhash_estimates_jaccard():
@@ -98,11 +124,13 @@ def test_super_minhash_estimates_jaccard():
     elements = np.concatenate([np.sort(a), np.sort(np.concatenate([a, extra]))])
     sig = minhash.super_minhash(elements, np.array([0, 400, 900]), 256)
     assert abs((sig[0] == sig[1]).mean() - 0.8) < 0.08
+    # Pieces of a set give the signature of the whole set.
+    assert (minhash.super_minhash(elements, np.array([0, 400, 900]), 256, piece=37) == sig).all()
 
 
-def brute_repeats(rows, length):
+def brute_repeats(rows, length, keys=None):
     seen, out = set(), {}
-    for i, t in sorted(rows):
+    for i, t in sorted(set(rows), key=lambda x: (x[0], keys and keys[x[1]])):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for s in range(len(b) - length + 1):
@@ -113,16 +141,32 @@ def brute_repeats(rows, length):
                 seen.add(w)
         rest = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out[i] = (i, len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest())
-    return sorted(out.values())
+        out[i, t] = (i, len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest())
+    return sorted(out[r] for r in rows)
 
 
-def test_repeats(docs):
+def test_repeats(docs, text_keys):
     df, rows = docs
-    assert sorted(map(tuple, repeats.repeated_bytes(df).collect())) == brute_repeats(rows, 100)
-    cut = {r["doc_id"]: r for r in repeats.cut_repeats(df).collect()}
-    assert cut[1]["text"] == dict(rows)[1] and 2 not in cut and cut[5]["text"] == "" and cut[4]["text"] is None
-    assert all(r["n_chars"] == len(r["text"]) for r in cut.values() if r["text"] is not None)
+    assert sorted(map(tuple, repeats.repeated_bytes(df).collect())) == brute_repeats(rows, 100, text_keys)
+    clash = df.withColumns({k: F.lit(7) for k in ("cut_spans", "spans", "part", "text_key", "d", "a")})
+    cut = repeats.cut_repeats(clash)
+    assert cut.columns == clash.columns
+    got = [(r["doc_id"], r["text"]) for r in cut.collect()]
+    by_id = dict(got)
+    assert by_id[1] == dict(rows)[1] and 2 not in by_id and by_id[5] == "" and by_id[4] is None and sum(i == 9 for i, _ in got) == 2
+    assert all(r["n_chars"] == len(r["text"]) for r in cut.collect() if r["text"] is not None)
+
+
+def flat_spans(got):
+    return {(r["doc_id"], r["part"], k) for r in got.collect() for x in r["spans"] for k in range(x["lo"], x["last"] + 1)}
+
+
+def test_repeats_in_long_texts(docs):
+    """Texts longer than a piece give what they give as one."""
+    named = repeats.with_parts(S.boxed(docs[0]))
+    want = flat_spans(repeats.covered_spans(named))
+    for piece in (300, 5000):
+        assert flat_spans(repeats.covered_spans(named, piece_bytes=piece)) == want
 
 
 def test_repeats_of_a_short_common_passage(spark):
@@ -132,39 +176,101 @@ def test_repeats_of_a_short_common_passage(spark):
     rows = [(k, f"{words(rng, 12)} {passage} {words(rng, 12)}") for k in range(300)] + [(300 + k, f"x{k} {passage} and then the same tail {words(rng, 3, 1)} {k}") for k in range(20)]
     df = frame(spark, [(i, t, None, None) for i, t in rows])
     assert sorted(map(tuple, repeats.repeated_bytes(df).collect())) == brute_repeats(rows, 100)
-    named = df.select("doc_id", "text")
-    flat = lambda got: {(r["doc_id"], k) for r in got.collect() for x in r["spans"] for k in range(x["lo"], x["last"] + 1)}
-    want = flat(repeats.covered_spans(named))
+    named = repeats.with_parts(S.boxed(df))
+    want = flat_spans(repeats.covered_spans(named))
     for hot_runs in (0, 50):
-        assert flat(repeats.covered_spans(named, hot_runs=hot_runs)) == want
+        assert flat_spans(repeats.covered_spans(named, hot_runs=hot_runs)) == want
     (plan,) = [x for x in repeats.covered_spans(named)._jdf.queryExecution().logical().toString().splitlines() if "RepartitionByExpression" in x and "key" in x]
     assert "[a" in plan and ", key" in plan
 
 
-def test_language_model(docs):
+def brute_language_model(rows, order, rounds):
+    """Counts in dictionaries, weights by plain expectation-maximisation: {row: (n_tokens, n_known, N, base, score)}."""
+    tokens = [(i, (t or "").encode().lower().split() + ["END"]) for i, t in rows]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    rest, whole = collections.Counter(), collections.Counter()
+
+    def grams(t):
+        for k in range(len(t)):
+            padded = ["BEGIN"] * (order - 1) + t[: k + 1]
+            yield [tuple(padded[-n:]) for n in range(1, order + 1)]
+
+    begin = [0, 0]
+    for i, t in tokens:
+        if fold(i) != 2:
+            begin[1] += 1
+            begin[0] += fold(i) != 3
+            for gs in grams(t):
+                whole.update(gs)
+                if fold(i) != 3:
+                    rest.update(gs)
+
+    def stats(counts):
+        return sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+
+    def levels(gs, counts, begin, n, v, weights):
+        out = [(counts[gs[0]] / max(1, n), weights[0][0] if n else 0.0, 0)]
+        for g in gs[1:]:
+            h = begin if set(g[:-1]) == {"BEGIN"} else counts[g[:-1]]
+            bucket = int(math.log2(h)) if h else None
+            out.append((counts[g] / h if h else 0.0, weights[len(g) - 1][bucket] if h else 0.0, bucket))
+        return out, 1 / (v + 1)
+
+    weights = [[0.5]] + [[0.5] * language_model.BUCKETS for _ in range(order - 1)]
+    n, v = stats(rest)
+    for _ in range(rounds):
+        taken, reached = [collections.Counter() for _ in range(order)], [collections.Counter() for _ in range(order)]
+        for i, t in tokens:
+            if fold(i) != 3:
+                continue
+            for gs in grams(t):
+                ls, p = levels(gs, rest, begin[0], n, v, weights)
+                ps = []
+                for e, w, _ in ls:
+                    p = w * e + (1 - w) * p
+                    ps.append(p)
+                reach = 1.0
+                for k in reversed(range(order)):
+                    e, w, bucket = ls[k]
+                    got = reach * w * e / ps[k]
+                    if bucket is not None:
+                        taken[k][bucket] += got
+                        reached[k][bucket] += reach
+                    reach -= got
+        new = []
+        for k in range(order):
+            known = sorted(reached[k])
+            near = lambda b: min(known, key=lambda x: (abs(x - b), x))
+            new.append([min(max(taken[k][near(b)] / reached[k][near(b)], 1e-6), 1 - 1e-6) if known else 0.5 for b in range(len(weights[k]))])
+        weights = new
+    n, v = stats(whole)
+    out = []
+    for i, t in tokens:
+        score = 0.0
+        for gs in grams(t):
+            ls, p = levels(gs, whole, begin[1], n, v, weights)
+            for e, w, _ in ls:
+                p = w * e + (1 - w) * p
+            score += math.log10(p)
+        base = sum(math.log10((whole[(w,)] + 1) / (n + v + 1)) for w in t)
+        out.append((i, len(t), sum(whole[(w,)] > 0 for w in t), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model(docs, order):
     df, rows = docs
-    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
-    counts, n = collections.Counter(), 0
-    for i, t in tokens.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            counts.update(t)
-            n += len(t)
-    got = {r["doc_id"]: r for r in language_model.language_model_scores(df).collect()}
-    assert set(got) == set(tokens)
-    for i, t in tokens.items():
-        r = got[i]
-        base = sum(math.log10((counts[w] + 1) / (n + len(counts) + 1)) for w in t)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(counts[w] > 0 for w in t), n)
-        assert r["base_score"] == pytest.approx(base) and r["score"] < 0
-    many = sum(r["score"] for r in got.values()), sum(r["base_score"] for r in got.values())
-    assert many[0] > many[1]
+    got = sorted(tuple(r[k] for k in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")) for r in language_model.language_model_scores(df, order=order, rounds=4, tolerance=0.0, block_bytes=4000).collect())
+    want = sorted(brute_language_model(rows, order, 4))
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    for a, b in zip(got, want):
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
 def test_packing():
     x = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
     assert (language_model.unpack_sorted(language_model.pack_sorted(x)) == x).all()
     assert len(language_model.unpack(language_model.pack(np.zeros(0, np.uint64)))) == 0
-    assert language_model.em_weight(np.array([2.0, 0.0]), np.array([3.0, 1.0])) == pytest.approx(0.5, abs=1e-3)
 
 
 def test_embeddings(spark):
@@ -174,25 +280,51 @@ def test_embeddings(spark):
     for k in range(120):
         v = centre[k % 6] + 0.05 * rng.standard_normal(16) * (k % 4)
         rows.append((k, [float(x) for x in v], k % 2))
-    rows += [(200, rows[0][1], 0), (201, [0.0] * 16, 0), (202, None, 0), (203, [1.0, None] * 8, 0), (204, [float("nan")] * 16, 0), (205, rows[0][1], None), (206, [2 * x for x in rows[0][1]], 0), (207, [1.0, 2.0], 0)]
+    rows += [(200, rows[0][1], 0), (201, [0.0] * 16, 0), (202, None, 0), (203, [1.0, None] * 8, 0), (204, [float("nan")] * 16, 0), (205, rows[0][1], None), (206, [2 * x for x in rows[0][1]], 0), (207, [1.0, 2.0], 0), (None, rows[0][1], 0)]
+    # One vec_id with several vectors, and repeated rows.
+    rows += [(2, rows[3][1], 0), (2, rows[4][1], 0), (2, rows[4][1], 0), rows[5], rows[8]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("h", F.lit(1))
     stored = [(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()]
     good = [(i, np.array(v, float), l) for i, v, l in stored if l is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    find, join = union_find(i for i, _, _ in stored)
+    vectors = {(i, tuple(v), l): v for i, v, l in good if i is not None}
+    groups = {k: {k} for k in vectors}
     links = collections.Counter()
-    for i, v, a in good:
-        for j, w, b in good:
-            if i < j and a == b and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
-                links[i] += 1
-                links[j] += 1
-                join(i, j)
-    want = sorted((i, links[i], find(i), find(i) == i) for i, _, _ in stored)
+    for a in vectors:
+        for b in vectors:
+            v, w = vectors[a], vectors[b]
+            if a != b and a[2] == b[2] and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
+                links[a] += 1
+                if groups[a] is not groups[b]:
+                    groups[a] |= groups[b]
+                    for k in groups[b]:
+                        groups[k] = groups[a]
+    want = []
+    for i, v, l in stored:
+        k = (i, None if v is None else tuple(v), l)
+        c = min(x[0] for x in groups[k]) if k in vectors else i
+        want.append((i, links[k], c, i == c if i is not None else True))
     for block in (4096, 16):
-        assert sorted(map(tuple, embedding_dedup.link_embeddings(df, block_rows=block).collect())) == want
+        assert sorted(map(tuple, embedding_dedup.link_embeddings(df, block_rows=block).collect()), key=repr) == sorted(want, key=repr)
+    assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
     width, least = embedding_dedup.calibrate(0.98, 32, 2.5, 1e-6)
     assert width == pytest.approx(0.5) and 20 < least < 32
 
 
+def test_embedding_windows_prune():
+    """The windows lose no link and leave few of all pairs to be counted."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 64))
+    x[2000:] = x[:1000] + 0.08 * rng.standard_normal((1000, 64))
+    n = len(x)
+    nodes = np.arange(n)
+    for block, cross in ((np.zeros(n, int), False), (nodes % 2, True)):
+        _, links, root, counted = embedding_dedup.link_group(nodes, np.ones(n, np.int64), np.zeros(n, np.int64), block, cross, x, 0.98, 32, 2.5, 1e-6, 0, 10)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = (unit @ unit.T >= 0.98) & ~np.eye(n, dtype=bool) & (True if not cross else block[:, None] != block[None])
+        assert (links == want.sum(1)).all() and counted < 0.05 * n * (n - 1) / 2
+        assert (root == embedding_dedup.fold_links(np.arange(n), *np.nonzero(want))).all()
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License.\nReleased under the MIT-license; mit license mit license", None, None), (2, None, None, None), (3, "", None, None), (4, "éMIT license", None, None), (5, "the work is under license gnu general public, version 3 licensed this", None, None), (5, "CC   BY", None, None)]
     got = sorted(map(tuple, licenses.scan_licenses(frame(spark, rows)).collect()), key=repr)
@@ -241,9 +373,14 @@ def test_decontaminate(spark):
     got = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_leaks(df, bench).collect()}
     assert got == {1: [3], 2: [7, 52], 3: [], 4: [], 5: [], 6: []}
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(df, bench).collect()) == [3, 4, 5, 6]
-    sharded = decontaminate.judge(df, bench, shard_items=7)
-    assert {r["doc_id"]: r["leak_ids"] for r in sharded.collect()} == got
+    # Statistics are those of all items: the same scores whatever the number of shards.
+    scored = lambda **o: sorted((r["doc_id"], tuple(r["leak_ids"]), r["leak_score"]) for r in decontaminate.judge(df, bench, **o).collect())
+    assert scored(shard_items=7) == scored() == scored(shard_items=1)
     assert decontaminate.find_leaks(df, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
+    clash = df.union(df).union(df.withColumn("doc_id", F.lit(None).cast("long"))).withColumns({k: F.lit(1) for k in ("leak_ids", "leak_score", "text_key", "d", "hit_id")})
+    kept = decontaminate.drop_leaks(clash, bench)
+    assert kept.columns == clash.columns and kept.count() == 12 and kept.where("leak_score = 1").count() == 12
 
 
 def test_block_max_skips_nothing():
@@ -255,11 +392,21 @@ def test_block_max_skips_nothing():
     data = np.frombuffer(text.encode(), np.uint8)
     w, rows, _, _ = S.words_of(data, np.array([0, len(data)]), decontaminate._WORD)
     span = max(128, 2 * index.longest)
-    want = set()
+    counts, mean = [collections.Counter(decontaminate.item_words(t)[2].tolist()) for _, t in items], 30
+    df = collections.Counter(x for c in counts for x in c)
+    weight = lambda c, x: math.log(1 + (60 - df[x] + 0.5) / (df[x] + 0.5)) * c[x] * 2.2 / (c[x] + 1.2)
+    want, every = set(), set()
     for lo in range(0, len(w), span // 2):
-        for blk in range(len(index.rest)):
-            want |= {at for at, _ in index.scored(w[lo : lo + span], blk)}
-    assert {at for _, at, _ in index.found(w, rows)} == want and len(want) >= 2
+        have = set(w[lo : lo + span].tolist())
+        for k, c in enumerate(counts):
+            score = sum(weight(c, x) for x in c if x in have) / sum(weight(c, x) for x in c)
+            if score >= 0.5:
+                every.add(k)
+                want |= {k} if index.overlaps(w[lo : lo + span], index.ids.index(k)) else set()
+    assert mean == index.longest and {index.ids[at] for _, at, _ in index.found(w, rows)} == want and len(want) >= 2
+    have = np.unique(w)
+    total = {k for k, c in enumerate(counts) if sum(weight(c, x) for x in c if x in set(have.tolist())) / sum(weight(c, x) for x in c) >= 0.5}
+    assert {index.ids[at] for blk in range(len(index.rest)) for at in index.pivots(have, blk)} == total and every <= total
 
 
 def test_mixing(spark):
@@ -293,6 +440,53 @@ def test_mixing(spark):
     assert max(r["n"] / own[r["source"]] for r in used) <= 1.2 + 1e-6
 
 
+def mixture(shares, x):
+    w = np.array(shares, float) ** x
+    return w / w.sum()
+
+
+@pytest.mark.parametrize("shares,target,limit,budget", [([0.9, 0.1], 0.2, None, 1.0), ([0.5, 0.3, 0.2], 0.8, 4.0, 1.0), ([0.9, 0.07, 0.03], 0.95, 4.0, 1.0), ([0.6, 0.4], 0.5, 1.3, 1.0), ([1.0], 0.9, 2.0, 1.5), ([0.5, 0.5], 0.5, 4.0, 1.0)])
+def test_exponent(spark, shares, target, limit, budget):
+    """Against bisection in plain Python, below and above the natural mixture."""
+    entropy = lambda x: -sum(w * math.log(w) for w in mixture(shares, x) if w > 0) / math.log(len(shares))
+    most = lambda x: budget * max(w / s for w, s in zip(mixture(shares, x), shares))
+    x, met = 1.0, True
+    if len(shares) > 1:
+        lo, hi = 0.0, mixing.HIGHEST
+        if entropy(hi) >= target:
+            met = False
+        else:
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if entropy(mid) >= target else (lo, mid)
+            x = lo
+    if limit is not None and most(x) > limit:
+        met, bad, good = False, x, 1.0
+        for _ in range(200):
+            mid = (bad + good) / 2
+            bad, good = (bad, mid) if most(mid) <= limit else (mid, good)
+        x = good
+    sources = spark.createDataFrame([(s,) for s in shares], "share double")
+    got = mixing.find_exponent(sources, target, limit, budget)
+    assert got[0] == pytest.approx(x, abs=1e-6) and got[1] == met
+    with pytest.raises(ValueError):
+        mixing.find_exponent(sources, target, 1.2, 3.0)
+
+
+def test_mixing_order(spark):
+    """Blocks of an epoch follow each other by groups; weights, exponent and uses are those of the plan."""
+    rng = random.Random(7)
+    rows = [(k, words(rng, rng.randrange(1, 9)), None, "hot" if k % 3 == 0 else f"s{k % 2}") for k in range(900)] + [(5, words(rng, 3), None, "hot")]
+    got = mixing.mix_sources(frame(spark, rows), target_entropy=0.9, budget=2.5, block_docs=4, group_blocks=8).collect()
+    assert len({(r["exponent"], r["target_met"]) for r in got}) == 1
+    for s in ("hot", "s0", "s1"):
+        for e in {r["epoch"] for r in got if r["source"] == s}:
+            mine = sorted((r["token_start"], r["n_tokens"], r["block"]) for r in got if r["source"] == s and r["epoch"] == e)
+            assert all(a[0] + a[1] == b[0] for a, b in zip(mine, mine[1:])) and mine[0][0] == 0
+            runs = [k for k, x in enumerate(mine) if k == 0 or x[2] != mine[k - 1][2]]
+            assert len(runs) == len({x[2] for x in mine})
+
+
 def noisy(rng, good):
     body = words(rng, 40)
     return body.capitalize() + "." if good else " ".join(w + "!!" for w in body.upper().split())
@@ -312,6 +506,67 @@ def test_quality(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_ftrl_is_the_textbook_update():
+    """Against per-coordinate updates in dictionaries."""
+    rng = random.Random(3)
+    stream = [(np.array([*rng.sample(range(8), 3), 8]), np.array([rng.random(), 1.0, 2.0, 1.0]), float(rng.random() < 0.5)) for _ in range(60)]
+    z, n, alpha, beta, l1, l2 = collections.defaultdict(float), collections.defaultdict(float), 0.5, 1.0, 1e-4, 1e-4
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for slots, values, y in stream:
+        w = {i: weight(i) for i in slots}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(slots, values))))
+        for i, v in zip(slots, values):
+            g = (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+    w, b = quality.ftrl(iter(stream), 3)
+    assert w == pytest.approx([weight(i) for i in range(8)]) and b == pytest.approx(weight(8))
+
+
+def test_quality_features():
+    """Token shares, counted in plain Python: every feature family of a text adds up to its share of n-grams."""
+    text = "The cat, the CAT the cat, the CAT!!"
+    data = np.frombuffer(text.encode(), np.uint8)
+    rows, slots, values = quality.token_features(data, np.array([0, len(data)]))
+    tokens = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", text)
+    grams = lambda n: [tuple(t.lower() for t in tokens[k : k + n]) for k in range(len(tokens) - n + 1)]
+    again = len(grams(3)) - len(set(grams(3)))
+    n = len(tokens)
+    assert values.sum() == pytest.approx((n + n - 1 + n + n - 1 + again) / n) and (rows == 0).all()
+    one = S.words_of(np.frombuffer(b"cat", np.uint8), np.array([0, 3]))[0]
+    mine = slots == quality._slots(one, 11, quality.BITS)[0]
+    assert values[mine].sum() == pytest.approx(sum(t.lower() == "cat" for t in tokens) / n)
+
+
+def test_toxicity_counts_and_ratios(spark):
+    """Document counts per n-gram, ranking and scores against plain Python; rare n-grams count too."""
+    rng = random.Random(4)
+    rows = [(k, words(rng, 6, 30) + (f" vile brute{'zyxq' if k == 8 else ''}" if k % 4 == 0 else ""), k % 4 == 0) for k in range(60)]
+
+    def grams(text):
+        s = " " + re.sub("[^a-z]", " ", text.lower()) + " "
+        return {s[k : k + n] for n in toxicity.LENGTHS for k in range(len(s) - n + 1)}
+
+    data = np.frombuffer("".join(t for _, t, _ in rows).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for _, t, _ in rows])])
+    r, slots = toxicity.presence(data, offsets)
+    per_row = [set(slots[r == k].tolist()) for k in range(len(rows))]
+    assert [len(x) for x in per_row] == [len(grams(t)) for _, t, _ in rows]
+    pos, neg = collections.Counter(), collections.Counter()
+    for x, (_, _, bad) in zip(per_row, rows):
+        (pos if bad else neg).update(x)
+    n_pos, n_neg = sum(b for *_, b in rows), sum(not b for *_, b in rows)
+    g = {}
+    for x in {*pos, *neg}:
+        t = pos[x] + neg[x]
+        g[x] = sum(c * math.log(c / (t * m / (n_pos + n_neg))) for c, m in ((pos[x], n_pos), (neg[x], n_neg)) if c)
+    want = sorted((x for x in g if round(g[x], 9) > 0), key=lambda x: (-round(g[x], 9), x))[:200]
+    counts = spark.createDataFrame([(x, pos[x], neg[x]) for x in g], "slot long, pos int, neg int")
+    got = toxicity.strongest(counts, n_pos, n_neg, 200).collect()
+    assert [r["slot"] for r in got] == want and any(r["pos"] + r["neg"] < 3 for r in toxicity.strongest(counts, n_pos, n_neg, 10**6).collect())
+    assert toxicity.log_count_ratios(3, 1, 10, 20) == pytest.approx(math.log((4 / 12) / (2 / 22)))
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     bad = lambda: words(rng, 30).replace("w1", "idiot", 1) + " moron"
@@ -336,18 +591,70 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     alone = language.identify_language(frame(spark, [(1, "abc", None, None)])).first()
     assert alone["lang_pred"] == "und"
+    # A text of other letters is farther from every centroid than the language's own held-back texts.
+    odd = frame(spark, rows + [(300, make("jklmnop"), None, None), (None, make("abcde"), "xx", None)])
+    got = {r["doc_id"]: r for r in language.identify_language(odd, reject_as_und=True).collect()}
+    assert got[300]["rejected"] and got[300]["lang_pred"] == "und" and got[0]["lang_pred"] == "xx" and got[None]["lang_pred"] == "xx"
+
+
+def test_language_vectors():
+    """TF-IDF of byte trigrams and cosines against plain Python."""
+    texts = ["abc abd", "xyz abc, abc", "Zeé"]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    idf = np.random.default_rng(1).random(language.SLOTS).astype(np.float32)
+    x = language.vectors(np.frombuffer(data, np.uint8), offsets, idf)
+    for k, t in enumerate(texts):
+        raw = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in t.encode().lower())
+        grams = collections.Counter(raw[i : i + 3] for i in range(len(raw) - 2) if b"  " not in raw[i : i + 3])
+        want = np.zeros(language.SLOTS)
+        for gram, n in grams.items():
+            code = np.array([gram[0] << 16 | gram[1] << 8 | gram[2]], np.uint64)
+            want[int((S.mix(code) >> np.uint64(40))[0]) % language.SLOTS] += n
+        want *= idf
+        assert x[k] == pytest.approx(want / max(np.linalg.norm(want), 1e-12), abs=1e-6)
+    c = language.spherical_kmeans(x, 2)
+    assert np.linalg.norm(c, axis=1) == pytest.approx(1) and (x @ c.T).max(1).min() > 0
+
+
+def with_labels(run):
+    def call(df):
+        return run(df, df.sparkSession.createDataFrame([(3, 1, 1), (1, 0, 0), (4, None, 1)], "doc_id long, quality int, toxic int"))
+
+    return call
+
+
+def against_items(run):
+    def call(df):
+        return run(df, df.sparkSession.createDataFrame([(1, "what is it\na thing of note")], "item_id long, text string"))
+
+    return call
+
+
+EVERY = {
+    "minhash": minhash.near_duplicates, "repeats": repeats.repeated_bytes, "model": language_model.language_model_scores, "language": language.identify_language,
+    "licenses": licenses.scan_licenses, "mixing": mixing.mix_sources, "quality": with_labels(quality.classify_quality), "toxicity": with_labels(toxicity.classify_toxicity), "leaks": against_items(decontaminate.find_leaks),
+}
+STAGES = {"minhash": minhash.drop_near_duplicates, "repeats": repeats.cut_repeats, "quality": with_labels(quality.keep_quality), "leaks": against_items(decontaminate.drop_leaks)}
 
 
-@pytest.mark.parametrize("run", [minhash.near_duplicates, repeats.repeated_bytes, language_model.language_model_scores, language.identify_language])
-def test_empty_tables(spark, run):
-    assert run(frame(spark, [(1, "x", "en", "a")]).where("doc_id > 5")).count() == 0
+@pytest.mark.parametrize("name", EVERY)
+def test_edges(spark, name):
+    """Empty tables, null ids, repeated rows, one id with several texts, nulls in every column."""
+    assert EVERY[name](frame(spark, [(1, "x", "en", "a")]).where("doc_id > 5")).count() == 0
+    rows = [(None, "some words here", None, None), (None, None, None, None), (3, "a few words", "en", "a"), (3, "a few words", "en", "a"), (3, "other words", "en", "a")]
+    got = EVERY[name](frame(spark, rows)).collect()
+    assert sum(r["doc_id"] == 3 for r in got) in ((3,) if name != "mixing" else (2, 3)) and sum(r["doc_id"] is None for r in got) in ((2,) if name != "mixing" else (1,))
 
 
-@pytest.mark.parametrize("run", [minhash.near_duplicates, repeats.repeated_bytes, language_model.language_model_scores, licenses.scan_licenses, mixing.mix_sources])
-def test_null_ids_and_repeated_rows(spark, run):
-    rows = [(None, "some words here", None, None), (None, None, None, None), (3, "a few words", "en", "a"), (3, "a few words", "en", "a")]
-    got = run(frame(spark, rows)).collect()
-    assert sum(r["doc_id"] == 3 for r in got) == 2 and sum(r["doc_id"] is None for r in got) in (1, 2)
+@pytest.mark.parametrize("name", STAGES)
+def test_stage_edges(spark, name):
+    """A stage keeps the columns whatever their names, and the rows that it has no reason to drop."""
+    rows = [(None, "some words here", None, None), (None, None, None, None), (3, "a few words", "en", "a"), (4, "", "en", "a"), (3, "other words", "en", "a")]
+    df = frame(spark, rows).withColumns({k: F.lit(1) for k in ("spans", "part", "text_key", "d", "first", "score", "leak_ids")})
+    got = STAGES[name](df)
+    assert got.columns == df.columns and STAGES[name](df.limit(0)).count() == 0
+    assert name == "quality" or got.count() == 5
 
 
 def test_crossing_links_are_exact():
@@ -365,9 +672,9 @@ def test_crossing_links_are_exact():
             if comp[i] != comp[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 want.add((i, j))
     for common in (64, 2048):
-        assert set(minhash.crossing_links(sets, comp, block, 80, common)) == want
+        assert {(i, int(j)) for i, js in minhash.crossing_links(sets, comp, block, 80, common) for j in js} == want
     halves = np.arange(300) % 2
-    assert set(minhash.crossing_links(sets, comp, halves, 80)) == {(i, j) for i, j in want if halves[i] != halves[j]}
+    assert {(i, int(j)) for i, js in minhash.crossing_links(sets, comp, halves, 80) for j in js} == {(i, j) for i, j in want if halves[i] != halves[j]}
 
 
 def test_minhash_blocks(spark):
@@ -375,7 +682,7 @@ def test_minhash_blocks(spark):
     rng = random.Random(5)
     base = words(rng, 150, 5000).split()
     rows = [(k, " ".join(w if rng.random() > 0.001 * (k % 60) else f"n{rng.randrange(10**6)}" for w in base), "en", "a") for k in range(150)]
-    sets = {i: minhash.exact_set(t, 2) for i, t, _, _ in rows}
+    sets = {i: exact_set(t, 2) for i, t, _, _ in rows}
     find, join = union_find(sets)
     for i in sets:
         for j in sets:
