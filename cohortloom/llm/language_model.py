@@ -43,7 +43,8 @@ U64 = np.uint64
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 REST, DELETED, OTHER = 0, 1, 2
 BUCKETS = 48
-SPARE_BITS = 20
+SPARE_BITS = 16
+SEEN_ROWS = 1 << 15
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -275,9 +276,9 @@ def learn_weights(seen: DataFrame, order: int, n_tokens: int, n_words: int, roun
         def run(batches, now=now):
             total = [[np.zeros(len(w)), np.zeros(len(w))] for w in now.by_level]
             for batch in batches:
-                flat = {k: batch.column(k).flatten().to_numpy() for k in batch.schema.names}
-                own, contexts = [flat[f"c{n}"] for n in range(1, order + 1)], [flat[f"h{n}"] for n in range(2, order + 1)]
-                if len(own[0]):
+                for i in range(batch.num_rows):
+                    flat = {k: batch.column(k)[i].values.to_numpy() for k in batch.schema.names}
+                    own, contexts = [flat[f"c{n}"] for n in range(1, order + 1)], [flat[f"h{n}"] for n in range(2, order + 1)]
                     for into, x in zip(total, now.expected(own, contexts, flat["times"], n_tokens, n_words), strict=True):
                         into[0] += x[0]
                         into[1] += x[1]
@@ -300,7 +301,7 @@ def _bucket(contexts: np.ndarray) -> np.ndarray:
 
 
 def language_model_scores(
-    docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, order: int = 3, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, rounds: int = 20, tolerance: float = 1e-3
+    docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, order: int = 3, block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20, rounds: int = 20, tolerance: float = 1e-3
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document row.
 
@@ -338,7 +339,8 @@ def language_model_scores(
         for x in rows:
             key = S.mix(key * U64(S.MULTIPLIER) + x.astype(U64))
         _, first, times = np.unique(key, return_index=True, return_counts=True)
-        return pa.table({k: pa.array([x], pa.list_(pa.int64())) for k, x in zip(names, [*(x[first] for x in rows), times], strict=True)})
+        cuts = range(0, len(times), SEEN_ROWS)
+        return pa.table({k: pa.array([x[lo : lo + SEEN_ROWS] for lo in cuts], pa.list_(pa.int64())) for k, x in zip(names, [*(x[first] for x in rows), times], strict=True)})
 
     seen = S.written(cogroup(F.col("part") == DELETED, observe, ", ".join(f"{k} array<long>" for k in names)), "lm-deleted")
     weights = learn_weights(seen, order, n_rest, v_rest, rounds, tolerance)
