@@ -118,8 +118,9 @@ def shift_days(person_id: Column, salt: bytes, max_days: int = 180) -> Column:
         raise ValueError("max_days must not be negative")
     width = 2 * max_days + 1
     digest = hmac_sha256(salt, person_id.cast("string").cast("binary"))
-    digits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.conv(F.substring(digest, k * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return (F.aggregate(digits, F.lit(0), lambda acc, b: (acc * 256 + b) % width) - max_days).cast("int")
+    # Eight numbers of 32 bits, each weighted by the remainder of its power of two.
+    parts = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") % width * pow(2, 32 * (7 - k), width) for k in range(8)]
+    return (sum(parts[1:], parts[0]) % width - max_days).cast("int")
 
 
 def audit_token(value: Column, key: bytes, length: int = 16) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +74,17 @@ def detectable_hazard_ratio(events: Column, share: Column, alpha: float = 0.05,
     return F.exp(z / F.sqrt(events * share * (1 - share)))
 
 
+def e_value_continuous(difference: Column, sd: Column) -> Column:
+    """E-value of a mean difference, by the risk ratio exp(0.91 d) of its standardised size."""
+    return e_value(F.exp(0.91 * difference / sd))
+
+
+def detectable_rate_ratio(e1: Column, e2: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """Least detectable rate or hazard ratio above 1 at the events of both arms; null without events."""
+    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    return F.when((e1 > 0) & (e2 > 0), F.exp(z * F.sqrt(1 / e1 + 1 / e2)))
+
+
 def normal_p(z: float) -> float:
     """Two-sided p-value of a normal deviate."""
     return math.erfc(abs(z) / math.sqrt(2))
@@ -153,38 +165,67 @@ def rate_ratio(e1: int, t1: float, e2: int, t2: float, level: float = 0.95) -> d
     odds = lambda p: p / (1 - p) * t2 / t1 if p < 1 else math.inf
     low = 0.0 if e1 == 0 else solve(lambda p: 1 - beta_i(1 - p, n - e1 + 1, e1) - tail, 0.0, 1.0)
     high = 1.0 if e1 == n else solve(lambda p: beta_i(1 - p, n - e1, e1 + 1) - tail, 0.0, 1.0)
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(n + 1)]
-    p = sum(math.exp(x) for x in logs if x <= logs[e1] + 1e-9)
+    k = np.arange(n)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1)) + math.log(share) - math.log1p(-share))]) + n * math.log1p(-share)
+    p = float(np.exp(logs[logs <= logs[e1] + 1e-9]).sum())
     return {"estimate": (e1 / t1) / (e2 / t2) if e2 else None, "lower": odds(low), "upper": odds(high), "p_value": min(1.0, p)}
 
 
-def _hypergeometric(a: int, b: int, c: int, d: int) -> tuple[range, list[float]]:
+def _hypergeometric(a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Support of the first cell given the margins, and log weights up to a constant, by the ratios of neighbours."""
     rows, cols, n = a + b, a + c, a + b + c + d
-    span = range(max(0, rows + cols - n), min(rows, cols) + 1)
-    choose = lambda x, k: math.lgamma(x + 1) - math.lgamma(k + 1) - math.lgamma(x - k + 1)
-    return span, [choose(cols, k) + choose(n - cols, rows - k) for k in span]
+    span = np.arange(max(0, rows + cols - n), min(rows, cols) + 1, dtype=float)
+    k = span[:-1]
+    return span, np.concatenate([[0.0], np.cumsum(np.log((cols - k) * (rows - k)) - np.log((k + 1) * (n - rows - cols + k + 1)))])
 
 
 def fisher_exact(a: int, b: int, c: int, d: int, level: float = 0.95) -> dict[str, float | None]:
     """2x2 table (a b / c d): two-sided p, conditional odds ratio and its exact interval."""
     span, logs = _hypergeometric(a, b, c, d)
-    top = max(logs)
-    weights = [math.exp(x - top) for x in logs]
-    p = sum(w for w, x in zip(weights, logs, strict=True) if x <= logs[a - span[0]] + 1e-7) / sum(weights)
+    weights = np.exp(logs - logs.max())
+    p = weights[logs <= logs[int(a - span[0])] + 1e-7].sum() / weights.sum()
 
     def tilted(log_odds):
-        shifted = [x + k * log_odds for k, x in zip(span, logs, strict=True)]
-        m = max(shifted)
-        w = [math.exp(x - m) for x in shifted]
-        s = sum(w)
-        return [x / s for x in w]
-
-    mean = lambda t: sum(k * w for k, w in zip(span, tilted(t), strict=True))
-    upper_tail = lambda t: sum(w for k, w in zip(span, tilted(t), strict=True) if k >= a)
-    lower_tail = lambda t: sum(w for k, w in zip(span, tilted(t), strict=True) if k <= a)
+        shifted = logs + span * log_odds
+        w = np.exp(shifted - shifted.max())
+        return w / w.sum()
+
+    mean = lambda t: float(span @ tilted(t))
+    upper_tail = lambda t: float(tilted(t)[span >= a].sum())
+    lower_tail = lambda t: float(tilted(t)[span <= a].sum())
     tail = (1 - level) / 2
     at_low, at_high = a == span[0], a == span[-1]
-    estimate = 0.0 if at_low else math.inf if at_high else math.exp(solve(lambda t: mean(t) - a, -40, 40))
-    low = 0.0 if at_low else math.exp(solve(lambda t: upper_tail(t) - tail, -40, 40))
-    high = math.inf if at_high else math.exp(solve(lambda t: lower_tail(t) - tail, -40, 40))
-    return {"odds_ratio": estimate, "lower": low, "upper": high, "p_value": min(1.0, p)}
+    estimate = 0.0 if at_low else math.inf if at_high else math.exp(solve(lambda t: mean(t) - a, -40, 40, 80))
+    low = 0.0 if at_low else math.exp(solve(lambda t: upper_tail(t) - tail, -40, 40, 80))
+    high = math.inf if at_high else math.exp(solve(lambda t: lower_tail(t) - tail, -40, 40, 80))
+    return {"odds_ratio": estimate, "lower": low, "upper": high, "p_value": min(1.0, float(p))}
+
+
+def boschloo(a: int, b: int, c: int, d: int, grid: int = 64) -> float:
+    """Two-sided p-value of Boschloo's test: Fisher's one-sided p as the statistic, its chance at the worst common risk; twice the smaller side."""
+    n1, n2 = a + b, c + d
+    if (n1 + 1) * (n2 + 1) > 4_000_000:
+        raise ValueError("too many tables for the unconditional test")
+    lf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n1 + n2 + 1)))])
+    choose = lambda n, k: lf[n] - lf[k] - lf[n - k]
+    x, y = np.arange(n1 + 1), np.arange(n2 + 1)
+    fisher = np.ones((2, n1 + 1, n2 + 1))
+    for total in range(n1 + n2 + 1):
+        k = np.arange(max(0, total - n2), min(n1, total) + 1)
+        w = np.exp(choose(n1, k) + choose(n2, total - k) - choose(n1 + n2, total))
+        fisher[0, k, total - k], fisher[1, k, total - k] = np.cumsum(w), np.cumsum(w[::-1])[::-1]
+    logs = choose(n1, x)[:, None] + choose(n2, y)[None]
+    successes = x[:, None] + y[None]
+
+    def side(stat):
+        extreme = stat <= stat[a, c] * (1 + 1e-9)
+        chance = lambda r: float(np.exp(logs[extreme] + successes[extreme] * math.log(r) + (n1 + n2 - successes[extreme]) * math.log1p(-r)).sum())
+        risks = np.linspace(0, 1, grid + 2)[1:-1]
+        best = int(np.argmax([chance(r) for r in risks]))
+        low, high = (best / (grid + 1), (best + 2) / (grid + 1))
+        for _ in range(40):
+            third = (high - low) / 3
+            low, high = (low + third, high) if chance(low + third) < chance(high - third) else (low, high - third)
+        return chance((low + high) / 2)
+
+    return min(1.0, 2 * min(side(fisher[0]), side(fisher[1])))

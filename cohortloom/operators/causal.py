@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -12,36 +10,39 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.operators.design import design
+from cohortloom.operators.resample import percentile_limits, person_weights, replicate_cells
+from cohortloom.sources.tables import written
+
+SCORE_FLOOR = 1e-6
+
 
 def propensity(frame: DataFrame, exposed: str, covariates: list[str], group: str = "cohort_name") -> DataFrame:
     """frame with treated (1/0) and propensity_score: L2 logistic with C = 1, scores clipped to [1e-6, 1 - 1e-6].
 
-    Missing covariates take the median and get a flag; everything is numeric here.
+    Missing numbers take the median and get a flag; categories become dummies
+    with a level Missing; constants are dropped.
     """
-    rows = frame.withColumn("treated", (F.col(group) == exposed).cast("int"))
-    nulls = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in covariates], *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"m_{c}") for c in covariates], F.count("*").alias("n")).first()
-    used = []
-    for c in covariates:
-        if nulls[c]:
-            rows = rows.withColumn(f"_x_{c}_missing", F.col(c).isNull().cast("double"))
-            used.append(f"_x_{c}_missing")
-        rows = rows.withColumn(f"_x_{c}", F.coalesce(F.col(c).cast("double"), F.lit(nulls[f"m_{c}"])))
-        used.append(f"_x_{c}")
-    rows = VectorAssembler(inputCols=used, outputCol="_x").transform(rows)
-    model = LogisticRegression(featuresCol="_x", labelCol="treated", regParam=1.0 / nulls["n"], elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-10).fit(rows)
+    scored, _ = propensity_design(frame, exposed, covariates, group)
+    return scored.drop(*[c for c in scored.columns if c.startswith("_x_")])
+
+
+def propensity_design(frame: DataFrame, exposed: str, covariates: list[str], group: str = "cohort_name") -> tuple[DataFrame, dict[str, str]]:
+    """The scored frame with its design columns, and their terms."""
+    rows, terms = design(frame.withColumn("treated", (F.col(group) == exposed).cast("int")), covariates, "flag")
+    ready = VectorAssembler(inputCols=list(terms), outputCol="_features").transform(rows)
+    model = LogisticRegression(featuresCol="_features", labelCol="treated", regParam=1.0 / rows.count(), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-10).fit(ready)
     p = vector_to_array("probability")[1]
-    scored = model.transform(rows).withColumn("propensity_score", F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
-    return scored.select(*frame.columns, "treated", "propensity_score")
+    scored = model.transform(ready).withColumn("propensity_score", F.least(F.greatest(p, F.lit(SCORE_FLOOR)), F.lit(1 - SCORE_FLOOR)))
+    return scored.select(*frame.columns, "treated", "propensity_score", *terms), terms
 
 
 def weights(scored: DataFrame, estimand: str = "ate", trim: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """scored with weight: stabilised ATE or ATT odds weights, clipped at quantiles of all weights."""
-    p, t = F.col("propensity_score"), F.col("treated")
-    if estimand == "ate":
-        share = scored.agg(F.avg("treated").alias("_share"))
-        raw = scored.crossJoin(F.broadcast(share)).withColumn("_w", F.when(t == 1, F.col("_share") / p).otherwise((1 - F.col("_share")) / (1 - p))).drop("_share")
-    else:
-        raw = scored.withColumn("_w", F.when(t == 1, 1.0).otherwise(p / (1 - p)))
+    p, t, share = F.col("propensity_score"), F.col("treated"), F.col("_share")
+    odds = share / (1 - share) * p / (1 - p)
+    rule = F.when(t == 1, share / p).otherwise((1 - share) / (1 - p)) if estimand == "ate" else F.when(t == 1, 1.0).otherwise(odds)
+    raw = scored.crossJoin(F.broadcast(scored.agg(F.avg("treated").alias("_share")))).withColumn("_w", rule).drop("_share")
     cut = raw.agg(F.percentile("_w", F.lit(trim[0])).alias("_lo"), F.percentile("_w", F.lit(trim[1])).alias("_hi"))
     return raw.crossJoin(F.broadcast(cut)).withColumn("weight", F.least(F.greatest("_w", "_lo"), F.col("_hi"))).drop("_w", "_lo", "_hi")
 
@@ -81,8 +82,6 @@ def match(scored: DataFrame, scale: float = 0.2) -> DataFrame:
     such gaps are matched apart, each in one group: exact, but one dense run is
     one task. Offsets of the runs come from range partitions.
     """
-    from cohortloom.sources.tables import written
-
     logit = F.log(F.col("propensity_score") / (1 - F.col("propensity_score")))
     rows = scored.select("person_id", "treated", logit.alias("logit"))
     caliper = rows.agg(F.stddev_samp("logit")).first()[0] or 0.0
@@ -106,9 +105,10 @@ def match(scored: DataFrame, scale: float = 0.2) -> DataFrame:
             if not free_x:
                 break
             k = int(np.searchsorted(free_x, at))
-            best = min((j for j in (k - 1, k) if 0 <= j < len(free_x)), key=lambda j: (abs(free_x[j] - at), j))
-            while best and free_x[best - 1] == free_x[best]:
-                best -= 1
+            # Of equal scores the first has the smallest id; of equal distances the smaller id counts.
+            near = [int(np.searchsorted(free_x, free_x[k - 1]))] if k else []
+            near += [k] if k < len(free_x) else []
+            best = min(near, key=lambda j: (abs(free_x[j] - at), free_id[j]))
             if abs(free_x[best] - at) <= caliper:
                 pairs.append((i, free_id[best]))
                 del free_x[best], free_id[best]
@@ -117,15 +117,106 @@ def match(scored: DataFrame, scale: float = 0.2) -> DataFrame:
     return runs.select("run", "person_id", "treated", "logit").groupBy("run").applyInArrow(greedy, "exposed_id long, comparator_id long")
 
 
-def bootstrap_difference(weighted: DataFrame, outcome: str, replicates: int = 500, seed: int = 1, level: float = 0.95) -> tuple[float, float]:
-    """Percentile limits of the weighted difference; rows are collapsed to distinct (arm, outcome, weight) counts first."""
-    cells = weighted.where(F.col(outcome).isNotNull()).groupBy("treated", F.col(outcome).cast("double").alias("y"), F.round("weight", 6).alias("w")).agg(F.count("*").alias("n"))
-    reps = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "rep", "treated", "y", "w"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
-    draw = F.greatest(F.lit(0.0), F.col("n") + normal * F.sqrt("n"))  # Poisson counts of a cell, by their normal limit
-    m = lambda k: F.sum(F.when(F.col("treated") == k, F.col("d") * F.col("w") * F.col("y"))) / F.sum(F.when(F.col("treated") == k, F.col("d") * F.col("w")))
-    diffs = reps.withColumn("d", draw).groupBy("rep").agg((m(1) - m(0)).alias("x"))
-    tail = (1 - level) / 2
-    row = diffs.agg(F.percentile("x", F.lit(tail)), F.percentile("x", F.lit(1 - tail))).first()
-    return float(row[0]), float(row[1])
+def bootstrap_effect(scored: DataFrame, terms: list[str], outcome: str, estimand: str = "ate", trim: tuple[float, float] = (0.01, 0.99), replicates: int = 500, seed: int = 1, block: int = 500, bins: int = 512) -> DataFrame:
+    """(rep, difference, ratio): the whole adjustment in every replicate, people resampled by Poisson(1) weights.
+
+    scored holds person_id, treated, propensity_score, the design columns
+    ``terms`` and the outcome. A replicate refits the propensity model (from the
+    coefficients of all people, by Newton steps whose sums are one pass over the
+    people for all replicates of a block), makes its own weights, clips them at
+    its own quantiles (of a histogram of the log weights with ``bins`` steps,
+    refined once) and takes the weighted outcome means. Only sums reach the driver.
+    """
+    p = len(terms) + 1
+    rows = written(scored.where(F.col(outcome).isNotNull()).select(F.col("person_id").cast("long").alias("id"), F.col("treated").cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(terms)]), "resampled")
+
+    def sums(reps, size, run):
+        """For each replicate the sum over people of run(x, t, y, w), an array (replicates, size)."""
+
+        def add(batches):
+            total = np.zeros((len(reps), size))
+            for batch in batches:
+                ids, t, y, *xs = (np.asarray(c) for c in batch.columns)
+                for lo in range(0, len(ids), 2000):
+                    cut = slice(lo, lo + 2000)
+                    x = np.column_stack([np.ones(len(ids[cut])), *(c[cut] for c in xs)])
+                    total += run(x, t[cut], y[cut], person_weights(ids[cut], reps, seed))
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(list(total), pa.list_(pa.float64()))], ["rep", "v"])
+
+        each = F.array(*[F.sum(F.col("v")[k]) for k in range(size)]) if size <= 200 else None
+        got = rows.mapInArrow(add, "rep long, v array<double>")
+        if each is None:
+            flat = got.select("rep", F.posexplode("v").alias("k", "x")).groupBy("rep", "k").agg(F.sum("x").alias("x"))
+            got = flat.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
+        else:
+            got = got.groupBy("rep").agg(each.alias("v"))
+        return np.array([r["v"] for r in sorted(got.collect(), key=lambda r: r["rep"])])
+
+    def expit(eta):
+        return 1 / (1 + np.exp(-np.clip(eta, -40, 40)))
+
+    out = []
+    for first in range(0, replicates, block):
+        reps = np.arange(first, min(first + block, replicates))
+        beta, penalty = np.zeros((len(reps), p)), np.diag([0.0] + [1.0] * (p - 1))
+
+        def newton(x, t, y, w, beta):
+            q = expit(x @ beta.T)
+            score = (w * (t[:, None] - q)).T @ x
+            pairs = (x[:, :, None] * x[:, None]).reshape(len(x), -1)
+            return np.concatenate([score, (w * q * (1 - q)).T @ pairs, w.T @ np.column_stack([np.ones(len(x)), t])], 1)
+
+        for _ in range(25):
+            got = sums(reps, p + p * p + 2, lambda x, t, y, w, b=beta: newton(x, t, y, w, b))
+            share = got[:, -1] / got[:, -2]
+            score = got[:, :p] - beta @ penalty
+            step = np.linalg.solve(got[:, p:-2].reshape(-1, p, p) + penalty, score[..., None])[..., 0]
+            beta = beta + step
+            if np.abs(step).max() < 1e-7:
+                break
+
+        def raw(x, t, beta, share):
+            q = np.clip(expit(x @ beta.T), SCORE_FLOOR, 1 - SCORE_FLOOR)
+            other = (1 - share) / (1 - q) if estimand == "ate" else share / (1 - share) * q / (1 - q)
+            return np.where(t[:, None] == 1, share / q if estimand == "ate" else 1.0, other)
+
+        def histogram(x, t, w, beta, share, low, step):
+            k = np.clip(np.floor((np.log(raw(x, t, beta, share)) - low) / step), -1, bins).astype(np.int64) + 1
+            flat = k + np.arange(len(reps))[None] * (bins + 2)
+            return np.bincount(flat.ravel(), w.ravel(), minlength=len(reps) * (bins + 2)).reshape(len(reps), -1)
+
+        limits = []
+        for q in trim:
+            low, step = np.full(len(reps), -16.0), np.full(len(reps), 32.0 / bins)
+            for _ in range(3):
+                seen = np.cumsum(sums(reps, bins + 2, lambda x, t, y, w, b=beta, s=share, lo=low, d=step: histogram(x, t, w, b, s, lo, d)), 1)
+                at = np.array([np.searchsorted(c, q * (c[-1] - 1) + 1e-9, "right") for c in seen])
+                low, step = low + (np.clip(at, 1, bins) - 1) * step, step / bins
+            limits.append(np.exp(low + step * bins / 2))
+
+        def means(x, t, y, w, beta, share, floor, top):
+            v = w * np.clip(raw(x, t, beta, share), floor, top)
+            return np.column_stack([v[t == k].T @ z[t == k] for k in (1, 0) for z in (y, np.ones(len(y)))])
+
+        got = sums(reps, 4, lambda x, t, y, w, b=beta, s=share, lo=limits[0], hi=limits[1]: means(x, t, y, w, b, s, lo, hi))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            one, two = got[:, 0] / got[:, 1], got[:, 2] / got[:, 3]
+            out += [(int(r), float(a - b), float(a / b)) for r, a, b in zip(reps, one, two, strict=True)]
+    return scored.sparkSession.createDataFrame(out, "rep long, difference double, ratio double")
+
+
+def bootstrap_pairs(scored: DataFrame, pairs: DataFrame, outcome: str, replicates: int = 500, seed: int = 1, bins: int = 4096) -> tuple[float, float]:
+    """Percentile limits of the mean difference of matched pairs, pairs resampled; differences are rounded to ``bins`` equal steps of their range."""
+    y = lambda who: scored.select(F.col("person_id").alias(f"{who}_id"), F.col(outcome).cast("double").alias(who))
+    d = pairs.join(y("exposed"), "exposed_id").join(y("comparator"), "comparator_id").select((F.col("exposed") - F.col("comparator")).alias("d"))
+    low, high = d.agg(F.min("d"), F.max("d")).first()
+    if low is None:
+        raise ValueError("no matched pairs")
+    step = (high - low) / (bins - 1) or 1.0
+    cells = d.groupBy(F.round((F.col("d") - low) / step).cast("int").alias("k")).agg(F.count("*").alias("n"))
+
+    def means(columns, draws):
+        with np.errstate(invalid="ignore"):
+            return draws @ (low + step * columns["k"]) / draws.sum(1)
+
+    return percentile_limits(replicate_cells(cells, ["k"], means, replicates, seed), replicates)

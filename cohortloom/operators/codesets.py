@@ -10,22 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def match_events(events: DataFrame, code_sets: DataFrame) -> DataFrame:
-    """Events with ``code_set_name`` for each accepted code set they match, once per set.
 
-    An event matches by concept (above 0) or by source value. Two equi-joins, by
-    concept and by source value, replace the disjunctive join; an event that
-    matches both ways is dropped from the second. Null dates are kept.
+def match_events(events: DataFrame, code_sets: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Events with ``code_set_name`` for each accepted code set they match (of ``names``, if given), once per set.
+
+    An event matches by concept (above 0) or by source value. The sets' domains,
+    which are as few as the event domains, become a filter on the events, so that
+    other domains are not scanned; one pass looks up the names by concept and by
+    source value and unites them. Null dates are kept.
     """
-    accepted = code_sets.where("accepted").select("code_set_name", "domain", F.col("concept_id").alias("cs_concept"), F.col("source_value").alias("cs_source"))
-    by_concept = (accepted.where("cs_concept > 0").groupBy("code_set_name", "domain", "cs_concept").agg(F.collect_set("cs_source").alias("also")).drop("also"))
-    by_source = (accepted.where("cs_source is not null").groupBy("domain", "cs_source", "code_set_name").agg(F.collect_set("cs_concept").alias("unused")).drop("unused"))
-    concepts = (accepted.where("cs_concept > 0").groupBy("domain", "code_set_name").agg(F.collect_set("cs_concept").alias("concepts")))
-    first = events.join(by_concept, (events["domain"] == by_concept["domain"]) & (events["concept_id"] == by_concept["cs_concept"])).select(*[events[c] for c in events.columns], "code_set_name")
-    by_source = (by_source.join(concepts, ["domain", "code_set_name"], "left"))
-    second = events.join(by_source, (events["domain"] == by_source["domain"]) & (events["source_value"] == by_source["cs_source"]))
-    second = second.where(~F.coalesce(F.array_contains("concepts", events["concept_id"]), F.lit(False))).select(*[events[c] for c in events.columns], "code_set_name")
-    return first.unionByName(second)
+    accepted = code_sets.where("accepted")
+    if names is not None:
+        accepted = accepted.where(F.col("code_set_name").isin(names))
+    domains = sorted(r[0] for r in accepted.select("domain").distinct().collect())
+    of = lambda key: accepted.where(f"{key} is not null").groupBy("domain", key).agg(F.collect_set("code_set_name").alias(f"by_{key}"))
+    found = events.where(F.col("domain").isin(domains)).join(of("concept_id").where("concept_id > 0"), ["domain", "concept_id"], "left").join(of("source_value"), ["domain", "source_value"], "left")
+    none = F.array().cast("array<string>")
+    names_of = F.array_union(F.coalesce("by_concept_id", none), F.coalesce("by_source_value", none))
+    return found.select(*events.columns, F.explode(names_of).alias("code_set_name"))
 
 
 def code_set_problems(code_sets: DataFrame) -> DataFrame:

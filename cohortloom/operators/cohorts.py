@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import demographic_reason
 from cohortloom.operators.codesets import match_events
+from cohortloom.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -74,15 +75,25 @@ def criterion_counts(matched: DataFrame, indexes: DataFrame, cohorts: list[Cohor
     return counted.groupBy("cohort_name", "person_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("counts"))
 
 
+def wanted_sets(cohorts: list[Cohort]) -> list[str]:
+    """The code sets that the cohorts ask for."""
+    return sorted({c.index_set for c in cohorts if c.index_set} | {x.code_set for c in cohorts for x in (*c.inclusion, *c.exclusion)})
+
+
 def resolve_cohorts(persons: DataFrame, events: DataFrame, code_sets: DataFrame, cohorts: list[Cohort]) -> tuple[DataFrame, DataFrame]:
     """(cohort rows, attrition rows) of all cohorts.
 
     cohort: cohort_name, person_id, index_date, included, exclusion_reason.
     attrition: cohort_name, stage_order, stage, remaining, removed, detail.
+    Matched events feed index dates and counts, so they are written once.
     """
+    matched = match_events(events, code_sets, wanted_sets(cohorts)).select("person_id", "code_set_name", "event_date")
+    return resolve_matched(persons, written(matched, "matched"), cohorts)
+
+
+def resolve_matched(persons: DataFrame, matched: DataFrame, cohorts: list[Cohort]) -> tuple[DataFrame, DataFrame]:
+    """The same over events that are matched already."""
     spark = persons.sparkSession
-    wanted = sorted({c.index_set for c in cohorts if c.index_set} | {x.code_set for c in cohorts for x in (*c.inclusion, *c.exclusion)})
-    matched = match_events(events, code_sets.where(F.col("code_set_name").isin(wanted)))
     indexes = index_dates(persons, matched, cohorts)
     counts = criterion_counts(matched, indexes, cohorts)
     person = {"sex": F.col("gender_source_value"), "race": F.col("race_source_value"), "ethnicity": F.col("ethnicity_source_value"), "year_of_birth": F.col("year_of_birth")}
@@ -103,6 +114,7 @@ def resolve_cohorts(persons: DataFrame, events: DataFrame, code_sets: DataFrame,
         mine = F.col("cohort_name") == c.name
         stage, reason = F.when(mine, at).otherwise(stage), F.when(mine, why).otherwise(reason)
     judged = base.select("cohort_name", "person_id", "index_date", stage.alias("stage_order"), reason.alias("exclusion_reason"))
+    judged = written(judged, "judged")
     rows = judged.select("cohort_name", "person_id", "index_date", F.col("exclusion_reason").isNull().alias("included"), "exclusion_reason")
     listed = [(c.name, 0, "source population", None) for c in cohorts]
     listed += [(c.name, k + 1, s, d) for c in cohorts for k, (s, d) in enumerate(c.stages())]

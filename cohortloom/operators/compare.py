@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions.stats import fisher_exact, newcombe, poisson_interval, rate_ratio, z_value
+from cohortloom.functions.stats import boschloo, fisher_exact, newcombe, normal_p, poisson_interval, rate_ratio, z_value
+from cohortloom.operators.design import design
+from cohortloom.operators.resample import percentile_limits, replicate_cells
+from cohortloom.sources.tables import written
 
 
 def outcome_types(frame: DataFrame, outcomes: list[str], event_value=1) -> DataFrame:
@@ -33,12 +37,16 @@ def two_by_two(frame: DataFrame, outcomes: list[str], group: str, exposed: str,
     return t.select("*", (args[0] / args[1] - args[2] / args[3]).alias("risk_difference"), low.alias("lower"), high.alias("upper"))
 
 
-def exact_tests(tables: DataFrame) -> DataFrame:
-    """2x2 rows with odds_ratio, or_lower, or_upper, p_value of Fisher's test; one small row per outcome."""
+def exact_tests(tables: DataFrame, test_name: str = "fisher") -> DataFrame:
+    """2x2 rows with odds_ratio, or_lower, or_upper, p_value of Fisher's or Boschloo's test; one small row per outcome."""
+    if test_name not in ("fisher", "boschloo"):
+        raise ValueError(f"unknown test: {test_name}")
 
     @F.pandas_udf("odds_ratio double, or_lower double, or_upper double, p_value double")
     def test(a: pd.Series, n1: pd.Series, c: pd.Series, n2: pd.Series) -> pd.DataFrame:
         got = [fisher_exact(int(x), int(m - x), int(y), int(k - y)) for x, m, y, k in zip(a, n1, c, n2, strict=True)]
+        if test_name == "boschloo":
+            got = [g | {"p_value": boschloo(int(x), int(m - x), int(y), int(k - y))} for g, x, m, y, k in zip(got, a, n1, c, n2, strict=True)]
         return pd.DataFrame([(g["odds_ratio"], g["lower"], g["upper"], g["p_value"]) for g in got], columns=["odds_ratio", "or_lower", "or_upper", "p_value"])
 
     return tables.withColumn("_t", test("events_exposed", "n_exposed", "events_comparator", "n_comparator")).select(*tables.columns, "_t.*")
@@ -58,15 +66,25 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", by: list[str] | Non
     return raw.withColumn("q_value", F.when(ok, F.least(F.lit(1.0), F.min("_raw").over(back)))).drop("_raw", "_rank")
 
 
+def running_totals(counts: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """counts with ``<column>_before``: sums over the rows with a smaller ``by`` (distinct), from totals of range partitions and running sums inside each."""
+    ranged = written(counts.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{c}") for c in columns])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_all_{c}").over(ahead), F.lit(0)).alias(f"_ahead_{c}") for c in columns])
+    inside = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(parts, "_part")
+    return out.select(*counts.columns, *[(F.col(f"_ahead_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in columns])
+
+
 def rank_sums(frame: DataFrame, value: str, group: str, exposed: str, comparator: str) -> DataFrame:
     """One row (n1, n2, u, z) of the Mann-Whitney test with average ranks and tie correction.
 
-    Ranks come from counts per distinct value; the running sum goes over those.
+    Ranks come from counts per distinct value and their running totals.
     """
     one, two = F.col(group) == exposed, F.col(group) == comparator
     counts = frame.where(F.col(value).isNotNull() & (one | two)).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(one).alias("a"), F.count("*").alias("t"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("a", "t", (F.sum("t").over(before) - F.col("t") + (F.col("t") + 1) / 2).alias("rank"))
+    ranked = running_totals(counts, "v", ["t"]).select("a", "t", (F.col("t_before") + (F.col("t") + 1) / 2).alias("rank"))
     t = F.col("t").cast("double")
     s = ranked.agg(F.sum("a").cast("double").alias("n1"), F.sum("t").cast("double").alias("n"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n = F.col("n1"), F.col("n")
@@ -76,34 +94,85 @@ def rank_sums(frame: DataFrame, value: str, group: str, exposed: str, comparator
     return s.select(n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("u"), F.when(sd > 0, (u - n1 * n2 / 2) / sd).alias("z"))
 
 
-def permutation_p(frame: DataFrame, value: str, group: str, exposed: str, iterations: int = 10_000, seed: int = 1, chunk: int = 100) -> float:
-    """(extreme + 1) / (iterations + 1) of the mean difference under relabelling by hash order.
+def permutation_p(frame: DataFrame, value: str, group: str, exposed: str, iterations: int = 10_000, seed: int = 1, bins: int = 4096) -> float:
+    """(extreme + 1) / (iterations + 1) of the mean difference under relabelling.
+
+    A relabelling gives the exposed group a multivariate hypergeometric draw from
+    the counts per value, so only those are held; more distinct values than
+    ``bins`` are rounded to as many equal steps.
+    """
+    rows = frame.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), (F.col(group) == exposed).alias("one"))
+    low, high, distinct, n, n1 = rows.agg(F.min("v"), F.max("v"), F.approx_count_distinct("v"), F.count("*"), F.count_if("one")).first()
+    if not 0 < n1 < n:
+        raise ValueError("both groups need a value")
+    step = (high - low) / (bins - 1) or 1.0
+    v = F.col("v") if distinct <= bins // 2 else low + F.round((F.col("v") - low) / step) * step
+    cells = written(rows.groupBy(v.alias("v")).agg(F.count("*").alias("n"), F.count_if("one").alias("a")), "cells")
+    total, top = cells.agg(F.sum(F.col("v") * F.col("n")), F.sum(F.col("v") * F.col("a"))).first()
+    observed = abs(top / n1 - (total - top) / (n - n1))
+
+    def extreme(columns, draws):
+        tops = draws @ columns["v"]
+        return np.abs(tops / n1 - (total - tops) / (n - n1)) >= observed - 1e-12
+
+    draw = lambda generator, counts, size: generator.multivariate_hypergeometric(counts, n1, size, method="marginals")
+    return (replicate_cells(cells.select("v", "n"), ["v"], extreme, iterations, seed, draw=draw).agg(F.sum("x")).first()[0] + 1) / (iterations + 1)
+
+
+def value_cells(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, bins: int) -> tuple[DataFrame, float, float]:
+    """(cells (g, v, n), low, step): counts per arm and distinct value, or per arm and one of ``bins`` equal steps where values are more."""
+    one, two = F.col(group) == exposed, F.col(group) == comparator
+    rows = frame.where(F.col(value).isNotNull() & (one | two)).select(one.cast("int").alias("g"), F.col(value).cast("double").alias("v"))
+    facts = rows.agg(F.min("v"), F.max("v"), F.approx_count_distinct("v")).first()
+    low, high = facts[0] or 0.0, facts[1] or 0.0
+    step = (high - low) / (bins - 1) or 1.0
+    exact = facts[2] <= bins // 2
+    v = F.col("v") if exact else low + F.round((F.col("v") - low) / step) * step
+    return rows.groupBy("g", v.alias("v")).agg(F.count("*").alias("n")), low, step
+
 
-    Each replicate takes the n1 people with the smallest hash of (seed,
-    replicate, person); the cut is the exact order statistic per replicate.
+def hodges_lehmann(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, bins: int = 2048) -> DataFrame:
+    """One row (shift): median of all pairwise differences, over counts of distinct values, of which each arm has ``bins`` at most.
+
+    More distinct values than half of ``bins`` are rounded to ``bins`` equal steps
+    of the range, so the shift is then off by one step at most.
     """
-    rows = frame.where(F.col(value).isNotNull()).select("person_id", F.col(value).cast("double").alias("v"), (F.col(group) == exposed).alias("one"))
-    s = rows.agg(F.count("*").alias("n"), F.count_if("one").alias("n1"), F.sum("v").alias("all"), F.sum(F.when(F.col("one"), F.col("v"))).alias("s1")).first()
-    n, n1 = s["n"], s["n1"]
-    diff = lambda top: top / n1 - (s["all"] - top) / (n - n1)
-    observed, extreme = abs(diff(s["s1"])), 0
-    for lo in range(0, iterations, chunk):
-        reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(lo), F.lit(min(lo + chunk, iterations) - 1)))).withColumn("h", F.xxhash64(F.lit(seed), "rep", "person_id"))
-        order = Window.partitionBy("rep").orderBy("h", "person_id")
-        sums = reps.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n1).groupBy("rep").agg(F.sum("v").alias("top"))
-        extreme += sum(abs(diff(r["top"])) >= observed - 1e-12 for r in sums.collect())
-    return (extreme + 1) / (iterations + 1)
-
-
-def hodges_lehmann(frame: DataFrame, value: str, group: str, exposed: str, comparator: str) -> DataFrame:
-    """One row (shift): median of all pairwise differences, over distinct values with counts."""
-    counts = frame.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    a = counts.where(F.col("g") == exposed).select(F.col("v").alias("x"), F.col("c").alias("cx"))
-    b = counts.where(F.col("g") == comparator).select(F.col("v").alias("y"), F.col("c").alias("cy"))
-    pairs = a.crossJoin(b).groupBy((F.col("x") - F.col("y")).alias("d")).agg(F.sum(F.col("cx") * F.col("cy")).alias("w"))
+    counts, _, _ = value_cells(frame, value, group, exposed, comparator, bins)
+    a = counts.where("g = 1").select(F.col("v").alias("x"), F.col("n").alias("cx"))
+    b = counts.where("g = 0").select(F.col("v").alias("y"), F.col("n").alias("cy"))
+    # Two sides of at most ``bins`` rows each.
+    pairs = a.crossJoin(b).groupBy(F.round(F.col("x") - F.col("y"), 12).alias("d")).agg(F.sum(F.col("cx") * F.col("cy")).alias("w"))
     return pairs.agg(F.percentile("d", F.lit(0.5), F.col("w")).alias("shift"))
 
 
+def hodges_lehmann_limits(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, replicates: int = 2000, seed: int = 1, level: float = 0.95, bins: int = 1024) -> tuple[float, float]:
+    """Percentile bootstrap limits of the shift, both arms resampled; values are rounded to ``bins`` equal steps of the range."""
+    one, two = F.col(group) == exposed, F.col(group) == comparator
+    rows = frame.where(F.col(value).isNotNull() & (one | two)).select(one.cast("int").alias("g"), F.col(value).cast("double").alias("v"))
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    step = (high - low) / (bins - 1) or 1.0
+    cells = rows.groupBy("g", F.round((F.col("v") - low) / step).cast("int").alias("k")).agg(F.count("*").alias("n"))
+
+    def shifts(columns, draws):
+        arms = np.zeros((2, len(draws), bins))
+        for arm in (0, 1):
+            at = columns["g"] == arm
+            arms[arm][:, columns["k"][at]] = draws[:, at]
+        out = []
+        for y, x in zip(arms[0], arms[1], strict=True):
+            # Pairs by difference: a correlation of the counts by fast Fourier transform.
+            size = 2 * bins
+            pairs = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+            pairs = np.rint(np.concatenate([pairs[bins + 1 :], pairs[:bins]]))
+            total = pairs.sum()
+            reach = np.cumsum(pairs)
+            ends = [int(np.searchsorted(reach, k + 0.5)) for k in ((total - 1) // 2, total // 2)]
+            out.append((sum(ends) / 2 - (bins - 1)) * step if total else np.nan)
+        return out
+
+    return percentile_limits(replicate_cells(cells, ["g", "k"], shifts, replicates, seed), replicates, level)
+
+
 def incidence(frame: DataFrame, outcome: DataFrame, unit_days: float = 365.25, scale: float = 1000.0, group: str = "cohort_name") -> DataFrame:
     """(group, n, events, person_time, rate): all events from index to observation end over the time in that span."""
     key = ["cohort_name", "person_id", "index_date"]
@@ -139,29 +208,59 @@ def covariate_patterns(frame: DataFrame, outcome: str, covariates: list[str]) ->
 
 
 def firth(patterns: DataFrame, covariates: list[str], rounds: int = 500, tolerance: float = 1e-8) -> list[dict]:
-    """Jeffreys-penalised logistic regression over covariate patterns: (term, estimate, lower, upper) with Wald limits.
+    """Jeffreys-penalised logistic regression over covariate patterns: (term, estimate, lower, upper, p_value) with Wald limits.
 
-    Patterns are few by construction of the design; each Newton step needs only
-    the p x p information and the modified score. Rank-deficient designs and
-    fewer rows than parameters are refused.
+    Each Newton step is two aggregations over the patterns, to the p x p
+    information and to the modified score. Rank-deficient designs and fewer rows
+    than parameters are refused.
     """
-    got = patterns.select(*[F.col(c).cast("double").alias(c) for c in covariates], "n", "events").toPandas()
-    x = np.column_stack([np.ones(len(got)), *[got[c].to_numpy() for c in covariates]])
-    n, y = got["n"].to_numpy(float), got["events"].to_numpy(float)
-    if np.linalg.matrix_rank(x) < x.shape[1] or n.sum() <= x.shape[1]:
+    p = len(covariates) + 1
+    patterns = written(patterns.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(covariates)], F.col("n").cast("double").alias("n"), F.col("events").cast("double").alias("events")), "patterns")
+
+    def sums(run, size: int) -> np.ndarray:
+        """The sum over all patterns of run(x, n, events), a vector of ``size``."""
+
+        def add(batches):
+            total = np.zeros(size)
+            for batch in batches:
+                cols = [np.asarray(c) for c in batch.columns]
+                total += run(np.column_stack([np.ones(batch.num_rows), *cols[:-2]]), cols[-2], cols[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["k", "v"])
+
+        out = np.zeros(size)
+        for r in patterns.mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            out[r["k"]] = r["v"]
+        return out
+
+    gram = sums(lambda x, n, y: np.append((x.T @ (x * n[:, None])).ravel(), n.sum()), p * p + 1)
+    if np.linalg.matrix_rank(gram[:-1].reshape(p, p)) < p or gram[-1] <= p:
         raise ValueError("the design is rank-deficient or has too few rows")
-    beta = np.zeros(x.shape[1])
+    beta = np.zeros(p)
+
+    def information(x, n, y, beta):
+        q = 1 / (1 + np.exp(-x @ beta))
+        return (x.T @ (x * (n * q * (1 - q))[:, None])).ravel()
+
+    def modified_score(x, n, y, beta, inverse):
+        q = 1 / (1 + np.exp(-x @ beta))
+        hat = q * (1 - q) * np.einsum("ij,jk,ik->i", x, inverse, x)
+        return x.T @ (y - n * q + n * hat * (0.5 - q))
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ beta))
-        w = n * p * (1 - p)
-        info = x.T @ (x * w[:, None])
-        inverse = np.linalg.inv(info)
-        hat = w / n * np.einsum("ij,jk,ik->i", x, inverse, x)
-        score = x.T @ (y - n * p + n * hat * (0.5 - p))
-        step = inverse @ score
+        inverse = np.linalg.inv(sums(lambda x, n, y, b=beta: information(x, n, y, b), p * p).reshape(p, p))
+        step = inverse @ sums(lambda x, n, y, b=beta, i=inverse: modified_score(x, n, y, b, i), p)
         step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         beta = beta + step
         if np.abs(step).max() < tolerance:
             break
-    se, z = np.sqrt(np.diag(np.linalg.inv(info))), z_value()
-    return [{"term": t, "estimate": float(b), "lower": float(b - z * s), "upper": float(b + z * s)} for t, b, s in zip(["intercept", *covariates], beta, se, strict=True)]
+    se, z = np.sqrt(np.diag(inverse)), z_value()
+    return [{"term": t, "estimate": float(b), "lower": float(b - z * s), "upper": float(b + z * s), "p_value": normal_p(b / s)} for t, b, s in zip(["intercept", *covariates], beta, se, strict=True)]
+
+
+def adjusted_odds_ratio(frame: DataFrame, outcome: str, group: str, exposed: str, covariates: list[str]) -> dict:
+    """Firth's odds ratio of the exposure among complete rows, categories as dummies."""
+    rows = frame.where(F.col(outcome).isNotNull() & F.col(group).isNotNull()).withColumn("_exposed", (F.col(group) == exposed).cast("double"))
+    coded, terms = design(rows, covariates)
+    columns = ["_exposed", *terms]
+    got = firth(covariate_patterns(coded, outcome, columns), columns)[1]
+    return {k: float(np.exp(got[k])) for k in ("estimate", "lower", "upper")} | {"p_value": got["p_value"]}

@@ -74,6 +74,8 @@ def audit_policy(tables: dict[str, DataFrame]) -> DataFrame:
             sums = df.agg(*[F.count_if(bad).alias(f.name) for f, bad in checks])
             rows = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.action).alias("action"), F.col(f.name).alias("violations")) for f, _ in checks]))
             parts.append(sums.select(F.lit(table).alias("table"), rows.alias("x")).select("table", "x.*"))
+    if not parts:  # no table with a rule to break
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "table string, column string, action string, violations long")
     return reduce(DataFrame.unionByName, parts).where("violations > 0")
 
 

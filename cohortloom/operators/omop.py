@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom import schemas
@@ -71,16 +71,64 @@ def unpack_table(responses: DataFrame, table: str) -> DataFrame:
 
 def sidecars(responses: DataFrame) -> dict[str, DataFrame]:
     """mappings, dropped and coverage rows stamped with patient and vocabulary version."""
-    maps = responses.select("source_patient_id", "vocab_version", F.explode("mappings").alias("r")).select("source_patient_id", "r.*", "vocab_version")
-    dropped = responses.select("source_patient_id", F.explode("dropped").alias("r")).select("source_patient_id", "r.*")
+    of = lambda name: responses.select("source_patient_id", "vocab_version", F.explode(name).alias("r")).select("source_patient_id", "r.*", "vocab_version")
     coverage = responses.select("source_patient_id", "summary.*", "vocab_version")
-    return {"mapping": maps, "dropped": dropped, "coverage": coverage}
+    return {"mapping": of("mappings"), "dropped": of("dropped"), "coverage": coverage}
+
+
+def read_responses(spark: SparkSession, schema: str, raw: str, enriched: str | None = None) -> DataFrame:
+    """Mapping responses, one JSON file per patient; an enriched file overrides the raw one of the same name."""
+    read = lambda path: spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file_name", F.col("_metadata.file_name"))
+    first = read(raw)
+    return latest_responses(first, read(enriched) if enriched else first.limit(0))
 
 
 def latest_responses(raw: DataFrame, enriched: DataFrame) -> DataFrame:
-    """One response per file name; an enriched one overrides the raw one."""
-    both = raw.withColumn("rank", F.lit(1)).unionByName(enriched.withColumn("rank", F.lit(0)))
-    return both.withColumn("k", F.row_number().over(Window.partitionBy("file_name").orderBy("rank"))).where("k = 1").drop("rank", "k")
+    """One response per file name; an enriched one overrides the raw one, and of several the one with the smallest bundle hash stands."""
+    both = raw.withColumn("_rank", F.lit(1)).unionByName(enriched.withColumn("_rank", F.lit(0)))
+    order = Window.partitionBy("file_name").orderBy("_rank", *(["bundle_hash"] if "bundle_hash" in both.columns else []))
+    return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_rank", "_k")
+
+
+def resource_provenance(resources: DataFrame) -> DataFrame:
+    """(resource_type, resource_id, origin, document_hash, doc_ref_id, source_pages) from the tags of resources; enriched where a tag says so."""
+    tags = F.from_json(F.get_json_object("body", "$.meta.tag"), "array<struct<system: string, code: string>>")
+    rows = resources.where("resource_type is not null and id is not null").select("resource_type", F.col("id").alias("resource_id"), F.coalesce(tags, F.array().cast("array<struct<system:string,code:string>>")).alias("tags"))
+    system, code = (lambda t: F.lower(F.coalesce(t["system"], F.lit("")))), (lambda t: F.coalesce(t["code"], F.lit("")))
+
+    def value(part, *prefixes):
+        """The code of a tag of this system, or what follows a prefix of a code; the last tag counts."""
+        fits = lambda t: F.lower(code(t)).rlike(f"^(?:{'|'.join(prefixes)})")
+        found = F.filter("tags", lambda t: system(t).contains(part) | fits(t))
+        last = F.element_at(found, -1)
+        return F.when(F.size(found) > 0, F.when(fits(last), F.regexp_replace(code(last), f"(?i)^(?:{'|'.join(prefixes)})", "")).otherwise(code(last)))
+
+    told = {"document_hash": value("document-hash", "document-hash:", "document_hash:"), "doc_ref_id": value("document-reference", "doc-ref:", "doc_ref_id:"), "source_pages": value("source-pages", "source-pages:", "source_pages:")}
+    marked = F.exists("tags", lambda t: ((system(t) == "origin") | system(t).endswith("/origin")) & (F.lower(code(t)) == "enriched"))
+    marked = marked | F.exists("tags", lambda t: system(t).contains("provenance") & F.lower(code(t)).isin("enriched", "generated"))
+    rows = rows.withColumns(told)
+    enriched = marked | F.coalesce("document_hash", "doc_ref_id", "source_pages").isNotNull()
+    return rows.select("resource_type", "resource_id", F.when(enriched, "enriched").otherwise("structured").alias("origin"), *told)
+
+
+def row_provenance(mapping: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(omop_table, omop_id, origin, resource_type, resource_id, document_hash, doc_ref_id, source_pages): one row per mapped row, an enriched resource before others, then by id."""
+    joined = mapping.select("omop_table", "omop_id", "resource_type", "resource_id").join(provenance, ["resource_type", "resource_id"], "left").withColumn("origin", F.coalesce("origin", F.lit("structured")))
+    rest = ["origin", "resource_type", "resource_id", "document_hash", "doc_ref_id", "source_pages"]
+    best = F.min_by(F.struct(*rest), F.struct((F.col("origin") != "enriched").cast("int"), "resource_type", "resource_id"))
+    return joined.groupBy("omop_table", "omop_id").agg(best.alias("x")).select("omop_table", "omop_id", "x.*")
+
+
+def outside_block(responses: DataFrame, names: list[str]) -> Column:
+    """Whether any id of a patient's rows leaves the block."""
+    out = F.lit(False)
+    for name in names:
+        field = name.split(".")[1]
+        held = {f.name for f in responses.schema["tables"].dataType[field].dataType.elementType}
+        ids = sorted(held & (set(schemas.id_columns(name)) | {"person_id"}))
+        for c in ids:
+            out = out | F.coalesce(F.exists(F.col(f"tables.{field}.{c}"), lambda v: F.coalesce((v < 0) | (v >= BLOCK), F.lit(False))), F.lit(False))
+    return out
 
 
 def with_status(events: DataFrame, mapping: DataFrame, provenance: DataFrame, table: str) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.stats import chi2_p_1df, normal_p, z_value
+from cohortloom.operators.compare import running_totals
+from cohortloom.operators.design import design
+from cohortloom.operators.resample import percentile_limits, replicate_cells
 from cohortloom.operators.windows import first_event_from_index, with_observation
 
 
@@ -74,13 +77,43 @@ def kaplan_meier(data: DataFrame, group: str = "group", level: float = 0.95) ->
 
 
 def restricted_mean(curve: DataFrame, horizon: float) -> DataFrame:
-    """(group, rmst): area under each curve up to the horizon."""
+    """(group, rmst): area under each curve up to the horizon; a horizon beyond a group's last time is refused."""
     if horizon <= 0:
         raise ValueError("the horizon must be positive")
     order = Window.partitionBy("group").orderBy("time", F.desc("survival"))
     stop = F.least(F.coalesce(F.lead("time").over(order), F.lit(float(horizon))), F.lit(float(horizon)))
-    area = curve.select("group", "survival", F.greatest(F.lit(0.0), stop - F.col("time")).alias("width"))
-    return area.groupBy("group").agg(F.sum(F.col("width") * F.col("survival")).alias("rmst"))
+    area = curve.select("group", "survival", "time", F.greatest(F.lit(0.0), stop - F.col("time")).alias("width"))
+    rmst = F.sum(F.col("width") * F.col("survival"))
+    refused = F.raise_error(F.lit("the horizon lies beyond the last time of a group")).cast("double")
+    return area.groupBy("group").agg(F.when(F.max("time") >= horizon, rmst).otherwise(refused).alias("rmst"))
+
+
+def rmst_difference_limits(data: DataFrame, exposed: str, comparator: str, horizon: float, group: str = "group", replicates: int = 1000, seed: int = 1, level: float = 0.95) -> tuple[float, float]:
+    """Percentile bootstrap limits of the RMST difference, both groups resampled.
+
+    Cells are people per group, day and event: as few as the days of follow-up.
+    """
+    known = F.col(group).isin(exposed, comparator)
+    cells = data.where(known).groupBy((F.col(group) == exposed).cast("int").alias("g"), F.least("duration", F.lit(float(horizon))).alias("time"), F.when(F.col("duration") <= horizon, F.col("event")).otherwise(0).alias("event")).agg(F.count("*").alias("n"))
+
+    def area(time, event, n):
+        """RMST of every replicate (rows of n) from cells in ascending time."""
+        times, at = np.unique(time, return_inverse=True)
+        all_n, died = np.zeros((len(n), len(times))), np.zeros((len(n), len(times)))
+        for k in range(len(time)):
+            all_n[:, at[k]] += n[:, k]
+            died[:, at[k]] += n[:, k] * (event[k] == 1)
+        risk = np.cumsum(all_n[:, ::-1], 1)[:, ::-1]
+        left = np.cumprod(1 - died / np.maximum(risk, 1), 1)
+        survival = np.concatenate([np.ones((len(n), 1)), left], 1)
+        out = (survival * np.diff(np.concatenate([[0.0], times, [horizon]]))).sum(1)
+        return np.where(all_n.sum(1) > 0, out, np.nan)
+
+    def differences(columns, draws):
+        first = columns["g"] == 1
+        return area(columns["time"][first], columns["event"][first], draws[:, first]) - area(columns["time"][~first], columns["event"][~first], draws[:, ~first])
+
+    return percentile_limits(replicate_cells(cells, ["g", "time", "event"], differences, replicates, seed), replicates, level)
 
 
 def median_survival(curve: DataFrame) -> DataFrame:
@@ -93,10 +126,11 @@ def log_rank(data: DataFrame, exposed: str, group: str = "group") -> DataFrame:
     """One row (observed, expected, variance, statistic) of the two-group log-rank test."""
     one = (F.col(group) == exposed).cast("long")
     counts = data.groupBy("duration").agg(
-        F.count("*").alias("n"), F.sum(one).alias("n1"), F.sum(F.col("event").cast("long")).alias("d"), F.sum(F.col("event").cast("long") * one).alias("d1")
+        F.count("*").alias("c"), F.sum(one).alias("c1"), F.sum(F.col("event").cast("long")).alias("d"), F.sum(F.col("event").cast("long") * one).alias("d1")
     )
-    later = Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each distinct time
-    r = counts.select("d", "d1", F.sum("n").over(later).cast("double").alias("n"), F.sum("n1").over(later).cast("double").alias("n1")).where("d > 0")
+    # At risk: those whose time is the same or later, that is, has no later negative time.
+    counts = running_totals(counts.withColumn("back", -F.col("duration")), "back", ["c", "c1"])
+    r = counts.select("d", "d1", (F.col("c") + F.col("c_before")).cast("double").alias("n"), (F.col("c1") + F.col("c1_before")).cast("double").alias("n1")).where("d > 0")
     sums = r.agg(
         F.sum("d1").cast("double").alias("observed"),
         F.sum(F.col("d") * F.col("n1") / F.col("n")).alias("expected"),
@@ -111,52 +145,81 @@ def log_rank_p(row) -> float:
 
 
 def cox(data: DataFrame, covariates: list[str], ridge: float = 0.0, rounds: int = 50, tolerance: float = 1e-9) -> list[dict]:
-    """Cox regression by Newton steps with Efron ties: (term, estimate, lower, upper, p_value) as hazard ratios.
+    """Cox regression by Newton steps with Efron ties: (term, estimate, lower, upper, p_value, ph_statistic, ph_p_value) with hazard ratios.
 
     Each step is one aggregation to sums per distinct time; the driver sees
     those sums. ridge penalises the sum of squared coefficients times half the
-    number of rows.
+    number of rows. Categories become dummies; incomplete rows are left out. The
+    ph columns test proportional hazards: scaled Schoenfeld residuals against the
+    rank of the event times, deaths at one time sharing their mean rank.
     """
-    p = len(covariates)
-    rows = data.select("duration", F.col("event").cast("int").alias("event"), *[F.col(c).cast("double").alias(c) for c in covariates])
+    rows, terms = design(data, covariates)
+    columns = list(terms)
+    p = len(columns)
+    rows = rows.select("duration", F.col("event").cast("int").alias("event"), *columns)
     n = rows.count()
     beta = np.zeros(p)
-    info = np.eye(p)
     for _ in range(rounds):
-        eta = sum((F.col(c) * float(b) for c, b in zip(covariates, beta, strict=True)), F.lit(0.0))
-        w = F.exp(eta)
-        cols = [F.sum(w).alias("s0"), F.sum(F.col("event")).alias("d"), F.sum(F.when(F.col("event") == 1, w).otherwise(0.0)).alias("t0")]
-        for i, a in enumerate(covariates):
-            cols += [F.sum(w * F.col(a)).alias(f"s1_{i}"), F.sum(F.when(F.col("event") == 1, w * F.col(a)).otherwise(0.0)).alias(f"t1_{i}"), F.sum(F.when(F.col("event") == 1, F.col(a)).otherwise(0.0)).alias(f"x_{i}")]
-            for j in range(i, p):
-                cols += [F.sum(w * F.col(a) * F.col(covariates[j])).alias(f"s2_{i}_{j}"), F.sum(F.when(F.col("event") == 1, w * F.col(a) * F.col(covariates[j])).otherwise(0.0)).alias(f"t2_{i}_{j}")]
-        at = rows.groupBy("duration").agg(*cols).orderBy(F.desc("duration")).toPandas()
-        s0 = at["s0"].cumsum().to_numpy()
-        s1 = np.stack([at[f"s1_{i}"].cumsum() for i in range(p)], 1)
-        t1 = np.stack([at[f"t1_{i}"] for i in range(p)], 1)
-        x = np.stack([at[f"x_{i}"] for i in range(p)], 1)
-        s2, t2 = np.zeros((len(at), p, p)), np.zeros((len(at), p, p))
-        for i in range(p):
-            for j in range(i, p):
-                s2[:, i, j] = s2[:, j, i] = at[f"s2_{i}_{j}"].cumsum()
-                t2[:, i, j] = t2[:, j, i] = at[f"t2_{i}_{j}"]
-        score, info = -ridge * n * beta, ridge * n * np.eye(p)
-        for k in np.flatnonzero(at["d"].to_numpy() > 0):
-            d = int(at["d"][k])
-            score = score + x[k]
-            for m in range(d):
-                f = m / d
-                z0 = s0[k] - f * at["t0"][k]
-                z1 = (s1[k] - f * t1[k]) / z0
-                score = score - z1
-                info = info + (s2[k] - f * t2[k]) / z0 - np.outer(z1, z1)
+        at = _sums_by_time(rows, columns, beta)
+        score, info, residuals, deaths = _efron(at, p)
+        score, info = score - ridge * n * beta, info + ridge * n * np.eye(p)
         step = np.linalg.solve(info, score)
         beta = beta + step
         if np.abs(step).max() < tolerance:
             break
-    se = np.sqrt(np.diag(np.linalg.inv(info)))
-    z = z_value()
+    variance = np.linalg.inv(info)
+    se, z = np.sqrt(np.diag(variance)), z_value()
+    ph = _rank_test(residuals, deaths, variance)
     return [
-        {"term": c, "estimate": math.exp(b), "lower": math.exp(b - z * s), "upper": math.exp(b + z * s), "p_value": normal_p(b / s)}
-        for c, b, s in zip(covariates, beta, se, strict=True)
+        {"term": terms[c], "estimate": math.exp(b), "lower": math.exp(b - z * s), "upper": math.exp(b + z * s), "p_value": normal_p(b / s), "ph_statistic": float(t), "ph_p_value": chi2_p_1df(float(t))}
+        for c, b, s, t in zip(columns, beta, se, ph, strict=True)
     ]
+
+
+def _sums_by_time(rows: DataFrame, columns: list[str], beta: np.ndarray):
+    """Per distinct time, latest first: sums of w, w x and w x x' over everyone (s) and over deaths (t), of x over deaths, and deaths d; w = exp(x beta)."""
+    eta = sum((F.col(c) * float(b) for c, b in zip(columns, beta, strict=True)), F.lit(0.0))
+    w, died = F.exp(eta), F.col("event") == 1
+    cols = [F.sum(w).alias("s0"), F.sum(F.col("event")).alias("d"), F.sum(F.when(died, w).otherwise(0.0)).alias("t0")]
+    for i, a in enumerate(columns):
+        cols += [F.sum(w * F.col(a)).alias(f"s1_{i}"), F.sum(F.when(died, w * F.col(a)).otherwise(0.0)).alias(f"t1_{i}"), F.sum(F.when(died, F.col(a)).otherwise(0.0)).alias(f"x_{i}")]
+        for j in range(i, len(columns)):
+            product = w * F.col(a) * F.col(columns[j])
+            cols += [F.sum(product).alias(f"s2_{i}_{j}"), F.sum(F.when(died, product).otherwise(0.0)).alias(f"t2_{i}_{j}")]
+    return rows.groupBy("duration").agg(*cols).orderBy(F.desc("duration")).toPandas()
+
+
+def _efron(at, p: int):
+    """Score, information, and at each time with deaths the summed Schoenfeld residuals and the deaths; latest time first."""
+    s0, t0 = at["s0"].cumsum().to_numpy(), at["t0"].to_numpy()
+    vector = lambda name, total: np.stack([at[f"{name}_{i}"].cumsum() if total else at[f"{name}_{i}"] for i in range(p)], 1)
+    s1, t1, x = vector("s1", True), vector("t1", False), vector("x", False)
+    s2, t2 = np.zeros((len(at), p, p)), np.zeros((len(at), p, p))
+    for i in range(p):
+        for j in range(i, p):
+            s2[:, i, j] = s2[:, j, i] = at[f"s2_{i}_{j}"].cumsum()
+            t2[:, i, j] = t2[:, j, i] = at[f"t2_{i}_{j}"]
+    info, residuals, deaths = np.zeros((p, p)), [], []
+    for k in np.flatnonzero(at["d"].to_numpy() > 0):
+        # All deaths of one time at once: fractions f of the dying are taken out of the risk set.
+        d = int(at["d"].iloc[k])
+        f = np.arange(d) / d
+        z0 = s0[k] - f * t0[k]
+        z1 = (s1[k] - f[:, None] * t1[k]) / z0[:, None]
+        info += s2[k] * (1 / z0).sum() - t2[k] * (f / z0).sum() - z1.T @ z1
+        residuals.append(x[k] - z1.sum(0))
+        deaths.append(d)
+    residuals = np.array(residuals).reshape(-1, p)
+    return residuals.sum(0), info, residuals, np.array(deaths, float)
+
+
+def _rank_test(residuals: np.ndarray, deaths: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    """Chi-squared statistic of each coefficient against the rank of time."""
+    residuals, deaths = residuals[::-1], deaths[::-1]
+    total = deaths.sum()
+    rank = np.cumsum(deaths) - (deaths - 1) / 2
+    rank = rank - (rank * deaths).sum() / max(total, 1)
+    spread = (rank * rank * deaths).sum()
+    trend = variance @ (rank[:, None] * residuals).sum(0) * total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(spread > 0, trend**2 / (total * np.diag(variance) * spread), 0.0)

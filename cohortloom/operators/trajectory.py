@@ -67,13 +67,16 @@ def output_rows(rows: DataFrame, summary: DataFrame) -> DataFrame:
     return one.unionByName(summary.withColumn("row_type", F.lit("summary")), allowMissingColumns=True)
 
 
-def random_intercept(rows: DataFrame, min_people: int = 30, min_rows: int = 3) -> list[dict]:
+def random_intercept(rows: DataFrame, min_people: int = 30, min_rows: int = 3, exposed: str | None = None) -> list[dict]:
     """REML of value ~ time with a random intercept per person: (term, estimate, lower, upper, p_value).
 
-    People are collapsed to sufficient statistics, and those are added up per
-    number of rows, so each likelihood evaluation runs over a few rows.
+    With ``exposed``, value ~ time * group: the terms of the other group, then the
+    differences of the exposed one. People are collapsed to sufficient statistics,
+    and those are added up per number of rows and group, so each likelihood
+    evaluation runs over a few rows.
     """
-    per = rows.groupBy("person_id").agg(
+    mine = F.lit(0) if exposed is None else (F.col("group") == exposed).cast("int")
+    per = rows.groupBy("person_id", mine.alias("g")).agg(
         F.count("*").alias("n"), F.sum("time").cast("double").alias("t"), F.sum("value").alias("y"),
         F.sum(F.col("time") * F.col("time")).cast("double").alias("tt"), F.sum(F.col("time") * F.col("value")).alias("ty"), F.sum(F.col("value") * F.col("value")).alias("yy"),
     )
@@ -82,23 +85,27 @@ def random_intercept(rows: DataFrame, min_people: int = 30, min_rows: int = 3) -
         raise ValueError("too few people or rows for the mixed model")
     sums = [F.count("*").alias("k"), *[F.sum(c).alias(c) for c in ("t", "y", "tt", "ty", "yy")]]
     sums += [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in (("t", "t"), ("t", "y"), ("y", "y"))]
-    at = per.groupBy("n").agg(*sums).toPandas()
+    at = per.groupBy("n", "g").agg(*sums).toPandas()
     n, k = at["n"].to_numpy(float), at["k"].to_numpy(float)
-    total = float((n * k).sum())
+    total, size = float((n * k).sum()), 2 if exposed is None else 4
 
     def fit(ratio):
         """ratio: intercept variance over residual variance. Returns (-2 REML, beta, covariance, residual variance)."""
         c = ratio / (1 + n * ratio)
-        a11 = (n * k - c * n * n * k).sum()
-        a12 = (at["t"] - c * n * at["t"]).sum()
-        a22 = (at["tt"] - c * at["t_t"]).sum()
-        b1 = (at["y"] - c * n * at["y"]).sum()
-        b2 = (at["ty"] - c * at["t_y"]).sum()
+        one = np.stack([(n - c * n * n) * k, (1 - c * n) * at["t"], at["tt"] - c * at["t_t"], (1 - c * n) * at["y"], at["ty"] - c * at["t_y"]], 1)
+        info, right = np.zeros((size, size)), np.zeros(size)
+        for g in range(size // 2):
+            a11, a12, a22, b1, b2 = one[at["g"] == g].sum(0) if exposed is not None else one.sum(0)
+            block, load = np.array([[a11, a12], [a12, a22]]), np.array([b1, b2])
+            # People of the exposed group have every term twice: the common one and the difference.
+            for i in range(g + 1):
+                right[2 * i : 2 * i + 2] += load
+                for j in range(g + 1):
+                    info[2 * i : 2 * i + 2, 2 * j : 2 * j + 2] += block
         yy = (at["yy"] - c * at["y_y"]).sum()
-        info, right = np.array([[a11, a12], [a12, a22]]), np.array([b1, b2])
         beta = np.linalg.solve(info, right)
-        sigma = float(yy - right @ beta) / (total - 2)
-        value = (total - 2) * math.log(sigma) + float((k * np.log1p(n * ratio)).sum()) + math.log(np.linalg.det(info))
+        sigma = float(yy - right @ beta) / (total - size)
+        value = (total - size) * math.log(sigma) + float((k * np.log1p(n * ratio)).sum()) + math.log(np.linalg.det(info))
         return value, beta, np.linalg.inv(info) * sigma, sigma
 
     low, high, golden = -20.0, 10.0, (math.sqrt(5) - 1) / 2
@@ -109,5 +116,5 @@ def random_intercept(rows: DataFrame, min_people: int = 30, min_rows: int = 3) -
     z = z_value()
     return [
         {"term": t, "estimate": float(b), "lower": float(b - z * s), "upper": float(b + z * s), "p_value": normal_p(b / s)}
-        for t, b, s in zip(("intercept", "time"), beta, np.sqrt(np.diag(cov)), strict=True)
+        for t, b, s in zip(("intercept", "time", "exposed", "time:exposed"), beta, np.sqrt(np.diag(cov)), strict=False)
     ]

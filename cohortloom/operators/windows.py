@@ -65,21 +65,30 @@ def incident_outcome(frame: DataFrame, events: DataFrame, name: str, start: int,
     observation from index - washout to index + start; a non-case needs it to
     index + end. Everything else stays missing.
     """
-    if start < 0 or end < start or washout < 0:
-        raise ValueError("0 <= start <= end and washout >= 0 are required")
+    return incident_outcomes(frame, events.withColumn("code_set_name", F.lit(name)), {name: (name, start, end, washout)})
+
+
+def incident_outcomes(frame: DataFrame, matched: DataFrame, outcomes: dict[str, tuple[str, int, int, int]]) -> DataFrame:
+    """A column per outcome (code set, start, end, washout) as incident_outcome gives it, all from one join and one aggregation."""
+    for _, start, end, washout in outcomes.values():
+        if start < 0 or end < start or washout < 0:
+            raise ValueError("0 <= start <= end and washout >= 0 are required")
     key = ["cohort_name", "person_id", "index_date"]
-    day = F.datediff("event_date", "index_date")
-    near = frame.select(*key, "observation_end").join(events.select("person_id", "event_date"), "person_id")
-    near = near.where(day.between(-washout, end))
-    flags = near.groupBy(*key).agg(
-        F.max(((day >= -washout) & (day < 0)).cast("int")).alias("_before"),
-        F.max(((day >= start) & (F.col("event_date") <= F.col("observation_end"))).cast("int")).alias("_during"),
-    )
-    joined = frame.join(flags, key, "left")
-    covered = (F.datediff("observation_start", "index_date") <= -washout) & (F.datediff("observation_end", "index_date") >= start)
-    eligible = covered & (F.coalesce("_before", F.lit(0)) == 0)
-    whole = F.datediff("observation_end", "index_date") >= end
-    return joined.withColumn(name, F.when(eligible & (F.coalesce("_during", F.lit(0)) == 1), 1).when(eligible & whole, 0)).drop("_before", "_during")
+    day, of = F.datediff("event_date", "index_date"), F.col("code_set_name")
+    first, last = -max(o[3] for o in outcomes.values()), max(o[2] for o in outcomes.values())
+    wanted = matched.where(of.isin(sorted({o[0] for o in outcomes.values()}))).select("person_id", "event_date", "code_set_name")
+    near = frame.select(*key, "observation_end").join(wanted, "person_id").where(day.between(first, last))
+    flags = []
+    for k, (code_set, start, end, washout) in enumerate(outcomes.values()):
+        flags.append(F.max(((of == code_set) & (day >= -washout) & (day < 0)).cast("int")).alias(f"_before{k}"))
+        flags.append(F.max(((of == code_set) & day.between(start, end) & (F.col("event_date") <= F.col("observation_end"))).cast("int")).alias(f"_during{k}"))
+    joined = frame.join(near.groupBy(*key).agg(*flags), key, "left")
+    since, until = F.datediff("observation_start", "index_date"), F.datediff("observation_end", "index_date")
+    columns = {}
+    for k, (name, (_, start, end, washout)) in enumerate(outcomes.items()):
+        eligible = (since <= -washout) & (until >= start) & (F.coalesce(f"_before{k}", F.lit(0)) == 0)
+        columns[name] = F.when(eligible & (F.coalesce(f"_during{k}", F.lit(0)) == 1), 1).when(eligible & (until >= end), 0)
+    return joined.withColumns(columns).drop(*[f"_{w}{k}" for k in range(len(outcomes)) for w in ("before", "during")])
 
 
 def first_event_from_index(frame: DataFrame, events: DataFrame, name: str) -> DataFrame:

@@ -14,8 +14,8 @@ ARMS = ("arm_a", "arm_b")
 
 def outcomes(spark, d):
     """Arms with two three-valued outcomes and the acct balance as a value."""
-    f = windows.incident_outcome(frame(spark, d), events_of(spark, d, "status-o"), "any_o", 1, 730, 30)
-    f = windows.incident_outcome(f, events_of(spark, d, "urgent"), "any_urgent", 1, 365, 0)
+    wanted = {"any_o": ("status-o", 1, 730, 30), "any_urgent": ("urgent", 1, 365, 0)}
+    f = windows.incident_outcomes(frame(spark, d), matched(spark, d, "status-o", "urgent"), wanted)
     balance = load(spark, d, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_acctbal").alias("balance"))
     return f.join(balance, "person_id")
 
@@ -183,7 +183,7 @@ ORACLES = {
     "table_one_continuous": with_ctes(_continuous_sql(), GROUPED),
     "table_one_categorical": with_ctes(CATEGORICAL, CATS),
     "table_one_smd": with_ctes(SMD, OUTCOMES, "arms AS (SELECT *, cohort_name = 'arm_a' AS a FROM outcomes)"),
-    "outcome_types": with_ctes("SELECT * FROM (VALUES ('any_o', 'binary'), ('any_urgent', 'binary'), ('balance', 'continuous')) AS t (outcome, outcome_type)"),
+    "outcome_types": with_ctes(" UNION ALL ".join(f"SELECT '{c}' AS outcome, CASE WHEN count(DISTINCT {c}) <= 2 AND count({c}) = count(*) FILTER ({c} IN (0, 1)) THEN 'binary' ELSE 'continuous' END AS outcome_type FROM outcomes" for c in ("any_o", "any_urgent", "balance")), OUTCOMES),
     "two_by_two": with_ctes(_two_by_two_sql(), TABS),
     "multiplicity": with_ctes("""SELECT outcome, p_value, least(1.0, min(p_value * m / r) OVER (ORDER BY r DESC)) AS q_value FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value) AS r FROM ps)""", TABS,
         "ps AS (SELECT outcome, exp(-abs((e1 / n1 - e2 / n2) / sqrt((e1 + e2) / (n1 + n2) * (1 - (e1 + e2) / (n1 + n2)) * (1 / n1 + 1 / n2)))) AS p_value FROM tab)"),

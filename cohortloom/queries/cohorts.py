@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import age_bucket, demographic_value, shift_days
 from cohortloom.operators import codesets, cohorts, windows
+from cohortloom.sources import tables
 from cohortloom.testbed import ctes, load
 
 #: Study plan of the queries: three cohorts over the driver's tables.
@@ -81,22 +82,24 @@ frame AS (
 VIEWS = ("person", "domain_event", "code_set", "observation_period")
 
 
-def resolved(spark, d):
-    return cohorts.resolve_cohorts(load(spark, d, "person"), load(spark, d, "domain_event"), load(spark, d, "code_set"), PLAN)
+def resolved(spark, d, plan=PLAN):
+    return cohorts.resolve_cohorts(load(spark, d, "person"), load(spark, d, "domain_event"), load(spark, d, "code_set"), plan)
 
 
-def matched(spark, d):
-    return codesets.match_events(load(spark, d, "domain_event"), load(spark, d, "code_set"))
+def matched(spark, d, *names):
+    """Matched events, of the named code sets only if any is named."""
+    return codesets.match_events(load(spark, d, "domain_event"), load(spark, d, "code_set"), list(names) or None)
 
 
 def events_of(spark, d, name):
-    return matched(spark, d).where(F.col("code_set_name") == name)
+    return matched(spark, d, name)
 
 
 def frame(spark, d):
-    """Arms a and b, included, with the observation window."""
-    rows = resolved(spark, d)[0].where(F.col("cohort_name").isin("arm_a", "arm_b"))
-    return windows.with_observation(windows.cohort_frame(rows, load(spark, d, "person")), load(spark, d, "observation_period"))
+    """Arms a and b, included, with the observation window; written, as outcomes and covariates join it several times."""
+    rows = resolved(spark, d, [c for c in PLAN if c.name in ("arm_a", "arm_b")])[0]
+    out = windows.with_observation(windows.cohort_frame(rows, load(spark, d, "person")), load(spark, d, "observation_period"))
+    return tables.written(out, "frame")
 
 
 def with_ctes(text: str, *parts: str) -> str:
@@ -141,7 +144,7 @@ QUERIES = {
     "cohort_attrition": lambda s, d: resolved(s, d)[1],
     "cohort_rows": lambda s, d: resolved(s, d)[0],
     "cohort_totals": lambda s, d: cohorts.cohort_totals(resolved(s, d)[0]),
-    "index_dates": lambda s, d: cohorts.index_dates(load(s, d, "person"), matched(s, d), PLAN),
+    "index_dates": lambda s, d: cohorts.index_dates(load(s, d, "person"), matched(s, d, "status-f"), PLAN),
     "code_set_match": lambda s, d: matched(s, d).groupBy("code_set_name").agg(F.count("*").alias("n"), F.count_distinct("person_id").alias("persons")),
     "code_set_problems": lambda s, d: codesets.code_set_problems(order_code_sets(s, d)),
     "code_set_status": lambda s, d: codesets.status_counts(order_code_sets(s, d)),
@@ -149,7 +152,7 @@ QUERIES = {
     "event_keys": _event_keys,
     "observation_window": lambda s, d: frame(s, d).select("cohort_name", "person_id", "observation_start", "observation_end"),
     "window_presence": lambda s, d: _key(windows.window_presence(frame(s, d), events_of(s, d, "urgent"), "urgent_before")),
-    "covariates": lambda s, d: windows.assemble_covariates(frame(s, d), matched(s, d), ["urgent", "high", "promo"]).select("cohort_name", "person_id", "urgent", "high", "promo"),
+    "covariates": lambda s, d: windows.assemble_covariates(frame(s, d), matched(s, d, "urgent", "high", "promo"), ["urgent", "high", "promo"]).select("cohort_name", "person_id", "urgent", "high", "promo"),
     "incident_outcome": lambda s, d: _key(windows.incident_outcome(frame(s, d), events_of(s, d, "status-o"), "outcome", 1, 365, 180)),
     "first_event_from_index": lambda s, d: _key(windows.first_event_from_index(frame(s, d), events_of(s, d, "status-p"), "first_p")),
     "reference_dates": _references,

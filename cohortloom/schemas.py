@@ -43,7 +43,7 @@ KEYED = {
     "doc_ref_id": ("document-reference-id", "tok_"),
     "document_hash": ("document-content", "hmac_"),
     "bundle_hash": ("input-bundle-content", "hmac_"),
-    "response_hash": ("fhir2omop-response-content", "hmac_"),
+    "response_hash": ("mapping-response-content", "hmac_"),
 }
 CONSTANT_TIME = "1970-01-01 00:00:00"
 ACTIONS = {"N": "null", "H": "hmac", "C": "constant", "D": "drop", "": "keep"}

@@ -18,13 +18,8 @@ MAX_DOCUMENT_BYTES = 20 * 1024 * 1024
 
 
 def canonical_json(body: Column) -> Column:
-    """JSON text with sorted keys and no blanks."""
-
-    @F.pandas_udf("string")
-    def canonical(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
-
-    return canonical(body)
+    """JSON text with sorted keys and no blanks; a text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(body)), body)
 
 
 def strip_narrative(body: Column) -> Column:
@@ -39,7 +34,7 @@ def strip_narrative(body: Column) -> Column:
     def strip(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else json.dumps(without(json.loads(t)), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
-    return strip(body)
+    return F.when(body.contains('"text"'), strip(body)).otherwise(canonical_json(body))
 
 
 def with_type_and_id(bodies: DataFrame) -> DataFrame:

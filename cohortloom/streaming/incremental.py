@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.operators import omop
 from cohortloom.sources.fhir import unwrap_bundles, with_key, with_type_and_id
 
 
@@ -13,7 +14,7 @@ def ingest_new_files(spark: SparkSession, source: str, target: str, checkpoint:
 
     A batch that is run again after a failure replaces its own folder.
     """
-    lines = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ndjson").text(source)
+    lines = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[nN][dD][jJ][sS][oO][nN],[jJ][sS][oO][nN][lL]}").text(source)
 
     def take(batch: DataFrame, batch_id: int) -> None:
         bodies = batch.select(F.col("value").alias("body")).where(F.trim("body") != "")
@@ -29,6 +30,56 @@ def ingested(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).drop("batch").dropDuplicates(["key", "digest"])
 
 
+def materialize_new_responses(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, table_names: list[str]) -> None:
+    """Takes response files (one JSON line per patient) that have not been taken before and materialises changed patients.
+
+    Each batch writes its tables and its part of the patient ledger into folders
+    of its own, the ledger last; a batch that is run again replaces them and does
+    not read them. Unchanged patients are skipped, failed ones tried again.
+    """
+    from cohortloom.plans import jobs
+
+    lines = spark.readStream.schema(schema).option("recursiveFileLookup", True).json(source)
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        ledger = patient_ledger(spark, target, batch_id)
+        latest = batch.groupBy("source_patient_id").agg(F.max_by(F.struct(*batch.columns), "bundle_hash").alias("x")).select("x.*")
+        got = jobs.materialize(latest, ledger, table_names)
+        told = got.pop("meta.ingest_patient")
+        blocks = told.where("status = 'ok'").select("source_patient_id", "id_offset")
+        for name, df in got.items():
+            if name in table_names:
+                offset = (F.floor(F.col("person_id") / omop.BLOCK) * omop.BLOCK).cast("long")
+                df = df.withColumn("id_offset", offset).join(blocks, "id_offset").drop("id_offset")
+            df.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
+        told.write.mode("overwrite").parquet(f"{target}/ledger/batch={batch_id}")
+
+    query = lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+LEDGER = "source_patient_id string, bundle_hash string, status string, id_offset long, batch int"
+
+
+def patient_ledger(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The latest row of each patient over all batches (earlier than ``before``, if given), and the block once given."""
+    root = spark.createDataFrame([], LEDGER)
+    rows = root
+    if before is None or before > 0:
+        rows = spark.read.schema(LEDGER).parquet(f"{target}/ledger")
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    last = rows.groupBy("source_patient_id").agg(F.max_by(F.struct("bundle_hash", "status"), "batch").alias("x"), F.max("id_offset").alias("id_offset"))
+    return last.select("source_patient_id", "x.*", "id_offset")
+
+
+def materialized(spark: SparkSession, target: str, table: str) -> DataFrame:
+    """The rows of each patient's latest batch."""
+    rows = spark.read.parquet(f"{target}/{table}")
+    latest = spark.read.schema(LEDGER).parquet(f"{target}/ledger").where("status = 'ok'").groupBy("source_patient_id").agg(F.max("batch").alias("batch"))
+    return rows.join(latest, ["source_patient_id", "batch"], "left_semi").drop("batch", "source_patient_id")
+
+
 def changed_patients(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     """Responses whose bundle hash is new for the patient; failed patients are tried again."""
     done = ledger.where("status = 'ok'").select("source_patient_id", "bundle_hash")
