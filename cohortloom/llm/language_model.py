@@ -301,7 +301,7 @@ def _bucket(contexts: np.ndarray) -> np.ndarray:
 
 
 def language_model_scores(
-    docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, order: int = 3, block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20, rounds: int = 20, tolerance: float = 1e-3
+    docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, order: int = 3, block_bytes: int = 6 << 20, bucket_bytes: int = 2 << 20, rounds: int = 20, tolerance: float = 1e-3
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document row.
 
