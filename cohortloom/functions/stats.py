@@ -167,7 +167,8 @@ def rate_ratio(e1: int, t1: float, e2: int, t2: float, level: float = 0.95) -> d
     high = 1.0 if e1 == n else solve(lambda p: beta_i(1 - p, n - e1, e1 + 1) - tail, 0.0, 1.0)
     k = np.arange(n)
     logs = np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1)) + math.log(share) - math.log1p(-share))]) + n * math.log1p(-share)
-    p = float(np.exp(logs[logs <= logs[e1] + 1e-9]).sum())
+    chances = np.exp(logs - logs.max())
+    p = float(chances[logs <= logs[e1] + 1e-9].sum() / chances.sum())
     return {"estimate": (e1 / t1) / (e2 / t2) if e2 else None, "lower": odds(low), "upper": odds(high), "p_value": min(1.0, p)}
 
 

@@ -316,7 +316,8 @@ QUERIES = {
     "shared_conditions": shared_conditions,
     "policy_audit": _audit,
     "k_anonymity": _k_anonymity,
-    "table_hash": lambda s, d: tables.table_hash(load(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),
+    "table_hash": lambda s, d: tables.table_hash(load(s, d, "orders")),
+    "table_hash_keys": lambda s, d: tables.table_hash(load(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),
     "feature_counts": _feature_counts,
     "measurement_features": _measurement_features,
     "robust_scaling": _robust,
@@ -394,7 +395,7 @@ ORACLES = {
     "policy_audit": """SELECT 'meta.mapping' AS "table", 'resource_id' AS "column", 'hmac' AS action, count(*) AS violations FROM orders WHERE o_orderkey % 100 = 0""",
     "k_anonymity": ctes("person") + """ SELECT CAST(8 AS INT) AS k, min(n) AS minimum_cell_size, count(*) FILTER (n < 8) AS groups_below_k, CAST(sum(n) AS BIGINT) AS patient_count FROM (
         SELECT CASE WHEN a >= 60 THEN 60 ELSE a // 20 END, gender_source_value, race_source_value, count(*) AS n FROM (SELECT *, greatest(0, 1998 - year_of_birth) AS a FROM person) GROUP BY 1, 2, 3)""",
-    "table_hash": """SELECT count(*) AS rows, sha256(concat_ws(',', count(*), """ + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT))" for k in range(4)) + """)) AS fingerprint FROM (SELECT sha256('{"o_custkey":' || o_custkey ||
+    "table_hash_keys": """SELECT count(*) AS rows, sha256(concat_ws(',', count(*), """ + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT))" for k in range(4)) + """)) AS fingerprint FROM (SELECT sha256('{"o_custkey":' || o_custkey ||
         ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS h FROM orders)""",
     "feature_counts": ctes("measurement_event") + """, c AS (SELECT person_id, CASE WHEN event_date < DATE '2024-01-15' THEN 'baseline' ELSE 'post' END || '|measurement|' || substr(source_value, 7) AS b, count(*) AS n
         FROM measurement_event WHERE datediff('day', DATE '2024-01-15', event_date) BETWEEN -365 AND 90 GROUP BY 1, 2)

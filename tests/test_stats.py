@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,18 +110,202 @@ def test_hash_chain(spark):
     assert sorted(r["problem"] for r in ledger.artifact_audit(told, files).collect()) == ["changed", "missing", "outside_root"]
 
 
-def test_surveyed_replicate_counts(spark, data, monkeypatch):
-    """Defaults and registered queries draw as many replicates as the survey names."""
+def test_surveyed_replicate_counts():
+    """Defaults draw as many replicates as the survey names."""
     import inspect
 
-    from cohortloom import registry
     from cohortloom.plans import jobs
 
     default = lambda f, k: inspect.signature(f).parameters[k].default
     assert default(trajectory.bootstrap_means, "replicates") == default(jobs.trajectory_analysis, "replicates") == 1000
-    assert default(causal.bootstrap_difference, "replicates") == default(jobs.causal_effect, "replicates") == 500
-    assert default(compare.permutation_p, "iterations") == 10_000
-    drawn = []
-    real = causal.bootstrap_difference
-    monkeypatch.setattr(causal, "bootstrap_difference", lambda w, o, n=500, *a: drawn.append(n) or real(w, o, n, *a))
-    assert registry.QUERIES["causal_iptw"](spark, data).count() > 0 and drawn == [500]
+    assert default(causal.bootstrap_effect, "replicates") == default(jobs.causal_effect, "replicates") == 500
+    assert default(survival.rmst_difference_limits, "replicates") == default(jobs.survival_analysis, "replicates") == 1000
+    assert default(compare.hodges_lehmann_limits, "replicates") == default(jobs.cohort_compare, "replicates") == 2000
+    assert default(compare.permutation_p, "iterations") == default(jobs.cohort_compare, "permutations") == 10_000
+
+
+def test_boschloo_and_large_fisher():
+    # One of two against none of two: Fisher's one-sided p of the table is 1/2; at risk r the tables as extreme have chance 2r(1-r)^3 + ..., largest at 1/2.
+    assert stats.boschloo(7, 3, 2, 8) < stats.fisher_exact(7, 3, 2, 8)["p_value"]
+    reach = max(sum(math.comb(2, i) * math.comb(2, j) * r ** (i + j) * (1 - r) ** (4 - i - j) for i, j in ((2, 0),)) for r in (0.45, 0.5, 0.55))
+    assert stats.boschloo(2, 0, 0, 2) == pytest.approx(2 * reach, abs=1e-6)
+    big = stats.fisher_exact(30_000, 70_000, 29_000, 71_000)
+    assert big["odds_ratio"] == pytest.approx(30 * 71 / (70 * 29), rel=1e-4) and big["lower"] < big["odds_ratio"] < big["upper"]
+
+
+def test_weights_by_hand(spark):
+    rows = [(1, 1, 0.5), (2, 0, 0.5), (3, 0, 0.2), (4, 0, 0.8)]
+    scored = spark.createDataFrame(rows, "person_id long, treated int, propensity_score double")
+    # A quarter is treated: the odds of the share are 1/3.
+    att = {r["person_id"]: r["weight"] for r in causal.weights(scored, "att", (0.0, 1.0)).collect()}
+    assert att == {1: 1.0, 2: pytest.approx(1 / 3), 3: pytest.approx(1 / 12), 4: pytest.approx(4 / 3)}
+    ate = {r["person_id"]: r["weight"] for r in causal.weights(scored, "ate", (0.0, 1.0)).collect()}
+    assert ate == {1: pytest.approx(0.5), 2: pytest.approx(1.5), 3: pytest.approx(0.9375), 4: pytest.approx(3.75)}
+
+
+def test_matching_ties_take_the_smaller_id(spark):
+    half = math.log(0.5 / 0.5)
+    at = lambda x: 1 / (1 + math.exp(-(half + x)))
+    rows = [(1, 1, at(0.0)), (9, 0, at(-0.5)), (4, 0, at(0.5)), (3, 0, at(5.0)), (2, 1, at(-5.0))]
+    got = causal.match(spark.createDataFrame(rows, "person_id long, treated int, propensity_score double"), 0.2)
+    assert sorted(map(tuple, got.collect())) == [(1, 4)]
+
+
+def people(n, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=n)
+    sex = rng.choice(["f", "m", "u"], n)
+    t = rng.random(n) < 1 / (1 + np.exp(-(0.8 * x + (sex == "m"))))
+    y = (rng.random(n) < 0.3 + 0.15 * t + 0.1 * (x > 0)).astype(int)
+    return [(int(i), "a" if t[i] else "b", float(x[i]), str(sex[i]), int(y[i])) for i in range(n)]
+
+
+def test_causal_bootstrap_refits(spark):
+    """Against a plain resampling of people that refits the same model; and the point estimate against numpy."""
+    from cohortloom.plans import jobs
+
+    rows = people(400)
+    df = spark.createDataFrame(rows, "person_id long, cohort_name string, x double, sex string, y int")
+    got = jobs.causal_effect(df, "y", "a", ["x", "sex"], replicates=200)["data"].first()
+    t, y = np.array([r[1] == "a" for r in rows], float), np.array([r[4] for r in rows], float)
+    design = np.column_stack([np.ones(400), [r[2] for r in rows], [float(r[3] == "m") for r in rows], [float(r[3] == "u") for r in rows]])
+
+    def estimate(at):
+        x, tt, yy = design[at], t[at], y[at]
+        beta = np.zeros(4)
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-x @ beta))
+            penalty = np.diag([0.0, 1.0, 1.0, 1.0])
+            beta = beta + np.linalg.solve((x.T * (q * (1 - q))) @ x + penalty, x.T @ (tt - q) - penalty @ beta)
+        q, share = 1 / (1 + np.exp(-x @ beta)), tt.mean()
+        w = np.where(tt == 1, share / q, (1 - share) / (1 - q))
+        w = np.clip(w, *np.quantile(w, [0.01, 0.99]))
+        return (w * tt * yy).sum() / (w * tt).sum() - (w * (1 - tt) * yy).sum() / (w * (1 - tt)).sum()
+
+    assert got["difference"] == pytest.approx(estimate(np.arange(400)), abs=1e-3)
+    rng = np.random.default_rng(1)
+    draws = np.array([estimate(rng.integers(0, 400, 400)) for _ in range(400)])
+    low, high = np.quantile(draws, [0.025, 0.975])
+    assert got["upper"] - got["lower"] == pytest.approx(high - low, rel=0.25)
+    assert got["lower"] < got["difference"] < got["upper"] and got["ratio_lower"] < got["ratio"] < got["ratio_upper"]
+
+
+def test_rmst_and_shift_limits(spark):
+    """Against a plain bootstrap of people."""
+    rng = np.random.default_rng(2)
+    rows = [(g, float(np.ceil(rng.exponential(20 if g == "a" else 12))), int(rng.random() < 0.8)) for g in ("a", "b") for _ in range(120)]
+    df = spark.createDataFrame(rows, "group string, duration double, event int")
+
+    def area(sample):
+        left, out, at = 1.0, 0.0, 0.0
+        for time in sorted({d for d, _ in sample if d <= 10}):
+            out += left * (time - at)
+            at = time
+            left *= 1 - sum(d == time and e for d, e in sample) / sum(d >= time for d, _ in sample)
+        return out + left * (10 - at)
+
+    arms = {g: [(d, e) for k, d, e in rows if k == g] for g in ("a", "b")}
+    draws = [area([arms["a"][i] for i in rng.integers(0, 120, 120)]) - area([arms["b"][i] for i in rng.integers(0, 120, 120)]) for _ in range(300)]
+    low, high = survival.rmst_difference_limits(df, "a", "b", 10.0)
+    want = np.quantile(draws, [0.025, 0.975])
+    assert (low, high) == (pytest.approx(want[0], abs=0.3), pytest.approx(want[1], abs=0.3))
+    shift = compare.hodges_lehmann(df, "duration", "group", "a", "b").first()["shift"]
+    a, b = (np.array([d for d, _ in arms[g]]) for g in ("a", "b"))
+    assert shift == np.median(a[:, None] - b[None])
+    draws = [np.median(rng.choice(a, 120)[:, None] - rng.choice(b, 120)[None]) for _ in range(300)]
+    low, high = compare.hodges_lehmann_limits(df, "duration", "group", "a", "b")
+    want = np.quantile(draws, [0.025, 0.975])
+    assert (low, high) == (pytest.approx(want[0], abs=1.1), pytest.approx(want[1], abs=1.1))
+
+
+def test_continuous_values_in_steps(spark):
+    """More distinct values than steps: the shift is off by one step at most, ranks stay exact."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(0.5, 1, 300), rng.normal(0, 1, 200)
+    df = spark.createDataFrame([("a", float(v)) for v in a] + [("b", float(v)) for v in b], "g string, v double")
+    step = (max(a.max(), b.max()) - min(a.min(), b.min())) / 127
+    assert compare.hodges_lehmann(df, "v", "g", "a", "b", bins=128).first()["shift"] == pytest.approx(np.median(a[:, None] - b[None]), abs=step)
+    got = compare.rank_sums(df, "v", "g", "a", "b").first()
+    assert got["u"] == (a[:, None] > b[None]).sum()
+
+
+def test_cox_against_the_partial_likelihood(spark):
+    """Ties, a category and the rank test against direct sums."""
+    rng = np.random.default_rng(6)
+    rows = [(float(rng.integers(1, 15)), int(rng.random() < 0.7), float(rng.normal()), str(rng.choice(["p", "q"]))) for _ in range(150)]
+    got = {r["term"]: r for r in survival.cox(spark.createDataFrame(rows, "duration double, event int, x double, c string"), ["x", "c"])}
+    assert set(got) == {"x", "c_q"}
+    time, event = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    x = np.column_stack([[r[2] for r in rows], [float(r[3] == "q") for r in rows]])
+    beta = np.array([math.log(got["x"]["estimate"]), math.log(got["c_q"]["estimate"])])
+    w = np.exp(x @ beta)
+    score, info, residuals = np.zeros(2), np.zeros((2, 2)), []
+    for t in sorted(set(time[event == 1])):
+        risk, dead = time >= t, (time == t) & (event == 1)
+        d, total = dead.sum(), np.zeros(2)
+        for m in range(d):
+            v = w * (risk - m / d * dead)
+            mean = v @ x / v.sum()
+            info += (x.T * v) @ x / v.sum() - np.outer(mean, mean)
+            total += mean
+        residuals.append((d, x[dead].sum(0) - total))
+        score += residuals[-1][1]
+    assert score == pytest.approx([0, 0], abs=1e-6)
+    variance = np.linalg.inv(info)
+    assert math.log(got["x"]["upper"]) - beta[0] == pytest.approx(1.959963984540054 * math.sqrt(variance[0, 0]), rel=1e-6)
+    deaths = np.array([d for d, _ in residuals])
+    rank = np.cumsum(deaths) - (deaths - 1) / 2
+    rank = rank - (rank * deaths).sum() / deaths.sum()
+    trend = variance @ sum(r * s for r, (_, s) in zip(rank, residuals)) * deaths.sum()
+    want = trend**2 / (deaths.sum() * np.diag(variance) * (rank**2 * deaths).sum())
+    assert [got["x"]["ph_statistic"], got["c_q"]["ph_statistic"]] == pytest.approx(want, rel=1e-6)
+
+
+def test_design(spark):
+    from cohortloom.operators.design import design
+
+    rows = [("f", 1.0, 7, True), ("m", None, 7, False), (None, 3.0, 7, True), ("f", 5.0, 7, True)]
+    df = spark.createDataFrame(rows, "sex string, x double, same int, flag boolean")
+    coded, terms = design(df, ["sex", "x", "same", "flag"], "flag")
+    assert list(terms.values()) == ["sex_f", "sex_m", "x_missing", "x", "flag_true"]
+    assert [tuple(r) for r in coded.select(*terms).collect()] == [(1, 0, 0, 1, 1), (0, 1, 1, 3, 0), (0, 0, 0, 3, 1), (1, 0, 0, 5, 1)]
+    dropped, terms = design(df, ["sex", "x"], "drop")
+    assert dropped.count() == 2 and list(terms.values()) == ["x"]
+    with pytest.raises(ValueError):
+        design(df, ["same"], "flag")
+
+
+def test_firth_against_numpy(spark):
+    rows = people(120, 8)
+    df = spark.createDataFrame(rows, "person_id long, cohort_name string, x double, sex string, y int")
+    got = compare.adjusted_odds_ratio(df, "y", "cohort_name", "a", ["x", "sex"])
+    x = np.column_stack([np.ones(120), [float(r[1] == "a") for r in rows], [r[2] for r in rows], [float(r[3] == "m") for r in rows], [float(r[3] == "u") for r in rows]])
+    y, beta = np.array([r[4] for r in rows], float), np.zeros(5)
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-x @ beta))
+        w = q * (1 - q)
+        inverse = np.linalg.inv((x.T * w) @ x)
+        hat = w * np.einsum("ij,jk,ik->i", x, inverse, x)
+        beta = beta + inverse @ (x.T @ (y - q + hat * (0.5 - q)))
+    assert got["estimate"] == pytest.approx(math.exp(beta[1]), rel=1e-5)
+    assert got["upper"] == pytest.approx(math.exp(beta[1] + 1.959963984540054 * math.sqrt(inverse[1, 1])), rel=1e-5)
+
+
+def test_interaction_of_the_mixed_model(spark):
+    rows = [(p, "a" if p % 2 else "b", t, 5.0 + 2.0 * t + (1.5 * t - 3.0) * (p % 2) + ((p * 7 + t * 3) % 5 - 2) * 0.1 + (p % 6) // 2) for p in range(60) for t in range(4)]
+    got = trajectory.random_intercept(spark.createDataFrame(rows, "person_id long, group string, time int, value double"), exposed="a")
+    assert [r["term"] for r in got] == ["intercept", "time", "exposed", "time:exposed"]
+    assert got[1]["estimate"] == pytest.approx(2.0, abs=0.05) and got[3]["estimate"] == pytest.approx(1.5, abs=0.07) and got[2]["estimate"] == pytest.approx(-3.0, abs=0.6)
+
+
+def test_at_risk_ticks(spark):
+    from cohortloom.plans import jobs
+
+    curve = spark.createDataFrame([("g", 0.0, 10), ("g", 3.0, 9), ("g", 5.0, 6), ("g", 8.0, 1)], "group string, time double, at_risk long")
+    assert [r["at_risk"] for r in jobs.risk_at_ticks(curve).orderBy("tick").collect()] == [10, 10, 9, 6, 1]
+
+
+def test_horizon_beyond_a_group_is_refused(spark):
+    curve = survival.kaplan_meier(spark.createDataFrame([("g", 1.0, 1), ("g", 2.0, 0), ("h", 9.0, 1)], "group string, duration double, event int"))
+    with pytest.raises(Exception, match="horizon"):
+        survival.restricted_mean(curve, 5.0).collect()
