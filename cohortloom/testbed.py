@@ -72,13 +72,17 @@ def needed(names) -> list[str]:
     return [v for v in VIEWS if v in found]
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table or a clinical view as a DataFrame."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = sorted({m for m in re.findall(r"\b(?:FROM|JOIN) (\w+)", VIEWS[name])})
-    text = re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", VIEWS[name])
-    return spark.sql(text, **{p: load(spark, sf_dir, p) for p in parts})
+def load(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A driver table or a clinical view as a DataFrame; tables and views that a view reads several times are opened once."""
+    known = {} if known is None else known
+    if name not in known:
+        if name not in VIEWS:
+            known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            parts = sorted({m for m in re.findall(r"\b(?:FROM|JOIN) (\w+)", VIEWS[name])})
+            text = re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", VIEWS[name])
+            known[name] = spark.sql(text, **{p: load(spark, sf_dir, p, known) for p in parts})
+    return known[name]
 
 
 def ctes(*names: str) -> str:
