@@ -6,7 +6,7 @@ from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -85,18 +85,16 @@ def robust_scale(features: DataFrame, people: DataFrame) -> DataFrame:
 
 def feature_provenance(rows: DataFrame) -> DataFrame:
     """(feature, mapping_status, rows, fraction, domain)."""
-    from pyspark.sql import Window
-
     n = rows.groupBy(F.concat_ws("|", "window", "domain", "key").alias("feature"), "domain", F.col("status").alias("mapping_status")).agg(F.count("*").alias("rows"))
     return n.withColumn("fraction", F.col("rows") / F.sum("rows").over(Window.partitionBy("feature")))
 
 
 def truncated_svd(scaled: DataFrame, components: int = 30) -> DataFrame:
     """(person_id, coords array): the matrix without centring times its leading right singular vectors."""
-    names = [r["feature"] for r in scaled.select("feature").distinct().orderBy("feature").collect()]
-    at = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))])
-    cells = scaled.where("value <> 0").groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct(at[F.col("feature")].alias("k"), "value"))).alias("cells"))
-    size = len(names)
+    # One row per feature in a window of its own: features are columns of the matrix.
+    names = scaled.select("feature").distinct().withColumn("k", F.row_number().over(Window.orderBy("feature")) - 1)
+    size = names.count()
+    cells = scaled.where("value <> 0").join(names, "feature").groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("cells"))
     matrix = IndexedRowMatrix(cells.rdd.map(lambda r: IndexedRow(r["person_id"], Vectors.sparse(size, [(c["k"], c["value"]) for c in r["cells"]]))))
     svd = matrix.computeSVD(min(components, size), computeU=True)
     s = svd.s.toArray().tolist()

@@ -88,7 +88,7 @@ def edges(keyed: DataFrame) -> DataFrame:
     return refs.join(keyed.select(F.col("key").alias("ref")), "ref", "left_semi").select("key", "ref")
 
 
-def ownership(keyed: DataFrame, max_rounds: int = 50) -> DataFrame:
+def ownership(keyed: DataFrame, max_rounds: int = 50, links: DataFrame | None = None) -> DataFrame:
     """(key, patient_id): every known patient that owns a resource, directly or through what it refers to.
 
     A round hands owners one reference further, from the referenced resource to
@@ -96,7 +96,7 @@ def ownership(keyed: DataFrame, max_rounds: int = 50) -> DataFrame:
     Helpers shared by many patients hand nothing on, as they own nothing.
     """
     patients = keyed.where("resource_type = 'Patient' and id is not null").select(F.col("id").alias("patient_id"))
-    links = written(edges(keyed), "fhir-links")
+    links = written(edges(keyed), "fhir-links") if links is None else links
     refs = keyed.select("key", F.explode(F.transform(references(F.col("body")), normalize_reference)).alias("r")).where(F.col("r").startswith("Patient/"))
     direct = refs.select("key", F.substring_index("r", "/", -1).alias("patient_id"))
     own = keyed.where("resource_type = 'Patient' and id is not null").select("key", F.col("id").alias("patient_id"))
@@ -113,10 +113,10 @@ def ownership(keyed: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def group_by_patient(keyed: DataFrame, max_rounds: int = 50) -> dict[str, DataFrame]:
     """members (patient_id, key) with helpers copied in, ambiguous (key) and orphans (key)."""
-    owners = ownership(keyed, max_rounds)
-    counted = owners.groupBy("key").agg(F.count("*").alias("n"), F.min("patient_id").alias("patient_id"))
-    single, ambiguous = counted.where("n = 1").select("key", "patient_id"), counted.where("n > 1").select("key")
     links = written(edges(keyed), "fhir-links")
+    owners = ownership(keyed, max_rounds, links)
+    counted = written(owners.groupBy("key").agg(F.count("*").alias("n"), F.min("patient_id").alias("patient_id")), "fhir-owned")
+    single, ambiguous = counted.where("n = 1").select("key", "patient_id"), counted.where("n > 1").select("key")
     free = links.join(counted, links["ref"] == counted["key"], "left_anti")
     members = written(single.select("patient_id", "key"), "fhir-members")
     fresh = members
