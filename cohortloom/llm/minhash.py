@@ -253,7 +253,7 @@ def block_links(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
 
 
 def text_components(docs: DataFrame, size: int, percent: int, bands: int = 48, band_rows: int = 6, pivots: int = 3, block_rows: int = 1024) -> DataFrame:
-    """docs (doc_id, text_key, text) → (doc_id, text_key, n_shingles, node, component): one row per row; node and component number sets and are null for rows that link with nothing."""
+    """docs (doc_id, text_key, text) → (doc_id, text_key, n_shingles, first_id, first_key): one row per row, with the first document of its component; null for rows that have no set."""
     sketches = S.written(sketch(docs, size, bands, band_rows), "sketches")
     usable = sketches.where("doc_id is not null and n_shingles > 0")
     # One row per distinct set, written, so that its number stays what it is.
@@ -284,27 +284,30 @@ def text_components(docs: DataFrame, size: int, percent: int, bands: int = 48, b
     members = S.written(members, "open")
     bodies = texts.join(members.select("id").distinct(), "id", "left_semi")
     found = S.written(block_links(members.join(hashed_sets(bodies, size), "id"), percent, block_rows).distinct(), "late-links")
-    comps = connected_components(links.union(found))
-    reps = sets.select("set_hi", "set_lo", "node").join(comps, "node", "left").select("set_hi", "set_lo", "node", F.coalesce("component", "node").alias("component"))
-    linked = usable.select("doc_id", "text_key", "n_shingles", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
+    comps = S.written(connected_components(links.union(found)), "components")
+    # The first document of a component is the least of its sets' first ones: found on sets, so that copies are not joined to their component.
+    of_set = F.struct("doc_id", "text_key")
+    firsts = comps.join(sets.select("node", of_set.alias("first")), "node").groupBy("component").agg(F.min("first").alias("least"))
+    firsts = comps.join(firsts, "component").select("node", "least")
+    reps = sets.select("set_hi", "set_lo", "node", of_set.alias("first")).join(firsts, "node", "left").select("set_hi", "set_lo", F.coalesce("least", "first").alias("first"))
+    linked = usable.select("doc_id", "text_key", "n_shingles", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo"])
+    linked = linked.select("doc_id", "text_key", "n_shingles", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
     none = F.lit(None).cast("long")
-    alone = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "text_key", "n_shingles", none.alias("node"), none.alias("component"))
-    return S.written(linked.union(alone), "text-components")
+    alone = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "text_key", "n_shingles", none.alias("first_id"), none.alias("first_key"))
+    return linked.union(alone)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document row. options: bands, band_rows, pivots, block_rows."""
     S.small_batches(docs.sparkSession)
     rows = text_components(S.boxed(docs).drop("d"), size, percent, **options)
-    lowest = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    out = rows.join(lowest, "component", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("component_id"))
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays: that of the smallest doc_id (of several texts of it, of the smallest hash); columns unchanged."""
     S.small_batches(docs.sparkSession)
-    rows = text_components(S.boxed(docs).drop("d"), size, percent).where("component is not null")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    gone = rows.join(first, "component").where(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key").distinct()
+    rows = text_components(S.boxed(docs).drop("d"), size, percent).where("first_id is not null")
+    gone = rows.where((F.col("doc_id") != F.col("first_id")) | (F.col("text_key") != F.col("first_key"))).select("doc_id", "text_key").distinct()
     return S.boxed(docs).join(gone, ["doc_id", "text_key"], "left_anti").select("d.*")
