@@ -131,10 +131,25 @@ class Index:
         self.blocks = key % max(1, len(self.rest))
         self.first = np.searchsorted(key // max(1, len(self.rest)), np.arange(len(self.vocabulary) + 1))
 
-    def found(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, float]]:
-        """(row, item, score) of the verified items in rows of words."""
+    def found(self, words: np.ndarray, rows: np.ndarray, limit: int = 1 << 16) -> list[tuple[int, int, float]]:
+        """(row, item, score) of the verified items in rows of words, about ``limit`` words at a time; long rows are cut where passages start."""
         if not len(words) or not len(self.vocabulary):
             return []
+        half = max(128, 2 * self.longest) // 2
+        starts = np.searchsorted(rows, np.arange(rows[-1] + 2))
+        step, out = max(1, limit // half) * half, []
+        for lo, hi in S.chunks(starts, limit):
+            if starts[hi] - starts[lo] <= limit:
+                out += self._found(words[starts[lo] : starts[hi]], rows[starts[lo] : starts[hi]])
+                continue
+            for at in range(starts[lo], starts[hi], step):
+                piece = slice(at, min(at + step + half, starts[hi]))
+                out += self._found(words[piece], rows[piece])
+        return out
+
+    def _found(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, float]]:
+        if not len(words):
+            return []
         span = max(128, 2 * self.longest)
         half = span // 2
         n_blocks = len(self.rest)

@@ -404,6 +404,8 @@ def test_block_max_skips_nothing():
                 every.add(k)
                 want |= {k} if index.overlaps(w[lo : lo + span], index.ids.index(k)) else set()
     assert mean == index.longest and {index.ids[at] for _, at, _ in index.found(w, rows)} == want and len(want) >= 2
+    # Cut into pieces, the passages are the same.
+    assert {(row, at) for row, at, _ in index.found(w, rows, limit=100)} == {(row, at) for row, at, _ in index.found(w, rows)}
     have = np.unique(w)
     total = {k for k, c in enumerate(counts) if sum(weight(c, x) for x in c if x in set(have.tolist())) / sum(weight(c, x) for x in c) >= 0.5}
     assert {index.ids[at] for blk in range(len(index.rest)) for at in index.pivots(have, blk)} == total and every <= total
