@@ -33,6 +33,11 @@ def demographic_value(source: Column, concept: Column) -> Column:
     return F.coalesce(source, concept.cast("string"))
 
 
+def age_value(year_of_birth: Column, reference: Column, width: int = 5, cap: int = 90) -> Column:
+    """Age as an analysis variable: the start of its bucket."""
+    return age_bucket(year_of_birth, reference, width, cap)["age_bucket_start"]
+
+
 def age_bucket(year_of_birth: Column, reference: Column, width: int = 5, cap: int = 90) -> Column:
     """struct(age_bucket, age_bucket_start, age_bucket_end, age_capped) at the reference date; nulls without a birth year."""
     age = F.greatest(F.lit(0), F.year(reference) - year_of_birth).cast("int")

@@ -60,3 +60,10 @@ def fingerprints(code_sets: DataFrame) -> DataFrame:
     """(code_set_name, fingerprint): an order-free hash of a set's codings."""
     coding = F.sha2(F.concat_ws("\u0001", "domain", F.coalesce(F.col("concept_id").cast("string"), F.lit("")), F.coalesce("source_value", F.lit(""))), 256)
     return code_sets.groupBy("code_set_name").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(coding))), 256).alias("fingerprint"))
+
+
+def coding_differences(plan: DataFrame, artifact: DataFrame) -> DataFrame:
+    """(code_set_name, domain, concept_id, source_value, side): codings that only the plan or only the artifact has, whatever their order; none when the fingerprints agree."""
+    names = ["code_set_name", "domain", "concept_id", "source_value"]
+    a, b = plan.select(*names).distinct(), artifact.select(*names).distinct()
+    return a.exceptAll(b).withColumn("side", F.lit("plan")).unionByName(b.exceptAll(a).withColumn("side", F.lit("artifact")))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def assign_class(exposures: DataFrame, classes: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """Exposures with drug_class from a map (source_value, drug_class); unmatched and unlisted ones are left out.
 
@@ -18,6 +17,11 @@ def assign_class(exposures: DataFrame, classes: DataFrame, allowed: list[str] |
     return out.where(F.col("drug_class").isin(allowed)) if allowed else out
 
 
+def unmatched_exposures(exposures: DataFrame, classes: DataFrame) -> DataFrame:
+    """(source_value, exposures, persons) of exposures that no class names."""
+    return exposures.join(classes.select("source_value").distinct(), "source_value", "left_anti").groupBy("source_value").agg(F.count("*").alias("exposures"), F.count_distinct("person_id").alias("persons"))
+
+
 def class_overlaps(exposures: DataFrame) -> DataFrame:
     """(event_id, classes) of exposures that carry more than one class."""
     return exposures.groupBy("event_id").agg(F.count_distinct("drug_class").alias("classes")).where("classes > 1")

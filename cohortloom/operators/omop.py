@@ -149,6 +149,12 @@ def mapping_coverage(mapping: DataFrame) -> DataFrame:
     return mapping.groupingSets([["mapping_status"], ["mapping_status", "omop_table"]], "mapping_status", "omop_table").agg(F.count("*").alias("n"))
 
 
+def off_vocabulary(coverage: DataFrame) -> DataFrame:
+    """One row (patients, mean, least, most) of the patients' shares of codes outside the vocabularies."""
+    rate = F.col("off_vocab_rate")
+    return coverage.agg(F.count("*").alias("patients"), F.avg(rate).alias("mean"), F.min(rate).alias("least"), F.max(rate).alias("most"))
+
+
 def provenance_fractions(events: DataFrame) -> DataFrame:
     """(domain, n, unchecked, unmapped, enriched) shares, overall (domain null) and per domain."""
     share = lambda c: F.avg(c.cast("double"))

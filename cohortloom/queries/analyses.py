@@ -57,9 +57,12 @@ km AS (SELECT "group", time, step, CASE WHEN dead = 1 THEN 0.0 ELSE exp(ls) END
    CASE WHEN dead = 1 THEN 0.0 WHEN g = 0 THEN exp(ls) ELSE exp(-exp(ln(-ls) - 1.959963984540054 * sqrt(g) / abs(ls))) END AS upper, at_risk, events, censored FROM run)"""
 
 
+def drug_classes(spark):
+    return spark.createDataFrame([(f"class#{k}", k.lower()) for k in ("PROMO", "STANDARD", "ECONOMY", "SMALL")], "source_value string, drug_class string")
+
+
 def exposures(spark, d):
-    classes = spark.createDataFrame([(f"class#{k}", k.lower()) for k in ("PROMO", "STANDARD", "ECONOMY", "SMALL")], "source_value string, drug_class string")
-    return eras.assign_class(load(spark, d, "drug_event"), classes, ["promo", "standard", "economy"])
+    return eras.assign_class(load(spark, d, "drug_event"), drug_classes(spark), ["promo", "standard", "economy"])
 
 
 def person_eras(spark, d):
@@ -170,6 +173,7 @@ QUERIES = {
     "log_rank": lambda s, d: survival.log_rank(survived(s, d), "arm_a"),
     "incidence_rates": lambda s, d: compare.incidence(frame(s, d).where("observation_end > index_date"), events_of(s, d, "urgent")),
     "drug_eras": person_eras,
+    "unmatched_exposures": lambda s, d: eras.unmatched_exposures(load(s, d, "drug_event"), drug_classes(s)),
     "therapy_lines": lambda s, d: eras.therapy_lines(person_eras(s, d)),
     "pathway_top": lambda s, d: eras.top_pathways(eras.therapy_lines(person_eras(s, d)), 20),
     "time_to_switch": lambda s, d: eras.time_to_switch(eras.therapy_lines(person_eras(s, d))),
@@ -204,6 +208,7 @@ ORACLES = {
     "incidence_rates": with_ctes("""SELECT cohort_name AS "group", count(*) AS n, CAST(sum(e) AS BIGINT) AS events, sum(t) AS person_time, sum(e) / sum(t) * 1000 AS rate FROM (
         SELECT cohort_name, (SELECT count(*) FROM matched m WHERE m.person_id = f.person_id AND code_set_name = 'urgent' AND event_date BETWEEN index_date AND observation_end) AS e,
         datediff('day', index_date, observation_end) / 365.25 AS t FROM frame f WHERE observation_end > index_date) GROUP BY 1""", FRAME),
+    "unmatched_exposures": ctes("drug_event") + " SELECT source_value, count(*) AS exposures, count(DISTINCT person_id) AS persons FROM drug_event WHERE source_value NOT IN ('class#PROMO', 'class#STANDARD', 'class#ECONOMY', 'class#SMALL') GROUP BY 1",
     "drug_eras": era_ctes("SELECT * FROM eras", ERAS),
     "therapy_lines": era_ctes("SELECT * FROM lines", LINES),
     "pathway_top": era_ctes("SELECT sequence, count(*) AS count, count(*) * 100.0 / (SELECT count(*) FROM lines) AS percent FROM lines GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", LINES),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortloom.functions.columns import age_bucket, demographic_value, shift_days
+from cohortloom.functions.columns import age_bucket, age_value, demographic_reason, demographic_value, shift_days
 from cohortloom.operators import codesets, cohorts, windows
 from cohortloom.sources import tables
 from cohortloom.testbed import ctes, load
@@ -140,7 +140,25 @@ def _references(spark, d):
     return out
 
 
+def _reasons(spark, d):
+    """The first unmet demand of everybody, with gaps in birth years and index dates."""
+    p = load(spark, d, "person")
+    k = F.col("person_id")
+    person = {"sex": F.col("gender_source_value"), "race": F.col("race_source_value"), "ethnicity": F.col("ethnicity_source_value"), "year_of_birth": F.when(k % 7 > 0, F.col("year_of_birth"))}
+    index = F.when(k % 11 > 0, F.lit("1998-06-01").cast("date"))
+    demands = {"sex": ("m", "f"), "race": ("building", "MACHINERY", "furniture"), "ethnicity": ("Asia", "EUROPE"), "min_age": 20, "max_age": 60}
+    return p.select("person_id", demographic_reason(person, index, **demands).alias("reason"))
+
+
+def _coding_differences(spark, d):
+    sets = order_code_sets(spark, d)
+    return codesets.coding_differences(sets.where("concept_id % 7 > 0"), sets.where("concept_id % 5 > 0"))
+
+
 QUERIES = {
+    "demographic_reasons": _reasons,
+    "age_values": lambda s, d: load(s, d, "person").select("person_id", age_value(F.col("year_of_birth"), F.lit("1998-01-01").cast("date"), 10, 70).alias("age")),
+    "coding_differences": _coding_differences,
     "cohort_attrition": lambda s, d: resolved(s, d)[1],
     "cohort_rows": lambda s, d: resolved(s, d)[0],
     "cohort_totals": lambda s, d: cohorts.cohort_totals(resolved(s, d)[0]),
@@ -169,6 +187,11 @@ def _hmac_sql(key: bytes, message: str) -> str:
 
 
 ORACLES = {
+    "demographic_reasons": with_ctes("""SELECT person_id, CASE WHEN race_source_value NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN 'demographics:race' WHEN ethnicity_source_value NOT IN ('ASIA', 'EUROPE') THEN 'demographics:ethnicity'
+        WHEN person_id % 7 = 0 OR person_id % 11 = 0 THEN 'demographics:age_missing' WHEN 1998 - year_of_birth < 20 THEN 'demographics:min_age' WHEN 1998 - year_of_birth > 60 THEN 'demographics:max_age' END AS reason FROM person"""),
+    "age_values": with_ctes("SELECT person_id, CASE WHEN a >= 70 THEN 70 ELSE CAST(a // 10 * 10 AS INT) END AS age FROM (SELECT person_id, greatest(0, 1998 - year_of_birth) AS a FROM person)"),
+    "coding_differences": f"""WITH {ORDER_SETS}, c AS (SELECT DISTINCT code_set_name, domain, concept_id, source_value FROM sets)
+        SELECT *, CASE WHEN concept_id % 7 > 0 THEN 'plan' ELSE 'artifact' END AS side FROM c WHERE (concept_id % 7 > 0) <> (concept_id % 5 > 0)""",
     "cohort_attrition": with_ctes("""SELECT s.cohort_name, s.stage_order, s.stage,
         CAST((SELECT count(*) FROM judged j WHERE j.cohort_name = s.cohort_name AND (j.stage_order IS NULL OR j.stage_order > s.stage_order)) AS BIGINT) AS remaining,
         CAST((SELECT count(*) FROM judged j WHERE j.cohort_name = s.cohort_name AND j.stage_order = s.stage_order) AS BIGINT) AS removed, s.detail FROM stages s""", RESOLVED),

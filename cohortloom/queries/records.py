@@ -283,7 +283,13 @@ def _bundles(spark, d):
     return got.select("patient_id", F.get_json_object(body, "$.entry[0].resource.id").alias("first_id"), F.size(F.from_json(F.get_json_object(body, "$.entry"), "array<string>")).alias("entries"))
 
 
+def _off_vocabulary(spark, d):
+    rows = load(spark, d, "customer").select(F.col("c_name").alias("source_patient_id"), F.lit("v1").alias("vocab_version"), F.struct(((F.col("c_custkey") % 10) / 10).alias("off_vocab_rate")).alias("summary"), F.array().cast("array<struct<a:int>>").alias("mappings"), F.array().cast("array<struct<a:int>>").alias("dropped"))
+    return omop.off_vocabulary(omop.sidecars(rows)["coverage"])
+
+
 QUERIES = {
+    "off_vocabulary": _off_vocabulary,
     "strip_narrative": lambda s, d: narrative(s, d).select("c_custkey", fhir.strip_narrative(F.col("body")).alias("body")),
     "tag_enriched": _tagged,
     "row_provenance": _row_provenance,
@@ -344,6 +350,7 @@ EFFECT = """SELECT m1 AS mean_exposed, m0 AS mean_comparator, m1 - m0 AS differe
         sum(weight * any_urgent) FILTER (treated = 0) / sum(weight) FILTER (treated = 0) AS m0 FROM weighted WHERE any_urgent IS NOT NULL)"""
 
 ORACLES = {
+    "off_vocabulary": "SELECT count(*) AS patients, avg(r) AS mean, min(r) AS least, max(r) AS most FROM (SELECT (c_custkey % 10) / 10.0 AS r FROM customer)",
     "strip_narrative": """SELECT c_custkey, '{"contact":[{"n":' || c_nationkey || '}],"id":"p' || c_custkey || '","resourceType":"Patient"}' AS body FROM customer""",
     "tag_enriched": """SELECT 'enr-' || substr(h, 1, 12) || '-' || doc_id AS id, 'enriched' AS origin, h AS document_hash, CAST(doc_id % 9 AS VARCHAR) AS source_pages FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)""",
     "row_provenance": """SELECT omop_id, origin, resource_id, CASE WHEN origin = 'enriched' AND k % 9 = 0 THEN 'h' || k END AS document_hash, CASE WHEN origin = 'enriched' AND k % 9 = 3 THEN 'D' || k END AS doc_ref_id FROM (
