@@ -180,7 +180,7 @@ def _trajectory(spark, d):
 
 def _guardrails(spark, d):
     f = outcomes(spark, d)
-    base = guardrails.arm_summary(f, "any_o", "a1", "cohort_compare").unionByName(guardrails.arm_summary(f.where("person_id % 40 = 0"), "any_o", "a2", "causal_effect"))
+    base = guardrails.arm_summary(f, "any_o", "a1", "cohort_compare").unionByName(guardrails.arm_summary(f.where("race_source_value = 'BUILDING' and ethnicity_source_value = 'ASIA'"), "any_o", "a2", "causal_effect"))
     none = lambda t: F.lit(None).cast(t)
     summary = base.select(
         "*", none("int").alias("model_parameters"), F.lit(0.3).alias("unchecked_fraction"), none("array<string>").alias("measurement_units"), none("double").alias("median_measurements"), F.element_at("arm_n", "arm_a").alias("exposed_n"),
@@ -424,7 +424,7 @@ ORACLES = {
     "measurement_summary": ctes("measurement_event") + " SELECT (SELECT list_sort(list(DISTINCT unit)) FROM measurement_event) AS measurement_units, median(n) AS median_measurements FROM (SELECT count(*) AS n FROM measurement_event GROUP BY person_id)",
     "guardrail_rules": with_ctes("""SELECT 'a1' AS analysis_id, r AS rule, s AS severity FROM (SELECT count(*) AS n, count(*) FILTER (cohort_name = 'arm_a') AS a, count(*) FILTER (cohort_name = 'arm_b') AS b, coalesce(sum(any_o), 0) / 4.0 AS epv FROM outcomes),
         LATERAL (VALUES ('GLOBAL-MIN-N', CASE WHEN n < 10 THEN 'REFUSE' END), ('COMP-MIN-ARM', CASE WHEN least(a, b) < 5 THEN 'REFUSE' END), ('EPV-LOGISTIC', CASE WHEN epv < 5 THEN 'REFUSE' WHEN epv < 10 THEN 'WARN' END), ('UNCHECKED-FRACTION', 'WARN'), ('MULTIPLICITY', 'INFO')) AS t (r, s) WHERE s IS NOT NULL
-        UNION ALL SELECT 'a2', r, s FROM (SELECT count(*) AS n, least(nullif(count(*) FILTER (cohort_name = 'arm_a'), 0), nullif(count(*) FILTER (cohort_name = 'arm_b'), 0)) AS m, nullif(count(*) FILTER (cohort_name = 'arm_a'), 0) AS a, coalesce(sum(any_o), 0) AS e FROM outcomes WHERE person_id % 40 = 0),
+        UNION ALL SELECT 'a2', r, s FROM (SELECT count(*) AS n, least(nullif(count(*) FILTER (cohort_name = 'arm_a'), 0), nullif(count(*) FILTER (cohort_name = 'arm_b'), 0)) AS m, nullif(count(*) FILTER (cohort_name = 'arm_a'), 0) AS a, coalesce(sum(any_o), 0) AS e FROM outcomes WHERE race_source_value = 'BUILDING' AND ethnicity_source_value = 'ASIA'),
         LATERAL (VALUES ('GLOBAL-MIN-N', CASE WHEN n < 10 THEN 'REFUSE' END), ('COMP-MIN-ARM', CASE WHEN m < 5 THEN 'REFUSE' END), ('CAUSAL-MIN', CASE WHEN a < 20 OR e < 10 THEN 'REFUSE' END), ('UNCHECKED-FRACTION', 'WARN')) AS t (r, s) WHERE s IS NOT NULL""", OUTCOMES),
     "iptw_effect": with_ctes(EFFECT, WEIGHTED),
     "balance": with_ctes(BALANCE, WEIGHTED),
