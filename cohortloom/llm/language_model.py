@@ -45,6 +45,7 @@ REST, DELETED, OTHER = 0, 1, 2
 BUCKETS = 48
 SPARE_BITS = 16
 SEEN_ROWS = 1 << 15
+SLICE = 1 << 16
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -130,8 +131,9 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         words = unpack_sorted(row["words"])
         place = unpack(row["ranked"]).astype(np.int64)[unpack(row["codes"]).astype(np.int64)]
-        self.hashes, self.counts, self.place = [words], [unpack(row["counts"]).astype(np.int64)], [place]
+        self.hashes, self.counts, self.place = [words], [unpack(row["counts"]).astype(np.int64)], [place.astype(np.int32)]
         tokens = words[place]
+        del place
         longer, begin = tokens, BEGIN
         for _ in range(1, order):
             before = np.empty_like(longer)
@@ -142,7 +144,7 @@ class Block:
             hashes, place, counts = np.unique(longer >> U64(64 - bits), return_inverse=True, return_counts=True)
             self.hashes.append(hashes)
             self.counts.append(counts.astype(np.int64))
-            self.place.append(place)
+            self.place.append(place.astype(np.int32))
 
     def totals(self, answers: list[dict]) -> list[list[np.ndarray]]:
         """For each n the counts (rest, deleted) of the distinct n-grams over all blocks."""
@@ -154,16 +156,19 @@ class Block:
             rest[at], deleted[at] = unpack(x["rest"]).astype(np.int64), unpack(x["deleted"]).astype(np.int64)
         return out
 
-    def seen(self, counts: list[np.ndarray], begin: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Each token's n-gram counts, and its contexts' counts from n = 2 on; begin is the number of texts."""
-        own = [c[p] for c, p in zip(counts, self.place, strict=True)]
-        contexts = []
-        for c in own[:-1]:
-            h = np.empty_like(c)
-            h[1:] = c[:-1]
-            h[self.starts] = begin
-            contexts.append(h)
-        return own, contexts
+    def seen(self, counts: list[np.ndarray], begin: int):
+        """Yields (first token, own, contexts) for ranges of whole texts of about SLICE tokens: the tokens' n-gram counts, and their contexts' counts from n = 2 on; begin is the number of texts."""
+        ends = np.append(self.starts, self.sizes.sum())
+        for first, last in S.chunks(ends, SLICE):
+            lo, hi = ends[first], ends[last]
+            own = [c[p[lo:hi]] for c, p in zip(counts, self.place, strict=True)]
+            contexts = []
+            for c in own[:-1]:
+                h = np.empty_like(c)
+                h[1:] = c[:-1]
+                h[self.starts[first:last] - lo] = begin
+                contexts.append(h)
+            yield lo, own, contexts
 
 
 def _count_rows(n_buckets: int, order: int, bits: int):
@@ -301,7 +306,7 @@ def _bucket(contexts: np.ndarray) -> np.ndarray:
 
 
 def language_model_scores(
-    docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, order: int = 3, block_bytes: int = 6 << 20, bucket_bytes: int = 2 << 20, rounds: int = 20, tolerance: float = 1e-3
+    docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, order: int = 3, block_bytes: int = 4 << 20, bucket_bytes: int = 2 << 20, rounds: int = 20, tolerance: float = 1e-3
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document row.
 
@@ -333,29 +338,31 @@ def language_model_scores(
 
     def observe(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left.to_pylist()[0], order, bits)
-        own, contexts = block.seen([rest for rest, _ in block.totals(right.to_pylist())], begin_rest)
-        rows = [*own, *contexts]
-        key = np.zeros(len(rows[0]), U64)
-        for x in rows:
-            key = S.mix(key * U64(S.MULTIPLIER) + x.astype(U64))
-        _, first, times = np.unique(key, return_index=True, return_counts=True)
-        cuts = range(0, len(times), SEEN_ROWS)
-        return pa.table({k: pa.array([x[lo : lo + SEEN_ROWS] for lo in cuts], pa.list_(pa.int64())) for k, x in zip(names, [*(x[first] for x in rows), times], strict=True)})
+        parts = []
+        for _, own, contexts in block.seen([rest for rest, _ in block.totals(right.to_pylist())], begin_rest):
+            rows = [*own, *contexts]
+            key = np.zeros(len(rows[0]), U64)
+            for x in rows:
+                key = S.mix(key * U64(S.MULTIPLIER) + x.astype(U64))
+            _, first, times = np.unique(key, return_index=True, return_counts=True)
+            parts += [[x[lo : lo + SEEN_ROWS] for x in (*(r[first] for r in rows), times)] for lo in range(0, len(times), SEEN_ROWS)]
+        return pa.table({k: pa.array([p[i] for p in parts], pa.list_(pa.int64())) for i, k in enumerate(names)})
 
     seen = S.written(cogroup(F.col("part") == DELETED, observe, ", ".join(f"{k} array<long>" for k in names)), "lm-deleted")
     weights = learn_weights(seen, order, n_rest, v_rest, rounds, tolerance)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left.to_pylist()[0], order, bits)
-        own, contexts = block.seen([rest + deleted for rest, deleted in block.totals(right.to_pylist())], begin_all)
-        p = weights.probability(own, contexts, n, v)
-        base = np.log10((own[0] + 1) / (n + v + 1))
+        known, base, score = (np.zeros(len(block.place[0])) for _ in range(3))
+        for lo, own, contexts in block.seen([rest + deleted for rest, deleted in block.totals(right.to_pylist())], begin_all):
+            here = slice(lo, lo + len(own[0]))
+            known[here] = own[0] > 0
+            base[here] = np.log10((own[0] + 1) / (n + v + 1))
+            score[here] = np.log10(weights.probability(own, contexts, n, v))
+        per_text = lambda x: np.add.reduceat(x, block.starts)
         return pa.table({
-            "doc_id": pa.array(block.ids, pa.int64()),
-            "n_tokens": pa.array(block.sizes),
-            "n_known": pa.array(np.add.reduceat((own[0] > 0).astype(np.int64), block.starts)),
-            "base_score": pa.array(np.add.reduceat(base, block.starts)),
-            "score": pa.array(np.add.reduceat(np.log10(p), block.starts)),
+            "doc_id": pa.array(block.ids, pa.int64()), "n_tokens": pa.array(block.sizes), "n_known": pa.array(per_text(known).astype(np.int64)),
+            "base_score": pa.array(per_text(base)), "score": pa.array(per_text(score)),
         })
 
     out = cogroup(F.lit(True), score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
