@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import stats
 from cohortloom.operators import compare, describe, eras, survival, windows
-from cohortloom.queries.cohorts import FRAME, MATCHED, events_of, frame, matched, with_ctes
+from cohortloom.queries.cohorts import FRAME, events_of, frame, matched, with_ctes
 from cohortloom.testbed import ctes, load
 
 ARMS = ("arm_a", "arm_b")

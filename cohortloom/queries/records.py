@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom import schemas
-from cohortloom.functions.columns import audit_token, keyed_value, normalize_reference, references, to_date_strict
+from cohortloom.functions.columns import audit_token, normalize_reference, references
 from cohortloom.operators import causal, compare, deid, features, guardrails, ledger, omop, trajectory
 from cohortloom.queries.analyses import OUTCOMES, outcomes
-from cohortloom.queries.cohorts import MATCHED, _hmac_sql, with_ctes
+from cohortloom.queries.cohorts import _hmac_sql, with_ctes
 from cohortloom.sources import fhir, tables
 from cohortloom.testbed import ctes, load
 
