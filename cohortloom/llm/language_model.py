@@ -273,7 +273,7 @@ class Weights:
 
 
 def learn_weights(seen: DataFrame, order: int, n_tokens: int, n_words: int, rounds: int, tolerance: float) -> Weights:
-    """Expectation-maximisation over seen: rows of arrays c1 .. c_order, h2 .. h_order and times, one job a round."""
+    """Expectation-maximisation over seen: rows of packed c1 .. c_order, h2 .. h_order and times, one job a round."""
     weights = Weights(order)
     for _ in range(rounds):
         now = weights
@@ -282,7 +282,7 @@ def learn_weights(seen: DataFrame, order: int, n_tokens: int, n_words: int, roun
             total = [[np.zeros(len(w)), np.zeros(len(w))] for w in now.by_level]
             for batch in batches:
                 for i in range(batch.num_rows):
-                    flat = {k: batch.column(k)[i].values.to_numpy() for k in batch.schema.names}
+                    flat = {k: unpack(batch.column(k)[i].as_py()).astype(np.int64) for k in batch.schema.names}
                     own, contexts = [flat[f"c{n}"] for n in range(1, order + 1)], [flat[f"h{n}"] for n in range(2, order + 1)]
                     for into, x in zip(total, now.expected(own, contexts, flat["times"], n_tokens, n_words), strict=True):
                         into[0] += x[0]
@@ -346,9 +346,9 @@ def language_model_scores(
                 key = S.mix(key * U64(S.MULTIPLIER) + x.astype(U64))
             _, first, times = np.unique(key, return_index=True, return_counts=True)
             parts += [[x[lo : lo + SEEN_ROWS] for x in (*(r[first] for r in rows), times)] for lo in range(0, len(times), SEEN_ROWS)]
-        return pa.table({k: pa.array([p[i] for p in parts], pa.list_(pa.int64())) for i, k in enumerate(names)})
+        return pa.table({k: pa.array([pack(p[i]) for p in parts], pa.binary()) for i, k in enumerate(names)})
 
-    seen = S.written(cogroup(F.col("part") == DELETED, observe, ", ".join(f"{k} array<long>" for k in names)), "lm-deleted")
+    seen = S.written(cogroup(F.col("part") == DELETED, observe, ", ".join(f"{k} binary" for k in names)), "lm-deleted")
     weights = learn_weights(seen, order, n_rest, v_rest, rounds, tolerance)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
