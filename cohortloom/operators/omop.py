@@ -45,17 +45,18 @@ def rekey(rows: DataFrame, table: str, offset: str = "id_offset") -> DataFrame:
 
 
 def coerce_dates(rows: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
-    """(typed rows, invalid dates): cells that are no ISO date or datetime become null and are listed with their text."""
+    """(typed rows, invalid dates): cells that are no ISO date or datetime become null and are listed with their text, and the patient where rows name one."""
     fields = {f.name: f for f in schemas.REGISTRY[table]}
     dates = [c for c in rows.columns if c in fields and fields[c].type in ("date", "ts")]
     parse = lambda c: to_date_strict(F.col(c)) if fields[c].type == "date" else to_timestamp_strict(F.col(c))
     typed = rows.select(*[parse(c).alias(c) if c in dates else F.col(c) for c in rows.columns])
     key = next(f.name for f in schemas.REGISTRY[table] if f.role == "pk")
+    told = [*(["source_patient_id"] if "source_patient_id" in rows.columns else []), F.lit(table).alias("omop_table"), F.col(key).alias("omop_id")]
     if not dates:
-        none = rows.select(F.lit(table).alias("omop_table"), F.col(key).alias("omop_id"), F.lit("").alias("column_name"), F.lit("").alias("original_value"))
+        none = rows.select(*told, F.lit("").alias("column_name"), F.lit("").alias("original_value"))
         return typed, none.limit(0)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("original_value"), parse(c).isNull().alias("bad")) for c in dates]))
-    bad = rows.select(F.lit(table).alias("omop_table"), F.col(key).alias("omop_id"), cells.alias("x")).select("omop_table", "omop_id", "x.*")
+    bad = rows.select(*told, cells.alias("x")).select("*", "x.*").drop("x")
     return typed, bad.where("bad and original_value is not null").drop("bad")
 
 
@@ -65,15 +66,41 @@ def replace_patients(existing: DataFrame, new: DataFrame, person: str = "person_
 
 
 def unpack_table(responses: DataFrame, table: str) -> DataFrame:
-    """Rows of one table of the mapping responses, with the patient id."""
-    return responses.select("source_patient_id", F.explode(f"tables.{table}").alias("r")).select("source_patient_id", "r.*")
+    """Rows of one table of the mapping responses, with the patient id (and block, where responses have it)."""
+    stamp = ["source_patient_id", *(["id_offset"] if "id_offset" in responses.columns else [])]
+    return responses.select(*stamp, F.explode(f"tables.{table}").alias("r")).select(*stamp, "r.*")
 
 
 def sidecars(responses: DataFrame) -> dict[str, DataFrame]:
-    """mappings, dropped and coverage rows stamped with patient and vocabulary version."""
-    of = lambda name: responses.select("source_patient_id", "vocab_version", F.explode(name).alias("r")).select("source_patient_id", "r.*", "vocab_version")
+    """mapping, dropped and coverage rows with the registered columns, stamped with patient and vocabulary version.
+
+    Where responses have an id_offset, the mappings' omop_id moves into the patient's
+    block as the tables' keys do; null stays null.
+    """
+    offset = F.col("id_offset") if "id_offset" in responses.columns else F.lit(0)
+
+    def of(name, table, own):
+        there = responses.schema[name].dataType.elementType.fieldNames()
+        rows = responses.select("source_patient_id", "vocab_version", offset.alias("_offset"), F.explode(name).alias("r"))
+        cell = lambda f: own.get(f.name, F.col(f"r.{f.name}") if f.name in there else F.lit(None)).cast(schemas.SPARK_TYPES[f.type]).alias(f.name)
+        return rows.select(*[cell(f) for f in schemas.REGISTRY[table]], *([] if "vocab_version" in own else ["vocab_version"]))
+
+    stamp = {c: F.col(c) for c in ("source_patient_id", "vocab_version")}
+    there = responses.schema["mappings"].dataType.elementType.fieldNames()
+    moved = {"omop_id": F.col("r.omop_id").cast("long") + F.col("_offset")} if "omop_id" in there else {}
     coverage = responses.select("source_patient_id", "summary.*", "vocab_version")
-    return {"mapping": of("mappings"), "dropped": of("dropped"), "coverage": coverage}
+    return {"mapping": of("mappings", "meta.mapping", stamp | moved), "dropped": of("dropped", "meta.dropped", {"source_patient_id": F.col("source_patient_id")}), "coverage": coverage}
+
+
+def mapping_problem(responses: DataFrame) -> Column:
+    """Why a patient's mappings cannot be rekeyed: an id outside the block, or an id of a table that is not registered; else null."""
+    there = responses.schema["mappings"].dataType.elementType.fieldNames()
+    if "omop_id" not in there or "omop_table" not in there:
+        return F.lit(None).cast("string")
+    known = [name.split(".")[1] for name in schemas.REGISTRY if name.startswith("omop.")]
+    some = lambda test: F.coalesce(F.exists("mappings", lambda m: F.coalesce(m["omop_id"].isNotNull() & test(m), F.lit(False))), F.lit(False))
+    strange = some(lambda m: ~F.coalesce(m["omop_table"].isin(known), F.lit(False)))
+    return F.when(strange, "mapping of an unknown table").when(some(lambda m: (m["omop_id"] < 0) | (m["omop_id"] >= BLOCK)), "mapping id outside the block")
 
 
 def read_responses(spark: SparkSession, schema: str, raw: str, enriched: str | None = None) -> DataFrame:
@@ -90,6 +117,14 @@ def latest_responses(raw: DataFrame, enriched: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_rank", "_k")
 
 
+#: Spellings of a tag that names a document's hash, the document, its pages.
+TAG_SPELLINGS = {
+    "document_hash": ("document-hash", "document-hash:", "document_hash:"),
+    "doc_ref_id": ("document-reference", "doc-ref:", "doc_ref_id:"),
+    "source_pages": ("source-pages", "source-pages:", "source_pages:"),
+}
+
+
 def resource_provenance(resources: DataFrame) -> DataFrame:
     """(resource_type, resource_id, origin, document_hash, doc_ref_id, source_pages) from the tags of resources; enriched where a tag says so."""
     tags = F.from_json(F.get_json_object("body", "$.meta.tag"), "array<struct<system: string, code: string>>")
@@ -103,7 +138,7 @@ def resource_provenance(resources: DataFrame) -> DataFrame:
         last = F.element_at(found, -1)
         return F.when(F.size(found) > 0, F.when(fits(last), F.regexp_replace(code(last), f"(?i)^(?:{'|'.join(prefixes)})", "")).otherwise(code(last)))
 
-    told = {"document_hash": value("document-hash", "document-hash:", "document_hash:"), "doc_ref_id": value("document-reference", "doc-ref:", "doc_ref_id:"), "source_pages": value("source-pages", "source-pages:", "source_pages:")}
+    told = {c: value(*spellings) for c, spellings in TAG_SPELLINGS.items()}
     marked = F.exists("tags", lambda t: ((system(t) == "origin") | system(t).endswith("/origin")) & (F.lower(code(t)) == "enriched"))
     marked = marked | F.exists("tags", lambda t: system(t).contains("provenance") & F.lower(code(t)).isin("enriched", "generated"))
     rows = rows.withColumns(told)
@@ -112,11 +147,18 @@ def resource_provenance(resources: DataFrame) -> DataFrame:
 
 
 def row_provenance(mapping: DataFrame, provenance: DataFrame) -> DataFrame:
-    """(omop_table, omop_id, origin, resource_type, resource_id, document_hash, doc_ref_id, source_pages): one row per mapped row, an enriched resource before others, then by id."""
-    joined = mapping.select("omop_table", "omop_id", "resource_type", "resource_id").join(provenance, ["resource_type", "resource_id"], "left").withColumn("origin", F.coalesce("origin", F.lit("structured")))
+    """One row per mapped row: omop_table, omop_id, origin, resource_type, resource_id, document_hash, doc_ref_id, source_pages.
+
+    An enriched resource stands before others, then the smaller id. Mappings without
+    a table or an id are left out. Where mappings name a patient, rows are told apart
+    by patient and carry it.
+    """
+    keys = [*(["source_patient_id"] if "source_patient_id" in mapping.columns else []), "omop_table", "omop_id"]
+    mapped = mapping.where("omop_table is not null and omop_id is not null").select(*keys, "resource_type", "resource_id")
+    joined = mapped.join(provenance, ["resource_type", "resource_id"], "left").withColumn("origin", F.coalesce("origin", F.lit("structured")))
     rest = ["origin", "resource_type", "resource_id", "document_hash", "doc_ref_id", "source_pages"]
     best = F.min_by(F.struct(*rest), F.struct((F.col("origin") != "enriched").cast("int"), "resource_type", "resource_id"))
-    return joined.groupBy("omop_table", "omop_id").agg(best.alias("x")).select("omop_table", "omop_id", "x.*")
+    return joined.groupBy(*keys).agg(best.alias("x")).select(*keys, "x.*")
 
 
 def outside_block(responses: DataFrame, names: list[str]) -> Column:

@@ -17,6 +17,7 @@ from cohortloom.operators.codesets import match_events
 from cohortloom.operators.cohorts import Cohort, resolve_cohorts
 from cohortloom.operators.resample import percentile_limits
 from cohortloom.sources import fhir, tables
+from cohortloom.sources.patched import PatchedTables
 
 
 @dataclass(frozen=True)
@@ -41,28 +42,55 @@ def ingest(resources: DataFrame) -> dict[str, DataFrame]:
 def materialize(responses: DataFrame, ledger_rows: DataFrame, table_names: list[str], resources: DataFrame | None = None) -> dict[str, DataFrame]:
     """Rekeyed, typed tables and sidecars of changed patients; a patient without exactly one person or with an id outside the block is a reject and holds up nobody.
 
-    resources adds meta.row_provenance from their tags.
+    Ids of tables and mappings move into the patient's block, so that patients who
+    share local ids keep rows of their own in every table and sidecar. A reject keeps
+    the block that it had. resources adds meta.row_provenance from their tags.
     """
     from cohortloom.streaming.incremental import changed_patients
 
     new = changed_patients(responses, ledger_rows)
-    reason = F.when(~F.coalesce(F.size("tables.person") == 1, F.lit(False)), "not exactly one person").when(omop.outside_block(new, table_names), "id outside the block")
+    reason = F.when(~F.coalesce(F.size("tables.person") == 1, F.lit(False)) | F.element_at("tables.person", 1)["person_id"].isNull(), "not exactly one person").when(omop.outside_block(new, table_names), "id outside the block").otherwise(omop.mapping_problem(new))
     new = tables.written(new.withColumn("_reason", reason), "responses")
     good = new.where("_reason is null").drop("_reason")
     blocks = tables.written(omop.allocate_blocks(good, ledger_rows), "blocks")
+    placed = tables.written(good.join(blocks, "source_patient_id"), "placed-responses")
     out, bad = {}, None
     for name in table_names:
-        rows = omop.unpack_table(good, name.split(".")[1]).join(blocks, "source_patient_id")
+        rows = omop.unpack_table(placed, name.split(".")[1])
         typed, invalid = omop.coerce_dates(omop.rekey(rows, name), name)
         out[name] = typed.drop("id_offset", "source_patient_id")
         bad = invalid if bad is None else bad.unionByName(invalid)
-    side = omop.sidecars(good)
+    side = omop.sidecars(placed)
     if resources is not None:
         side["row_provenance"] = omop.row_provenance(side["mapping"], omop.resource_provenance(resources))
-    done = good.select("source_patient_id", "bundle_hash", F.lit("ok").alias("status")).join(blocks, "source_patient_id")
-    failed = new.where("_reason is not null").select("source_patient_id", "bundle_hash", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("id_offset"))
+    person = F.element_at("tables.person", 1)["person_id"] + F.col("id_offset")
+    done = placed.select("source_patient_id", "bundle_hash", F.lit("ok").alias("status"), "id_offset", person.alias("person_id"))
+    known = ledger_rows.groupBy("source_patient_id").agg(F.max("id_offset").alias("id_offset"))
+    failed = new.where("_reason is not null").select("source_patient_id", "bundle_hash", F.lit("failed").alias("status")).join(known, "source_patient_id", "left").withColumn("person_id", F.lit(None).cast("long"))
     rejects = new.where("_reason is not null").select("source_patient_id", F.col("_reason").alias("reason"))
-    return {**out, **{f"meta.{k}": v for k, v in side.items()}, "meta.invalid_date": bad, "meta.ingest_patient": done.unionByName(failed), "rejects": rejects}
+    told = bad.withColumn("omop_table", F.substring_index("omop_table", ".", -1))
+    return {**out, **{f"meta.{k}": v for k, v in side.items()}, "meta.invalid_date": told, "meta.ingest_patient": done.unionByName(failed), "rejects": rejects}
+
+
+def load_batch(store: PatchedTables, responses: DataFrame, table_names: list[str], resources: DataFrame | None = None) -> DataFrame:
+    """Materialises the changed patients of a batch and replaces them in the store's tables and sidecars; returns the rejects.
+
+    Of several responses of a patient the one with the greatest bundle hash counts.
+    A reject's earlier rows stay. The ledger is written last: a batch that failed
+    before that is taken as new again.
+    """
+    latest = responses.groupBy("source_patient_id").agg(F.max_by(F.struct(*responses.columns), "bundle_hash").alias("x")).select("x.*")
+    before = tables.written(store.read("meta.ingest_patient"), "ledger")
+    got = materialize(latest, before, table_names, resources)
+    told, rejects = tables.written(got.pop("meta.ingest_patient"), "told"), got.pop("rejects")
+    kept = before.select("source_patient_id", F.col("person_id").alias("_person"))
+    patients = told.where("status = 'ok'").select("source_patient_id", "id_offset", "person_id")
+    # a person whose local id has changed: the old rows go as well
+    old = before.join(patients.select("source_patient_id"), "source_patient_id", "left_semi").select("source_patient_id", "id_offset", "person_id")
+    store.replace(patients.unionByName(old).distinct(), got)
+    rows = told.join(kept, "source_patient_id", "left").withColumn("person_id", F.coalesce("person_id", "_person"))
+    store.replace(told.select("source_patient_id", "id_offset", "person_id"), {"meta.ingest_patient": rows})
+    return rejects
 
 
 #: Coded FHIR types with the table that they fill and the paths of code and start.
