@@ -66,14 +66,15 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", by: list[str] | Non
     return raw.withColumn("q_value", F.when(ok, F.least(F.lit(1.0), F.min("_raw").over(back)))).drop("_raw", "_rank")
 
 
-def running_totals(counts: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """counts with ``<column>_before``: sums over the rows with a smaller ``by`` (distinct), from totals of range partitions and running sums inside each."""
-    ranged = written(counts.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranged")
-    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{c}") for c in columns])
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    parts = parts.select("_part", *[F.coalesce(F.sum(f"_all_{c}").over(ahead), F.lit(0)).alias(f"_ahead_{c}") for c in columns])
-    inside = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(parts, "_part")
+def running_totals(counts: DataFrame, by: str, columns: list[str], within: str | None = None) -> DataFrame:
+    """counts with ``<column>_before``: sums over the rows with a smaller ``by`` (distinct) of the same ``within``, from totals of range partitions and running sums inside each."""
+    keys = [within] if within else []
+    ranged = written(counts.repartitionByRange(*keys, by).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_all_{c}") for c in columns])
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = parts.select("_part", *keys, *[F.coalesce(F.sum(f"_all_{c}").over(ahead), F.lit(0)).alias(f"_ahead_{c}") for c in columns])
+    inside = Window.partitionBy("_part", *keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(parts, ["_part", *keys])
     return out.select(*counts.columns, *[(F.col(f"_ahead_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in columns])
 
 

@@ -220,22 +220,35 @@ def trajectory_analysis(frame: DataFrame, measurements: DataFrame, conversions:
     return out
 
 
-def patient_signature(frame: DataFrame, keyed: DataFrame, measurements: DataFrame, spans: dict[str, tuple[int, int]] | None = None, clusters: int = 8, min_size: int = 5, seeds=(1, 2, 3)) -> dict:
-    """Feature matrix, SVD coordinates, clusters with medoids, characterisation and stability over seeds."""
+def feature_matrix(frame: DataFrame, keyed: DataFrame, measurements: DataFrame, spans: dict[str, tuple[int, int]] | None = None, numeric: list[str] | None = None, categories: list[str] | None = None, floor: int | None = None) -> dict:
+    """The scaled matrix (cells and columns), its hash, presence cells, dropped features and the mapping statuses behind the features.
+
+    numeric and categories are demographic columns of frame; they have no floor.
+    """
     spans = spans or {"baseline": (-365, -1), "post": (0, 90)}
     people = frame.select("person_id")
     n = people.count()
     rows = features.windowed(frame, keyed, spans)
-    counts = features.feature_counts(rows)
-    kept, dropped = features.apply_floor(counts.unionByName(features.measurement_features(frame, measurements)), n)
-    scaled = tables.written(features.robust_scale(kept, people), "scaled")
-    points = features.truncated_svd(scaled)
+    kept, dropped = features.apply_floor(features.feature_counts(rows).unionByName(features.measurement_features(frame, measurements)), n, floor)
+    if numeric or categories:
+        kept = kept.unionByName(features.demographic_cells(frame, numeric or [], categories or []))
+    kept = tables.written(kept, "cells")
+    cells, columns = features.scaled_matrix(kept, n)
+    cells = tables.written(cells, "scaled")
+    return {"cells": cells, "columns": columns, "matrix_hash": features.matrix_hash(cells, columns, people), "presence": kept.where("feature like '%|presence'"), "dropped": dropped, "feature_provenance": features.feature_provenance(rows)}
+
+
+def patient_signature(frame: DataFrame, keyed: DataFrame, measurements: DataFrame, spans: dict[str, tuple[int, int]] | None = None, clusters: int = 8, min_size: int = 5, seeds=(1, 2, 3), numeric: list[str] | None = None, categories: list[str] | None = None) -> dict:
+    """Feature matrix with its hash, SVD coordinates, clusters with medoids, characterisation and stability over seeds."""
+    matrix = feature_matrix(frame, keyed, measurements, spans, numeric, categories)
+    points = tables.written(features.truncated_svd((matrix["cells"], matrix["columns"]), frame.select("person_id")), "points")
     labelled = [tables.written(features.cluster(points, clusters, min_size, s), "clusters") for s in seeds]
     ari = [features.adjusted_rand(labelled[i].select("person_id", F.col("cluster").alias("a")).join(labelled[j].select("person_id", F.col("cluster").alias("b")), "person_id")).first()["ari"] for i in range(len(seeds)) for j in range(i)]
-    presence = kept.where("feature like '%presence'")
-    tests = compare.benjamini_hochberg(compare.exact_tests(features.cluster_tables(labelled[0].select("person_id", "cluster"), presence).withColumn("outcome", F.col("feature"))), by=["cluster"])
-    data = labelled[0].select("person_id", F.col("coords")[0].alias("pc_1"), F.col("coords")[1].alias("pc_2"), "cluster")
-    return {"data": data, "medoids": features.medoids(labelled[0]), "characterization": tests, "feature_provenance": features.feature_provenance(rows), "dropped": dropped, "stability": sum(ari) / len(ari) if ari else None}
+    tests = compare.benjamini_hochberg(compare.exact_tests(features.cluster_tables(labelled[0].select("person_id", "cluster"), matrix["presence"]).withColumn("outcome", F.col("feature"))), by=["cluster"])
+    place = lambda k: F.coalesce(F.get("coords", F.lit(k)), F.lit(0.0))
+    data = labelled[0].select("person_id", place(0).alias("pc_1"), place(1).alias("pc_2"), "cluster")
+    told = {k: matrix[k] for k in ("cells", "columns", "matrix_hash", "feature_provenance", "dropped")}
+    return {"data": data, "medoids": features.medoids(labelled[0]), "characterization": tests, "stability": sum(ari) / len(ari) if ari else None, **told}
 
 
 def causal_effect(frame: DataFrame, outcome: str, exposed: str, covariates: list[str], method: str = "iptw", estimand: str = "ate", replicates: int = 500, seed: int = 1) -> dict:

@@ -216,9 +216,24 @@ def _declaring(spark, d):
 
 
 def _stage_signature(spark, d):
+    fr, m = measured_people(spark, d)
+    rows = jobs.patient_signature(fr, m, m, clusters=3, numeric=["year"], categories=["race"])
+    return rows["data"].withColumn("stability", F.lit(rows["stability"])).withColumn("matrix_hash", F.lit(rows["matrix_hash"]))
+
+
+def measured_people(spark, d):
+    """The measured frame with demographics: a birth year that every fifth lacks, and a segment that every seventh lacks."""
     fr, m = measured(spark, d)
-    rows = jobs.patient_signature(fr, m, m, clusters=3, seeds=(1, 2))
-    return rows["data"].select("person_id", "cluster")
+    k = F.col("person_id")
+    return fr.withColumn("year", F.when(k % 5 > 0, 1930 + k % 65)).withColumn("race", F.when(k % 7 > 0, F.concat(F.lit("r"), k % 3))), m
+
+
+def _scaled_matrix(spark, d):
+    """The whole scaled matrix: present cells, and for each column the value of its absent cells with their number."""
+    fr, m = measured_people(spark, d)
+    got = jobs.feature_matrix(fr, m, m.where("event_id % 3 = 0"), numeric=["year"], categories=["race"])
+    absent = got["columns"].select(F.lit(None).cast("long").alias("person_id"), "feature", F.col("absent").alias("value"), (F.col("n") - F.col("present")).alias("cells"))
+    return got["cells"].select(F.col("person_id").cast("long").alias("person_id"), "feature", "value", F.lit(1).cast("long").alias("cells")).unionByName(absent)
 
 
 def _crosswalk(spark, d):
@@ -286,6 +301,7 @@ QUERIES = {
     "covariate_patterns": lambda s, d: compare.covariate_patterns(outcomes(s, d), "any_o", ["gender_source_value", "race_source_value"]),
     "trajectory_bootstrap": lambda s, d: trajectory.bootstrap_means(trajectory.relative_times(*measured(s, d))),
     "patient_signature": _stage_signature,
+    "scaled_matrix": _scaled_matrix,
     "causal_iptw": lambda s, d: jobs.causal_effect(outcomes(s, d), "any_urgent", "arm_a", ["balance", "year_of_birth"])["data"],
     "first_seen": lambda s, d: fhir.first_seen(load(s, d, "events").select(F.concat(F.lit("u"), "user_id").alias("patient_id"), F.col("event_id").alias("seq"))),
     "class_overlaps": lambda s, d: eras.class_overlaps(load(s, d, "drug_event").select("event_id", F.col("source_value").alias("drug_class"))),
@@ -308,6 +324,23 @@ NEW = """WITH new AS (SELECT * FROM customer WHERE c_custkey % 8 <> 0), good AS
     placed AS (SELECT good.*, CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 1 ELSE t + row_number() OVER (PARTITION BY c_custkey % 4 = 0 ORDER BY c_name) END * 1000000 AS id_offset FROM good, top)"""
 
 ORACLES = {
+    "scaled_matrix": ctes("measurement_event") + """, person AS (SELECT DISTINCT person_id, CASE WHEN person_id % 5 > 0 THEN 1930 + person_id % 65 END AS year, CASE WHEN person_id % 7 > 0 THEN 'r' || person_id % 3 ELSE 'Missing' END AS race FROM measurement_event),
+        e AS (SELECT *, substr(source_value, 7) AS k, datediff('day', DATE '2024-01-15', event_date) AS day FROM measurement_event),
+        n AS (SELECT person_id, CASE WHEN day < 0 THEN 'baseline' ELSE 'post' END || '|measurement|' || k AS base, count(*) AS n FROM e WHERE day BETWEEN -365 AND 90 GROUP BY 1, 2),
+        s AS (SELECT person_id, 'baseline|measurement|' || k AS base, last(value ORDER BY event_date, event_id) AS l, median(value) AS m, CASE WHEN count(*) >= 3 AND count(DISTINCT event_date) >= 2 THEN regr_slope(value, day) END AS sl
+              FROM e WHERE day < 0 AND value IS NOT NULL AND event_id % 3 = 0 GROUP BY ALL),
+        raw AS (SELECT person_id, base, '|presence' AS f, 1.0 AS v FROM n UNION ALL SELECT person_id, base, '|log1p_count', ln(1 + n) FROM n
+              UNION ALL SELECT person_id, base, '|latest_before_index', l FROM s UNION ALL SELECT person_id, base, '|median', m FROM s
+              UNION ALL SELECT person_id, base, '|slope', sl FROM s WHERE sl IS NOT NULL AND (SELECT count(sl) FROM s AS o WHERE o.base = s.base) >= 3),
+        enough AS (SELECT base FROM raw GROUP BY 1 HAVING count(DISTINCT person_id) >= greatest(3, ceil(0.02 * (SELECT count(*) FROM person)))),
+        cells AS (SELECT person_id, base || f AS feature, v FROM raw JOIN enough USING (base)
+              UNION ALL SELECT person_id, 'demographic|year', year FROM person WHERE year IS NOT NULL UNION ALL SELECT person_id, 'demographic|race=' || race, 1.0 FROM person),
+        fills AS (SELECT feature, CASE WHEN regexp_matches(feature, '[|](latest_before_index|median|slope)$') OR feature = 'demographic|year' THEN median(v) ELSE 0.0 END AS z FROM cells GROUP BY 1),
+        dense AS (SELECT p.person_id, f.feature, coalesce(c.v, z) AS v, c.v IS NULL AS gone FROM person p CROSS JOIN fills f LEFT JOIN cells c ON c.person_id = p.person_id AND c.feature = f.feature),
+        q AS (SELECT feature, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS q3 FROM dense GROUP BY 1),
+        scaled AS (SELECT person_id, feature, gone, CASE WHEN q3 > q1 THEN (v - m) / (q3 - q1) ELSE v - m END AS value FROM dense JOIN q USING (feature))
+        SELECT person_id, feature, value, 1 AS cells FROM scaled WHERE NOT gone
+        UNION ALL SELECT NULL, f.feature, min(CASE WHEN q3 > q1 THEN (z - m) / (q3 - q1) ELSE z - m END), count(*) FILTER (gone) FROM fills f JOIN q ON q.feature = f.feature JOIN scaled s ON s.feature = f.feature GROUP BY f.feature""",
     "ingest_report": f"""WITH {ENC}, helper AS (SELECT DISTINCT o_custkey, o_orderkey % 7 AS h FROM enc WHERE o_orderkey % 7 IN (SELECT s_suppkey FROM supplier)),
         every AS (SELECT 'Patient/p' || c_custkey AS key, 'p' || c_custkey AS patient_id FROM customer UNION ALL SELECT 'Encounter/e' || o_orderkey, 'p' || o_custkey FROM enc UNION ALL SELECT 'Observation/b' || o_orderkey, 'p' || o_custkey FROM enc)
         SELECT 'members' AS what, * FROM every UNION ALL SELECT 'members', 'Practitioner/s' || h, 'p' || o_custkey FROM helper

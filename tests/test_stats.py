@@ -89,9 +89,69 @@ def test_permutation_and_rand(spark):
     assert features.adjusted_rand(same).first()["ari"] == pytest.approx(1)
 
 
+def numpy_matrix(cells, people):
+    """The dense matrix that cells stand for, scaled: people x features in order of names."""
+    names = sorted({f for _, f, _ in cells})
+    raw = np.full((len(people), len(names)), np.nan)
+    for p, f, v in cells:
+        raw[people.index(p), names.index(f)] = v
+    for k, f in enumerate(names):
+        whole = f.rsplit("|", 1)[-1] in ("median", "slope", "latest_before_index") or (f.startswith("demographic|") and "=" not in f)
+        raw[np.isnan(raw[:, k]), k] = np.nanmedian(raw[:, k]) if whole else 0.0
+    q1, m, q3 = np.quantile(raw, [0.25, 0.5, 0.75], axis=0)
+    return names, (raw - m) / np.where(q3 > q1, q3 - q1, 1.0)
+
+
+CELLS = "person_id long, feature string, value double"
+
+
+def sparse_cells(seed=4, people=37):
+    rng = np.random.default_rng(seed)
+    rows = [(p, "m|x|median", float(rng.normal(100, 9))) for p in range(people) if rng.random() < 0.4]
+    rows += [(p, "m|x|slope", float(rng.integers(3))) for p in range(people) if rng.random() < 0.9]
+    rows += [(p, "demographic|age", float(rng.integers(20, 60))) for p in range(people - 3)]
+    rows += [(p, f"demographic|sex={'MF'[p % 2]}", 1.0) for p in range(people)]
+    return rows + [(p, f"b|d|k{k}|log1p_count", float(rng.integers(-1, 4))) for p in range(people - 2) for k in range(6) if rng.random() < 0.15 * (k + 1)]
+
+
+def test_sparse_matrix(spark):
+    """Scaled cells and absent values are those of the dense matrix; absent summaries are at the median, not at 0."""
+    rows, people = sparse_cells(), list(range(37))
+    cells, columns = features.scaled_matrix(spark.createDataFrame(rows, CELLS).repartition(5), 37)
+    names, want = numpy_matrix(rows, people)
+    absent = {r["feature"]: r["absent"] for r in columns.collect()}
+    got = np.array([[absent[f] for f in names]] * 37)
+    for r in cells.collect():
+        got[r["person_id"], names.index(r["feature"])] = r["value"]
+    assert np.allclose(got, want)
+    probe = spark.createDataFrame([(1, "x|median", 100.0), (2, "x|median", 102.0), (3, "x|median", 104.0)], CELLS)
+    assert features.scaled_matrix(probe, 4)[1].first()["absent"] == 0
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_matrix_hash(spark):
+    rows, people = sparse_cells(), spark.range(37).select(F.col("id").alias("person_id"))
+    of = lambda cells: features.matrix_hash(*features.scaled_matrix(spark.createDataFrame(cells, CELLS), 37), people)
+    first = of(rows)
+    assert first == of(rows[::-1]) and first != of([(p, f, v + (k == 5)) for k, (p, f, v) in enumerate(rows)])
+
+
+def test_svd_against_numpy(spark):
+    rows = sparse_cells(7, 60)
+    _, dense = numpy_matrix(rows, list(range(60)))
+    people = spark.range(60).select(F.col("id").alias("person_id"))
+    matrix = features.scaled_matrix(spark.createDataFrame(rows, CELLS).repartition(3), 60)
+    got = {r["person_id"]: r["coords"] for r in features.truncated_svd(matrix, people, 4, extra=2).collect()}
+    u, s, v = np.linalg.svd(dense, full_matrices=False)
+    signs = np.where(v[np.arange(4), np.abs(v[:4]).argmax(axis=1)] < 0, -1.0, 1.0)
+    assert np.allclose(np.array([got[p] for p in range(60)]), u[:, :4] * s[:4] * signs, atol=1e-6)
+
+
 def test_signature(spark):
     rows = [(p, f"f{k}", 1.0) for p in range(12) for k in ((0, 1) if p < 6 else (2, 3))]
-    points = features.truncated_svd(spark.createDataFrame(rows, "person_id long, feature string, value double"), 2)
+    people = spark.range(12).select(F.col("id").alias("person_id"))
+    points = features.truncated_svd(features.scaled_matrix(spark.createDataFrame(rows, CELLS), 12), people, 2)
     got = features.cluster(points, 2, 5)
     sizes = sorted(r["n"] for r in got.groupBy("cluster").agg(F.count("*").alias("n")).collect())
     assert sizes == [6, 6] and features.medoids(got).count() == 2
