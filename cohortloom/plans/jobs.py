@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import stats
-from cohortloom.operators import causal, compare, deid, describe, eras, features, guardrails, ledger, omop, survival, trajectory, windows
+from cohortloom.operators import causal, compare, deid, describe, eras, features, guardrails, ledger, matching, omop, survival, trajectory, windows
 from cohortloom.operators.codesets import match_events
 from cohortloom.operators.cohorts import Cohort, resolve_cohorts
 from cohortloom.operators.resample import percentile_limits
@@ -257,7 +257,7 @@ def causal_effect(frame: DataFrame, outcome: str, exposed: str, covariates: list
     scored, terms = causal.propensity_design(rows, exposed, covariates)
     scored = tables.written(scored, "propensity")
     if method == "ps_matching":
-        pairs = tables.written(causal.match(scored), "pairs")
+        pairs = tables.written(matching.match(scored), "pairs")
         ids = pairs.select(F.col("exposed_id").alias("person_id")).union(pairs.select(F.col("comparator_id").alias("person_id")))
         weighted = tables.written(scored.join(ids, "person_id").withColumn("weight", F.lit(1.0)), "weighted")
         limits = {"difference": causal.bootstrap_pairs(scored, pairs, outcome, replicates, seed), "ratio": (None, None)}

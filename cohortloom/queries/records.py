@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import schemas
 from cohortloom.functions.columns import audit_token, normalize_reference, references
-from cohortloom.operators import causal, compare, deid, features, guardrails, ledger, omop, trajectory
+from cohortloom.operators import causal, compare, deid, features, guardrails, ledger, matching, omop, trajectory
 from cohortloom.queries.analyses import OUTCOMES, outcomes
 from cohortloom.queries.cohorts import _hmac_sql, with_ctes
 from cohortloom.sources import fhir, tables
@@ -337,7 +337,7 @@ QUERIES = {
     "last_status": lambda s, d: ledger.last_status(entries(s, d)),
     "artifact_lineage": lambda s, d: ledger.lineage(entries(s, d)),
     "propensity_scores": lambda s, d: causal.propensity(outcomes(s, d), "arm_a", ["balance", "year_of_birth"]).select("person_id", "treated", "propensity_score"),
-    "propensity_matching": lambda s, d: causal.match(causal.propensity(outcomes(s, d), "arm_a", ["balance", "year_of_birth"])),
+    "propensity_matching": lambda s, d: matching.match(causal.propensity(outcomes(s, d), "arm_a", ["balance", "year_of_birth"])),
 }
 
 RES = """pat AS (SELECT 'Patient/p' || c_custkey AS key FROM customer), enc AS (SELECT * FROM orders)"""

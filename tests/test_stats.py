@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import stats
-from cohortloom.operators import causal, compare, describe, features, ledger, survival, trajectory
+from cohortloom.operators import causal, compare, describe, features, ledger, matching, survival, trajectory
 from cohortloom.operators.ledger import chain_problems, with_hashes
 
 
@@ -78,7 +78,7 @@ def test_random_intercept_recovers_slope(spark):
 
 def test_greedy_matching(spark):
     rows = [(1, 1, 0.5), (2, 1, 0.52), (3, 0, 0.51), (4, 0, 0.525), (5, 0, 0.05), (6, 1, 0.95)]
-    got = causal.match(spark.createDataFrame(rows, "person_id long, treated int, propensity_score double"), 0.2)
+    got = matching.match(spark.createDataFrame(rows, "person_id long, treated int, propensity_score double"), 0.2)
     assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 4)]
 
 
@@ -207,7 +207,7 @@ def test_matching_ties_take_the_smaller_id(spark):
     half = math.log(0.5 / 0.5)
     at = lambda x: 1 / (1 + math.exp(-(half + x)))
     rows = [(1, 1, at(0.0)), (9, 0, at(-0.5)), (4, 0, at(0.5)), (3, 0, at(5.0)), (2, 1, at(-5.0))]
-    got = causal.match(spark.createDataFrame(rows, "person_id long, treated int, propensity_score double"), 0.2)
+    got = matching.match(spark.createDataFrame(rows, "person_id long, treated int, propensity_score double"), 0.2)
     assert sorted(map(tuple, got.collect())) == [(1, 4)]
 
 
@@ -369,3 +369,34 @@ def test_horizon_beyond_a_group_is_refused(spark):
     curve = survival.kaplan_meier(spark.createDataFrame([("g", 1.0, 1), ("g", 2.0, 0), ("h", 9.0, 1)], "group string, duration double, event int"))
     with pytest.raises(Exception, match="horizon"):
         survival.restricted_mean(curve, 5.0).collect()
+
+
+def plain_greedy(rows, logit, caliper):
+    """One pass over all people: ascending score, nearest free comparator, ties by id."""
+    free, pairs = {i for i, t, _ in rows if not t}, []
+    for x, i in sorted((logit[i], i) for i, t, _ in rows if t):
+        if free:
+            best = min(free, key=lambda j: (abs(logit[j] - x), j))
+            if abs(logit[best] - x) <= caliper:
+                pairs.append((i, best))
+                free.remove(best)
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize(("share", "part_rows", "digits"), [(0.3, 11, 9), (0.5, 7, 9), (0.75, 5, 9), (0.5, 1000, 9), (0.5, 6, 1)])
+def test_matching_by_parts(spark, share, part_rows, digits):
+    """Parts of a few people give what one pass gives: many, even and scarce comparators, and tied scores."""
+    rng = np.random.default_rng(int(100 * share) + part_rows)
+    x = np.round(rng.normal(size=150), digits)
+    rows = [(int(i), int(rng.random() < share), float(1 / (1 + math.exp(-v)))) for i, v in zip(rng.permutation(150), x, strict=True)]
+    scored = spark.createDataFrame(rows, "person_id long, treated int, propensity_score double")
+    logit = {r[0]: r[1] for r in scored.select("person_id", F.log(F.col("propensity_score") / (1 - F.col("propensity_score")))).collect()}
+    got = matching.match(scored, 0.2, part_rows)
+    assert sorted(map(tuple, got.collect())) == plain_greedy(rows, logit, 0.2 * float(np.std(list(logit.values()), ddof=1)))
+
+
+def test_matching_of_nobody(spark):
+    schema = "person_id long, treated int, propensity_score double"
+    assert matching.match(spark.createDataFrame([], schema)).count() == 0
+    assert matching.match(spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.5)], schema)).count() == 0
+    assert matching.match(spark.createDataFrame([(1, 0, 0.5), (2, 1, 0.5)], schema)).collect() == [(2, 1)]
