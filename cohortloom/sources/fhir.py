@@ -8,10 +8,10 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions.columns import normalize_reference, references
+from cohortloom.functions.columns import audit_token, normalize_reference, references
 from cohortloom.sources.tables import written
 
 MAX_DOCUMENT_BYTES = 20 * 1024 * 1024
@@ -49,21 +49,49 @@ def unwrap_bundles(bodies: DataFrame) -> DataFrame:
     return bodies.where(~kind.eqNullSafe("Bundle")).select("body").unionByName(inner)
 
 
+#: Files of one resource a line, and files of one JSON value; suffixes are case-blind.
+LINES = "*.{[nN][dD][jJ][sS][oO][nN],[jJ][sS][oO][nN][lL]}"
+WHOLE = "*.[jJ][sS][oO][nN]"
+
+
+def line_files(reader, path: str) -> DataFrame:
+    """(file, block, body) of every line below path; a block is a file's split."""
+    lines = reader.option("recursiveFileLookup", True).option("pathGlobFilter", LINES).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("body"))
+
+
+def whole_files(reader, path: str) -> DataFrame:
+    """(file, body) of every .json file below path."""
+    files = reader.option("recursiveFileLookup", True).option("pathGlobFilter", WHOLE).option("wholetext", True).text(path)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("body"))
+
+
+def parsed(lines: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(resources, bad lines (file, line, body)) of ``line_files`` and ``whole_files``, Bundles unwrapped.
+
+    Blank lines are skipped but counted. The number of a bad line is the lines of the
+    file's earlier blocks and its place in its own; a bad value of a .json file has none.
+    """
+    listed = F.from_json("body", "array<string>")
+    single = whole.where(~F.col("body").startswith("[")).unionByName(whole.where(F.col("body").startswith("[")).select("file", F.explode(listed).alias("body")))
+    good = F.coalesce(F.trim("body").startswith("{") & F.try_parse_json("body").isNotNull(), F.lit(False))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())  # by one from line to line of a block
+    held = lines.where(F.trim("body") != "")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    bad = held.where(~good).join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "body")
+    bad = bad.unionByName(single.where(~good).select("file", F.lit(None).cast("long").alias("line"), "body"))
+    return with_type_and_id(unwrap_bundles(held.select("body").unionByName(single.select("body")).where(good))), bad
+
+
 def read_fhir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(resources, bad lines) of all .ndjson, .jsonl and .json files below path, suffixes case-blind, Bundles unwrapped.
 
     Blank lines are skipped. A .json file is one object, a list or a Bundle.
-    Bad lines carry file and text.
+    Bad lines carry file, line number and text.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[nN][dD][jJ][sS][oO][nN],[jJ][sS][oO][nN][lL]}").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body")).where(F.trim("body") != "")
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("wholetext", True).text(path)
-    whole = whole.select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("body"))
-    listed = F.from_json("body", "array<string>")
-    single = whole.where(~F.col("body").startswith("[")).unionByName(whole.where(F.col("body").startswith("[")).select("file", F.explode(listed).alias("body")))
-    every = lines.unionByName(single)
-    good = F.trim("body").startswith("{") & F.try_parse_json("body").isNotNull()
-    return with_type_and_id(unwrap_bundles(every.where(good).select("body"))), every.where(~F.coalesce(good, F.lit(False)))
+    return parsed(line_files(spark.read, path), whole_files(spark.read, path))
 
 
 def with_key(resources: DataFrame) -> DataFrame:
@@ -111,10 +139,10 @@ def ownership(keyed: DataFrame, max_rounds: int = 50, links: DataFrame | None =
     raise RuntimeError("ownership did not settle")
 
 
-def group_by_patient(keyed: DataFrame, max_rounds: int = 50) -> dict[str, DataFrame]:
-    """members (patient_id, key) with helpers copied in, ambiguous (key) and orphans (key)."""
-    links = written(edges(keyed), "fhir-links")
-    owners = ownership(keyed, max_rounds, links)
+def group_by_patient(keyed: DataFrame, max_rounds: int = 50, links: DataFrame | None = None, owners: DataFrame | None = None) -> dict[str, DataFrame]:
+    """members (patient_id, key) with helpers copied in, ambiguous (key) and orphans (key); links and owners where they are known already."""
+    links = written(edges(keyed), "fhir-links") if links is None else links
+    owners = ownership(keyed, max_rounds, links) if owners is None else owners
     counted = written(owners.groupBy("key").agg(F.count("*").alias("n"), F.min("patient_id").alias("patient_id")), "fhir-owned")
     single, ambiguous = counted.where("n = 1").select("key", "patient_id"), counted.where("n > 1").select("key")
     free = links.join(counted, links["ref"] == counted["key"], "left_anti")
@@ -130,6 +158,17 @@ def group_by_patient(keyed: DataFrame, max_rounds: int = 50) -> dict[str, DataFr
     return {"members": members, "ambiguous": ambiguous, "orphans": orphans}
 
 
+def write_bundles(bundles: DataFrame, folder: str, key: bytes) -> None:
+    """Writes ``patient_bundles`` as one file per patient below ``patient=<keyed token>``; a patient that is written again replaces its file, others stay."""
+    named = bundles.select(audit_token(F.col("patient_id"), key, 64).alias("patient"), F.col("bundle").alias("value"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient").text(folder)
+
+
+def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """(patient, bundle): token and text of every written bundle."""
+    return spark.read.option("wholetext", True).text(folder).select("patient", F.rtrim(F.regexp_replace("value", "\\n+$", "")).alias("bundle"))
+
+
 def patient_bundles(keyed: DataFrame, members: DataFrame) -> DataFrame:
     """(patient_id, bundle): one collection Bundle per patient, the Patient first, then by type, id and digest."""
     rows = members.join(keyed, "key")
