@@ -73,13 +73,30 @@ def measurement_summary(measurements: DataFrame) -> DataFrame:
 
 
 def unchecked_fraction(mapping: DataFrame, code_sets: DataFrame, tables: list[str] | None = None) -> DataFrame:
-    """One row (rows, unchecked_fraction) over mapping rows of the code sets' codings, or of whole tables."""
-    scoped = mapping.join(code_sets.select("source_system", "source_code").distinct(), ["source_system", "source_code"], "left_semi")
-    if tables:
-        scoped = mapping.where(F.col("omop_table").isin(tables))
+    """One row (rows, unchecked_fraction) over the mapping rows of the code sets' codings or of the named tables."""
+    codings = code_sets.select("source_system", "source_code", F.lit(True).alias("_coded")).distinct()
+    held = F.col("_coded").isNotNull() | F.coalesce(F.col("omop_table").isin(*(tables or [])), F.lit(False))
+    scoped = mapping.join(codings, ["source_system", "source_code"], "left").where(held)
     return scoped.agg(F.count("*").alias("rows"), F.avg((F.col("mapping_status") == "UNCHECKED").cast("double")).alias("unchecked_fraction"))
 
 
+def unchecked_by_analysis(mapping: DataFrame, code_sets: DataFrame, scope: DataFrame) -> DataFrame:
+    """(analysis_id, rows, unchecked_fraction): of the mapping rows of any coding or table that an analysis draws on; 0 where there is none.
+
+    scope: analysis_id, code_set_name, omop_table (one of the two in a row, both null
+    for an analysis without a scope). Only accepted codings count. Mappings are
+    counted per coding, table and status first; every analysis then meets counts.
+    """
+    counts = mapping.groupBy("source_system", "source_code", "omop_table").agg(F.count("*").alias("n"), F.count_if(F.col("mapping_status") == "UNCHECKED").alias("unchecked"))
+    accepted = code_sets.where("accepted").select("code_set_name", "source_system", "source_code")
+    codings = scope.where("code_set_name is not null").join(accepted, "code_set_name").select("analysis_id", "source_system", "source_code").distinct()
+    whole = scope.where("omop_table is not null").select("analysis_id", "omop_table").distinct()
+    hits = counts.join(codings, ["source_system", "source_code"]).unionByName(counts.join(whole, "omop_table")).distinct()
+    per = hits.groupBy("analysis_id").agg(F.sum("n").alias("rows"), F.sum("unchecked").alias("unchecked"))
+    joined = scope.select("analysis_id").distinct().join(per, "analysis_id", "left")
+    return joined.select("analysis_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce(F.col("unchecked") / F.col("rows"), F.lit(0.0)).alias("unchecked_fraction"))
+
+
 def fewest_events(summaries: list[DataFrame]) -> DataFrame:
     """Of several outcomes' summaries the one with the fewest events counts."""
     every = reduce(DataFrame.unionByName, summaries)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.sources.tables import written
+
 
 def entry_text(*columns: str):
     """Canonical text of an entry: named fields as sorted JSON, without its own hash."""
@@ -21,10 +23,19 @@ def with_hashes(entries: DataFrame, columns: list[str], genesis: str = "0" * 64)
 
 
 def chain_problems(entries: DataFrame, columns: list[str], genesis: str = "0" * 64) -> DataFrame:
-    """(seq, problem): entries whose hash does not match or that do not follow the one before."""
-    order = Window.orderBy("seq")  # one row per step of a study
-    checked = with_hashes(entries, columns, genesis).withColumn("before", F.lag("entry_hash", 1, genesis).over(order))
-    return checked.select("seq", F.when(F.col("entry_hash") != F.col("expected"), "altered").when(F.col("prev_hash") != F.col("before"), "broken_link").alias("problem")).where("problem is not null")
+    """(seq, problem): entries whose hash does not match or that do not follow the one before.
+
+    Entries are compared inside range partitions of seq; the first of a partition is
+    compared with the last of the partition before, so no task holds the whole chain.
+    """
+    checked = written(with_hashes(entries, columns, genesis).repartitionByRange("seq").withColumn("_part", F.spark_partition_id()), "chain")
+    last = checked.groupBy("_part").agg(F.max_by("entry_hash", "seq").alias("_last"))
+    carried = last.select("_part", F.lag("_last", 1, genesis).over(Window.orderBy("_part")).alias("_carried"))  # one row per partition
+    order = Window.partitionBy("_part").orderBy("seq")
+    first = F.row_number().over(order) == 1
+    linked = checked.join(carried, "_part").withColumn("before", F.when(first, F.col("_carried")).otherwise(F.lag("entry_hash").over(order)))
+    altered, broken = ~F.col("entry_hash").eqNullSafe(F.col("expected")), ~F.col("prev_hash").eqNullSafe(F.col("before"))
+    return linked.select("seq", F.when(altered, "altered").when(broken, "broken_link").alias("problem")).where("problem is not null")
 
 
 def latest_declarations(entries: DataFrame, side: str = "outputs") -> DataFrame:
@@ -44,9 +55,32 @@ def lineage(entries: DataFrame) -> DataFrame:
     return out.join(into, ["path", "sha256"]).where("producer < consumer").groupBy("path", "consumer").agg(F.max("producer").alias("producer"))
 
 
+def directory_digests(inventory: DataFrame) -> DataFrame:
+    """(path, sha256) of every directory above the files (path, sha256): the hash of its files' relative paths and hashes, in order of path.
+
+    A directory's text is one line per file, ``<relative path> NUL <hash> LF``.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    rows = inventory.where(F.size(parts) > 1).select(F.explode(above).alias("folder"), "path", "sha256")
+    line = F.struct(F.expr("substring(path, length(folder) + 2)").alias("name"), "sha256")
+    told = rows.groupBy("folder").agg(F.array_sort(F.collect_list(line)).alias("files"))
+    text = F.array_join(F.transform("files", lambda f: F.concat(f["name"], F.lit("\0"), f["sha256"], F.lit("\n"))), "")
+    return told.select(F.col("folder").alias("path"), F.sha2(text, 256).alias("sha256"))
+
+
+def latest_artifacts(entries: DataFrame) -> DataFrame:
+    """(path, sha256, seq, side): the last declaration of each path as input or output; of one entry the output counts."""
+    sides = [entries.select("seq", F.lit(k).alias("rank"), F.explode(side).alias("path", "sha256")) for k, side in enumerate(("inputs", "outputs"))]
+    last = sides[0].unionByName(sides[1]).groupBy("path").agg(F.max_by(F.struct("sha256", "seq", "rank"), F.struct("seq", "rank")).alias("x"))
+    return last.select("path", "x.sha256", "x.seq", F.when(F.col("x.rank") == 0, "input").otherwise("output").alias("side"))
+
+
 def artifact_audit(declared: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(path, problem) of declared files: outside the root, missing or changed."""
-    joined = declared.join(inventory.select("path", F.col("sha256").alias("actual")), "path", "left")
+    """(path, problem) of declared files and directories: outside the root, missing or changed. inventory lists files."""
+    there = inventory.select("path", F.col("sha256").alias("actual"))
+    folders = directory_digests(inventory).join(declared.select("path").distinct(), "path", "left_semi")
+    joined = declared.join(there.unionByName(folders.withColumnRenamed("sha256", "actual")), "path", "left")
     outside = F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
     return joined.select("path", F.when(outside, "outside_root").when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha256"), "changed").alias("problem")).where("problem is not null")
 
@@ -55,16 +89,23 @@ def untracked(inventory: DataFrame, declared: DataFrame) -> DataFrame:
     return inventory.join(declared.select("path"), "path", "left_anti")
 
 
-def shareable(entries: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Allow-listed steps with their allowed parameters, items reduced to status counts, calls summed by endpoint."""
+def shareable(entries: DataFrame, allowed: DataFrame, endpoints: tuple[str, ...] = ()) -> DataFrame:
+    """Allow-listed steps with their allowed parameters, items reduced to status counts, calls of the allowed endpoints summed by endpoint.
+
+    An endpoint that is not named is left out, as it may hold a path with an id. Calls
+    have a count and, where entries tell them, milliseconds and credits; null counts as 0.
+    """
     rules = allowed.groupBy("step").agg(F.collect_set("param").alias("names"))
-    kept = entries.join(rules, "step")
+    kept = entries.join(rules, "step").withColumn("_calls", F.filter("api_calls", lambda c: F.coalesce(c["endpoint"].isin(*endpoints), F.lit(False))))
     counts = lambda items: F.map_from_entries(
         F.transform(F.array_distinct(F.transform(items, lambda i: i["status"])), lambda s: F.struct(s, F.size(F.filter(items, lambda i: i["status"] == s))))
     )
-    names = F.array_sort(F.array_distinct(F.transform("api_calls", lambda c: c["endpoint"])))
-    add = lambda f: F.transform(names, lambda e: F.aggregate(F.filter("api_calls", lambda c: c["endpoint"] == e), F.lit(0).cast("long"), lambda a, c: a + c[f]))
-    return kept.select("seq", "step", "status", F.map_filter("params", lambda k, _: F.array_contains("names", k)).alias("params"), counts(F.col("items")).alias("item_counts"), F.arrays_zip(names.alias("endpoint"), add("count").alias("count")).alias("calls"))
+    told = entries.schema["api_calls"].dataType.elementType.fieldNames()
+    kinds = {"count": "long", "ms": "double", "credits": "double"}
+    add = lambda e, f: F.aggregate(F.filter("_calls", lambda c: c["endpoint"] == e), F.lit(0).cast(kinds[f]), lambda a, c: a + F.coalesce(c[f].cast(kinds[f]), F.lit(0)))
+    call = lambda e: F.struct(e.alias("endpoint"), *[add(e, f).alias(f) for f in kinds if f in told])
+    calls = F.transform(F.array_sort(F.array_distinct(F.transform("_calls", lambda c: c["endpoint"]))), call)
+    return kept.select("seq", "step", "status", F.map_filter("params", lambda k, _: F.array_contains("names", k)).alias("params"), counts(F.col("items")).alias("item_counts"), calls.alias("calls"))
 
 
 def declaring_entry(entries: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import stats
@@ -22,13 +22,19 @@ from cohortloom.sources.patched import PatchedTables
 
 @dataclass(frozen=True)
 class Analysis:
-    """What the data summary must know of an analysis: outcomes are (code set, start, end, washout)."""
+    """What the data summary must know of an analysis: outcomes are (code set, start, end, washout).
+
+    arms are cohorts; adjustment and code_sets may name code sets; domains are those
+    of its features.
+    """
 
     analysis_id: str
     kind: str
     arms: tuple[str, ...] = ()
     outcomes: tuple[tuple[str, int, int, int], ...] = ()
     adjustment: tuple[str, ...] = ()
+    code_sets: tuple[str, ...] = ()
+    domains: tuple[str, ...] = ()
 
 
 def ingest(resources: DataFrame) -> dict[str, DataFrame]:
@@ -252,7 +258,7 @@ def patient_signature(frame: DataFrame, keyed: DataFrame, measurements: DataFram
 
 
 def causal_effect(frame: DataFrame, outcome: str, exposed: str, covariates: list[str], method: str = "iptw", estimand: str = "ate", replicates: int = 500, seed: int = 1) -> dict:
-    """Effect with bootstrap limits and E-value, balance and scores. iptw: every replicate refits the whole adjustment; ps_matching: matched pairs are resampled."""
+    """Effect with bootstrap limits and E-value (of the risk ratio, or of the standardised difference of a continuous outcome), balance and scores. iptw: every replicate refits the whole adjustment; ps_matching: matched pairs are resampled."""
     rows = frame.where(F.col(outcome).isNotNull())
     scored, terms = causal.propensity_design(rows, exposed, covariates)
     scored = tables.written(scored, "propensity")
@@ -266,22 +272,29 @@ def causal_effect(frame: DataFrame, outcome: str, exposed: str, covariates: list
         reps = tables.written(causal.bootstrap_effect(scored, list(terms), outcome, estimand, replicates=replicates, seed=seed), "replicates")
         limits = {"difference": percentile_limits(reps.select("rep", F.col("difference").alias("x")), replicates), "ratio": percentile_limits(reps.select("rep", F.col("ratio").alias("x")), replicates)}
     got = causal.effect(weighted, outcome)
+    kind = compare.outcome_types(rows, [outcome]).first()["outcome_type"]
+    spread = weighted.agg(F.stddev_samp(F.col(outcome).cast("double"))).first()[0] or 0.0
     bound = lambda k, i: F.lit(limits[k][i]).cast("double")
     low, high = bound("ratio", 0), bound("ratio", 1)
+    if kind == "binary":
+        e_value, e_limit, basis = stats.e_value(F.col("ratio")), stats.e_value_limit(F.col("ratio"), low, high), "risk_ratio"
+    else:
+        e_value = stats.e_value_continuous(F.col("difference"), F.lit(float(spread))) if spread > 0 else F.lit(1.0)
+        e_limit, basis = F.lit(None).cast("double"), "standardized_mean_difference"
     data = got.select(
-        "*", bound("difference", 0).alias("lower"), bound("difference", 1).alias("upper"), low.alias("ratio_lower"), high.alias("ratio_upper"), stats.e_value(F.col("ratio")).alias("e_value"), stats.e_value_limit(F.col("ratio"), low, high).alias("e_value_limit"),
+        "*", bound("difference", 0).alias("lower"), bound("difference", 1).alias("upper"), low.alias("ratio_lower"), high.alias("ratio_upper"), e_value.alias("e_value"), e_limit.alias("e_value_limit"), F.lit(basis).alias("e_value_basis"),
     )
     named = weighted.select("treated", "weight", *[F.col(c).alias(t) for c, t in terms.items()])
     return {"data": data, "balance": causal.balance(named, list(terms.values())), "propensity": weighted.select("person_id", F.col("cohort_name").alias("group"), "propensity_score", "weight")}
 
 
-def export(shared: dict[str, DataFrame], entries: DataFrame, allowed: DataFrame, folder: str, results: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Writes the shared tables after the audit; returns inventory, shareable ledger and problems.
+def export(shared: dict[str, DataFrame], entries: DataFrame, allowed: DataFrame, folder: str, results: DataFrame | None = None, endpoints: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Checks the results, then audits and writes the shared tables; returns inventory, shareable ledger and problems.
 
     results (path, sha256, input_path, input_sha256): every result must be the
-    latest output of a successful entry that read exactly those inputs.
+    latest output of a successful entry that read exactly those inputs. With a
+    problem nothing is written.
     """
-    deid.export_parquet(shared, folder)
     spark = entries.sparkSession
     problems = spark.createDataFrame([], "path string, problem string")
     if results is not None:
@@ -292,7 +305,37 @@ def export(shared: dict[str, DataFrame], entries: DataFrame, allowed: DataFrame,
         problems = joined.select("path", problem.alias("problem")).where("problem is not null")
         if not problems.isEmpty():
             return {"problems": problems}
-    return {"inventory": tables.payload_inventory(spark, folder), "ledger": ledger.shareable(entries, allowed), "problems": problems}
+    deid.export_parquet(shared, folder)
+    return {"inventory": tables.payload_inventory(spark, folder), "ledger": ledger.shareable(entries, allowed, endpoints), "problems": problems}
+
+
+#: The table of each clinical domain.
+DOMAIN_TABLES = {
+    "condition": "condition_occurrence",
+    "drug": "drug_exposure",
+    "procedure": "procedure_occurrence",
+    "measurement": "measurement",
+    "observation": "observation",
+    "visit": "visit_occurrence",
+}
+
+
+def analysis_scope(spark: SparkSession, analyses: list[Analysis], cohorts: list[Cohort]) -> DataFrame:
+    """(analysis_id, code_set_name, omop_table): every code set and table whose mappings can affect an analysis.
+
+    Code sets of the outcomes, covariates and the analysis's own, of the criteria and
+    index rule of its cohorts; tables of the domains of its features. Names that are
+    no code sets match nothing.
+    """
+    rows = []
+    for a in analyses:
+        names = {o[0] for o in a.outcomes} | set(a.adjustment) | set(a.code_sets)
+        for c in cohorts:
+            if c.name in a.arms:
+                names |= {x.code_set for x in (*c.inclusion, *c.exclusion)} | ({c.index_set} if c.index_set else set())
+        rows += [(a.analysis_id, name, None) for name in sorted(names)] + [(a.analysis_id, None, DOMAIN_TABLES[d]) for d in a.domains]
+        rows.append((a.analysis_id, None, None))
+    return spark.createDataFrame(rows, "analysis_id string, code_set_name string, omop_table string")
 
 
 def data_summary(frame: DataFrame, matched: DataFrame, analyses: list[Analysis], unchecked: DataFrame | None = None, measurements: DataFrame | None = None) -> DataFrame:

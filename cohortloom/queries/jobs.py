@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import causal, compare, deid, eras, features, guardrails, ledger, omop, survival, trajectory, windows
 from cohortloom.plans import jobs
 from cohortloom.queries.analyses import CATEGORICAL, CATS, ERAS, LINES, OUTCOMES, SURVIVED, TABS, _continuous_sql, outcomes, survived
-from cohortloom.queries.cohorts import FRAME, RESOLVED, events_of, frame, matched, resolved, with_ctes
+from cohortloom.queries.cohorts import FRAME, PLAN, RESOLVED, events_of, frame, matched, resolved, with_ctes
 from cohortloom.queries.records import BALANCE, WEIGHTED, _weighted, entries, measured, resources
 from cohortloom.sources import fhir, tables
 from cohortloom.testbed import ctes, load
@@ -176,7 +176,7 @@ def _exported(spark, d):
     shared = {"study.person_demographic": deid.person_demographics(load(spark, d, "person"), people)}
     folder = f"{tables.written(people.limit(1), 'export').inputFiles()[0].rsplit('/', 1)[0]}/out"
     rows = entries(spark, d).withColumn("params", F.create_map(F.lit("seed"), F.lit("1"))).withColumn("items", F.array(F.struct(F.lit("ok").alias("status")))).withColumn("api_calls", F.array(F.struct(F.lit("map").alias("endpoint"), F.lit(1).cast("long").alias("count"))))
-    got = jobs.export(shared, rows, spark.createDataFrame([("1-URGENT", "seed")], "step string, param string"), folder)
+    got = jobs.export(shared, rows, spark.createDataFrame([("1-URGENT", "seed")], "step string, param string"), folder, endpoints=("map",))
     again = tables.read_tables(spark, folder, ["study.person_demographic"], views=False)["study.person_demographic"]
     return again.groupBy("age_bucket").agg(F.count("*").alias("n")).unionByName(got["ledger"].agg(F.count("*").alias("n")).select(F.lit("ledger").alias("age_bucket"), "n"))
 
@@ -205,10 +205,40 @@ def _calls(spark, d):
     call = lambda e, n: F.struct(F.lit(e).alias("endpoint"), F.lit(n).cast("long").alias("count"))
     rows = rows.withColumn("api_calls", F.array(call("map", 2), call("map", 3), call("look", 1)))
     allowed = spark.createDataFrame([("1-URGENT", "seed"), ("2-HIGH", "seed")], "step string, param string")
-    got = ledger.shareable(rows, allowed)
+    got = ledger.shareable(rows, allowed, ("map", "look"))
     return got.select("seq", "step", F.map_keys("params")[0].alias("param"), F.col("item_counts")["ok"].cast("int").alias("ok_items"), F.size("calls").alias("endpoints"), F.aggregate("calls", F.lit(0).cast("long"), lambda a, c: a + c["count"]).alias("calls"))
 
 
+def _shared_calls(spark, d):
+    """Calls of two allowed endpoints and of one whose path holds an id: (seq, endpoint, count, ms, credits)."""
+    k = F.col("o_orderkey")
+    call = lambda e, n, ms, credits: F.struct(F.lit(e).alias("endpoint") if isinstance(e, str) else e.alias("endpoint"), n.cast("long").alias("count"), ms.cast("double").alias("ms"), credits.cast("double").alias("credits"))
+    calls = F.array(call("map", k % 5, k % 7 + 0.5, F.when(k % 2 == 0, 1)), call("map", F.lit(2), k % 3, F.lit(2)), call("look", F.lit(1), F.lit(None), k % 4), call(F.concat(F.lit("patients/"), k), F.lit(9), F.lit(9), F.lit(9)))
+    rows = load(spark, d, "orders").select(k.alias("seq"), F.col("o_orderpriority").alias("step"), F.lit("ok").alias("status"), F.create_map(F.lit("seed"), F.lit("1")).alias("params"), F.array(F.struct(F.lit("ok").alias("status"))).alias("items"), calls.alias("api_calls"))
+    allowed = spark.createDataFrame([("1-URGENT", "seed"), ("2-HIGH", "seed")], "step string, param string")
+    return ledger.shareable(rows, allowed, ("look", "map")).select("seq", F.explode("calls").alias("c")).select("seq", "c.*")
+
+
+def _unchecked_by_analysis(spark, d):
+    """The three analyses and two with features: the share of unchecked mappings that each draws on."""
+    more = [jobs.Analysis("features", "patient_signature", domains=("condition", "drug")), jobs.Analysis("both", "trajectory", ("urgent_f",), (("status-p", 1, 90, 0),), domains=("visit",))]
+    sets = load(spark, d, "code_set").withColumn("source_system", F.substring_index("source_value", "#", 1)).withColumn("source_code", F.substring_index("source_value", "#", -1))
+    m = load(spark, d, "code_mapping").select("source_system", "source_code", F.when(F.col("omop_id") % 4 == 0, "visit_occurrence").otherwise(F.col("omop_table")).alias("omop_table"), F.when(F.col("omop_id") % 3 == 0, "UNCHECKED").otherwise(F.col("mapping_status")).alias("mapping_status"))
+    return guardrails.unchecked_by_analysis(m, sets, jobs.analysis_scope(spark, [*ANALYSES, *more], PLAN))
+
+
+def _artifacts(spark, d):
+    """Orders as files in two levels of folders, declared by entries as files and as folders; some have changed or are gone."""
+    k = F.col("o_orderkey")
+    o = load(spark, d, "orders")
+    path = F.concat(F.lit("out/c"), F.col("o_custkey"), F.lit("/f"), k)
+    files = o.where(k % 11 > 0).select(path.alias("path"), F.sha2(F.when(k % 13 == 0, "changed").otherwise(k.cast("string")), 256).alias("sha256"))
+    told = o.select(path.alias("path"), F.sha2(k.cast("string"), 256).alias("sha256"))
+    folders = ledger.directory_digests(o.where(k % 11 > 0).select(path.alias("path"), F.sha2(k.cast("string"), 256).alias("sha256")))
+    declared = told.unionByName(folders.where("path like 'out/c%'"))
+    return ledger.artifact_audit(declared, files)
+
+
 def _declaring(spark, d):
     e = entries(spark, d)
     wanted = e.select(F.explode("outputs").alias("path", "sha256"), F.map_entries("inputs")[0].alias("i"), "seq").groupBy("path").agg(F.max_by(F.struct("sha256", F.col("i.key").alias("input_path"), F.col("i.value").alias("input_sha256")), "seq").alias("x")).select("path", "x.*")
@@ -302,6 +332,9 @@ QUERIES = {
     "trajectory_bootstrap": lambda s, d: trajectory.bootstrap_means(trajectory.relative_times(*measured(s, d))),
     "patient_signature": _stage_signature,
     "scaled_matrix": _scaled_matrix,
+    "shareable_calls": _shared_calls,
+    "unchecked_by_analysis": _unchecked_by_analysis,
+    "artifact_audit": _artifacts,
     "causal_iptw": lambda s, d: jobs.causal_effect(outcomes(s, d), "any_urgent", "arm_a", ["balance", "year_of_birth"])["data"],
     "first_seen": lambda s, d: fhir.first_seen(load(s, d, "events").select(F.concat(F.lit("u"), "user_id").alias("patient_id"), F.col("event_id").alias("seq"))),
     "class_overlaps": lambda s, d: eras.class_overlaps(load(s, d, "drug_event").select("event_id", F.col("source_value").alias("drug_class"))),
@@ -324,6 +357,15 @@ NEW = """WITH new AS (SELECT * FROM customer WHERE c_custkey % 8 <> 0), good AS
     placed AS (SELECT good.*, CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 1 ELSE t + row_number() OVER (PARTITION BY c_custkey % 4 = 0 ORDER BY c_name) END * 1000000 AS id_offset FROM good, top)"""
 
 ORACLES = {
+    "shareable_calls": """WITH o AS (SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
+        SELECT o_orderkey AS seq, 'map' AS endpoint, o_orderkey % 5 + 2 AS count, CAST(o_orderkey % 7 + 0.5 + o_orderkey % 3 AS DOUBLE) AS ms, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END AS DOUBLE) AS credits FROM o
+        UNION ALL SELECT o_orderkey, 'look', 1, CAST(0 AS DOUBLE), CAST(o_orderkey % 4 AS DOUBLE) FROM o""",
+    "unchecked_by_analysis": ctes("code_mapping") + """, m AS (SELECT source_code, CASE WHEN omop_id % 4 = 0 THEN 'visit_occurrence' ELSE omop_table END AS t, CASE WHEN omop_id % 3 = 0 THEN 'UNCHECKED' ELSE mapping_status END AS s FROM code_mapping),
+        scope AS (SELECT * FROM (VALUES ('compare', ['O', 'F'], ['']), ('effect', ['F'], ['']), ('signature', [''], ['']), ('features', [''], ['condition_occurrence', 'drug_exposure']), ('both', ['P', 'F'], ['visit_occurrence'])) AS x (analysis_id, codes, tables))
+        SELECT analysis_id, count(s) AS rows, coalesce(avg(CAST(s = 'UNCHECKED' AS DOUBLE)), 0.0) AS unchecked_fraction FROM scope LEFT JOIN m ON list_contains(codes, source_code) OR list_contains(tables, t) GROUP BY 1""",
+    "artifact_audit": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+        SELECT 'out/c' || c || '/f' || k AS path, CASE WHEN k % 11 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM o WHERE k % 11 = 0 OR k % 13 = 0
+        UNION ALL SELECT 'out/c' || c, 'changed' FROM o WHERE k % 11 > 0 GROUP BY c HAVING count(*) FILTER (k % 13 = 0) > 0""",
     "scaled_matrix": ctes("measurement_event") + """, person AS (SELECT DISTINCT person_id, CASE WHEN person_id % 5 > 0 THEN 1930 + person_id % 65 END AS year, CASE WHEN person_id % 7 > 0 THEN 'r' || person_id % 3 ELSE 'Missing' END AS race FROM measurement_event),
         e AS (SELECT *, substr(source_value, 7) AS k, datediff('day', DATE '2024-01-15', event_date) AS day FROM measurement_event),
         n AS (SELECT person_id, CASE WHEN day < 0 THEN 'baseline' ELSE 'post' END || '|measurement|' || k AS base, count(*) AS n FROM e WHERE day BETWEEN -365 AND 90 GROUP BY 1, 2),
