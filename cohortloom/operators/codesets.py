@@ -1,8 +1,7 @@
 """Code sets: matching events, checks, keys and fingerprints.
 
-Code sets are small by nature, but nothing is marked for broadcast here: Spark
-broadcasts a side whose size it knows to be below its threshold, and shuffles
-otherwise.
+Code sets are small by nature: up to a number of codings they are broadcast, beyond
+it joins shuffle.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.sources.tables import small
+
 
 def match_events(events: DataFrame, code_sets: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Events with ``code_set_name`` for each accepted code set they match (of ``names``, if given), once per set.
@@ -24,7 +25,7 @@ def match_events(events: DataFrame, code_sets: DataFrame, names: list[str] | Non
         accepted = accepted.where(F.col("code_set_name").isin(names))
     domains = sorted(r[0] for r in accepted.select("domain").distinct().collect())
     of = lambda key: accepted.where(f"{key} is not null").groupBy("domain", key).agg(F.collect_set("code_set_name").alias(f"by_{key}"))
-    found = events.where(F.col("domain").isin(domains)).join(of("concept_id").where("concept_id > 0"), ["domain", "concept_id"], "left").join(of("source_value"), ["domain", "source_value"], "left")
+    found = events.where(F.col("domain").isin(domains)).join(small(of("concept_id").where("concept_id > 0")), ["domain", "concept_id"], "left").join(small(of("source_value")), ["domain", "source_value"], "left")
     none = F.array().cast("array<string>")
     names_of = F.array_union(F.coalesce("by_concept_id", none), F.coalesce("by_source_value", none))
     return found.select(*events.columns, F.explode(names_of).alias("code_set_name"))
@@ -41,8 +42,8 @@ def event_keys(events: DataFrame, code_sets: DataFrame) -> DataFrame:
 
     Acceptance is not asked for here.
     """
-    concepts = (code_sets.where("concept_id > 0").groupBy("domain", "concept_id").agg(F.min("code_set_name").alias("by_concept")))
-    sources = (code_sets.where("source_value is not null").groupBy("domain", "source_value").agg(F.min("code_set_name").alias("by_source")))
+    concepts = small(code_sets.where("concept_id > 0").groupBy("domain", "concept_id").agg(F.min("code_set_name").alias("by_concept")))
+    sources = small(code_sets.where("source_value is not null").groupBy("domain", "source_value").agg(F.min("code_set_name").alias("by_source")))
     joined = events.join(concepts, ["domain", "concept_id"], "left").join(sources, ["domain", "source_value"], "left")
     plain = F.when(F.col("concept_id") > 0, F.concat(F.lit("concept:"), F.col("concept_id").cast("string"))).when(
         F.coalesce(F.col("source_value"), F.lit("")) != "", F.concat(F.lit("source:"), F.col("source_value"))

@@ -59,7 +59,8 @@ def criterion_counts(matched: DataFrame, indexes: DataFrame, cohorts: list[Cohor
     """(cohort_name, person_id, counts map<criterion number, events>) over inclusions then exclusions, in one aggregation.
 
     Criteria without a window count null-dated events too; windows are inclusive
-    and need an index date.
+    and need an index date. The criteria are as many as the plan has, so events are
+    not dealt by the few code sets.
     """
     spark = matched.sparkSession
     rows = []
@@ -68,7 +69,7 @@ def criterion_counts(matched: DataFrame, indexes: DataFrame, cohorts: list[Cohor
             before, after = x.window or (None, None)
             rows.append((c.name, k, x.code_set, x.window is not None, before, after))
     criteria = spark.createDataFrame(rows, "cohort_name string, k int, code_set_name string, windowed boolean, before int, after int")
-    wanted = matched.select("person_id", "code_set_name", "event_date").join((criteria), "code_set_name").join(indexes, ["cohort_name", "person_id"])
+    wanted = matched.select("person_id", "code_set_name", "event_date").join(F.broadcast(criteria), "code_set_name").join(indexes, ["cohort_name", "person_id"])
     day = F.datediff("event_date", "index_date")
     inside = (F.col("before").isNull() | (day >= -F.col("before"))) & (F.col("after").isNull() | (day <= F.col("after"))) & day.isNotNull()
     counted = wanted.groupBy("cohort_name", "person_id", "k").agg(F.count_if(~F.col("windowed") | inside).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.sources.tables import small
+
 
 def assign_class(exposures: DataFrame, classes: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """Exposures with drug_class from a map (source_value, drug_class); unmatched and unlisted ones are left out.
@@ -13,7 +15,7 @@ def assign_class(exposures: DataFrame, classes: DataFrame, allowed: list[str] |
     """
     single = classes.groupBy("source_value").agg(F.min("drug_class").alias("drug_class"), F.count_distinct("drug_class").alias("n"))
     single = single.select("source_value", F.when(F.col("n") == 1, F.col("drug_class")).otherwise(F.raise_error(F.concat(F.lit("several classes: "), "source_value")).cast("string")).alias("drug_class"))
-    out = exposures.join((single), "source_value")
+    out = exposures.join(small(single), "source_value")
     return out.where(F.col("drug_class").isin(allowed)) if allowed else out
 
 

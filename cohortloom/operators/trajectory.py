@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.stats import normal_p, z_value
+from cohortloom.sources.tables import small
 
 
 def harmonize_units(measurements: DataFrame, conversions: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def harmonize_units(measurements: DataFrame, conversions: DataFrame) -> DataFram
         return measurements
     if seen["unmapped"] or seen["targets"] != 1:
         raise ValueError("every unit must be mapped to one common target")
-    joined = measurements.join(conversions, "unit")
+    joined = measurements.join(small(conversions), "unit")
     return joined.withColumn("value", F.col("value") * F.coalesce("multiplier", F.lit(1.0)) + F.coalesce("offset", F.lit(0.0))).withColumn("unit", F.col("target")).drop("target", "multiplier", "offset")
 
 

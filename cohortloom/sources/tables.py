@@ -26,6 +26,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most ``rows`` rows, as parameters of a study have; else df, and joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def load_frame(spark: SparkSession, query: str | None = None, table: str | None = None, csv: str | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Exactly one source. A query is one SELECT or WITH; a table is a plain name; duplicate columns are refused."""
     given = [x for x in (query, table, csv, rows) if x is not None]
