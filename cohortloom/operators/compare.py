@@ -132,18 +132,76 @@ def value_cells(frame: DataFrame, value: str, group: str, exposed: str, comparat
     return rows.groupBy("g", v.alias("v")).agg(F.count("*").alias("n")), low, step
 
 
-def hodges_lehmann(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, bins: int = 2048) -> DataFrame:
-    """One row (shift): median of all pairwise differences, over counts of distinct values, of which each arm has ``bins`` at most.
+def pair_counts(cells: DataFrame, shifts: list[float]) -> list[int]:
+    """For each shift the number of pairs (x of arm 1, y of arm 0) with x - y at most the shift.
 
-    More distinct values than half of ``bins`` are rounded to ``bins`` equal steps
-    of the range, so the shift is then off by one step at most.
+    cells: (g, v, n) counts per arm and value. A pair counts where y is at least
+    x - shift, so one sorted pass over the values of arm 0 and the moved ones of arm 1
+    has all the counts.
     """
-    counts, _, _ = value_cells(frame, value, group, exposed, comparator, bins)
-    a = counts.where("g = 1").select(F.col("v").alias("x"), F.col("n").alias("cx"))
-    b = counts.where("g = 0").select(F.col("v").alias("y"), F.col("n").alias("cy"))
-    # Two sides of at most ``bins`` rows each.
-    pairs = a.crossJoin(b).groupBy(F.round(F.col("x") - F.col("y"), 12).alias("d")).agg(F.sum(F.col("cx") * F.col("cy")).alias("w"))
-    return pairs.agg(F.percentile("d", F.lit(0.5), F.col("w")).alias("shift"))
+    spark = cells.sparkSession
+    moved = cells.where("g = 1").join(F.broadcast(spark.createDataFrame([(k, float(s)) for k, s in enumerate(shifts)], "k int, shift double")), how="cross")
+    # 0 before 1 at equal values: what is counted before x - shift is smaller than it
+    ours = moved.select((F.col("v") - F.col("shift")).alias("v"), F.lit(0).alias("side"), "k", F.col("n").alias("x"), F.lit(0).cast("long").alias("y"))
+    theirs = cells.where("g = 0").select("v", F.lit(1).alias("side"), F.lit(-1).alias("k"), F.lit(0).cast("long").alias("x"), F.col("n").alias("y"))
+    rows = ours.unionByName(theirs).withColumn("key", F.struct("v", "side", "k", "x"))
+    total = theirs.agg(F.sum("y")).first()[0] or 0
+    got = running_totals(rows, "key", ["y"]).where("k >= 0").groupBy("k").agg(F.sum(F.col("x").cast("decimal(38,0)") * (F.lit(total) - F.col("y_before"))).cast("decimal(38,0)").alias("pairs")).collect()
+    found = {r["k"]: int(r["pairs"]) for r in got}
+    return [found.get(k, 0) for k in range(len(shifts))]
+
+
+def pairs_between(cells: DataFrame, low: float, high: float) -> DataFrame:
+    """(d, w): differences x - y above low and at most high, with the number of pairs; for brackets that hold few pairs."""
+    theirs = running_totals(cells.where("g = 0").select("v", F.lit(1).alias("one")), "v", ["one"]).select(F.col("v").alias("y"), F.col("one_before").alias("place"))
+    theirs = written(theirs.join(cells.where("g = 0").select(F.col("v").alias("y"), F.col("n").alias("ny")), "y"), "places")
+    moved = cells.where("g = 1").select(F.col("v").alias("x"), F.col("n").alias("nx"))
+    # y from x - high (included) to x - low (left out): the places of both ends among the y
+    ends = moved.select("x", "nx", F.explode(F.array(F.struct((F.col("x") - high).alias("v"), F.lit("first").alias("end")), F.struct((F.col("x") - low).alias("v"), F.lit("last").alias("end")))).alias("e")).select("x", "nx", "e.*")
+    rows = ends.select("v", F.lit(0).alias("side"), "x", "nx", "end", F.lit(0).cast("long").alias("one")).unionByName(theirs.select(F.col("y").alias("v"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("nx"), F.lit(None).cast("string").alias("end"), F.lit(1).cast("long").alias("one")))
+    placed = running_totals(rows.withColumn("key", F.struct("v", "side", "x", "end")), "key", ["one"]).where("side = 0")
+    spans = placed.groupBy("x", "nx").agg(F.max(F.when(F.col("end") == "first", F.col("one_before"))).alias("a"), F.max(F.when(F.col("end") == "last", F.col("one_before"))).alias("b")).where("b > a")
+    met = spans.select("x", "nx", F.explode(F.sequence("a", F.col("b") - 1)).alias("place")).join(theirs, "place")
+    return met.groupBy((F.col("x") - F.col("y")).alias("d")).agg(F.sum(F.col("nx").cast("decimal(20,0)") * F.col("ny")).alias("w"))
+
+
+def hodges_lehmann(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, ways: int = 16, few: int = 1_000_000) -> DataFrame:
+    """One row (shift): the median of all pairwise differences, exact.
+
+    The bracket of the middle differences is cut into ``ways`` parts, whose pairs are
+    counted in one pass, until at most ``few`` pairs of values are left in it; those
+    are made and read off. No grid, and no more pairs than that.
+    """
+    spark = frame.sparkSession
+    one, two = F.col(group) == exposed, F.col(group) == comparator
+    rows = frame.where(F.col(value).isNotNull() & (one | two)).select(one.cast("int").alias("g"), F.col(value).cast("double").alias("v"))
+    cells = written(rows.groupBy("g", "v").agg(F.count("*").alias("n")), "value-counts")
+    facts = {r["g"]: r for r in cells.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("values"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    if len(facts) < 2:
+        return spark.createDataFrame([(None,)], "shift double")
+    n = facts[0]["n"] * facts[1]["n"]
+    middle = sorted({(n - 1) // 2, n // 2})  # places from 0
+    found = []
+    for place in middle:
+        low, high = float(np.nextafter(facts[1]["low"] - facts[0]["high"], -np.inf)), facts[1]["high"] - facts[0]["low"]
+        below, upto = 0, n
+        # pairs of values in the bracket are at most its pairs of people
+        while upto - below > few and facts[0]["values"] * facts[1]["values"] > few:
+            cuts = [c for c in np.unique(np.linspace(low, high, ways + 1)[1:-1]).tolist() if low < c < high]
+            if not cuts:
+                break
+            for cut, pairs in zip(cuts, pair_counts(cells, cuts), strict=True):
+                if pairs > place:
+                    high, upto = cut, pairs
+                    break
+                low, below = cut, pairs
+        if upto - below > few and facts[0]["values"] * facts[1]["values"] > few:
+            found.append(high)  # one difference fills the bracket
+            continue
+        order = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # at most ``few`` rows
+        reach = pairs_between(cells, low, high).withColumn("reach", F.sum("w").over(order) + F.lit(below)).where(F.col("reach") > place)
+        found.append(reach.agg(F.min("d")).first()[0])
+    return spark.createDataFrame([(sum(found) / len(found),)], "shift double")
 
 
 def hodges_lehmann_limits(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, replicates: int = 2000, seed: int = 1, level: float = 0.95, bins: int = 1024) -> tuple[float, float]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.stats import normal_p, z_value
+from cohortloom.operators.resample import person_weights
 from cohortloom.sources.tables import small
 
 
@@ -44,22 +46,39 @@ def summarise(rows: DataFrame, level: float = 0.95) -> DataFrame:
 def bootstrap_means(rows: DataFrame, replicates: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
     """(group, time, lower, upper): percentile limits of the mean, people resampled as clusters.
 
-    Rows are first collapsed to (person, group, time) sums. A person's weight in
-    a replicate is a Poisson(1) draw from a hash, the same for all their rows,
-    so no resample is ever materialised.
+    Rows are first collapsed to (person, group, time) sums. A person's weight in a
+    replicate is a Poisson(1) draw from a hash, the same for all their rows. One pass
+    over Arrow batches adds weighted sums up by group, time and replicate, so neither
+    a resample nor a row per person and replicate is ever made.
     """
-    per = rows.groupBy("person_id", "group", "time").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    reps = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "person_id"), F.lit(1 << 30)) / float(1 << 30)
-    steps, total = [], 0.0
-    for k in range(12):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    sums = reps.withColumn("w", weight).groupBy("rep", "group", "time").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n")).where("n > 0")
+    per = rows.groupBy("person_id", "group", "time").agg(F.sum("value").alias("s"), F.count("*").cast("double").alias("n"))
+    per = per.select(F.col("person_id").cast("long").alias("person_id"), "group", F.col("time").cast("double").alias("time"), F.col("s").cast("double").alias("s"), "n")
+    reps = np.arange(replicates)
+
+    def add(batches):
+        totals: dict = {}
+        for batch in batches:
+            ids, s, n = (batch.column(c).to_numpy() for c in ("person_id", "s", "n"))
+            table = pa.table({"group": batch.column("group"), "time": batch.column("time")})
+            cells = table.group_by(["group", "time"]).aggregate([])
+            keys = {k: j for j, k in enumerate(zip(cells.column("group").to_pylist(), cells.column("time").to_pylist(), strict=True))}
+            at = np.array([keys[k] for k in zip(table.column("group").to_pylist(), table.column("time").to_pylist(), strict=True)])
+            order = np.argsort(at, kind="stable")
+            starts = np.searchsorted(at[order], np.arange(len(keys)))
+            for key, lo, hi in zip(keys, starts, [*starts[1:], len(order)], strict=True):
+                total = totals.setdefault(key, np.zeros((2, replicates)))
+                for k in range(lo, hi, 2000):
+                    mine = order[k : min(k + 2000, hi)]
+                    w = person_weights(ids[mine], reps, seed)
+                    total += np.stack([s[mine], n[mine]]) @ w
+        for (group, time), (s, n) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([group] * replicates, pa.string()), pa.array(np.full(replicates, time)), pa.array(reps), pa.array(s), pa.array(n)], ["group", "time", "rep", "s", "n"])
+
+    sums = per.mapInArrow(add, "group string, time double, rep long, s double, n double").groupBy("group", "time", "rep").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
     tail = (1 - level) / 2
     m = F.col("s") / F.col("n")
-    return sums.groupBy("group", "time").agg(F.percentile(m, F.lit(tail)).alias("lower"), F.percentile(m, F.lit(1 - tail)).alias("upper"))
+    kind = dict(rows.dtypes)["time"]
+    return sums.groupBy("group", F.col("time").cast(kind).alias("time")).agg(F.percentile(m, F.lit(tail)).alias("lower"), F.percentile(m, F.lit(1 - tail)).alias("upper"))
 
 
 def output_rows(rows: DataFrame, summary: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ CONVERSIONS = [("mg/dL", "mg/dL", 1.0, 0.0), ("g/L", "mg/dL", 100.0, 0.0)]
 def _trajectory_job(spark, d):
     fr, m = measured(spark, d)
     conversions = spark.createDataFrame(CONVERSIONS, "unit string, target string, multiplier double, offset double")
-    return jobs.trajectory_means(jobs.trajectory_analysis(fr, m, conversions, replicates=200)["data"]).select("group", "time", "value")
+    return jobs.trajectory_means(jobs.trajectory_analysis(fr, m, conversions)["data"]).select("group", "time", "value")
 
 
 def _mixed_model(spark, d):

@@ -400,3 +400,30 @@ def test_matching_of_nobody(spark):
     assert matching.match(spark.createDataFrame([], schema)).count() == 0
     assert matching.match(spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.5)], schema)).count() == 0
     assert matching.match(spark.createDataFrame([(1, 0, 0.5), (2, 1, 0.5)], schema)).collect() == [(2, 1)]
+
+
+@pytest.mark.parametrize(("n", "digits", "few", "ways"), [(41, 9, 50, 4), (40, 9, 50, 16), (60, 1, 20, 3), (33, 0, 10, 4), (300, 9, 1_000_000, 16)])
+def test_hodges_lehmann_is_exact(spark, n, digits, few, ways):
+    """Against all pairs: continuous and tied values, odd and even numbers of pairs."""
+    rng = np.random.default_rng(n + digits)
+    a, b = np.round(rng.normal(3, 2, n), digits), np.round(rng.exponential(2, n + 3), digits)
+    rows = [(0, "a", float(v)) for v in a] + [(0, "b", float(v)) for v in b] + [(0, "a", None), (0, "c", 9.0)]
+    got = compare.hodges_lehmann(spark.createDataFrame(rows, "person_id long, g string, v double"), "v", "g", "a", "b", ways, few).first()["shift"]
+    assert got == pytest.approx(np.median(a[:, None] - b[None]), abs=1e-12)
+
+
+def test_trajectory_bootstrap_is_a_cluster_bootstrap(spark):
+    """Limits against the same weights drawn in numpy; several rows of a person share their weight."""
+    from cohortloom.operators.resample import person_weights
+
+    rng = np.random.default_rng(8)
+    rows = [(p, g, t, float(rng.normal(t, 2))) for p in range(40) for g in ("x", "y")[: 1 + p % 2] for t in (0, 7) for _ in range(1 + p % 3)]
+    frame = spark.createDataFrame(rows, "person_id long, `group` string, time int, value double").repartition(4)
+    got = {(r["group"], r["time"]): (r["lower"], r["upper"]) for r in trajectory.bootstrap_means(frame, 300, 5).collect()}
+    w = person_weights(np.arange(40), np.arange(300), 5)
+    for g in "xy":
+        for t in (0, 7):
+            mine = [(p, v) for p, h, u, v in rows if (h, u) == (g, t)]
+            ids, v = np.array([p for p, _ in mine]), np.array([v for _, v in mine])
+            means = (w[ids] * v[:, None]).sum(axis=0) / w[ids].sum(axis=0)
+            assert np.allclose(got[g, t], np.quantile(means, [0.025, 0.975]))
