@@ -120,18 +120,6 @@ def permutation_p(frame: DataFrame, value: str, group: str, exposed: str, iterat
     return (replicate_cells(cells.select("v", "n"), ["v"], extreme, iterations, seed, draw=draw).agg(F.sum("x")).first()[0] + 1) / (iterations + 1)
 
 
-def value_cells(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, bins: int) -> tuple[DataFrame, float, float]:
-    """(cells (g, v, n), low, step): counts per arm and distinct value, or per arm and one of ``bins`` equal steps where values are more."""
-    one, two = F.col(group) == exposed, F.col(group) == comparator
-    rows = frame.where(F.col(value).isNotNull() & (one | two)).select(one.cast("int").alias("g"), F.col(value).cast("double").alias("v"))
-    facts = rows.agg(F.min("v"), F.max("v"), F.approx_count_distinct("v")).first()
-    low, high = facts[0] or 0.0, facts[1] or 0.0
-    step = (high - low) / (bins - 1) or 1.0
-    exact = facts[2] <= bins // 2
-    v = F.col("v") if exact else low + F.round((F.col("v") - low) / step) * step
-    return rows.groupBy("g", v.alias("v")).agg(F.count("*").alias("n")), low, step
-
-
 def pair_counts(cells: DataFrame, shifts: list[float]) -> list[int]:
     """For each shift the number of pairs (x of arm 1, y of arm 0) with x - y at most the shift.
 
@@ -179,6 +167,10 @@ def hodges_lehmann(frame: DataFrame, value: str, group: str, exposed: str, compa
     facts = {r["g"]: r for r in cells.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("values"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
     if len(facts) < 2:
         return spark.createDataFrame([(None,)], "shift double")
+    if facts[0]["values"] * facts[1]["values"] <= few:
+        ours, theirs = cells.where("g = 1").select(F.col("v").alias("x"), F.col("n").alias("nx")), cells.where("g = 0").select(F.col("v").alias("y"), F.col("n").alias("ny"))
+        pairs = ours.join(theirs, how="cross").groupBy((F.col("x") - F.col("y")).alias("d")).agg(F.sum(F.col("nx") * F.col("ny")).alias("w"))
+        return pairs.agg(F.percentile("d", F.lit(0.5), F.col("w")).alias("shift"))
     n = facts[0]["n"] * facts[1]["n"]
     middle = sorted({(n - 1) // 2, n // 2})  # places from 0
     found = []
@@ -186,7 +178,7 @@ def hodges_lehmann(frame: DataFrame, value: str, group: str, exposed: str, compa
         low, high = float(np.nextafter(facts[1]["low"] - facts[0]["high"], -np.inf)), facts[1]["high"] - facts[0]["low"]
         below, upto = 0, n
         # pairs of values in the bracket are at most its pairs of people
-        while upto - below > few and facts[0]["values"] * facts[1]["values"] > few:
+        while upto - below > few:
             cuts = [c for c in np.unique(np.linspace(low, high, ways + 1)[1:-1]).tolist() if low < c < high]
             if not cuts:
                 break
@@ -195,7 +187,7 @@ def hodges_lehmann(frame: DataFrame, value: str, group: str, exposed: str, compa
                     high, upto = cut, pairs
                     break
                 low, below = cut, pairs
-        if upto - below > few and facts[0]["values"] * facts[1]["values"] > few:
+        if upto - below > few:
             found.append(high)  # one difference fills the bracket
             continue
         order = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # at most ``few`` rows
@@ -204,11 +196,31 @@ def hodges_lehmann(frame: DataFrame, value: str, group: str, exposed: str, compa
     return spark.createDataFrame([(sum(found) / len(found),)], "shift double")
 
 
-def hodges_lehmann_limits(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, replicates: int = 2000, seed: int = 1, level: float = 0.95, bins: int = 1024) -> tuple[float, float]:
-    """Percentile bootstrap limits of the shift, both arms resampled; values are rounded to ``bins`` equal steps of the range."""
+def hodges_lehmann_limits(frame: DataFrame, value: str, group: str, exposed: str, comparator: str, replicates: int = 2000, seed: int = 1, level: float = 0.95, bins: int = 1024, exact_pairs: int = 60_000) -> tuple[float, float]:
+    """Percentile bootstrap limits of the shift, both arms resampled.
+
+    Exact where the arms have at most ``exact_pairs`` pairs of distinct values; more
+    values are rounded to ``bins`` equal steps of the range, which moves a limit by
+    one step at most.
+    """
     one, two = F.col(group) == exposed, F.col(group) == comparator
     rows = frame.where(F.col(value).isNotNull() & (one | two)).select(one.cast("int").alias("g"), F.col(value).cast("double").alias("v"))
-    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    counts = written(rows.groupBy("g", "v").agg(F.count("*").alias("n")), "value-counts")
+    low, high, ours, theirs = counts.agg(F.min("v"), F.max("v"), F.count_if(F.col("g") == 1), F.count_if(F.col("g") == 0)).first()
+    if ours * theirs <= exact_pairs:
+
+        def medians(columns, draws):
+            x, y = (np.flatnonzero(columns["g"] == g) for g in (1, 0))
+            d = (columns["v"][x][:, None] - columns["v"][y][None]).ravel()
+            order = np.argsort(d, kind="stable")
+            out = []
+            for draw in draws:
+                reach = np.cumsum((draw[x][:, None] * draw[y][None]).ravel()[order])
+                total = reach[-1] if len(reach) else 0
+                out.append(np.mean([d[order[np.searchsorted(reach, k, "right")]] for k in ((total - 1) // 2, total // 2)]) if total else np.nan)
+            return out
+
+        return percentile_limits(replicate_cells(counts, ["g", "v"], medians, replicates, seed), replicates, level)
     step = (high - low) / (bins - 1) or 1.0
     cells = rows.groupBy("g", F.round((F.col("v") - low) / step).cast("int").alias("k")).agg(F.count("*").alias("n"))
 

@@ -427,3 +427,19 @@ def test_trajectory_bootstrap_is_a_cluster_bootstrap(spark):
             ids, v = np.array([p for p, _ in mine]), np.array([v for _, v in mine])
             means = (w[ids] * v[:, None]).sum(axis=0) / w[ids].sum(axis=0)
             assert np.allclose(got[g, t], np.quantile(means, [0.025, 0.975]))
+
+
+def test_hodges_lehmann_limits_of_few_values_are_exact(spark):
+    """Against the same draws expanded to people and all their pairs; a grid of two steps would be far off."""
+    rng = np.random.default_rng(2)
+    rows = [(k, "ab"[k % 2], float(rng.choice([0.1, 0.25, 1.7, 3.3, 8.0]) + (k % 2) * 0.4)) for k in range(80)]
+    frame = spark.createDataFrame(rows, "person_id long, g string, v double")
+    got = compare.hodges_lehmann_limits(frame, "v", "g", "b", "a", 100, 3, bins=3)
+    cells = sorted((int(g == "b"), v, sum((h, u) == (g, v) for _, h, u in rows)) for g, v in {(g, v) for _, g, v in rows})
+    arm, v, n = (np.array(c) for c in zip(*cells, strict=True))
+    shifts = []
+    for lo in (0, 50):
+        for draw in np.random.default_rng([3, lo]).poisson(n, (50, len(n))):
+            a, b = np.repeat(v[arm == 1], draw[arm == 1]), np.repeat(v[arm == 0], draw[arm == 0])
+            shifts.append(np.median(a[:, None] - b[None]))
+    assert np.allclose(got, np.quantile(shifts, [0.025, 0.975]))
