@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm import shared as S
 
+#: Billionths; counts below nine times as much keep their products in a long.
 SCALE = 1_000_000_000
 #: Bytes of the first prefixes; each level doubles them.
 FIRST = 4
 #: The map of kept prefixes has 2 ** MAP_BITS bits: two megabytes, whatever the size of the corpus.
 MAP_BITS = 24
-#: Terms of the lists that are worked on at a time.
-CHUNK_TERMS = 300_000
+#: Terms of the lists that are put in order of their groups, added up, and hashed at a time.
+BUFFER_TERMS, CHUNK_TERMS, PIECE_TERMS = 1_500_000, 300_000, 100_000
 #: Letters A-Z, a-z and all bytes of characters beyond ASCII.
 IN_TERM = np.zeros(256, bool)
 IN_TERM[65:91] = IN_TERM[97:123] = IN_TERM[128:] = True
@@ -90,59 +91,98 @@ def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray
     return order[at], [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
 
 
-def refine(lists: DataFrame, length: int, before: int, kept: np.ndarray | None) -> DataFrame:
-    """Counts of one level, added up by batch: of terms that end within ``length`` bytes and of the prefixes of longer ones.
+def list_cuts(batch) -> np.ndarray:
+    cuts = np.zeros(len(batch) + 1, np.int64)
+    np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False), out=cuts[1:])
+    return cuts
+
+
+def chunks_of_lists(batches):
+    """Lists in chunks of about CHUNK_TERMS terms, or a longer row alone.
+
+    Rows are buffered up to BUFFER_TERMS terms and put in order of language and source
+    first, so that a chunk holds few groups and its terms add up well.
+    """
+
+    def ordered(held):
+        table = pa.Table.from_batches(held)
+        codes = [table.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("source", "lang")]
+        batch = table.take(np.lexsort(codes)).combine_chunks().to_batches()[0]
+        for lo, hi in S.chunks(list_cuts(batch), CHUNK_TERMS):
+            yield batch.slice(lo, hi - lo)
+
+    held, size = [], 0
+    for batch in batches:
+        cuts = list_cuts(batch)
+        for lo, hi in S.chunks(cuts, BUFFER_TERMS):
+            more = int(cuts[hi] - cuts[lo])
+            if held and size + more > BUFFER_TERMS:
+                yield from ordered(held)
+                held, size = [], 0
+            held.append(batch.slice(lo, hi - lo))
+            size += more
+    if size:
+        yield from ordered(held)
+
+
+def beginnings(data: np.ndarray, ends: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the first ``sizes`` bytes of the given terms (ascending); terms are hashed piece by piece, which bounds the memory."""
+    out = np.empty(len(rows), S.U64)
+    for lo in range(0, len(rows), PIECE_TERMS):
+        mine, n = rows[lo : lo + PIECE_TERMS], sizes[lo : lo + PIECE_TERMS]
+        base = ends[mine[0]]
+        starts = ends[mine] - base
+        out[lo : lo + PIECE_TERMS] = S.span_hash(S.prefix_sums(data[base : ends[mine[-1] + 1]]), starts, starts + n)
+    return out
+
+
+def refine(lists: DataFrame, length: int, before: int, kept: np.ndarray | None, least: int) -> DataFrame:
+    """One level: (lang, term, held array of (source, n), n, prefix) of terms that end within ``length`` bytes and of the prefixes of longer ones, which at least ``least`` documents have.
 
     Only terms of more than ``before`` bytes whose prefix of that length has its bit
-    in the map are looked at. A term row has its bytes, documents and occurrences by
-    language and source; a prefix row has a hash and its distinct documents.
+    in the map are looked at. A task adds documents and occurrences up by term and
+    source before it sends them; a prefix is a hash with its distinct documents.
     """
     shared = None if kept is None else lists.sparkSession.sparkContext.broadcast(kept)
 
     def level(batches):
-        for batch in batches:
-            cuts = np.zeros(len(batch) + 1, np.int64)
-            np.cumsum(batch.column("terms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=cuts[1:])
-            for lo, hi in S.chunks(cuts, CHUNK_TERMS):
-                yield from counted(batch.slice(lo, hi - lo))
-
-    def counted(batch):
-        column = batch.column("terms")
-        data, ends = S.flat(column.flatten())
-        data, ends = data[ends[0] : ends[-1]], ends - ends[0]
-        sizes = np.diff(ends)
-        lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        doc = np.repeat(np.arange(len(batch)), lengths)
-        counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
-        langs, sources = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
-        lang, source = (x.indices.to_numpy(zero_copy_only=False) for x in (langs, sources))
-        names, offsets = S.flat(langs.dictionary)
-        salt = S.span_hash(S.prefix_sums(names), offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
-        sums = S.prefix_sums(data)
-        # a language's prefixes have bits of their own
-        of = lambda rows, size: S.mix(S.span_hash(sums, ends[rows], ends[rows] + size) + salt[lang[doc[rows]]])
-        rows = np.flatnonzero(sizes > before)
-        if shared is not None:
-            bit = (of(rows, before) >> S.U64(64 - MAP_BITS)).astype(np.int64)
-            rows = rows[(shared.value[bit >> 6] >> (bit & 63).astype(S.U64)) & S.U64(1) == 1]
-        closed, open_ = rows[sizes[rows] <= length], rows[sizes[rows] > length]
-        hashes = of(closed, sizes[closed])
-        at, (docs, n) = summed([hashes, source[doc[closed]], lang[doc[closed]]], [np.ones(len(closed), np.int64), counts[closed]])
-        mine = closed[at]
-        terms = binaries(*gathered(data, ends[mine], sizes[mine]))
-        yield pa.RecordBatch.from_arrays(
-            [langs.dictionary.take(pa.array(lang[doc[mine]])), sources.dictionary.take(pa.array(source[doc[mine]])), terms, pa.nulls(len(mine), pa.int64()), pa.array(docs), pa.array(n)],
-            COUNTS_NAMES,
-        )
-        prefixes = of(open_, length)
-        at, _ = summed([prefixes, doc[open_]], [])  # once a document
-        prefixes = prefixes[at]
-        at, (docs,) = summed([prefixes], [np.ones(len(prefixes), np.int64)])
-        none = pa.nulls(len(at), pa.string())
-        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(at), pa.binary()), pa.array(prefixes[at].view(np.int64)), pa.array(docs), pa.nulls(len(at), pa.int64())], COUNTS_NAMES)
+        for batch in chunks_of_lists(batches):
+            column = batch.column("terms")
+            data, ends = S.flat(column.flatten())
+            data, ends = data[ends[0] : ends[-1]], ends - ends[0]
+            sizes = np.diff(ends)
+            doc = np.repeat(np.arange(len(batch)), column.value_lengths().to_numpy(zero_copy_only=False))
+            counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
+            langs, sources = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
+            lang, source = (x.indices.to_numpy(zero_copy_only=False) for x in (langs, sources))
+            names, offsets = S.flat(langs.dictionary)
+            salt = S.span_hash(S.prefix_sums(names), offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+            # a language's prefixes have bits of their own
+            of = lambda rows, n: S.mix(beginnings(data, ends, rows, n) + salt[lang[doc[rows]]])
+            rows = np.flatnonzero(sizes > before)
+            if shared is not None:
+                bit = (of(rows, np.full(len(rows), before)) >> S.U64(64 - MAP_BITS)).astype(np.int64)
+                rows = rows[(shared.value[bit >> 6] >> (bit & 63).astype(S.U64)) & S.U64(1) == 1]
+            closed, open_ = rows[sizes[rows] <= length], rows[sizes[rows] > length]
+            at, (docs, n) = summed([of(closed, sizes[closed]), source[doc[closed]], lang[doc[closed]]], [np.ones(len(closed), np.int64), counts[closed]])
+            mine = closed[at]
+            terms = binaries(*gathered(data, ends[mine], sizes[mine]))
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(lang[doc[mine]])), sources.dictionary.take(pa.array(source[doc[mine]])), terms, pa.nulls(len(mine), pa.int64()), pa.array(docs), pa.array(n)],
+                COUNTS_NAMES,
+            )
+            prefixes = of(open_, np.full(len(open_), length))
+            at, _ = summed([prefixes, doc[open_]], [])  # once a document
+            prefixes = prefixes[at]
+            at, (docs,) = summed([prefixes], [np.ones(len(prefixes), np.int64)])
+            none = pa.nulls(len(at), pa.string())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(at), pa.binary()), pa.array(prefixes[at].view(np.int64)), pa.array(docs), pa.nulls(len(at), pa.int64())], COUNTS_NAMES)
 
     S.small_batches(lists.sparkSession)
-    return lists.mapInArrow(level, COUNTS).groupBy("lang", "source", "term", "prefix").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    # dealt by term once; tasks have added up already
+    dealt = lists.mapInArrow(level, COUNTS).repartition("lang", "term", "prefix").groupBy("lang", "term", "prefix", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    held = dealt.groupBy("lang", "term", "prefix").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("held"))
+    return held.where(F.col("docs") >= least).select("lang", "term", F.array_sort("held").alias("held"), F.col("total").alias("n"), "prefix")
 
 
 COUNTS_NAMES = [f.split()[0] for f in COUNTS.split(", ")]
@@ -161,26 +201,26 @@ def bit_map(prefixes: DataFrame) -> np.ndarray | None:
 
 
 def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
-    """(lang, source, term binary, n): occurrences by source of the terms that stand in at least ``least`` documents of their language."""
+    """(lang, term binary, held, n): terms that stand in at least ``least`` documents of their language; held lists (source, n), n occurrences there."""
     lists = S.written(term_lists(docs), "term-lists")
     found, before, kept = None, 0, None
     while True:
         length = 2 * before or FIRST
-        counts = S.written(refine(lists, length, before, kept), "term-level")
-        terms = counts.where("term is not null")
-        enough = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
-        level = terms.join(enough, ["lang", "term"]).select("lang", "source", "term", "n")
-        found = level if found is None else found.unionByName(level)
-        kept = bit_map(counts.where(F.col("prefix").isNotNull() & (F.col("docs") >= least)))
+        level = S.written(refine(lists, length, before, kept, least), "term-level")
+        terms = level.where("term is not null").drop("prefix")
+        found = terms if found is None else found.unionByName(terms)
+        kept = bit_map(level.where("prefix is not null"))
         if kept is None:
-            return S.written(found, "kept-terms")
+            return found
         before = length
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + terms)) as an exact long; 1 where there is no term."""
     wide = lambda c: c.cast("decimal(20,0)")
-    whole = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide(count + 1), F.greatest(wide(total + terms), wide(F.lit(1))))
+    divide = lambda a, b: F.call_function("div", a, b)
+    below = F.greatest(total + terms, F.lit(1))
+    whole = F.when(count < 9 * SCALE, divide(F.lit(SCALE) * (count + 1), below)).otherwise(divide(F.lit(SCALE).cast("decimal(10,0)") * wide(count + 1), wide(below)))
     return F.when(terms > 0, whole + 1).otherwise(F.lit(1)).cast("long")
 
 
@@ -189,36 +229,70 @@ def excess(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def source_groups(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((lang, source, v, held, total, p0, lang_total) of every group, (lang, term, n) of the languages)."""
+def source_groups(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(lang, source, v, held, total, p0, lang_total) of every group that occurs."""
     both = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in ("lang", "source")]
-    whole = S.written(terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")), "lang-terms")
-    langs = whole.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    own = terms.groupBy("lang", "source").agg(F.count("*").alias("held"), F.sum("n").alias("total"))
+    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
+    own = terms.select("lang", F.explode("held").alias("x")).groupBy("lang", "x.source").agg(F.count("*").alias("held"), F.sum("x.n").alias("total"))
     groups = docs.select(*both).distinct().join(langs, "lang", "left").join(own, ["lang", "source"], "left").fillna(0, ["v", "lang_total", "held", "total"])
-    return S.written(groups.withColumn("p0", share(F.lit(0).cast("long"), F.col("total"), F.col("v"))), "source-groups"), whole
+    return S.written(groups.withColumn("p0", share(F.lit(0).cast("long"), F.col("total"), F.col("v"))), "source-groups")
 
 
-def pair_values(cells: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, source, item, value): sums over all kept terms of a language for each two of its sources.
+def met_values(profiles: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, item, value) partial sums over the terms that two sources both hold of what ``pair_values`` lacks for them.
 
-    cells: (lang, source, term, p, p0) of terms that a source holds.
+    profiles: lang, held, k. Every two entries of a profile are worked out in numpy, at
+    most about PIECE_TERMS at a time. The groups' totals go to all tasks: as many
+    rows as there are groups, of which the result has the square.
     """
+    facts = groups.select("lang", "source", "v", "total", "p0").toArrow()
+    place = {key: k for k, key in enumerate(zip(facts.column("lang").to_pylist(), facts.column("source").to_pylist(), strict=True))}
+    shared = groups.sparkSession.sparkContext.broadcast((list(place), place, *(facts.column(c).to_numpy() for c in ("v", "total", "p0"))))
+
+    def work(batches):
+        names, place, v, total, base = shared.value
+        for batch in batches:
+            held, k = batch.column("held"), batch.column("k").to_numpy()
+            sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            entries = held.flatten()
+            langs, sources = batch.column("lang").to_pylist(), entries.field("source").to_pylist()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            group = np.array([place[langs[r], s] for r, s in zip(row, sources, strict=True)], np.int64)
+            n = entries.field("n").to_numpy(zero_copy_only=False)
+            exact = (lambda x: x) if n.max(initial=0) < 9 * SCALE else (lambda x: x.astype(object))
+            p = (1 + SCALE * (exact(n) + 1) // (total[group] + v[group])).astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            for lo, hi in S.chunks(np.concatenate([[0], np.cumsum(sizes * sizes)]), PIECE_TERMS):
+                mine = np.arange(starts[lo], starts[hi])
+                times = sizes[row[mine]]
+                a = np.repeat(mine, times)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + starts[row[a]]
+                a, b = a[a != b], b[a != b]
+                f = lambda x, y: (x - y) * (x - y) // y
+                p0, q0 = base[group[a]], base[group[b]]
+                value = k[row[a]] * (f(p[a], p[b]) - f(p[a], q0) - f(p0, p[b]) + f(p0, q0))
+                at, (value,) = summed([group[b], group[a]], [value])
+                mine, other = group[a][at], group[b][at]
+                yield pa.RecordBatch.from_arrays([pa.array([names[g][0] for g in mine], pa.string()), pa.array([names[g][1] for g in mine], pa.string()), pa.array([names[g][1] for g in other], pa.string()), pa.array(value, pa.int64())], ["lang", "source", "item", "value"])
+
+    return profiles.mapInArrow(work, "lang string, source string, item string, value long")
+
+
+def pair_values(terms: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, item, value): sums over all kept terms of a language for each two of its sources."""
     big = lambda c: F.sum(c.cast("decimal(38,0)")).alias("value")
-    ours = groups.select("lang", "source", "held", "v", "p0")
-    theirs = groups.select("lang", F.col("source").alias("item"), F.col("held").alias("item_held"), F.col("p0").alias("q0"))
+    ours = groups.select("lang", "source", F.col("held").alias("own"), "v", "total", "p0")
+    theirs = groups.select("lang", F.col("source").alias("item"), F.col("held").alias("item_own"), F.col("p0").alias("q0"))
     two = ours.join(theirs, "lang").where("source <> item")
-    rest = two.select("lang", "source", "item", ((F.col("v") - F.col("held") - F.col("item_held")) * excess(F.col("p0"), F.col("q0"))).cast("decimal(38,0)").alias("value"))
-    often = S.written(cells.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("k")), "term-frequencies")
+    rest = two.select("lang", "source", "item", ((F.col("v") - F.col("own") - F.col("item_own")) * excess(F.col("p0"), F.col("q0"))).cast("decimal(38,0)").alias("value"))
+    often = terms.select("lang", F.explode("held").alias("x")).groupBy("lang", "x.source", "x.n").agg(F.count("*").alias("k"))
+    often = S.written(often.join(ours, ["lang", "source"]).select("lang", "source", "k", "p0", share(F.col("n"), F.col("total"), F.col("v")).alias("p")), "term-frequencies")
     one = often.join(theirs, "lang").where("source <> item").groupBy("lang", "source", "item").agg(big(F.col("k") * excess(F.col("p"), F.col("q0"))))
     other = often.select("lang", F.col("source").alias("item"), F.col("p").alias("q"), "k").join(ours, "lang").where("source <> item")
     other = other.groupBy("lang", "source", "item").agg(big(F.col("k") * excess(F.col("p0"), F.col("q"))))
-    # terms that the same sources hold with the same shares are taken together; an array has an entry for each source of the language at most
-    profiles = cells.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("held")).where(F.size("held") > 1)
-    profiles = profiles.groupBy("lang", "held").agg(F.count("*").alias("k"))
-    met = profiles.select("lang", "k", F.explode("held").alias("a"), "held").select("lang", "k", "a", F.explode("held").alias("b")).where("a.source <> b.source")
-    f = lambda a, b: excess(F.col(f"a.{a}"), F.col(f"b.{b}"))
-    shared = met.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item")).agg(big(F.col("k") * (f("p", "p") - f("p", "p0") - f("p0", "p") + f("p0", "p0"))))
+    # terms that the same sources hold as often are taken together; held has an entry for each source of the language at most
+    profiles = terms.where(F.size("held") > 1).groupBy("lang", "held").agg(F.count("*").alias("k"))
+    shared = met_values(profiles, groups).groupBy("lang", "source", "item").agg(big(F.col("value")))
     parts = rest.unionByName(one).unionByName(other).unionByName(shared)
     return parts.groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
 
@@ -226,10 +300,10 @@ def pair_values(cells: DataFrame, groups: DataFrame) -> DataFrame:
 def source_divergence(docs: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
     """(lang, source, part, item, value, rank): other sources of the language by divergence (``pair``), and the ``most`` terms that stand out (``term``)."""
     terms = kept_terms(docs, least)
-    groups, whole = source_groups(docs, terms)
-    cells = terms.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))
-    told = cells.join(whole, ["lang", "term"]).withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("v"))).where("p > q")
-    found = {"pair": pair_values(cells, groups), "term": told.select("lang", "source", F.col("term").cast("string").alias("item"), excess(F.col("p"), F.col("q")).alias("value"))}
+    groups = source_groups(docs, terms)
+    cells = terms.select("lang", "term", F.col("n").alias("lang_n"), F.explode("held").alias("x")).select("lang", "term", "lang_n", "x.*")
+    told = cells.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v"))).withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("v"))).where("p > q")
+    found = {"pair": pair_values(terms, groups), "term": told.select("lang", "source", F.col("term").cast("string").alias("item"), excess(F.col("p"), F.col("q")).alias("value"))}
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = {part: rows.withColumn("rank", F.row_number().over(order)) for part, rows in found.items()}
     out = ranked["pair"].unionByName(ranked["term"].where(F.col("rank") <= most).withColumn("part", F.lit("term")), allowMissingColumns=True)

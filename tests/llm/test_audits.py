@@ -189,9 +189,28 @@ def test_refinement_discards(spark):
     """A rare prefix is not extended: of 300 long terms only those with a shared prefix reach the second level."""
     rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}qqunique{'z' * (k % 9)} sharedprefixterm", "en", "a") for k in range(300)]
     lists = divergence.term_lists(frame(spark, rows))
-    first = divergence.refine(lists, 4, 0, None)
-    kept = divergence.bit_map(first.where("prefix is not null and docs >= 3"))
-    assert first.where("prefix is not null").count() == 301
+    assert divergence.refine(lists, 4, 0, None, 1).where("prefix is not null").count() == 301
+    first = divergence.refine(lists, 4, 0, None, 3)
+    kept = divergence.bit_map(first.where("prefix is not null"))
     assert bin(int(np.bitwise_or.reduce(kept))).count("1") == 1
-    assert divergence.refine(lists, 8, 4, kept).where("prefix is not null").count() == 1
+    assert divergence.refine(lists, 8, 4, kept, 1).where("prefix is not null").count() == 1
     assert [bytes(r["term"]) for r in divergence.kept_terms(frame(spark, rows)).collect()] == [b"sharedprefixterm"]
+
+
+def test_chunks_of_lists(monkeypatch):
+    """Whatever the chunks, each list is taken once; a long one stands alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "CHUNK_TERMS", 5)
+    monkeypatch.setattr(divergence, "BUFFER_TERMS", 12)
+    sizes = [0, 2, 3, 9, 0, 1, 1, 1, 4, 0, 15, 2]
+    rows = [(f"l{k % 2}", f"s{k % 3}", [b"%d" % k] * n) for k, n in enumerate(sizes)]
+    types = {"lang": pa.string(), "source": pa.string(), "terms": pa.list_(pa.binary())}
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types.values(), strict=True)], list(types))
+    got = [c.to_pylist() for c in divergence.chunks_of_lists([batch(rows[:4]), batch(rows[4:])])]
+    assert sorted(repr(r) for c in got for r in c if r["terms"]) == sorted(repr(dict(zip(types, r, strict=True))) for r in rows if r[2])
+    for chunk in got:
+        lengths = [len(r["terms"]) for r in chunk]
+        assert sum(lengths) <= 5 or lengths.count(0) == len(lengths) - 1
+        groups = [(r["lang"], r["source"]) for r in chunk]
+        assert sum(a != b for a, b in zip(groups, groups[1:], strict=False)) == len(set(groups)) - 1
