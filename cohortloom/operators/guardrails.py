@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +93,3 @@ def unchecked_by_analysis(mapping: DataFrame, code_sets: DataFrame, scope: DataF
     per = hits.groupBy("analysis_id").agg(F.sum("n").alias("rows"), F.sum("unchecked").alias("unchecked"))
     joined = scope.select("analysis_id").distinct().join(per, "analysis_id", "left")
     return joined.select("analysis_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce(F.col("unchecked") / F.col("rows"), F.lit(0.0)).alias("unchecked_fraction"))
-
-
-def fewest_events(summaries: list[DataFrame]) -> DataFrame:
-    """Of several outcomes' summaries the one with the fewest events counts."""
-    every = reduce(DataFrame.unionByName, summaries)
-    return every.groupBy("analysis_id").agg(F.min_by(F.struct(*[c for c in every.columns if c != "analysis_id"]), "events_total").alias("x")).select("analysis_id", "x.*")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import stats
-from cohortloom.operators import causal, compare, deid, describe, eras, features, guardrails, ledger, matching, omop, survival, trajectory, windows
+from cohortloom.functions.columns import source_value
+from cohortloom.operators import causal, compare, deid, describe, eras, features, ledger, matching, omop, survival, trajectory, windows
 from cohortloom.operators.codesets import match_events
 from cohortloom.operators.cohorts import Cohort, resolve_cohorts
 from cohortloom.operators.resample import percentile_limits
@@ -123,7 +124,7 @@ def flatten_fhir(resources: DataFrame, concept_map: DataFrame) -> DataFrame:
         F.explode(F.from_json(pick(1), "array<struct<system: string, code: string>>")).alias("c"),
     )
     rows = rows.select("resource_id", "omop_table", F.substring_index("patient", "/", -1).alias("source_patient_id"), "start", "value", "unit", F.col("c.system").alias("source_system"), F.col("c.code").alias("source_code"))
-    return omop.code_to_concept(rows, concept_map).withColumn("source_value", F.concat_ws("#", "source_system", "source_code"))
+    return omop.code_to_concept(rows, concept_map).withColumn("source_value", source_value(F.coalesce("source_system", F.lit("")), F.col("source_code")))
 
 
 def enrich(resources: DataFrame, extracted: DataFrame) -> dict[str, DataFrame]:
@@ -372,10 +373,6 @@ def data_summary(frame: DataFrame, matched: DataFrame, analyses: list[Analysis],
     return out
 
 
-def summary_and_rules(summary: DataFrame) -> DataFrame:
-    return guardrails.evaluate(summary)
-
-
 # ---------------------------------------------------------------- plot data
 
 

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions import stats
 from cohortloom.operators import causal, compare, deid, eras, features, guardrails, ledger, omop, survival, trajectory, windows
 from cohortloom.plans import jobs
-from cohortloom.queries.analyses import CATEGORICAL, CATS, ERAS, LINES, OUTCOMES, SURVIVED, TABS, _continuous_sql, outcomes, survived
+from cohortloom.queries.analyses import CATEGORICAL, CATS, ERAS, LINES, OUTCOMES, SURVIVED, TABS, _continuous_sql, _two_by_two_sql, outcomes, survived
 from cohortloom.queries.cohorts import FRAME, PLAN, RESOLVED, events_of, frame, matched, resolved, with_ctes
 from cohortloom.queries.records import BALANCE, WEIGHTED, _weighted, entries, measured, resources
 from cohortloom.sources import fhir, tables
@@ -173,7 +174,7 @@ def _export_problems(spark, d):
 def _exported(spark, d):
     """The shareable ledger and the written tables of an export without problems: (what, n)."""
     people = load(spark, d, "person").select("person_id", F.lit("1998-01-01").cast("date").alias("reference_date"))
-    shared = {"study.person_demographic": deid.person_demographics(load(spark, d, "person"), people)}
+    shared = deid.deidentify({"study.person_demographic": deid.person_demographics(load(spark, d, "person"), people)}, b"key")
     folder = f"{tables.written(people.limit(1), 'export').inputFiles()[0].rsplit('/', 1)[0]}/out"
     rows = entries(spark, d).withColumn("params", F.create_map(F.lit("seed"), F.lit("1"))).withColumn("items", F.array(F.struct(F.lit("ok").alias("status")))).withColumn("api_calls", F.array(F.struct(F.lit("map").alias("endpoint"), F.lit(1).cast("long").alias("count"))))
     got = jobs.export(shared, rows, spark.createDataFrame([("1-URGENT", "seed")], "step string, param string"), folder, endpoints=("map",))
@@ -181,6 +182,19 @@ def _exported(spark, d):
     return again.groupBy("age_bucket").agg(F.count("*").alias("n")).unionByName(got["ledger"].agg(F.count("*").alias("n")).select(F.lit("ledger").alias("age_bucket"), "n"))
 
 
+def _detectable(spark, d):
+    """The least rate ratio that the events of both arms could show."""
+    rates = compare.incidence(frame(spark, d).where("observation_end > index_date"), events_of(spark, d, "urgent"))
+    arms = rates.agg(*[F.sum(F.when(F.col("group") == g, F.col("events"))).alias(f"events_{g}") for g in ARMS])
+    return arms.select("*", stats.detectable_rate_ratio(F.col("events_arm_a"), F.col("events_arm_b")).alias("ratio"))
+
+
+def _forest(spark, d):
+    """Risk differences with a complete interval; one outcome has none."""
+    got = compare.two_by_two(outcomes(spark, d), ["any_o", "any_urgent"], "cohort_name", *ARMS).select("outcome", F.col("risk_difference").alias("estimate"), "lower", "upper")
+    return jobs.forest_rows(got.unionByName(got.where("outcome = 'any_o'").withColumn("outcome", F.lit("open")).withColumn("upper", F.lit(None).cast("double"))))
+
+
 def _result_tables(spark, d):
     """A result written and read back: non-finite numbers are null."""
     rows = load(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, float("nan")).when(F.col("event_id") % 10 == 1, float("inf")).otherwise(F.col("value")).alias("value"))
@@ -332,6 +346,8 @@ QUERIES = {
     "trajectory_bootstrap": lambda s, d: trajectory.bootstrap_means(trajectory.relative_times(*measured(s, d))),
     "patient_signature": _stage_signature,
     "scaled_matrix": _scaled_matrix,
+    "detectable_rate_ratio": _detectable,
+    "forest_rows": _forest,
     "shareable_calls": _shared_calls,
     "unchecked_by_analysis": _unchecked_by_analysis,
     "artifact_audit": _artifacts,
@@ -357,6 +373,10 @@ NEW = """WITH new AS (SELECT * FROM customer WHERE c_custkey % 8 <> 0), good AS
     placed AS (SELECT good.*, CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 1 ELSE t + row_number() OVER (PARTITION BY c_custkey % 4 = 0 ORDER BY c_name) END * 1000000 AS id_offset FROM good, top)"""
 
 ORACLES = {
+    "detectable_rate_ratio": with_ctes("""SELECT a AS events_arm_a, b AS events_arm_b, exp((1.959963984540054 + 0.8416212335729143) * sqrt(1.0 / a + 1.0 / b)) AS ratio FROM (
+        SELECT CAST(sum(e) FILTER (cohort_name = 'arm_a') AS BIGINT) AS a, CAST(sum(e) FILTER (cohort_name = 'arm_b') AS BIGINT) AS b FROM (
+          SELECT f.cohort_name, (SELECT count(*) FROM matched m WHERE m.person_id = f.person_id AND code_set_name = 'urgent' AND event_date BETWEEN index_date AND observation_end) AS e FROM frame f WHERE observation_end > index_date))""", FRAME),
+    "forest_rows": with_ctes("SELECT outcome, risk_difference AS estimate, lower, upper FROM (" + _two_by_two_sql() + ")", TABS),
     "shareable_calls": """WITH o AS (SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
         SELECT o_orderkey AS seq, 'map' AS endpoint, o_orderkey % 5 + 2 AS count, CAST(o_orderkey % 7 + 0.5 + o_orderkey % 3 AS DOUBLE) AS ms, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END AS DOUBLE) AS credits FROM o
         UNION ALL SELECT o_orderkey, 'look', 1, CAST(0 AS DOUBLE), CAST(o_orderkey % 4 AS DOUBLE) FROM o""",
