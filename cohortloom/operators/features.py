@@ -258,8 +258,13 @@ def truncated_svd(matrix: tuple[DataFrame, DataFrame], people: DataFrame, compon
 
 
 def cluster(points: DataFrame, k: int = 8, min_size: int = 5, seed: int = 1) -> DataFrame:
-    """points with cluster; clusters below the minimum size become -1."""
-    rows = points.withColumn("features", array_to_vector("coords"))
+    """points with cluster; clusters below the minimum size become -1.
+
+    Points are moved off the origin first: a cluster is split along its centre's
+    length, and one that is centred on the origin would never be split.
+    """
+    top = points.agg(F.max(F.aggregate("coords", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0] or 0.0
+    rows = points.withColumn("features", array_to_vector(F.transform("coords", lambda x: x + top)))
     got = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows).transform(rows).drop("features")
     sizes = got.groupBy("cluster").agg(F.count("*").alias("n"))
     return got.join(sizes, "cluster").withColumn("cluster", F.when(F.col("n") >= min_size, F.col("cluster")).otherwise(-1)).drop("n")
