@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import schemas
 from cohortloom.functions.columns import audit_token, normalize_reference, references
-from cohortloom.operators import causal, compare, deid, features, guardrails, ledger, matching, omop, trajectory
+from cohortloom.operators import causal, deid, features, guardrails, ledger, matching, omop, trajectory
 from cohortloom.queries.analyses import OUTCOMES, outcomes
 from cohortloom.queries.cohorts import _hmac_sql, with_ctes
 from cohortloom.sources import fhir, tables
