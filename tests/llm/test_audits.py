@@ -153,6 +153,29 @@ def test_forest_walks_its_trees():
     assert f.path[f.feature < 0].min() > 0
 
 
+def test_forest_is_grown_over_all_rows(spark):
+    """Trees hold every good row of their half and its copy, whatever the partitions; the threshold is exact over all."""
+    rng = np.random.default_rng(4)
+    rows = [(k, 100, *(int(v) for v in rng.integers(1, 90, len(rules.COUNTS) - 1))) for k in range(1500)]
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in rules.COUNTS)).withColumn("n_repeat_words", F.lit(0).cast("long"))
+    labels = stats.select("doc_id", F.lit(1).alias("quality"))
+    forest, threshold = rules.fit_forest(stats, labels, trees=5)
+    again, same = rules.fit_forest(stats.repartition(7, "n_upper"), labels, trees=5)
+    assert len(forest.tree_rows) == 5 and forest.tree_rows[:2].sum() == 2 * 1500
+    assert threshold == same and all(np.array_equal(getattr(forest, c), getattr(again, c)) for c in ("feature", "value", "left", "path"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
+    scores = sorted(r["score"] for r in rules.with_scores(stats.withColumn("_half", half), forest).collect())
+    assert threshold == scores[1500 - 1 - 7]
+
+
+def test_value_at_a_rank(spark):
+    rng = random.Random(3)
+    values = [rng.choice([0.5, rng.random(), rng.random() ** 9]) for _ in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for rank in (0, 1499, 2984, 2999):
+        assert rules.at_rank(rows, "v", rank, steps=16, most=20) == sorted(values)[rank]
+
+
 def brute_divergence(rows, least=3, most=200):
     cells = [(lang or "", src or "", re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").encode().lower())) for _, t, lang, src in rows]
     groups, out = sorted({(a, b) for a, b, _ in cells}), []
