@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import audit_token, normalize_reference, references
-from cohortloom.sources.tables import written
+from cohortloom.sources.tables import small, written
 
 MAX_DOCUMENT_BYTES = 20 * 1024 * 1024
 
@@ -110,28 +110,38 @@ def dedupe(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return got.drop("digests"), got.where("digests > 1").select("key", "digests", "copies")
 
 
+def with_references(keyed: DataFrame) -> DataFrame:
+    """(key, resource_type, id, refs) of the resources: refs are their distinct references in normal form; written once, so that texts are parsed once."""
+    if "refs" in keyed.columns:
+        return keyed
+    return written(keyed.select("key", "resource_type", "id", F.array_distinct(F.transform(references(F.col("body")), normalize_reference)).alias("refs")), "fhir-references")
+
+
 def edges(keyed: DataFrame) -> DataFrame:
     """(key, ref): references between resources that are both present."""
-    refs = keyed.select("key", F.explode(F.array_distinct(F.transform(references(F.col("body")), normalize_reference))).alias("ref"))
-    return refs.join(keyed.select(F.col("key").alias("ref")), "ref", "left_semi").select("key", "ref")
+    keyed = with_references(keyed)
+    return keyed.select("key", F.explode("refs").alias("ref")).join(keyed.select(F.col("key").alias("ref")), "ref", "left_semi").select("key", "ref")
 
 
 def ownership(keyed: DataFrame, max_rounds: int = 50, links: DataFrame | None = None) -> DataFrame:
     """(key, patient_id): every known patient that owns a resource, directly or through what it refers to.
 
     A round hands owners one reference further, from the referenced resource to
-    the referring one, only for pairs that are new; lineage is cut each round.
-    Helpers shared by many patients hand nothing on, as they own nothing.
+    the referring one, only for pairs that are new; lineage is cut each round. Patients
+    are handed to those that name them at once, so that rounds need references to
+    resources alone that refer to something themselves. Helpers shared by many
+    patients hand nothing on, as they own nothing.
     """
-    patients = keyed.where("resource_type = 'Patient' and id is not null").select(F.col("id").alias("patient_id"))
-    links = written(edges(keyed), "fhir-links") if links is None else links
-    refs = keyed.select("key", F.explode(F.transform(references(F.col("body")), normalize_reference)).alias("r")).where(F.col("r").startswith("Patient/"))
-    direct = refs.select("key", F.substring_index("r", "/", -1).alias("patient_id"))
-    own = keyed.where("resource_type = 'Patient' and id is not null").select("key", F.col("id").alias("patient_id"))
-    owners = written(direct.unionByName(own).join(patients, "patient_id", "left_semi").select("key", "patient_id").distinct(), "fhir-owners")
-    fresh = owners
+    keyed = with_references(keyed)
+    people = keyed.where("resource_type = 'Patient' and id is not null")
+    refs = keyed.select("key", F.explode("refs").alias("ref")) if links is None else links
+    chain = written(refs.join(keyed.where(F.size("refs") > 0).select(F.col("key").alias("ref")), "ref", "left_semi").select("key", "ref"), "fhir-chain")
+    named = keyed.select("key", F.explode("refs").alias("r")).where(F.col("r").startswith("Patient/")).select("key", F.substring_index("r", "/", -1).alias("patient_id"))
+    fresh = written(named.join(people.select(F.col("id").alias("patient_id")), "patient_id", "left_semi").select("key", "patient_id").distinct(), "fhir-owners")
+    owners = fresh.unionByName(people.select("key", F.col("id").alias("patient_id"))).distinct()
+    owners = written(owners, "fhir-owners")
     for _ in range(max_rounds):
-        handed = links.join(fresh.withColumnRenamed("key", "ref"), "ref").select("key", "patient_id").distinct()
+        handed = chain.join(fresh.withColumnRenamed("key", "ref"), "ref").select("key", "patient_id").distinct()
         fresh = written(handed.join(owners, ["key", "patient_id"], "left_anti"), "fhir-owners")
         if fresh.isEmpty():
             return owners
@@ -141,21 +151,25 @@ def ownership(keyed: DataFrame, max_rounds: int = 50, links: DataFrame | None =
 
 def group_by_patient(keyed: DataFrame, max_rounds: int = 50, links: DataFrame | None = None, owners: DataFrame | None = None) -> dict[str, DataFrame]:
     """members (patient_id, key) with helpers copied in, ambiguous (key) and orphans (key); links and owners where they are known already."""
-    links = written(edges(keyed), "fhir-links") if links is None else links
+    keyed = with_references(keyed)
     owners = ownership(keyed, max_rounds, links) if owners is None else owners
+    links = edges(keyed) if links is None else links
     counted = written(owners.groupBy("key").agg(F.count("*").alias("n"), F.min("patient_id").alias("patient_id")), "fhir-owned")
-    single, ambiguous = counted.where("n = 1").select("key", "patient_id"), counted.where("n > 1").select("key")
-    free = links.join(counted, links["ref"] == counted["key"], "left_anti")
-    members = written(single.select("patient_id", "key"), "fhir-members")
-    fresh = members
+    single, ambiguous = counted.where("n = 1").select("patient_id", "key"), counted.where("n > 1").select("key")
+    free = written(links.join(counted.select(F.col("key").alias("ref")), "ref", "left_anti").select("key", "ref"), "fhir-free")
+    fresh = written(free.join(single, "key").select("patient_id", F.col("ref").alias("key")).distinct(), "fhir-members")
+    helpers = fresh
     for _ in range(max_rounds):
-        reached = free.join(fresh, "key").select("patient_id", F.col("ref").alias("key")).distinct()
-        fresh = written(reached.join(members, ["patient_id", "key"], "left_anti"), "fhir-members")
+        # many patients share few helpers, so that few references are left to follow
+        onward = free.join(small(fresh.select("key").distinct()), "key", "left_semi")
+        reached = onward.join(fresh, "key").select("patient_id", F.col("ref").alias("key")).distinct()
+        fresh = written(reached.join(helpers, ["patient_id", "key"], "left_anti"), "fhir-members")
         if fresh.isEmpty():
             break
-        members = members.unionByName(fresh)
-    orphans = keyed.where("resource_type is null or resource_type <> 'Patient'").select("key").join(members.select("key"), "key", "left_anti")
-    return {"members": members, "ambiguous": ambiguous, "orphans": orphans}
+        helpers = helpers.unionByName(fresh)
+    held = single.select("key").unionByName(helpers.select("key").distinct())
+    orphans = keyed.where("resource_type is null or resource_type <> 'Patient'").select("key").join(held, "key", "left_anti")
+    return {"members": single.unionByName(helpers), "ambiguous": ambiguous, "orphans": orphans}
 
 
 def write_bundles(bundles: DataFrame, folder: str, key: bytes) -> None:

@@ -219,3 +219,27 @@ def test_results_of_one_run(spark, tmp_path):
     tables.write_result({"data": rows}, str(tmp_path), {"kind": "y"})
     got, envelope = tables.read_result(spark, str(tmp_path))
     assert set(got) == {"data"} and envelope["kind"] == "y" and sorted(map(tuple, got["data"].collect())) == [(1, None), (2, 3.0)]
+
+
+def test_texts_are_parsed_once(spark):
+    """Owners, members and orphans come from one reading of the texts, over chains of helpers and of owners and over patients that name others."""
+    bodies = {
+        "Patient/a": [], "Patient/b": ["Patient/a"], "Encounter/1": ["Patient/a", "Practitioner/p"], "Observation/1": ["Encounter/1"], "Observation/2": ["Observation/1"],
+        "Encounter/2": ["Patient/b"], "Practitioner/p": ["Organization/o"], "Organization/o": ["Location/l"], "Location/l": [], "Organization/x": ["Location/y"], "Location/y": [], "Encounter/3": ["Patient/none"],
+    }
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(*k.split("/"), k, '{"r":[' + ",".join(f'{{"reference":"{r}"}}' for r in refs) + "]}") for k, refs in bodies.items()]
+    keyed = spark.createDataFrame(rows, "resource_type string, id string, key string, body string").mapInArrow(counted, "resource_type string, id string, key string, body string")
+    got = fhir.group_by_patient(keyed)
+    pairs = sorted(tuple(r) for r in got["members"].select("patient_id", "key").collect())
+    helpers = ["Location/l", "Organization/o", "Practitioner/p"]
+    assert pairs == sorted([("a", k) for k in ["Patient/a", "Encounter/1", "Observation/1", "Observation/2", *helpers]])
+    assert sorted(r[0] for r in got["ambiguous"].collect()) == ["Encounter/2", "Patient/b"]
+    assert sorted(r[0] for r in got["orphans"].collect()) == ["Encounter/2", "Encounter/3", "Location/y", "Organization/x"]
+    assert read.value == len(rows)
