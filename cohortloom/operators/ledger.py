@@ -6,6 +6,10 @@ items, api_calls array<struct<endpoint, count, ms, credits>>, prev_hash, entry_h
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,18 +59,44 @@ def lineage(entries: DataFrame) -> DataFrame:
     return out.join(into, ["path", "sha256"]).where("producer < consumer").groupBy("path", "consumer").agg(F.max("producer").alias("producer"))
 
 
-def directory_digests(inventory: DataFrame) -> DataFrame:
+def directory_digests(inventory: DataFrame, wanted: DataFrame | None = None, many: int = 100_000) -> DataFrame:
     """(path, sha256) of every directory above the files (path, sha256): the hash of its files' relative paths and hashes, in order of path.
 
-    A directory's text is one line per file, ``<relative path> NUL <hash> LF``.
+    A directory's text is one line per file, ``<relative path> NUL <hash> LF``. Lines
+    are hashed as they come in order, so a task holds no directory's text. wanted
+    (path): the digests of these alone; directories of more than ``many`` files that
+    nobody wants are left out by a broadcast (at most lines / many of them) before
+    lines travel.
     """
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     rows = inventory.where(F.size(parts) > 1).select(F.explode(above).alias("folder"), "path", "sha256")
-    line = F.struct(F.expr("substring(path, length(folder) + 2)").alias("name"), "sha256")
-    told = rows.groupBy("folder").agg(F.array_sort(F.collect_list(line)).alias("files"))
-    text = F.array_join(F.transform("files", lambda f: F.concat(f["name"], F.lit("\0"), f["sha256"], F.lit("\n"))), "")
-    return told.select(F.col("folder").alias("path"), F.sha2(text, 256).alias("sha256"))
+    if wanted is not None:
+        named = wanted.select(F.col("path").alias("folder")).distinct()
+        large = rows.groupBy("folder").agg(F.count("*").alias("n")).where(F.col("n") > many).join(named, "folder", "left_anti").select("folder")
+        rows = rows.join(F.broadcast(large), "folder", "left_anti").join(named, "folder", "left_semi")
+    name = F.expr("substring(path, length(folder) + 2)")
+    lines = rows.select("folder", name.alias("name"), "sha256", F.concat(name, F.lit("\0"), "sha256", F.lit("\n")).cast("binary").alias("line"))
+
+    def digests(batches):
+        folder, state = None, None
+        for batch in batches:
+            folders = batch.column("folder").to_numpy(zero_copy_only=False)
+            line = batch.column("line").cast(pa.large_binary())
+            offsets, data = np.frombuffer(line.buffers()[1], np.int64), memoryview(line.buffers()[2] or b"")
+            starts = np.flatnonzero(np.append(True, folders[1:] != folders[:-1])) if len(folders) else []
+            done = []
+            for lo, hi in zip(starts, [*starts[1:], len(folders)], strict=True):
+                if folders[lo] != folder:
+                    if state:
+                        done.append((folder, state.hexdigest()))
+                    folder, state = folders[lo], hashlib.sha256()
+                state.update(data[offsets[line.offset + lo] : offsets[line.offset + hi]])
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], ["path", "sha256"])
+        if state:
+            yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([state.hexdigest()])], ["path", "sha256"])
+
+    return lines.repartition("folder").sortWithinPartitions("folder", "name", "sha256").select("folder", "line").mapInArrow(digests, "path string, sha256 string")
 
 
 def latest_artifacts(entries: DataFrame) -> DataFrame:
@@ -78,8 +108,9 @@ def latest_artifacts(entries: DataFrame) -> DataFrame:
 
 def artifact_audit(declared: DataFrame, inventory: DataFrame) -> DataFrame:
     """(path, problem) of declared files and directories: outside the root, missing or changed. inventory lists files."""
+    declared = written(declared.select("path", "sha256"), "declared")
     there = inventory.select("path", F.col("sha256").alias("actual"))
-    folders = directory_digests(inventory).join(declared.select("path").distinct(), "path", "left_semi")
+    folders = directory_digests(inventory, declared)
     joined = declared.join(there.unionByName(folders.withColumnRenamed("sha256", "actual")), "path", "left")
     outside = F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
     return joined.select("path", F.when(outside, "outside_root").when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha256"), "changed").alias("problem")).where("problem is not null")

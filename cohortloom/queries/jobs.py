@@ -248,8 +248,9 @@ def _artifacts(spark, d):
     path = F.concat(F.lit("out/c"), F.col("o_custkey"), F.lit("/f"), k)
     files = o.where(k % 11 > 0).select(path.alias("path"), F.sha2(F.when(k % 13 == 0, "changed").otherwise(k.cast("string")), 256).alias("sha256"))
     told = o.select(path.alias("path"), F.sha2(k.cast("string"), 256).alias("sha256"))
-    folders = ledger.directory_digests(o.where(k % 11 > 0).select(path.alias("path"), F.sha2(k.cast("string"), 256).alias("sha256")))
-    declared = told.unionByName(folders.where("path like 'out/c%'"))
+    named = o.select(F.concat(F.lit("out/c"), F.col("o_custkey")).alias("path"))
+    folders = ledger.directory_digests(o.where(k % 11 > 0).select(path.alias("path"), F.sha2(k.cast("string"), 256).alias("sha256")), named)
+    declared = told.unionByName(folders)
     return ledger.artifact_audit(declared, files)
 
 

@@ -86,6 +86,23 @@ def test_digests_of_directories(spark):
     assert {tuple(r) for r in ledger.artifact_audit(latest, inventory({"a/b/new": "7"})).collect()} == {("gone", "missing"), ("a", "changed")}
 
 
+def test_large_directories_are_hashed_in_order_and_travel_only_if_wanted(spark):
+    rows = [(f"top/d{k % 30}/f{k}", str(k)) for k in range(25_000)]
+    files = spark.createDataFrame(rows, "path string, sha256 string").repartition(7)
+    text = lambda folder: "".join(f"{p}\0{h}\n" for p, h in sorted((p[len(folder) + 1 :], h) for p, h in rows if p.startswith(folder + "/")))
+    digest = lambda folder: hashlib.sha256(text(folder).encode()).hexdigest()
+    whole = {r["path"]: r["sha256"] for r in ledger.directory_digests(files).collect()}
+    assert whole == {f: digest(f) for f in ["top", *(f"top/d{k}" for k in range(30))]}
+    some = spark.createDataFrame([("top/d3",), ("top/d3",), ("else",)], "path string")
+    assert {r["path"]: r["sha256"] for r in ledger.directory_digests(files, some, 2000).collect()} == {"top/d3": digest("top/d3")}
+    assert [r["path"] for r in ledger.directory_digests(files, spark.createDataFrame([("top",)], "path string"), 2000).collect()] == ["top"]
+    declared = spark.createDataFrame([("top/d4", digest("top/d4")), ("top/d5", "old")], "path string, sha256 string")
+    audit = ledger.artifact_audit(declared, files)
+    assert [tuple(r) for r in audit.collect()] == [("top/d5", "changed")]
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "strategy=broadcast" in plan
+
+
 def test_e_value_of_a_mean_difference(spark):
     rng = np.random.default_rng(3)
     x, t = rng.normal(size=300), rng.random(300) < 0.5
