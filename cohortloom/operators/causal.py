@@ -28,7 +28,8 @@ def propensity(frame: DataFrame, exposed: str, covariates: list[str], group: str
 
 
 def propensity_design(frame: DataFrame, exposed: str, covariates: list[str], group: str = "cohort_name") -> tuple[DataFrame, dict[str, str]]:
-    """The scored frame with its design columns, and their terms."""
+    """The scored frame with its design columns, and their terms. The frame is written first, as facts, levels, fit and scores each read it."""
+    frame = written(frame, "covariates")
     rows, terms = design(frame.withColumn("treated", (F.col(group) == exposed).cast("int")), covariates, "flag")
     ready = VectorAssembler(inputCols=list(terms), outputCol="_features").transform(rows)
     model = LogisticRegression(featuresCol="_features", labelCol="treated", regParam=1.0 / rows.count(), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-10).fit(ready)
@@ -165,7 +166,7 @@ def bootstrap_effect(scored: DataFrame, terms: list[str], outcome: str, estimand
 def bootstrap_pairs(scored: DataFrame, pairs: DataFrame, outcome: str, replicates: int = 500, seed: int = 1, bins: int = 4096) -> tuple[float, float]:
     """Percentile limits of the mean difference of matched pairs, pairs resampled; differences are rounded to ``bins`` equal steps of their range."""
     y = lambda who: scored.select(F.col("person_id").alias(f"{who}_id"), F.col(outcome).cast("double").alias(who))
-    d = pairs.join(y("exposed"), "exposed_id").join(y("comparator"), "comparator_id").select((F.col("exposed") - F.col("comparator")).alias("d"))
+    d = written(pairs.join(y("exposed"), "exposed_id").join(y("comparator"), "comparator_id").select((F.col("exposed") - F.col("comparator")).alias("d")), "pair-differences")
     low, high = d.agg(F.min("d"), F.max("d")).first()
     if low is None:
         raise ValueError("no matched pairs")

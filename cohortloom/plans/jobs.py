@@ -273,7 +273,7 @@ def causal_effect(frame: DataFrame, outcome: str, exposed: str, covariates: list
         reps = tables.written(causal.bootstrap_effect(scored, list(terms), outcome, estimand, replicates=replicates, seed=seed), "replicates")
         limits = {"difference": percentile_limits(reps.select("rep", F.col("difference").alias("x")), replicates), "ratio": percentile_limits(reps.select("rep", F.col("ratio").alias("x")), replicates)}
     got = causal.effect(weighted, outcome)
-    kind = compare.outcome_types(rows, [outcome]).first()["outcome_type"]
+    kind = compare.outcome_types(scored, [outcome]).first()["outcome_type"]
     spread = weighted.agg(F.stddev_samp(F.col(outcome).cast("double"))).first()[0] or 0.0
     bound = lambda k, i: F.lit(limits[k][i]).cast("double")
     low, high = bound("ratio", 0), bound("ratio", 1)

@@ -442,3 +442,22 @@ def test_hodges_lehmann_limits_of_few_values_are_exact(spark):
             a, b = np.repeat(v[arm == 1], draw[arm == 1]), np.repeat(v[arm == 0], draw[arm == 0])
             shifts.append(np.median(a[:, None] - b[None]))
     assert np.allclose(got, np.quantile(shifts, [0.025, 0.975]))
+
+
+def test_an_adjustment_reads_its_frame_once(spark):
+    from cohortloom.plans import jobs
+
+    rng = np.random.default_rng(5)
+    read = spark.sparkContext.accumulator(0)
+    rows = [(int(i), "a" if i % 2 else "b", float(rng.normal()), "xyz"[i % 3], int(rng.random() < 0.4)) for i in range(300)]
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows, "person_id long, cohort_name string, x double, k string, y int")
+    for method in ("iptw", "ps_matching"):
+        before = read.value
+        got = jobs.causal_effect(frame.mapInArrow(passed, frame.schema), "y", "a", ["x", "k"], method, replicates=60)
+        assert got["data"].first()["lower"] is not None and read.value - before == 300
