@@ -101,13 +101,11 @@ def bootstrap_effect(scored: DataFrame, terms: list[str], outcome: str, estimand
                     total += run(x, t[cut], y[cut], person_weights(ids[cut], reps, seed))
             yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(list(total), pa.list_(pa.float64()))], ["rep", "v"])
 
-        each = F.array(*[F.sum(F.col("v")[k]) for k in range(size)]) if size <= 200 else None
-        got = rows.mapInArrow(add, "rep long, v array<double>")
-        if each is None:
-            flat = got.select("rep", F.posexplode("v").alias("k", "x")).groupBy("rep", "k").agg(F.sum("x").alias("x"))
-            got = flat.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
-        else:
-            got = got.groupBy("rep").agg(each.alias("v"))
+        def added(table):
+            total = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size).sum(0)
+            return pa.table({"rep": table.column("rep").slice(0, 1), "v": pa.array([total], pa.list_(pa.float64()))})
+
+        got = rows.mapInArrow(add, "rep long, v array<double>").groupBy("rep").applyInArrow(added, "rep long, v array<double>")
         return np.array([r["v"] for r in sorted(got.collect(), key=lambda r: r["rep"])])
 
     def expit(eta):
@@ -138,19 +136,20 @@ def bootstrap_effect(scored: DataFrame, terms: list[str], outcome: str, estimand
             other = (1 - share) / (1 - q) if estimand == "ate" else share / (1 - share) * q / (1 - q)
             return np.where(t[:, None] == 1, share / q if estimand == "ate" else 1.0, other)
 
-        def histogram(x, t, w, beta, share, low, step):
-            k = np.clip(np.floor((np.log(raw(x, t, beta, share)) - low) / step), -1, bins).astype(np.int64) + 1
-            flat = k + np.arange(len(reps))[None] * (bins + 2)
-            return np.bincount(flat.ravel(), w.ravel(), minlength=len(reps) * (bins + 2)).reshape(len(reps), -1)
-
-        limits = []
-        for q in trim:
-            low, step = np.full(len(reps), -16.0), np.full(len(reps), 32.0 / bins)
-            for _ in range(3):
-                seen = np.cumsum(sums(reps, bins + 2, lambda x, t, y, w, b=beta, s=share, lo=low, d=step: histogram(x, t, w, b, s, lo, d)), 1)
-                at = np.array([np.searchsorted(c, q * (c[-1] - 1) + 1e-9, "right") for c in seen])
-                low, step = low + (np.clip(at, 1, bins) - 1) * step, step / bins
-            limits.append(np.exp(low + step * bins / 2))
+        def histograms(x, t, w, beta, share, lows, steps):
+            logs, flat = np.log(raw(x, t, beta, share)), np.arange(len(reps))[None] * (bins + 2) + 1
+            at = [(np.clip(np.floor((logs - low) / step), -1, bins).astype(np.int64) + flat).ravel() for low, step in zip(lows, steps, strict=True)]
+            return np.concatenate([np.bincount(k, w.ravel(), minlength=len(reps) * (bins + 2)).reshape(len(reps), -1) for k in at], 1)
+
+        # both ends of the trim from one pass a round
+        lows, steps = [np.full(len(reps), -16.0) for _ in trim], [np.full(len(reps), 32.0 / bins) for _ in trim]
+        for _ in range(3):
+            both = sums(reps, len(trim) * (bins + 2), lambda x, t, y, w, b=beta, s=share, lo=tuple(lows), d=tuple(steps): histograms(x, t, w, b, s, lo, d))
+            for j, (q, seen) in enumerate(zip(trim, np.split(both, len(trim), 1), strict=True)):
+                reach = np.cumsum(seen, 1)
+                at = np.array([np.searchsorted(c, q * (c[-1] - 1) + 1e-9, "right") for c in reach])
+                lows[j], steps[j] = lows[j] + (np.clip(at, 1, bins) - 1) * steps[j], steps[j] / bins
+        limits = [np.exp(low + step * bins / 2) for low, step in zip(lows, steps, strict=True)]
 
         def means(x, t, y, w, beta, share, floor, top):
             v = w * np.clip(raw(x, t, beta, share), floor, top)

@@ -49,11 +49,20 @@ def percentile_limits(reps: DataFrame, replicates: int, level: float = 0.95) ->
     return float(row[1]), float(row[2])
 
 
+#: Upper ends of the weights 0, 1, ... among uniform numbers; the weight of every 1/65536 of them that holds no end, else -1.
+STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+_ENDS = [np.searchsorted(STEPS, (np.arange(1 << 16) + more) / (1 << 16) - less, "right") for more, less in ((0, 0.0), (1, 2.0**-53))]
+WEIGHTS = np.where(_ENDS[0] == _ENDS[1], _ENDS[0], -1).astype(float)
+
+
 def person_weights(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
     """(people, replicates) Poisson(1) weights from a hash of (seed, replicate, person)."""
     x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + reps.astype(np.uint64)[None] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((seed * 0x94D049BB133111EB) % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
-    return np.searchsorted(steps, u, "right").astype(float)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    out = WEIGHTS[(x >> np.uint64(48)).astype(np.int64)]
+    near = out < 0
+    out[near] = np.searchsorted(STEPS, (x[near] >> np.uint64(11)).astype(float) / (1 << 53), "right")
+    return out

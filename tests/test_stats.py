@@ -461,3 +461,19 @@ def test_an_adjustment_reads_its_frame_once(spark):
         before = read.value
         got = jobs.causal_effect(frame.mapInArrow(passed, frame.schema), "y", "a", ["x", "k"], method, replicates=60)
         assert got["data"].first()["lower"] is not None and read.value - before == 300
+
+
+def test_both_ends_of_the_trim_come_from_one_pass(spark, monkeypatch):
+    """Passes over the people: one a Newton step, three for both quantiles, one for the means."""
+    from cohortloom.operators.resample import STEPS, person_weights
+
+    passes, solve, run = [], np.linalg.solve, type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: passes.append(-1) or solve(*a))
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda *a, **k: passes.append(1) or run(*a, **k))
+    rng = np.random.default_rng(6)
+    rows = [(int(i), int(rng.random() < 0.5), float(rng.normal()), float(rng.normal())) for i in range(200)]
+    got = causal.bootstrap_effect(spark.createDataFrame(rows, "person_id long, treated int, x double, y double"), ["x"], "y", replicates=8)
+    assert got.count() == 8 and sum(passes) == 4
+    # weights are those of the cumulative Poisson chances
+    w = person_weights(np.arange(3000), np.arange(60), 2)
+    assert abs(np.mean(w == 0) - STEPS[0]) < 0.01 and abs(w.mean() - 1) < 0.01 and w.min() == 0
