@@ -163,7 +163,7 @@ def cohort_compare(frame: DataFrame, outcomes: list[str], exposed: str, comparat
     if correction not in ("auto_bh", "bh", "none") or (len(outcomes) > 1 and correction == "none"):
         raise ValueError("several outcomes need a correction: auto_bh or bh")
     group = "cohort_name"
-    rows = frame.where(F.col(group).isin(exposed, comparator))
+    rows = tables.written(frame.where(F.col(group).isin(exposed, comparator)), "compared")  # each test reads it
     kinds = {r["outcome"]: r["outcome_type"] for r in compare.outcome_types(rows, outcomes).collect()}
     binary = [o for o in outcomes if kinds.get(o) == "binary"]
     tested = {r["outcome"]: r for r in compare.exact_tests(compare.two_by_two(rows, binary, group, exposed, comparator), exact_test).collect()} if binary else {}

@@ -477,3 +477,19 @@ def test_both_ends_of_the_trim_come_from_one_pass(spark, monkeypatch):
     # weights are those of the cumulative Poisson chances
     w = person_weights(np.arange(3000), np.arange(60), 2)
     assert abs(np.mean(w == 0) - STEPS[0]) < 0.01 and abs(w.mean() - 1) < 0.01 and w.min() == 0
+
+
+def test_a_comparison_reads_its_frame_once(spark):
+    from cohortloom.plans import jobs
+
+    rng = np.random.default_rng(7)
+    read = spark.sparkContext.accumulator(0)
+    frame = spark.createDataFrame([(int(i), "ab"[i % 2], float(rng.normal()), int(rng.random() < 0.4)) for i in range(200)], "person_id long, cohort_name string, x double, y int")
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    got = jobs.cohort_compare(frame.mapInArrow(passed, frame.schema), ["y", "x"], "a", "b", ["x"], permutations=99, replicates=60)
+    assert got.count() == 2 and read.value == 200
