@@ -40,8 +40,16 @@ BUFFER_TERMS, CHUNK_TERMS, PIECE_TERMS = 1_500_000, 300_000, 100_000
 IN_TERM = np.zeros(256, bool)
 IN_TERM[65:91] = IN_TERM[97:123] = IN_TERM[128:] = True
 
-TERM_LISTS = "lang string, source string, terms array<binary>, counts array<long>"
-COUNTS = "lang string, source string, term binary, prefix long, docs long, n long"
+#: Terms that a bucket of the shuffle holds at most about; 2 ** LEAST_BITS buckets at least.
+BUCKET_TERMS, LEAST_BITS = 1 << 20, 7
+
+#: Terms, their sizes and counts (int) stand one after another in one value per row.
+TERM_LISTS = "lang string, source string, held int, terms binary, sizes binary, counts binary"
+#: What a task sends a bucket: complete terms (sizes, group and docs int, n long) and prefixes (long, docs int), packed as well.
+PACKED = "bucket int, terms binary, sizes binary, group binary, docs binary, n binary, prefix binary, prefix_docs binary"
+LEVEL = "lang string, term binary, held array<struct<source: string, n: bigint>>, n long, prefix long"
+PACKED_NAMES = [f.split()[0] for f in PACKED.split(", ")]
+LEVEL_NAMES = ["lang", "term", "held", "n", "prefix"]
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +63,19 @@ def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
+def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of values from cut to cut."""
+    return binaries(np.ascontiguousarray(values).view(np.uint8), cuts * values.itemsize)
+
+
+def numbers(column, kind: type) -> np.ndarray:
+    """The values of all packed rows of a column."""
+    data, offsets = S.flat(column)
+    return data[offsets[0] : offsets[-1]].view(kind)
+
+
 def term_lists(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, counts) of every row: its distinct terms and how often each stands there."""
+    """(lang, source, held, terms, sizes, counts) of every row: its distinct terms, packed, and how often each stands there."""
 
     def lists(batches):
         for batch in batches:
@@ -68,11 +87,11 @@ def term_lists(docs: DataFrame) -> DataFrame:
                 first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
                 at = np.flatnonzero(first)
                 counts = np.diff(np.append(at, len(order)))
-                terms = binaries(*gathered(S.LOWER[data], starts[at], ends[at] - starts[at]))
-                cuts = pa.array(np.searchsorted(rows[at], np.arange(hi - lo + 1)).astype(np.int32))
+                terms, offsets = gathered(S.LOWER[data], starts[at], ends[at] - starts[at])
+                cuts = np.searchsorted(rows[at], np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(lo, hi - lo), batch.column("source").slice(lo, hi - lo), pa.ListArray.from_arrays(cuts, terms), pa.ListArray.from_arrays(cuts, pa.array(counts.astype(np.int64)))],
-                    ["lang", "source", "terms", "counts"],
+                    [batch.column("lang").slice(lo, hi - lo), batch.column("source").slice(lo, hi - lo), pa.array(np.diff(cuts).astype(np.int32)), binaries(terms, offsets[cuts]), blobs(np.diff(offsets).astype(np.int32), cuts), blobs(counts.astype(np.int32), cuts)],
+                    ["lang", "source", "held", "terms", "sizes", "counts"],
                 )
 
     S.small_batches(docs.sparkSession)
@@ -80,6 +99,17 @@ def term_lists(docs: DataFrame) -> DataFrame:
     return docs.select(*cells).mapInArrow(lists, TERM_LISTS)
 
 
+def unpacked(batches):
+    """Batches (lang, source, terms, counts) with lists of terms and of counts."""
+    for batch in batches:
+        sizes = numbers(batch.column("sizes"), np.int32)
+        ends, cuts = np.zeros(len(sizes) + 1, np.int64), np.zeros(len(batch) + 1, np.int32)
+        np.cumsum(sizes, out=ends[1:])
+        np.cumsum(batch.column("held").to_numpy(), out=cuts[1:])
+        lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (binaries(numbers(batch.column("terms"), np.uint8), ends), pa.array(numbers(batch.column("counts"), np.int32)))]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), *lists], ["lang", "source", "terms", "counts"])
+
+
 def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(a row of each distinct key, sums of the values by key)."""
     order = np.lexsort(keys)
@@ -136,17 +166,31 @@ def beginnings(data: np.ndarray, ends: np.ndarray, rows: np.ndarray, sizes: np.n
     return out
 
 
-def refine(lists: DataFrame, length: int, before: int, kept: np.ndarray | None, least: int) -> DataFrame:
-    """One level: (lang, term, held array of (source, n), n, prefix) of terms that end within ``length`` bytes and of the prefixes of longer ones, which at least ``least`` documents have.
+def group_names(lists: DataFrame) -> list[tuple[str, str]]:
+    """(lang, source) of all groups in order of their bytes: as many as there are groups, of which the result has the square."""
+    got = lists.select("lang", "source").distinct().toArrow()
+    return sorted(zip(got.column("lang").to_pylist(), got.column("source").to_pylist(), strict=True), key=lambda g: (g[0].encode(), g[1].encode()))
 
-    Only terms of more than ``before`` bytes whose prefix of that length has its bit
-    in the map are looked at. A task adds documents and occurrences up by term and
-    source before it sends them; a prefix is a hash with its distinct documents.
-    """
-    shared = None if kept is None else lists.sparkSession.sparkContext.broadcast(kept)
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
+def added(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, at) if len(at) else values[:0]
+
+
+def sent(lists: DataFrame, length: int, before: int, shared, bits: int) -> DataFrame:
+    """What tasks send the 2 ** ``bits`` buckets of hashes: at most one row (PACKED) a bucket and chunk of lists, already added up by term and group."""
+    to_bucket = S.U64(64 - bits)
 
     def level(batches):
-        for batch in chunks_of_lists(batches):
+        kept, groups = shared.value
+        place = {g: k for k, g in enumerate(groups)}
+        for batch in chunks_of_lists(unpacked(batches)):
             column = batch.column("terms")
             data, ends = S.flat(column.flatten())
             data, ends = data[ends[0] : ends[-1]], ends - ends[0]
@@ -154,38 +198,86 @@ def refine(lists: DataFrame, length: int, before: int, kept: np.ndarray | None,
             doc = np.repeat(np.arange(len(batch)), column.value_lengths().to_numpy(zero_copy_only=False))
             counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
             langs, sources = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
-            lang, source = (x.indices.to_numpy(zero_copy_only=False) for x in (langs, sources))
+            lang, source = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (langs, sources))
+            pairs, which = np.unique(lang * len(sources.dictionary) + source, return_inverse=True)
+            a, b = langs.dictionary.to_pylist(), sources.dictionary.to_pylist()
+            group = np.array([place[a[k // len(b)], b[k % len(b)]] for k in pairs.tolist()], np.int32)[which]
             names, offsets = S.flat(langs.dictionary)
             salt = S.span_hash(S.prefix_sums(names), offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
             # a language's prefixes have bits of their own
             of = lambda rows, n: S.mix(beginnings(data, ends, rows, n) + salt[lang[doc[rows]]])
             rows = np.flatnonzero(sizes > before)
-            if shared is not None:
+            if kept is not None:
                 bit = (of(rows, np.full(len(rows), before)) >> S.U64(64 - MAP_BITS)).astype(np.int64)
-                rows = rows[(shared.value[bit >> 6] >> (bit & 63).astype(S.U64)) & S.U64(1) == 1]
+                rows = rows[(kept[bit >> 6] >> (bit & 63).astype(S.U64)) & S.U64(1) == 1]
             closed, open_ = rows[sizes[rows] <= length], rows[sizes[rows] > length]
-            at, (docs, n) = summed([of(closed, sizes[closed]), source[doc[closed]], lang[doc[closed]]], [np.ones(len(closed), np.int64), counts[closed]])
-            mine = closed[at]
-            terms = binaries(*gathered(data, ends[mine], sizes[mine]))
-            yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(pa.array(lang[doc[mine]])), sources.dictionary.take(pa.array(source[doc[mine]])), terms, pa.nulls(len(mine), pa.int64()), pa.array(docs), pa.array(n)],
-                COUNTS_NAMES,
-            )
+            hashes = of(closed, sizes[closed])
+            # in order of buckets, then of terms with their groups
+            keys = (hashes >> to_bucket << to_bucket) | (S.mix(hashes + group[doc[closed]].astype(S.U64) * S.U64(S.MULTIPLIER)) >> S.U64(bits))
+            order = np.argsort(keys)
+            keys = keys[order]
+            at = runs(keys)
+            mine, docs, n = closed[order[at]], np.diff(np.append(at, len(order))), added(counts[closed[order]].astype(np.int64), at)
+            terms, offsets = gathered(data, ends[mine], sizes[mine])
             prefixes = of(open_, np.full(len(open_), length))
-            at, _ = summed([prefixes, doc[open_]], [])  # once a document
-            prefixes = prefixes[at]
-            at, (docs,) = summed([prefixes], [np.ones(len(prefixes), np.int64)])
-            none = pa.nulls(len(at), pa.string())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(at), pa.binary()), pa.array(prefixes[at].view(np.int64)), pa.array(docs), pa.nulls(len(at), pa.int64())], COUNTS_NAMES)
+            order = np.argsort(prefixes, kind="stable")  # documents stay in order, so that each counts once
+            prefixes, owner = prefixes[order], doc[open_[order]]
+            first = np.ones(len(order), bool)
+            first[1:] = (prefixes[1:] != prefixes[:-1]) | (owner[1:] != owner[:-1])
+            prefixes = prefixes[first]
+            start = runs(prefixes)
+            prefix_docs, prefixes = np.diff(np.append(start, len(prefixes))), prefixes[start]
+            of_term, of_prefix = (np.searchsorted((h >> to_bucket).astype(np.int64), np.arange(2**bits + 1)) for h in (keys[at], prefixes))
+            out = [pa.array(np.arange(2**bits, dtype=np.int32)), binaries(terms, offsets[of_term]), *(blobs(x, of_term) for x in (sizes[mine].astype(np.int32), group[doc[mine]], docs.astype(np.int32), n)), blobs(prefixes.view(np.int64), of_prefix), blobs(prefix_docs.astype(np.int32), of_prefix)]
+            yield pa.RecordBatch.from_arrays(out, PACKED_NAMES).filter(pa.array((np.diff(of_term) > 0) | (np.diff(of_prefix) > 0)))
 
-    S.small_batches(lists.sparkSession)
-    # dealt by term once; tasks have added up already
-    dealt = lists.mapInArrow(level, COUNTS).repartition("lang", "term", "prefix").groupBy("lang", "term", "prefix", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    held = dealt.groupBy("lang", "term", "prefix").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("held"))
-    return held.where(F.col("docs") >= least).select("lang", "term", F.array_sort("held").alias("held"), F.col("total").alias("n"), "prefix")
+    return lists.mapInArrow(level, PACKED)
 
 
-COUNTS_NAMES = [f.split()[0] for f in COUNTS.split(", ")]
+def refine(lists: DataFrame, length: int, before: int, kept: np.ndarray | None, least: int, groups: list[tuple[str, str]] | None = None, bits: int = LEAST_BITS) -> DataFrame:
+    """One level: (lang, term, held array of (source, n), n, prefix) of terms that end within ``length`` bytes and of the prefixes of longer ones, which at least ``least`` documents have.
+
+    Only terms of more than ``before`` bytes whose prefix of that length has its bit
+    in the map are looked at. Buckets add up what tasks have sent by the terms'
+    bytes. A prefix is a hash with its distinct documents.
+    """
+    groups = group_names(lists) if groups is None else groups
+    shared = lists.sparkSession.sparkContext.broadcast((kept, groups))
+
+    def bucket(table):
+        groups = shared.value[1]
+        langs = sorted({g[0] for g in groups}, key=str.encode)
+        rank = {lang: k for k, lang in enumerate(langs)}
+        lang_of = np.array([rank[g[0]] for g in groups], np.int64)
+        prefixes = numbers(table.column("prefix"), np.int64)
+        order = np.argsort(prefixes)
+        at = runs(prefixes[order])
+        docs = added(numbers(table.column("prefix_docs"), np.int32).astype(np.int64)[order], at)
+        prefixes = prefixes[order[at[docs >= least]]]
+        sizes, group = numbers(table.column("sizes"), np.int32), numbers(table.column("group"), np.int32)
+        ends = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        terms = binaries(numbers(table.column("terms"), np.uint8), ends).dictionary_encode()
+        keys = terms.indices.to_numpy().astype(np.int64) * len(groups) + group
+        order = np.argsort(keys)
+        at = runs(keys[order])
+        docs, n = (added(numbers(table.column(c), t).astype(np.int64)[order], at) for c, t in (("docs", np.int32), ("n", np.int64)))
+        term, group = np.divmod(keys[order[at]], max(len(groups), 1))
+        # groups of a language stand next to each other, sources in order
+        start = runs(term * len(langs) + lang_of[group])
+        sizes = np.diff(np.append(start, len(term)))
+        enough = added(docs, start) >= least
+        cells = np.repeat(enough, sizes)
+        total, term, lang, sizes = added(n, start)[enough], term[start[enough]], lang_of[group[start[enough]]], sizes[enough]
+        own = pa.DictionaryArray.from_arrays(pa.array(group[cells].astype(np.int32)), pa.array([g[1] for g in groups], pa.string())).cast(pa.string())
+        held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.StructArray.from_arrays([own, pa.array(n[cells])], ["source", "n"]))
+        names = pa.DictionaryArray.from_arrays(pa.array(lang.astype(np.int32)), pa.array(langs, pa.string())).cast(pa.string())
+        parts = [pa.table([names, terms.dictionary.take(pa.array(term)), held, pa.array(total), pa.nulls(len(term), pa.int64())], LEVEL_NAMES)]
+        none = [pa.nulls(len(prefixes), parts[0].schema.field(k).type) for k in range(4)]
+        return pa.concat_tables([*parts, pa.table([*none, pa.array(prefixes)], LEVEL_NAMES)])
+
+    S.small_batches(lists.sparkSession)
+    return sent(lists, length, before, shared, bits).groupBy("bucket").applyInArrow(bucket, LEVEL)
 
 
 def bit_map(prefixes: DataFrame) -> np.ndarray | None:
@@ -203,10 +295,12 @@ def bit_map(prefixes: DataFrame) -> np.ndarray | None:
 def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
     """(lang, term binary, held, n): terms that stand in at least ``least`` documents of their language; held lists (source, n), n occurrences there."""
     lists = S.written(term_lists(docs), "term-lists")
+    groups, size = group_names(lists), lists.agg(F.sum("held")).first()[0] or 0
+    bits = max(LEAST_BITS, (size // BUCKET_TERMS).bit_length())
     found, before, kept = None, 0, None
     while True:
         length = 2 * before or FIRST
-        level = S.written(refine(lists, length, before, kept, least), "term-level")
+        level = S.written(refine(lists, length, before, kept, least, groups, bits), "term-level")
         terms = level.where("term is not null").drop("prefix")
         found = terms if found is None else found.unionByName(terms)
         kept = bit_map(level.where("prefix is not null"))

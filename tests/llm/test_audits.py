@@ -237,3 +237,18 @@ def test_chunks_of_lists(monkeypatch):
         assert sum(lengths) <= 5 or lengths.count(0) == len(lengths) - 1
         groups = [(r["lang"], r["source"]) for r in chunk]
         assert sum(a != b for a, b in zip(groups, groups[1:], strict=False)) == len(set(groups)) - 1
+
+
+def test_refinement_sends_packed_rows(spark):
+    """Tasks send a row for a bucket and chunk of lists, not one for a term; documents and sources are told apart all the same."""
+    rows = [(k, " ".join(f"t{chr(97 + j % 26)}{chr(97 + j // 26)} longterm{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(k % 7, 300)) + " twice twice", "en" if k % 2 else "de", f"s{k % 3}") for k in range(60)]
+    lists = divergence.term_lists(frame(spark, rows).coalesce(1))
+    assert not [f for f in lists.dtypes if "array" in f[1]]
+    shared = spark.sparkContext.broadcast((None, divergence.group_names(lists)))
+    assert 1 <= divergence.sent(lists, 4, 0, shared, 2).count() <= 4
+    for bits in (1, 2, divergence.LEAST_BITS):
+        got = divergence.refine(lists, 8, 0, None, 20, bits=bits).where("term is not null").collect()
+        docs = {(lang, t): [r for r in rows if r[2] == lang and t in r[1].split()] for lang in ("de", "en") for t in {w for r in rows for w in r[1].split() if len(w) <= 8}}
+        want = {(lang, t.encode(), tuple((s, sum(r[1].split().count(t) for r in d if r[3] == s)) for s in sorted({r[3] for r in d}))) for (lang, t), d in docs.items() if len(d) >= 20}
+        assert {(r["lang"], bytes(r["term"]), tuple(tuple(x) for x in r["held"])) for r in got} == want
+        assert all(r["n"] == sum(x["n"] for x in r["held"]) for r in got)
