@@ -46,21 +46,32 @@ def ingest(resources: DataFrame) -> dict[str, DataFrame]:
     return {"resources": unique, "conflicts": conflicts, **fhir.group_by_patient(unique)}
 
 
-def materialize(responses: DataFrame, ledger_rows: DataFrame, table_names: list[str], resources: DataFrame | None = None) -> dict[str, DataFrame]:
+def latest_of_each(responses: DataFrame) -> DataFrame:
+    """The response of each patient with the greatest bundle hash; whole responses are shuffled only if a patient has several."""
+    if responses.groupBy("source_patient_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return responses
+    return responses.groupBy("source_patient_id").agg(F.max_by(F.struct(*responses.columns), F.struct("bundle_hash")).alias("x")).select("x.*")
+
+
+def materialize(responses: DataFrame, ledger_rows: DataFrame, table_names: list[str], resources: DataFrame | None = None, latest: bool = False) -> dict[str, DataFrame]:
     """Rekeyed, typed tables and sidecars of changed patients; a patient without exactly one person or with an id outside the block is a reject and holds up nobody.
 
     Ids of tables and mappings move into the patient's block, so that patients who
     share local ids keep rows of their own in every table and sidecar. A reject keeps
-    the block that it had. resources adds meta.row_provenance from their tags.
+    the block that it had. resources adds meta.row_provenance from their tags; latest
+    takes one response of each patient, whose state is then settled on keys alone.
     """
     from cohortloom.streaming.incremental import changed_patients
 
-    new = changed_patients(responses, ledger_rows)
-    reason = F.when(~F.coalesce(F.size("tables.person") == 1, F.lit(False)) | F.element_at("tables.person", 1)["person_id"].isNull(), "not exactly one person").when(omop.outside_block(new, table_names), "id outside the block").otherwise(omop.mapping_problem(new))
-    new = tables.written(new.withColumn("_reason", reason), "responses")
-    good = new.where("_reason is null").drop("_reason")
-    blocks = tables.written(omop.allocate_blocks(good, ledger_rows), "blocks")
-    placed = tables.written(good.join(blocks, "source_patient_id"), "placed-responses")
+    reason = F.when(~F.coalesce(F.size("tables.person") == 1, F.lit(False)) | F.element_at("tables.person", 1)["person_id"].isNull(), "not exactly one person").when(omop.outside_block(responses, table_names), "id outside the block").otherwise(omop.mapping_problem(responses))
+    told = responses.withColumn("_reason", reason)
+    if latest:
+        new = latest_of_each(tables.written(told, "responses"))
+        states = tables.written(changed_patients(new.select("source_patient_id", "bundle_hash", "_reason"), ledger_rows), "states")
+    else:
+        new = states = tables.written(changed_patients(told, ledger_rows), "responses")
+    blocks = tables.written(omop.allocate_blocks(states.where("_reason is null"), ledger_rows), "blocks")
+    placed = tables.written(new.where("_reason is null").drop("_reason").join(blocks, "source_patient_id"), "placed-responses")
     out, bad = {}, None
     for name in table_names:
         rows = omop.unpack_table(placed, name.split(".")[1])
@@ -73,8 +84,8 @@ def materialize(responses: DataFrame, ledger_rows: DataFrame, table_names: list[
     person = F.element_at("tables.person", 1)["person_id"] + F.col("id_offset")
     done = placed.select("source_patient_id", "bundle_hash", F.lit("ok").alias("status"), "id_offset", person.alias("person_id"))
     known = ledger_rows.groupBy("source_patient_id").agg(F.max("id_offset").alias("id_offset"))
-    failed = new.where("_reason is not null").select("source_patient_id", "bundle_hash", F.lit("failed").alias("status")).join(known, "source_patient_id", "left").withColumn("person_id", F.lit(None).cast("long"))
-    rejects = new.where("_reason is not null").select("source_patient_id", F.col("_reason").alias("reason"))
+    failed = states.where("_reason is not null").select("source_patient_id", "bundle_hash", F.lit("failed").alias("status")).join(known, "source_patient_id", "left").withColumn("person_id", F.lit(None).cast("long"))
+    rejects = states.where("_reason is not null").select("source_patient_id", F.col("_reason").alias("reason"))
     told = bad.withColumn("omop_table", F.substring_index("omop_table", ".", -1))
     return {**out, **{f"meta.{k}": v for k, v in side.items()}, "meta.invalid_date": told, "meta.ingest_patient": done.unionByName(failed), "rejects": rejects}
 
@@ -86,15 +97,14 @@ def load_batch(store: PatchedTables, responses: DataFrame, table_names: list[str
     A reject's earlier rows stay. The ledger is written last: a batch that failed
     before that is taken as new again.
     """
-    latest = responses.groupBy("source_patient_id").agg(F.max_by(F.struct(*responses.columns), "bundle_hash").alias("x")).select("x.*")
     before = tables.written(store.read("meta.ingest_patient"), "ledger")
-    got = materialize(latest, before, table_names, resources)
+    got = materialize(responses, before, table_names, resources, latest=True)
     told, rejects = tables.written(got.pop("meta.ingest_patient"), "told"), got.pop("rejects")
     kept = before.select("source_patient_id", F.col("person_id").alias("_person"))
     patients = told.where("status = 'ok'").select("source_patient_id", "id_offset", "person_id")
     # a person whose local id has changed: the old rows go as well
     old = before.join(patients.select("source_patient_id"), "source_patient_id", "left_semi").select("source_patient_id", "id_offset", "person_id")
-    store.replace(patients.unionByName(old).distinct(), got)
+    store.replace(tables.written(patients.unionByName(old).distinct(), "replaced"), got)
     rows = told.join(kept, "source_patient_id", "left").withColumn("person_id", F.coalesce("person_id", "_person"))
     store.replace(told.select("source_patient_id", "id_offset", "person_id"), {"meta.ingest_patient": rows})
     return rejects

@@ -26,6 +26,8 @@ def mapped_responses(spark, d, version: str = "v1", people: str = "true", rows:
     """
     c, o = load(spark, d, "customer").where(people), load(spark, d, "orders").where(rows)
     keys = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")))).alias("keys"))
+    # customers are dealt as the orders are, so that a small file is not one task
+    c = c.repartition("c_custkey")
     joined = c.join(keys, c["c_custkey"] == keys["o_custkey"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<struct<o_orderkey:bigint,day:string>>")))
     one = F.lit(1).cast("long")
     condition = lambda x, k: F.struct((k + 1).cast("long").alias("condition_occurrence_id"), one.alias("person_id"), F.lit(0).cast("long").alias("condition_concept_id"), F.when(x["o_orderkey"] % 10 == 0, F.lit("2024-13-77")).otherwise(x["day"]).alias("condition_start_date"))

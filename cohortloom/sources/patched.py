@@ -8,6 +8,8 @@ the buckets of its patients alone (dynamic partition overwrite).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from cohortloom import schemas
 
 BLOCK = 1_000_000
+#: Tables that are written at a time.
+WRITERS = 4
 
 
 class PatchedTables:
@@ -73,19 +77,23 @@ class PatchedTables:
 
         A registered column that new rows lack is null. The numbers of the touched
         buckets, at most as many as there are buckets, are all that the driver sees.
+        Tables are independent, so several are written at a time.
         """
-        for table, rows in tables.items():
-            want = schemas.schema(table)
-            held = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want]
-            new = rows.select(*held)
-            whose = patients.select(F.col(self.owner(table)).alias("_owner")).where("_owner is not null").distinct()
-            touched = sorted(r[0] for r in whose.select(self._bucket(F.col("_owner"))).distinct().collect())
-            if not touched:
-                continue
-            kept, stored = new, self._stored(table)
-            if stored is not None:
-                old = stored.where(F.col("_live") & F.col("bucket").isin(touched)).withColumn("_owner", self._owned(table))
-                kept = new.unionByName(old.join(whose, "_owner", "left_anti").select(*want.fieldNames()))
-            marks = self.spark.createDataFrame([(k,) for k in touched], "bucket int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in want], F.lit(False).alias("_live"), "bucket")
-            out = kept.withColumn("_live", F.lit(True)).withColumn("bucket", self._bucket(self._owned(table))).unionByName(marks)
-            out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{table.replace('.', '/')}")
+        owners = sorted({self.owner(t) for t in tables})
+        found = patients.agg(*[F.collect_set(F.when(F.col(o).isNotNull(), self._bucket(F.col(o)))).alias(o) for o in owners]).first()
+        jobs = [(t, rows, patients.select(F.col(self.owner(t)).alias("_owner")).where("_owner is not null"), sorted(found[self.owner(t)])) for t, rows in tables.items()]
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(lambda job: self._rewrite(*job), [j for j in jobs if j[3]]))
+
+    def _rewrite(self, table: str, rows: DataFrame, whose: DataFrame, touched: list[int]) -> None:
+        """The touched buckets of one table without the rows of ``whose`` (_owner) and with the new ones."""
+        want = schemas.schema(table)
+        held = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want]
+        kept = new = rows.select(*held)
+        stored = self._stored(table)
+        if stored is not None:
+            old = stored.where(F.col("_live") & F.col("bucket").isin(touched)).withColumn("_owner", self._owned(table))
+            kept = new.unionByName(old.join(whose, "_owner", "left_anti").select(*want.fieldNames()))
+        marks = self.spark.range(0, self.buckets, 1, 1).select(F.col("id").cast("int").alias("bucket")).where(F.col("bucket").isin(touched)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in want], F.lit(False).alias("_live"), "bucket")
+        out = kept.withColumn("_live", F.lit(True)).withColumn("bucket", self._bucket(self._owned(table))).unionByName(marks)
+        out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{table.replace('.', '/')}")

@@ -104,3 +104,17 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
     jobs.load_batch(store, frame(spark, *[response(f"p{k}", "1", []) for k in range(9)]), LOADED)
     plan = store._stored("omop.person").where(F.col("bucket").isin([3]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_latest_response_of_a_patient(spark, tmp_path):
+    """Responses are grouped whole only if a patient has several; of those the greatest hash counts, before it is compared with the ledger."""
+    once = frame(spark, response("ann", "1", []), response("bob", None, []))
+    assert jobs.latest_of_each(once) is once
+    several = frame(spark, response("ann", "1", [(1, "2024-01-01")]), response("ann", "2", [(2, "2024-01-02")]), response("bob", None, []))
+    assert {(r["source_patient_id"], r["bundle_hash"]) for r in jobs.latest_of_each(several).collect()} == {("ann", "2"), ("bob", None)}
+    store = PatchedTables(spark, str(tmp_path), 4)
+    jobs.load_batch(store, several, LOADED)
+    assert [r["condition_occurrence_id"] - omop.BLOCK for r in store.read("omop.condition_occurrence").collect()] == [2]
+    before = files(tmp_path, "omop/person"), files(tmp_path, "meta/ingest_patient")
+    jobs.load_batch(store, several.where("source_patient_id = 'ann'"), LOADED)
+    assert (files(tmp_path, "omop/person"), files(tmp_path, "meta/ingest_patient")) == before
