@@ -25,16 +25,19 @@ def design(frame: DataFrame, covariates: list[str], missing: str = "drop", prefi
     rows = frame if missing == "flag" else frame.dropna(subset=covariates) if covariates else frame
     facts = rows.agg(
         F.count("*").alias("n"),
-        *[e.alias(f"{k}_{c}") for c in numbers for k, e in (("nulls", F.count_if(F.col(c).isNull())), ("median", F.percentile(F.col(c).cast("double"), F.lit(0.5))), ("lo", F.min(c)), ("hi", F.max(c)))],
+        *[e.alias(f"{k}_{c}") for c in numbers for k, e in (("nulls", F.count_if(F.col(c).isNull())), ("lo", F.min(c)), ("hi", F.max(c)))],
         *[F.approx_count_distinct(text(c)).alias(f"levels_{c}") for c in categories],
     ).first()
     wide = [c for c in categories if facts[f"levels_{c}"] > 2 * MAX_LEVELS]
     if wide:
         raise ValueError(f"too many levels: {', '.join(wide)}")
+    # an exact median gathers all distinct values in one task: only of columns that have something to fill
+    gaps = [c for c in numbers if 0 < facts[f"nulls_{c}"] < facts["n"]]
+    medians = rows.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in gaps]).first().asDict() if gaps else {}
     columns: dict[str, tuple] = {}
     for c in covariates:
         if c in numbers:
-            x, filled = F.col(c).cast("double"), facts[f"median_{c}"]
+            x, filled = F.col(c).cast("double"), medians.get(c)
             if missing == "flag":
                 x = F.coalesce(x, F.lit(filled if filled is not None else 0.0))
                 if 0 < facts[f"nulls_{c}"] < facts["n"]:

@@ -10,6 +10,8 @@ scarce, changes die out within a few parts and so do the rounds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -76,13 +78,23 @@ def match(scored: DataFrame, scale: float = 0.2, part_rows: int = 50_000) -> Dat
     span = {r["part"]: (int(np.searchsorted(high, r["first"] - caliper)), int(np.searchsorted(low, r["last"] + caliper, "right")) - 1) for r in edges if r["first"] is not None}
     reach = dict.fromkeys(span, 1)
     seen = lambda p: (max(span[p][0], p - reach[p]), min(span[p][1], p + reach[p]))
-    nobody = "exposed_id long, comparator_id long, part long"
-    pairs, known, active = spark.createDataFrame([], nobody), {}, sorted(span)
+    taken_from = lambda p: (min(seen(p)[0], p), max(seen(p)[1], p))
+    rounds, latest, known, active = [], {}, {}, sorted(span)  # what was found, and the round that a part was solved in last
+
+    def pairs_of(parts):
+        by_round = {k: [p for p in parts if latest[p] == k] for k in sorted({latest[p] for p in parts})}
+        frames = [rounds[k].where(F.col("part").isin(mine) & F.col("exposed_id").isNotNull()).select("exposed_id", "comparator_id", "part") for k, mine in by_round.items()]
+        return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], "exposed_id long, comparator_id long, part long")
+
     while active:
-        links = [(q, p, (q > p) - (q < p)) for p in active for q in range(min(seen(p)[0], p), max(seen(p)[1], p) + 1)]
+        links = [(q, p, (q > p) - (q < p)) for p in active for q in range(taken_from(p)[0], taken_from(p)[1] + 1)]
         # before the end two parts may want one comparator: the earlier one has it
-        takers = pairs.groupBy(F.col("comparator_id").alias("person_id")).agg(F.min("part").alias("taker"))
-        joined = people.join(takers, "person_id", "left")
+        # a round reads the parts that it looks at, and the pairs of parts that may hold comparators of those
+        sources = np.array(sorted({q for q, _, _ in links}))
+        touching = [p for p in latest if np.searchsorted(sources, taken_from(p)[0]) < np.searchsorted(sources, taken_from(p)[1], "right")]
+        takers = pairs_of(touching).groupBy(F.col("comparator_id").alias("person_id")).agg(F.min("part").alias("taker"))
+        near = people.where(F.col("part").isin(sources.tolist())) if len(sources) < len(edges) else people
+        joined = near.join(takers, "person_id", "left")
         dealt = joined.join(spark.createDataFrame(links, "part long, into long, side int"), "part").where((F.col("side") == 0) | ~exposed)
         free = dealt.where(exposed | F.col("taker").isNull() | (F.col("taker") >= F.col("into")))
         nearest = Window.partitionBy("into", "side").orderBy(F.col("logit") * F.col("side"), "person_id")
@@ -105,10 +117,10 @@ def match(scored: DataFrame, scale: float = 0.2, part_rows: int = 50_000) -> Dat
         short = [r["part"] for r in told if r["short"]]
         changed = [r["part"] for r in told if known.get(r["part"], (0, 0)) != (r["n"], r["sum"])]
         known |= {r["part"]: (r["n"], r["sum"]) for r in told}
-        kept = pairs.where(~F.col("part").isin(active)) if len(active) < len(span) else pairs.limit(0)
-        pairs = written(kept.unionByName(found.where("exposed_id is not null").select("exposed_id", "comparator_id", "part")), "pairs")
+        rounds.append(found)
+        latest |= dict.fromkeys(active, len(rounds) - 1)
         for p in short:
             reach[p] *= 2
         touched = {q: seen(q)[1] for q in changed}
         active = sorted({p for p in span if any(q < p and far >= seen(p)[0] for q, far in touched.items())} | set(short))
-    return pairs.select("exposed_id", "comparator_id")
+    return written(pairs_of(sorted(latest)).select("exposed_id", "comparator_id"), "pairs")

@@ -337,7 +337,7 @@ QUERIES = {
     "last_status": lambda s, d: ledger.last_status(entries(s, d)),
     "artifact_lineage": lambda s, d: ledger.lineage(entries(s, d)),
     "propensity_scores": lambda s, d: causal.propensity(outcomes(s, d), "arm_a", ["balance", "year_of_birth"]).select("person_id", "treated", "propensity_score"),
-    "propensity_matching": lambda s, d: matching.match(causal.propensity(outcomes(s, d), "arm_a", ["balance", "year_of_birth"])),
+    "propensity_matching": lambda s, d: matching.match(causal.propensity(outcomes(s, d).select("cohort_name", "person_id", "balance", "year_of_birth"), "arm_a", ["balance", "year_of_birth"])),
 }
 
 RES = """pat AS (SELECT 'Patient/p' || c_custkey AS key FROM customer), enc AS (SELECT * FROM orders)"""

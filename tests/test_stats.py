@@ -493,3 +493,29 @@ def test_a_comparison_reads_its_frame_once(spark):
 
     got = jobs.cohort_compare(frame.mapInArrow(passed, frame.schema), ["y", "x"], "a", "b", ["x"], permutations=99, replicates=60)
     assert got.count() == 2 and read.value == 200
+
+
+def test_median_only_of_columns_with_gaps(spark, monkeypatch):
+    """An exact median gathers all distinct values; a column without gaps needs none."""
+    from cohortloom.operators.design import design
+
+    rows = spark.createDataFrame([(1.0, 3.0), (2.0, None), (4.0, 8.0), (5.0, 4.0)], "x double, y double")
+    asked = []
+    percentile = F.percentile
+    monkeypatch.setattr(F, "percentile", lambda *a: asked.append(a) or percentile(*a))
+    design(rows, ["x"], "flag")
+    assert not asked
+    assert [r["_x_y"] for r in design(rows, ["x", "y"], "flag")[0].orderBy("x").collect()] == [3.0, 4.0, 8.0, 4.0]
+    assert len(asked) == 1
+
+
+def test_matching_rounds_leave_settled_pairs(spark, monkeypatch):
+    """Pairs are put together once at the end, not written anew in each round."""
+    rng = np.random.default_rng(4)
+    rows = [(k, int(t), float(p)) for k, (t, p) in enumerate(zip(rng.random(300) < 0.5, rng.uniform(0.2, 0.8, 300), strict=True))]
+    scored, names = spark.createDataFrame(rows, "person_id long, treated int, propensity_score double"), []
+    written = matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: names.append(name) or written(df, name))
+    got = sorted(map(tuple, matching.match(scored, 0.2, 40).collect()))
+    assert names.count("pairs-found") > 1 and names.count("pairs") == 1
+    assert got == sorted(map(tuple, matching.match(scored, 0.2, 1000).collect()))
